@@ -36,8 +36,8 @@ VIEWS = {
         "p_partkey AS ogc_fid, CASE p_size % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'Open' WHEN 2 THEN 'closed' END AS atv, CASE p_size % 5 WHEN 0 THEN '05/01-11/30' WHEN 1 THEN '12/01-03/31' WHEN 2 THEN '06/15-10/15,12/01-03/31' WHEN 3 THEN 'bad' END AS atv_datesopen, CASE p_size % 3 WHEN 0 THEN 'yearlong' WHEN 1 THEN 'seasonal' END AS seasonal, "
         "CASE p_size % 8 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '3' WHEN 3 THEN '4' WHEN 4 THEN '11' WHEN 5 THEN '12' WHEN 6 THEN '99' END AS symbol, 43.0e0 + (p_partkey*2711 % 10000)/1.0e4 AS lat1, -117.0e0 + (p_partkey*9973 % 10000)/1.0e4 AS lon1, 43.0e0 + (p_partkey*2711 % 10000)/1.0e4 + (p_partkey % 7)*1.0e-3 AS lat2, -117.0e0 + (p_partkey*9973 % 10000)/1.0e4 + (p_partkey % 5)*1.0e-3 AS lon2",
     ),
-    "fx_trace_edges": ("lineitem", "l_orderkey AS route_id, l_linenumber AS edge_no, CASE l_partkey % 5 WHEN 0 THEN 'paved' WHEN 1 THEN 'gravel' WHEN 2 THEN 'dirt' WHEN 3 THEN 'weird' ELSE 'asphalt' END AS surface, CASE l_suppkey % 4 WHEN 0 THEN 'track' WHEN 1 THEN 'path' ELSE 'road' END AS use_tag, l_quantity*10.0e0 AS length_m"),
-    "fx_path": ("lineitem", "l_orderkey AS route_id, l_linenumber AS i, 43.0e0 + (l_orderkey % 1000)*1.0e-3 + l_linenumber*(1 + l_partkey % 3)*1.0e-3 AS lat, -117.0e0 + (l_orderkey % 777)*1.0e-3 + l_linenumber*(l_suppkey % 3)*1.0e-3 AS lon, 1000.0e0 + l_partkey % 97 AS elev_m, CASE l_suppkey % 3 WHEN 0 THEN 'foot' WHEN 1 THEN '2w' ELSE 'vehicle' END AS mode, l_partkey % 4 = 0 AS on_trail, l_partkey % 11 = 0 AS barrier"),
+    "fx_trace_edges": ("lineitem", "l_orderkey AS route_id, CAST(l_linenumber AS BIGINT)*10000000000 + l_partkey*10000 + l_suppkey % 10000 AS edge_no, CASE l_partkey % 5 WHEN 0 THEN 'paved' WHEN 1 THEN 'gravel' WHEN 2 THEN 'dirt' WHEN 3 THEN 'weird' ELSE 'asphalt' END AS surface, CASE l_suppkey % 4 WHEN 0 THEN 'track' WHEN 1 THEN 'path' ELSE 'road' END AS use_tag, l_quantity*10.0e0 AS length_m"),
+    "fx_path": ("lineitem", "l_orderkey AS route_id, CAST(l_linenumber AS BIGINT)*10000000000 + l_partkey*10000 + l_suppkey % 10000 AS i, 43.0e0 + (l_orderkey % 1000)*1.0e-3 + l_linenumber*(1 + l_partkey % 3)*1.0e-3 AS lat, -117.0e0 + (l_orderkey % 777)*1.0e-3 + l_linenumber*(l_suppkey % 3)*1.0e-3 AS lon, 1000.0e0 + l_partkey % 97 AS elev_m, CASE l_suppkey % 3 WHEN 0 THEN 'foot' WHEN 1 THEN '2w' ELSE 'vehicle' END AS mode, l_partkey % 4 = 0 AS on_trail, l_partkey % 11 = 0 AS barrier"),
 }
 CELLS = (
     "SELECT r, c, CASE WHEN (r*31+c*17) % 97 = 0 THEN NULL ELSE 1000.0e0 + (r*r*3 + c*c*5 + r*c*7) % 211 * 0.5e0 END AS elev_m, CASE (r*7+c*11) % 9 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 30 WHEN 3 THEN 40 WHEN 4 THEN 60 WHEN 5 THEN 80 WHEN 6 THEN 90 WHEN 7 THEN 95 ELSE 50 END AS wc_class, "
