@@ -109,6 +109,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, sha
     points = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks))).withColumn("home", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(shards)))
+    asked = stored(asked, "queries")
     # The queries are the smaller side (one row in `every`) and shards are bounded: (shard, block) is a task's work.
     points = points.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     key = ["dim", "shard", "block"]
