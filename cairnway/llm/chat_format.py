@@ -12,8 +12,8 @@ spelled out) and a ``<|esc|>`` mark in the header; an escaped turn holds no cont
 in identity.  The rendered conversation is then parsed as a whole, and ``round_trip`` says whether every turn's digest
 still equals that of its source.
 
-Edge cases: null text or role counts as empty; a conversation's turns are ordered by (turn, role, text), so ties and
-repeated rows have one order and are all kept; null ``conv_id`` is a conversation of its own; an empty table gives an empty
+Edge cases: null text or role counts as empty; a conversation's turns are ordered by (turn, role, rendered text),
+so ties and repeated rows have one order and are all kept; null ``conv_id`` is a conversation of its own; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -85,7 +85,7 @@ def format_conversations(rows: DataFrame, assistant: str = "assistant") -> DataF
     clash = F.contains(F.col("text"), F.lit("<|")) | F.contains(F.col("role"), F.lit("<|")) | F.contains(F.col("role"), F.lit("\n"))
     rows = rows.withColumn("raw", F.when(clash, raw))  # without "<|" and LF in the role, the grammar is unambiguous
     shown = F.when(~clash, raw).when(same, F.col("raw")).otherwise(render_turn(F.col("role"), F.col("text"), True))
-    turn = F.struct("turn", "role", F.xxhash64("role", "text").alias("digest"), shown.alias("shown"))
+    turn = F.struct("turn", "role", shown.alias("shown"), F.xxhash64("role", "text").alias("digest"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("source"))
     out = grouped.select("conv_id", F.array_join("source.shown", "").alias("formatted"), F.col("source.digest").alias("digests"))
     out = out.withColumn("parsed", parse(F.col("formatted")))
