@@ -21,7 +21,7 @@ def nested_parquet(spark: SparkSession, path: str, columns: dict[str, str], bbox
 
 def geojson_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """RFC 8142 records, one a line (a leading record separator goes): ``feature`` and ``ok``."""
-    text = F.ltrim(F.lit("\x1e \t"), C(column)) if False else F.regexp_replace(C(column), "^[\x1e\\s]+", "")
+    text = F.regexp_replace(C(column), "^[\x1e\\s]+", "")
     feature = F.from_json(text, POINT)
     return lines.withColumn("feature", feature).withColumn("ok", feature.isNotNull() & feature["type"].isNotNull())
 
