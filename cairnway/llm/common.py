@@ -40,10 +40,12 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def plain_words(text: Column) -> Column:
-    """Lower-case A-Z only and split into words; null and blank texts give an empty array."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def bucketed(df: DataFrame, column: str, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder as a table bucketed by ``column``: joins and groups on it read it in place."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n, column).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -6,10 +6,11 @@ a text leaves the rounds as soon as its bins are full.  Equal coordinates estima
 concentration of independent samples.  ``BANDS`` bands of ``ROWS`` coordinates give candidate buckets: a pair at
 likeness 0.8 misses them all with a probability below 4e-6, one at 0.85 below 3e-9.
 
-Verification compares full sets.  Texts with equal word sequences are one class from the start.  Of a bucket, members
-are first compared with its smallest member only, then those of buckets that still hold several components with the
-largest, and at last every pair of members from different components: pairs that one component joins already are never
-made, so a group of n near copies costs about n comparisons, and no pair that could change a component is left out.
+Verification compares full sets.  Equal texts are one class from the start.  Of a bucket, members are first compared with
+its most central member only.  Buckets that then still hold several components go on with exact bounds: shingles that
+only one component holds cannot be shared across, so a member's other shingles bound what it can have in common with
+anyone, and pairs that the bounds or their sizes rule out, or that one component joins already, are never made.  So a
+group of n near copies costs about n comparisons, and no pair that could change a component is left out.
 Sets lie in a table bucketed by document, so comparing moves only the candidates' sets.
 
 Components come from alternating large-star and small-star steps on the links, kept as tables throughout.
@@ -21,23 +22,45 @@ table gives an empty result; other columns are ignored by :func:`components_of`.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_words, shared_dir, stored
+from .common import bucketed, stored
 
 BANDS, ROWS = 32, 5
 
 
-def shingles(words: Column, k: int) -> Column:
-    """Sorted distinct 64-bit hashes of the k-word shingles; fewer words make one shingle."""
-    one = lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < k, F.array(F.xxhash64(w)))
-    many = lambda w: F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))))
-    return F.transform(F.array(words), lambda w: one(w).otherwise(many(w)))[0]
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's k-word shingles; fewer words make one shingle, none make none."""
+    import pyarrow.compute as pc
+    import xxhash
+
+    # Arrow's ASCII kernels lower A-Z only and split at the six white-space characters that part words here.
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    starts = words.offsets.to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    blank = np.array([w == "" for w in coded.dictionary.to_pylist()], dtype=bool)
+    codes, starts = coded.indices.to_numpy(zero_copy_only=False), starts - starts[0]
+    out = []
+    for first, last in zip(starts[:-1], starts[1:], strict=True):
+        part = codes[first:last]
+        if blank.any() and len(part):
+            part = part[~blank[part]]
+        n = min(k, len(part))
+        if not n:
+            out.append(np.zeros(0, dtype=np.uint64))
+            continue
+        h = known[part]
+        mixed = np.full(len(h) - n + 1, n, dtype=np.uint64)
+        for j in range(n):
+            mixed = _mix(mixed * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - n + 1 + j])
+        out.append(np.unique(mixed))
+    return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,17 +100,23 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+SETS = "node long, c1 long, c2 long, n long, hashes array<long>, keys array<long>"
+
+
+def _shingled(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """(node, c1, c2, text) -> with the set and the keys of its bands."""
+
     def run(batches):
         for batch in batches:
-            lists = batch["hashes"]
-            starts = lists.offsets.to_numpy()
-            values = lists.values.to_numpy()[starts[0] : starts[-1]].view(np.uint64)
-            keys = band_keys(sketch(values, np.diff(starts), bands * rows), bands, rows) if batch.num_rows else np.zeros((0, bands), dtype=np.int64)
-            arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, dtype=np.int32) * bands, type=pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], arrays], names=["node", "n", "keys"])
+            sets = shingle_sets(batch["text"], k)
+            counts = np.array([len(s) for s in sets], dtype=np.int64)
+            values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+            keys = band_keys(sketch(values, counts, bands * rows), bands, rows) if len(sets) else np.zeros((0, bands), dtype=np.int64)
+            keys, some = keys[counts > 0], (counts > 0).astype(np.int64) * bands  # an empty set is in no bucket
+            lists = lambda n, flat: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["c1"], batch["c2"], pa.array(counts), lists(counts, values.view(np.int64)), lists(some, keys.reshape(-1))], names=["node", "c1", "c2", "n", "hashes", "keys"])
 
-    return sets.select("node", "n", "hashes").mapInArrow(run, "node long, n long, keys array<long>")
+    return texts.select("node", "c1", "c2", "text").mapInArrow(run, SETS)
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -109,34 +138,22 @@ def connect(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("a"), F.col("b").alias("component")).distinct()).withColumnRenamed("a", "node").groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _bucketed(sets: DataFrame) -> DataFrame:
-    """A table bucketed by node: joins on the node read it in place."""
-    spark, name = sets.sparkSession, f"sets_{uuid.uuid4().hex}"
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n, "node").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
 def components_of(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept: links where 100 * common >= percent * union of k-word shingles."""
-    words = plain_words(F.col("text"))
-    spelled = docs.select("doc_id", "text", words.alias("words"))
-    c1, c2 = F.xxhash64("words"), F.xxhash64(F.lit(1), "words")
-    # Narrow: which documents have equal word sequences.
-    narrow = stored(spelled.select("doc_id", F.when(F.size("words") > 0, c1).alias("c1"), F.when(F.size("words") > 0, c2).alias("c2")), "narrow")
-    classes = narrow.where(F.col("doc_id").isNotNull() & F.col("c1").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    c1, c2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    # Narrow: which documents have equal texts.
+    narrow = stored(docs.select("doc_id", c1.alias("c1"), c2.alias("c2")), "narrow")
+    classes = narrow.where(F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
     # One text of each class becomes a set; texts travel once, dealt by id, which no group makes hot.
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), F.col("text"))
-    chosen = texts.repartition(parts, "node").join(classes, "node").select("node", "c1", "c2", plain_words(F.col("text")).alias("words"))
-    chosen = chosen.where((F.xxhash64("words") == F.col("c1")) & (F.xxhash64(F.lit(1), "words") == F.col("c2")))
-    sets = chosen.select("node", "c1", "c2", shingles(F.col("words"), k).alias("hashes")).withColumn("n", F.size("hashes").cast("long"))
-    sets = _bucketed(sets.select("node", "c1", "c2", "n", "hashes"))
-
-    banded = _banded(sets, bands, rows).select("node", "n", F.explode("keys").alias("bucket")).distinct()
-    banded = stored(banded, "bands")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), text.alias("text"), c1.alias("t1"), c2.alias("t2"))
+    chosen = texts.repartition(parts, "node").join(classes, "node").where((F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")))
+    sets = bucketed(_shingled(chosen, k, bands, rows), "node", "sets")
+
+    banded = sets.select("node", "n", F.explode("keys").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("c > 1 and lo < hi")
-    members = stored(banded.join(shared.select("bucket"), "bucket"), "members")
+    members = stored(banded.join(shared.select("bucket", "c"), "bucket"), "members")
 
     near = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))  # noqa: E731  sizes alone allow a link
 
@@ -148,35 +165,40 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = B
         alike = F.lit(100) * common >= F.lit(percent) * (F.size("ha") + F.size("hb") - common)
         return both.where(alike).select("a", "b")
 
-    def led(rows_: DataFrame, lead) -> DataFrame:
-        """Every member of a bucket with the bucket's leader."""
-        leaders = rows_.groupBy("bucket").agg(lead(F.struct("node", "n", "component")).alias("l"))
-        met = rows_.join(leaders, "bucket").where((F.col("node") != F.col("l.node")) & (F.col("component") != F.col("l.component")) & near(F.col("n"), F.col("l.n")))
-        return met.select(F.least("node", F.col("l.node")).alias("a"), F.greatest("node", F.col("l.node")).alias("b")).distinct()
-
-    def open_members(component: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components."""
-        labelled = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        return stored(labelled.join(several, "bucket"), "open")
-
-    tried = stored(led(members.withColumn("component", F.col("node")), F.min), "pairs")
+    # Every member meets its bucket's most central one, the one with the most neighbours over all its buckets.
+    degree = members.groupBy("node").agg(F.sum("c").alias("degree"))
+    ranked = members.join(degree, "node")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"), "node", "n")).alias("l"))
+    met = members.join(leaders, "bucket").where((F.col("node") != F.col("l.node")) & near(F.col("n"), F.col("l.n")))
+    tried = stored(met.select(F.least("node", F.col("l.node")).alias("a"), F.greatest("node", F.col("l.node")).alias("b")).distinct(), "pairs")
     links = stored(verified(tried), "links")
     labels = stored(connect(links), "labels")
-    still = open_members(labels)
-    more = stored(led(still, F.max).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = stored(verified(more), "links")
-    tried = tried.unionByName(more)
-    labels = stored(connect(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)), "labels")
-    still = open_members(labels)
-    left, right = (still.select("bucket", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"k{x}")) for x in "ab")
-    cross = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & near(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+
+    def still_open(rows_: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components."""
+        several = rows_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        return rows_.join(several, "bucket")
+
+    labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("c")
+    left_over = stored(still_open(labelled), "open")
+    # What two members of different components share lies among the shingles that several components hold.
+    nodes = left_over.select("node", "component").distinct()
+    spread = stored(nodes.join(sets.select("node", "hashes"), "node").select("node", "component", F.explode("hashes").alias("h")), "spread")
+    common = spread.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
+    reach = spread.join(common, "h", "left_semi").groupBy("node").agg(F.count("*").alias("u"))
+    able = left_over.join(reach, "node").where((100 + percent) * F.col("u") >= percent * (F.col("n") + F.ceil(F.col("n") * (percent / 100.0) - 1e-6)))
+    able = stored(still_open(able), "able")
+    left, right = (able.select("bucket", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("u").alias(f"u{x}"), F.col("component").alias(f"k{x}")) for x in "ab")
+    enough = (100 + percent) * F.least("ua", "ub") >= percent * (F.col("na") + F.col("nb"))
+    cross = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & near(F.col("na"), F.col("nb")) & enough).select("a", "b").distinct()
     rest = stored(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
     found = stored(verified(rest), "links")
     labels = stored(connect(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)), "labels")
 
     sized = sets.select("c1", "c2", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left")
-    sized = stored(sized.select("c1", "c2", "n_shingles", F.coalesce("component", "node").alias("component_id")), "sized")
+    # Repeated rows of one document make a set each: one row a class is left here.
+    sized = sized.groupBy("c1", "c2").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component", "node")).alias("component_id"))
+    sized = stored(sized, "sized")
     out = narrow.join(sized, ["c1", "c2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
