@@ -31,3 +31,19 @@ def islands(rows: DataFrame, value: str, by: str = "route_id", order: str = "i")
     w = Window.partitionBy(by).orderBy(order)
     start = F.when(F.row_number().over(w) == 1, 1).when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)
     return rows.withColumn("starts", start).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+
+
+def buffered(segments: DataFrame, metres: float, corners: int = 8) -> DataFrame:
+    """Segments (lat1, lon1, lat2, lon2) with ``ring``: a closed polygon ``metres`` wide on each side, ends rounded by half circles."""
+    import math
+
+    turn = F.radians(geo.bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
+    scale = F.greatest(F.lit(0.01), F.cos(F.radians("lat1")))
+
+    def at(lat, lon, angle):
+        return F.struct((lon + metres / geo.DEG_M * F.sin(angle) / scale).alias("lon"), (lat + metres / geo.DEG_M * F.cos(angle)).alias("lat"))
+
+    steps = F.sequence(F.lit(0), F.lit(corners))
+    far = F.transform(steps, lambda k: at(F.col("lat2"), F.col("lon2"), turn - math.pi / 2 + k * (math.pi / corners)))
+    back = F.transform(steps, lambda k: at(F.col("lat1"), F.col("lon1"), turn + math.pi / 2 + k * (math.pi / corners)))
+    return segments.withColumn("ring", F.concat(far, back, F.slice(far, 1, 1)))

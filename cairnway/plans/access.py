@@ -115,3 +115,14 @@ def bbox_features(spark, sf_dir):
 def bbox_reject(spark, sf_dir):
     out = (F.greatest("lon1", "lon2") < -116.9) | (F.least("lon1", "lon2") > -116.2) | (F.greatest("lat1", "lat2") < 43.1) | (F.least("lat1", "lat2") > 43.8)
     return mvum(spark, sf_dir).where(~out).select("ogc_fid")
+
+
+@query("fn_exclude_buffers")
+def fn_exclude_buffers(spark, sf_dir):
+    """Closed features near the route as 15 m polygons, in strict mode."""
+    from ..operators.lines import buffered
+
+    access = season.row_access(C("atv"), C("atv_datesopen"), C("symbol"), "atv", DAY)
+    near = (F.greatest("lat1", "lat2") >= 43.2) & (F.least("lat1", "lat2") <= 43.6) & (F.greatest("lon1", "lon2") >= -116.9) & (F.least("lon1", "lon2") <= -116.3)
+    closed = mvum(spark, sf_dir).where(near & ~access).orderBy("ogc_fid").limit(500)
+    return buffered(closed, 15.0).select("ogc_fid", F.size("ring").alias("vertices"), "ring")

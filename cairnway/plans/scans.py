@@ -98,3 +98,32 @@ def fn_first_array(spark, sf_dir):
     phones = F.when(C("p_size") % 4 > 0, F.array("p_brand", F.lit("other"))).otherwise(F.array().cast("array<string>"))
     socials = F.filter(F.array(F.lit(""), F.when(C("p_size") % 3 == 0, C("p_type"))), lambda s: F.coalesce(s, F.lit("")) != "")
     return table(spark, sf_dir, "part").select("p_partkey", F.get(phones, 0).alias("phone"), F.when(F.size(socials) > 0, F.to_json(socials)).alias("socials"))
+
+
+@query("scan_dem_tiles", "SELECT r, c, floor((elev_m + 32768.0e0)*256.0e0)/256.0e0 - 32768.0e0 AS elevation FROM fx_cells WHERE elev_m IS NOT NULL")
+def scan_dem_tiles(spark, sf_dir):
+    """Terrarium pixels of a tile table decoded to elevations; a missing pixel is no data."""
+    from ..functions.geo import terrarium
+
+    steps = F.floor((C("elev_m") + 32768.0) * 256.0)
+    pixels = view(spark, sf_dir, "fx_cells").where("elev_m is not null").select("r", "c", F.floor(steps / 65536).alias("red"), (F.floor(steps / 256) % 256).alias("green"), (steps % 256).alias("blue"))
+    return pixels.select("r", "c", terrarium(C("red"), C("green"), C("blue")).alias("elevation"))
+
+
+@query("src_valhalla", "SELECT route_id, count(*)::BIGINT AS edges, round(sum(length_m), 3) AS metres FROM fx_trace_edges GROUP BY route_id")
+def src_valhalla(spark, sf_dir):
+    """Traced edges of a router are an input table (route, edge): nothing is fetched from executors."""
+    return view(spark, sf_dir, "fx_trace_edges").groupBy("route_id").agg(F.count("*").alias("edges"), F.round(F.sum("length_m"), 3).alias("metres"))
+
+
+@query("src_google", "SELECT day, calls, CASE WHEN limited > 0 THEN greatest(calls, 50) ELSE calls END AS counted FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS calls, count(*) FILTER (event_id % 997 = 0) AS limited FROM events GROUP BY 1)")
+def src_google(spark, sf_dir):
+    """Logged calls of a paid lookup: a refused call puts the day's counter at its cap."""
+    days = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("calls"), F.count_if(C("event_id") % 997 == 0).alias("limited"))
+    return days.select("day", "calls", F.when(C("limited") > 0, F.greatest("calls", F.lit(50).cast("long"))).otherwise(C("calls")).alias("counted"))
+
+
+@query("scan_yaml_book")
+def scan_yaml_book(spark, sf_dir):
+    text = "entries:\n- {id: home, name: Home, aliases: [Casa, HQ], address: '100 Main St, Boise, ID', lat: 43.6, lon: -116.2, tags: [own]}\n- {id: shop, name: Shop}\n"
+    return readers.yaml_book(spark, text)
