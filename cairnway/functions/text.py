@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,10 +64,36 @@ def longest_common_subsequence(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(chars(a), F.transform(F.sequence(F.lit(0), F.size(other)), lambda _: F.lit(0)), row), -1)
 
 
+def common_length(a: str, b: str) -> int:
+    """Longest common subsequence by bit-parallel rows: one integer step a character of ``b``."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    full = free = (1 << len(a)) - 1
+    for ch in b:
+        hit = free & places.get(ch, 0)
+        free = (free + hit | free - hit) & full
+    return len(a) - free.bit_count()
+
+
 def indel_ratio(a: Column, b: Column) -> Column:
-    """100 * (1 - insertions and deletions / total length): 200 * LCS / (|a| + |b|); 100 for two empty texts."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * longest_common_subsequence(a, b) / total)
+    """100 * (1 - insertions and deletions / total length): 200 * LCS / (|a| + |b|); 100 for two empty texts.
+
+    Arrow-batched: a pair that repeats inside a batch, as street names do, is worked out once.  The built-in form,
+    :func:`longest_common_subsequence`, interprets a table cell at a time and is some ten times slower.
+    """
+
+    def ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+        seen: dict = {}
+        out = []
+        for pair in zip(left, right, strict=True):
+            if pair not in seen:
+                total = None if None in pair else len(pair[0]) + len(pair[1])
+                seen[pair] = None if total is None else 200.0 * common_length(*pair) / total if total else 100.0
+            out.append(seen[pair])
+        return pd.Series(out, dtype=float)
+
+    return F.pandas_udf(ratios, "double")(a, b)
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:

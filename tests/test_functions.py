@@ -46,6 +46,9 @@ def test_indel_ratio(spark):
     for r in out:
         total = len(r.a) + len(r.b)
         assert abs(r.r - (200 * lcs(r.a, r.b) / total if total else 100)) < 1e-9
+        assert text.common_length(r.a, r.b) == lcs(r.a, r.b)
+    built_in = spark.createDataFrame(pairs, "a string, b string").select("a", "b", text.longest_common_subsequence(F.col("a"), F.col("b")).alias("n"))
+    assert all(r.n == lcs(r.a, r.b) for r in built_in.collect())
 
 
 def test_trigram_similarity(spark):
