@@ -4,7 +4,8 @@
    list of words, and each document the sequence of its words' numbers, in order of position.
 2. The blocks' words are exploded and shuffled by word; a part meets all copies of a word side by side and encodes it once.
    A word has at most one row a block, so no frequent word makes a part hot.
-3. Ids go back to their blocks and documents are put together by position.
+3. Ids go back to their blocks, packed, and documents are put together by position; the documents' sequences wait in a table
+   bucketed by block and are not shuffled.
 
 Decoding joins ids with the table of token bytes, which is as small as the vocabulary.
 
@@ -23,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bucketed
 
-BLOCK_CHARS, BUNDLE_TOKENS = 24_000_000, 1 << 18
+BLOCK_CHARS, BUNDLE_TOKENS = 48_000_000, 1 << 18
 BLOCKS = "block long, seq int, words array<string>, doc_ids array<long>, counts array<int>, numbers binary"
 
 
@@ -105,76 +106,84 @@ def cut_into_words(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
 
 
-def encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    """(word, at) -> (at, ids): rows of a word lie side by side, so each distinct word is encoded once."""
+PACKED = "block long, numbers binary, sizes binary, ids binary"
+
+
+def encode_words(words: DataFrame, ranks_path: str, flush: int = 1 << 20) -> DataFrame:
+    """(word, block, number) -> packed rows of a block: numbers of words, how many ids each has, and the ids.
+
+    Rows of a word lie side by side, so each distinct word is encoded once; ``flush`` rows are held at most.
+    """
 
     def run(batches):
         import tiktoken
 
         # The pattern takes a word as one piece: cutting is done, only merging is left.
         encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(ranks_path), special_tokens={}).encode_ordinary
-        last, ids = None, b""
+        last, ids, blocks, numbers, found = None, [], [], [], []
+
+        def packed():
+            block, number = np.concatenate(blocks), np.concatenate(numbers)
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(sizes.sum()))
+            starts = np.cumsum(sizes) - sizes
+            order = np.lexsort((number, block))
+            cuts = np.flatnonzero(np.diff(block[order])) + 1
+            rows = []
+            for part in np.split(order, cuts):
+                n = sizes[part]
+                at = np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                rows.append((int(block[part[0]]), pack(np.diff(number[part], prepend=0)), pack(n), pack(flat[at])))
+            for held in (blocks, numbers, found):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "numbers", "sizes", "ids"])
+
         for batch in batches:
-            out = []
             for word in batch["word"].to_pylist():
                 if word != last:
-                    last, ids = word, np.array(encode(word), dtype="<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch["at"], pa.array(out, type=pa.binary())], names=["at", "ids"])
+                    last, ids = word, encode(word)
+                found.append(ids)
+            blocks.append(batch["block"].to_numpy())
+            numbers.append(batch["number"].to_numpy())
+            if len(found) >= flush:
+                yield packed()
+        if found:
+            yield packed()
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "at struct<block:long,number:int>, ids binary")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, PACKED)
 
 
 def put_together(words: DataFrame, bundles: DataFrame) -> DataFrame:
-    """Encoded words and bundles of one block meet in one task; words come first, then documents stream by."""
-    left = words.select(F.col("at.block").alias("block"), F.lit(0).alias("seq"), F.col("at.number").alias("number"), "ids", *[F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<long>"), ("counts", "array<int>"), ("numbers", "binary"))])
-    right = bundles.select("block", "seq", F.lit(None).cast("int").alias("number"), F.lit(None).cast("binary").alias("ids"), "doc_ids", "counts", "numbers")
-
-    def run(batches):
-        block, held, place = None, [], []
-        buffer = starts = lengths = None
-        for batch in batches:
-            blocks, seqs = batch["block"].to_numpy(), batch["seq"].to_numpy()
-            for i in range(batch.num_rows):
-                if blocks[i] != block:
-                    block, held, place, buffer = blocks[i], [], [], None
-                if seqs[i] == 0:
-                    held.append(batch["ids"][i].as_py())
-                    place.append(batch["number"][i].as_py())
-                    continue
-                if buffer is None:
-                    at = np.array(place, dtype=np.int64)
-                    lengths, starts = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-                    sizes = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
-                    lengths[at], starts[at] = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(at) else 0
-                    buffer = np.frombuffer(b"".join(held), dtype="<u4").astype(np.int32)
-                    held, place = [], []
-                counts = np.array(batch["counts"][i].as_py(), dtype=np.int64)
-                packed = batch["numbers"][i].as_py()
-                numbers = unpack(packed).astype(np.int64) if packed and counts.sum() else np.zeros(0, dtype=np.int64)
-                each = lengths[numbers]
-                upto = np.concatenate([[0], np.cumsum(each)])
-                ids = buffer[np.repeat(starts[numbers] - upto[:-1], each) + np.arange(upto[-1])] if len(numbers) else np.zeros(0, dtype=np.int32)
-                ends = upto[np.concatenate([[0], np.cumsum(counts)])]
-                doc_ids = batch["doc_ids"][i].values
-                step = 0
-                while step < len(counts):  # at most about a million ids at once
-                    stop = max(step + 1, int(np.searchsorted(ends, ends[step] + (1 << 20))) - 1)
-                    stop = min(stop, len(counts))
-                    arrays = pa.ListArray.from_arrays(pa.array((ends[step : stop + 1] - ends[step]).astype(np.int32)), pa.array(ids[ends[step] : ends[stop]]))
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(step, stop - step), arrays], names=["doc_id", "ids"])
-                    step = stop
-
-    met = left.unionByName(right).repartition("block").sortWithinPartitions("block", "seq", "number")
-    return met.mapInArrow(run, "doc_id long, ids array<int>")
+    """Encoded words and bundles of one block meet in one task, and documents follow by position."""
+
+    def run(key, known: pa.Table, held: pa.Table) -> pa.Table:
+        column = lambda name: [unpack(x) for x in known[name].to_pylist()]
+        at = np.concatenate([np.cumsum(x, dtype=np.int64) for x in column("numbers")]) if known.num_rows else np.zeros(0, dtype=np.int64)
+        sizes = np.concatenate(column("sizes")).astype(np.int64) if known.num_rows else np.zeros(0, dtype=np.int64)
+        buffer = np.concatenate(column("ids")).astype(np.int32) if known.num_rows else np.zeros(0, dtype=np.int32)
+        lengths, starts = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        lengths[at], starts[at] = sizes, np.cumsum(sizes) - sizes
+        doc_ids, arrays = [], []
+        for row in held.sort_by("seq").to_pylist():
+            counts = np.array(row["counts"], dtype=np.int64)
+            numbers = unpack(row["numbers"]).astype(np.int64) if counts.sum() else np.zeros(0, dtype=np.int64)
+            each = lengths[numbers]
+            upto = np.concatenate([[0], np.cumsum(each)])
+            ids = buffer[np.repeat(starts[numbers] - upto[:-1], each) + np.arange(upto[-1])] if len(numbers) else np.zeros(0, dtype=np.int32)
+            ends = upto[np.concatenate([[0], np.cumsum(counts)])]
+            doc_ids += row["doc_ids"]
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
+        return pa.table({"doc_id": pa.array(doc_ids, type=pa.int64()), "ids": pa.chunked_array(arrays, type=pa.list_(pa.int32()))})
+
+    return words.groupBy("block").cogroup(bundles.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, ids array<int>, one row for each row."""
-    blocks = stored(cut_into_words(docs, pattern, block_chars), "blocks", codec="zstd")
+    blocks = bucketed(cut_into_words(docs, pattern, block_chars), "block", "blocks")
     words = blocks.where(F.col("seq") == 0).select("block", F.posexplode("words").alias("number", "word"))
-    words = words.select("word", F.struct("block", "number").alias("at"))
-    return put_together(encode_words(words, ranks_path), blocks.where(F.col("seq") > 0))
+    bundles = blocks.where(F.col("seq") > 0).select("block", "seq", "doc_ids", "counts", "numbers")
+    return put_together(encode_words(words, ranks_path), bundles)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
