@@ -98,11 +98,12 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     # Sorts by id first (null lowest), then by digest; unique for distinct (doc_id, text).
     row = F.struct(F.col("doc_id").alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
-    base = docs.select(row.alias("row"), text.alias("text"), F.length(text).alias("n_chars"))
-    order = neighbours(base.select("row", "n_chars").distinct())
-    base = base.select("row", "text", "n_chars").join(order.drop("n_chars"), "row").dropDuplicates(["row"])
+    base = docs.select(row.alias("row"), text.alias("text"))
+    order = neighbours(base.select("row", F.length("text").alias("n_chars")).distinct())
+    # Both uses of `base` need just these two columns, so that they share one exchange of the texts.
+    base = base.join(order.drop("n_chars"), "row").dropDuplicates(["row"])
     lent = base.select(F.col("prev").alias("row"), F.left("text", F.floor(F.col("prev_chars") / 2).cast("int")).alias("lent"))
-    out = base.join(lent, "row")
+    out = base.withColumn("n_chars", F.length("text")).join(lent, "row")
     return out.select("row", F.col("row.id").alias("doc_id"), "text", "n_chars", "next", F.concat(F.left("text", F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")), "lent").alias("edited"))
 
 
