@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairnway.llm import bpe, chat_format, fingerprints, minhash, mixing, quality, secrets, topk_search, toxicity, warc
 
@@ -266,6 +268,24 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
     assert abs(np.mean([x == y for x, y in zip(draws[1], draws[2], strict=True)]) - exact) < 0.08
 
 
+def test_fingerprint_likeness_at_production_size(spark):
+    rnd = random.Random(6)
+    texts = []
+    for i in range(60):
+        w = prose(rnd, 120).split() * rnd.choice([1, 1, 3])
+        texts += [" ".join(w), " ".join(w[: rnd.randint(60, len(w))] + prose(rnd, rnd.randint(0, 40)).split())]
+    pairs = lambda t: Counter(zip(t.split(), t.split()[1:], strict=False))
+    exact = lambda a, b: (pairs(a) & pairs(b)).total() / (pairs(a) | pairs(b)).total()
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    out = fingerprints.fingerprinted(docs).select("doc_id", fingerprints.likeness(F.col("draws"), F.col("edited_draws")).alias("edited"), fingerprints.likeness(F.col("draws"), F.col("next_draws")).alias("next")).collect()
+    errors = []
+    for r in out:
+        t, following = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        errors += [r.next - exact(t, following), r.edited - exact(t, edited)]
+    assert np.sqrt(np.mean(np.square(errors))) < 0.05 and max(map(abs, errors)) < 0.18
+
+
 # -- secrets ---------------------------------------------------------------------------------------------------------------------
 def test_secret_scan_finds_and_redacts(spark):
     token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
