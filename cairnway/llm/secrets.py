@@ -1,7 +1,7 @@
 """Operator 10 - secret scans with a random forest against false positives (DataFrame functions only).
 
 One regular expression finds candidates in whole texts: assigned values (``name = "value"``), published token formats and
-private-key headers.  Each candidate is described by its length, character classes and transitions, dictionary coverage,
+private keys, header to end.  Each candidate is described by its length, character classes and transitions, dictionary coverage,
 the path it came from and its neighbouring words; a random forest trained from labelled findings removes false positives.
 The forest is a literal (arrays of feature, threshold and leaf) that a SQL higher-order expression walks, so scanning,
 describing, scoring and redacting stay in the JVM; only the small, bounded set of labelled findings comes to the driver
@@ -24,8 +24,18 @@ from .common import without
 
 MAX_FINDINGS, TREES, DEPTH, NEAR = 4000, 24, 6, 48
 #: Published shapes of credentials, and values assigned to a name.
+#: Names of credentials, and what stands between a name and its value.  Bounded, for looking behind.
+NAMED = r"(?i:token|secret|passwd|password|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key)"
+ASSIGNED = NAMED + r"[\"']?(?:[ \t]{0,8}(?:=>|:=|[=:])[ \t]{0,8}|[ \t]{1,8}(?i:is)[ \t]{1,8})"
+LINE_END = r"(?:[\r\n]|\\[rn])"
+#: A private key reaches to its END line or, without one, to the end of its base64 lines.  Line ends may be escaped.
+PRIVATE_KEY = (
+    r"-----BEGIN [0-9A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]++|-(?!----))*+-----END [0-9A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:(?:[ \t]*+{LINE_END}[ \t]*+[A-Z][0-9A-Za-z-]*+: [^\r\n]*+)*+(?:(?:\s|\\[rn])++[0-9A-Za-z+/]{{40,}}+={{0,2}}+)++(?:[ \t]*+{LINE_END}++[ \t]*+[0-9A-Za-z+/]++={{0,2}}+(?=[ \t]*(?:{LINE_END}|[\"']|$)))?+)?+)"
+)
 SHAPES = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    PRIVATE_KEY,
     r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     r"\bgh[pousr]_[0-9A-Za-z]{36,}\b",
     r"\bglpat-[0-9A-Za-z_-]{20,}\b",
@@ -33,6 +43,10 @@ SHAPES = (
     r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}\b",
     r"\bAIza[0-9A-Za-z_-]{35}\b",
     r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    # Any value assigned to the name of a credential; the short first look behind spares the long one.
+    rf"(?<=\")(?<={ASSIGNED}\")[^\s\"]{{6,}}(?=\")",
+    rf"(?<=')(?<={ASSIGNED}')[^\s']{{6,}}(?=')",
+    rf"(?<=[=:> \t])(?<={ASSIGNED}|(?i:bearer)[ \t]{{1,8}})[^\s\"',;<>()\[\]{{}}=:][^\s\"',;<>()\[\]{{}}]{{5,}}",
     r"(?<=[:=] ?[\"'])[0-9A-Za-z+/_=.~-]{12,}(?=[\"'])",
     r"(?<=[0-9A-Za-z_](?: = |=|: ))[0-9A-Za-z+/_~-]{16,}={0,2}(?![0-9A-Za-z+/_~-])",
     r"\b(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}\b",
@@ -40,7 +54,7 @@ SHAPES = (
 CANDIDATE = "|".join(SHAPES)
 #: What any text with a candidate holds: one of these strings, or a match of MAYBE.  Cheap to test, and never stricter.
 LITERALS = ("-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "k_live_", "k_test_", "AIza", "eyJ")
-MAYBE = r"[\"'][0-9A-Za-z+/_=.~-]{12}|[=:] ?[0-9A-Za-z+/_~-]{16}|[0-9A-Fa-f]{32}"
+MAYBE = rf"{ASSIGNED}|(?i:bearer)[ \t]|" + r"[\"'][0-9A-Za-z+/_=.~-]{12}|[=:] ?[0-9A-Za-z+/_~-]{16}|[0-9A-Fa-f]{32}"
 #: Names beside which a value is likely a credential, and those beside which it is likely not.
 NAMES = r"(?i)(?:token|secret|passwd|password|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key)[\"']?\s*(?:=|:|=>|is)?\s*[\"']?$"
 BENIGN = r"(?i)(?:commit|sha\d*|md5|digest|checksum|hash|revision|uuid|guid|etag|integrity|example|sample|placeholder|order|serial|invoice|build|version|id)[\"']?\s*(?:=|:|=>|is)?\s*[\"']?$"
@@ -81,18 +95,28 @@ def labelled_findings(spark: SparkSession, n: int = 1200, seed: int = 5) -> Data
     low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexa, full = digit + "abcdef", low + up + digit
     word = lambda: pick(low, rnd.randint(2, 8))
+
+    def private_key() -> str:
+        kind = rnd.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+        body = "".join(pick(full + "+/", 64) + "\n" for _ in range(rnd.randint(1, 50)))
+        return f"-----BEGIN {kind}-----" + rnd.choice(["", f"\n{body}-----END {kind}-----", f"\n{body}-----END {kind}-----"])
+
+    def chosen() -> str:
+        """A password as people choose it: parts of words, digits and signs."""
+        return pick(up, 1) + pick(low, rnd.randint(2, 6)) + pick(digit, rnd.randint(1, 4)) + pick("!#$%&*?@^.+-_", rnd.randint(0, 2)) + pick(full, rnd.randint(2, 8))
+
     rows = []
     for i in range(n):
         prose = " ".join(word() for _ in range(4)) + " "
         path, after = rnd.choice(["src1", "app/main.py", "conf/prod.env", None, "web"]), rnd.choice(['"', "'", '" ' + word(), "\n", " " + word(), '"###'])
         if i % 2:
-            name = rnd.choice(["token", "secret", "api_key", "password", "access_key", "auth", "TOKEN", "client_secret"]) + rnd.choice([" = ", "=", ": "]) + rnd.choice(['"', "'", ""])
-            value, before = rnd.choice([(pick(hexa, rnd.choice([32, 40, 64])), name), (pick(hexa, 40).upper(), name), (pick(full + "+/", rnd.choice([24, 32, 40, 44])), name), ("AKIA" + pick(up + digit, 16), rnd.choice([name, ""])), ("ghp_" + pick(full, 36), rnd.choice([name, ""])), ("sk_live_" + pick(full, 24), rnd.choice([name, ""])), ("-----BEGIN RSA PRIVATE KEY-----", "")])
+            name = rnd.choice(["token", "secret", "api_key", "password", "access_key", "auth", "TOKEN", "client_secret"]) + rnd.choice([" = ", "=", ": ", " => ", "  =  ", "\t=\t", " is "]) + rnd.choice(['"', "'", ""])
+            value, before = rnd.choice([(chosen(), name), (pick(low, rnd.randint(4, 8)) + pick(digit, rnd.randint(2, 6)), name), (pick(low + digit, rnd.randint(10, 16)), name), (pick(full, rnd.randint(10, 20)), name), (pick(hexa, rnd.choice([32, 40, 64])), name), (pick(hexa, 40).upper(), name), (pick(full + "+/", rnd.choice([24, 32, 40, 44])), name), ("AKIA" + pick(up + digit, 16), rnd.choice([name, ""])), ("ghp_" + pick(full, 36), rnd.choice([name, ""])), ("sk_live_" + pick(full, 24), rnd.choice([name, ""])), (private_key(), "")])
             rows.append((value, prose + before, after, path, 1))
         else:
             name = rnd.choice(["commit", "sha256", "md5", "checksum", "revision", "uuid", "etag", "order id", "version", word(), word()]) + rnd.choice([" = ", "=", ": ", " "]) + rnd.choice(['"', "'", ""])
-            secret = rnd.choice(["token", "password", "api_key", "secret"]) + " = " + rnd.choice(['"', ""])
-            value, before = rnd.choice([(pick(hexa, rnd.choice([32, 40, 64])), name), ("your-token-value-here", secret), ("changeme-" + word() + "-password", secret), ("example_" + word() + "_placeholder", secret), (pick(digit, rnd.choice([16, 20])), name), ("/".join(word() for _ in range(5)), name), (word() + "_" + word() + "_" + word() + "_" + word(), name), ("x" * rnd.randint(12, 32), secret), ("-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), name)])
+            secret = rnd.choice(["token", "password", "api_key", "secret"]) + rnd.choice([" = ", " = ", ": ", "=", " is "]) + rnd.choice(['"', ""])
+            value, before = rnd.choice([(pick(hexa, rnd.choice([32, 40, 64])), name), ("your-token-value-here", secret), ("changeme-" + word() + "-password", secret), ("example_" + word() + "_placeholder", secret), (pick(digit, rnd.choice([16, 20])), name), ("/".join(word() for _ in range(5)), name), (word() + "_" + word() + "_" + word() + "_" + word(), name), ("x" * rnd.randint(6, 32), secret), (pick(low, rnd.randint(6, 12)), secret), (word() + rnd.choice([".", "_", "-"]) + word() + word(), secret), ("${" + pick(up, rnd.randint(4, 9)) + "}", secret), (rnd.choice(["changeme", "password", "example", "undefined", "required", "https://" + word() + "." + word() + "/" + word()]), secret), ("-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), name)])
             rows.append((value, prose + before, after, rnd.choice([path, "tests/fixture.json", "docs/example.md"]), 0))
     return spark.createDataFrame(rows, "value string, before string, after string, path string, label int")
 

@@ -300,6 +300,31 @@ def test_secret_scan_finds_and_redacts(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    rnd = random.Random(9)
+    lines = ["".join(rnd.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(64)) for _ in range(12)] + ["Qk9zw=="]
+    body = "\n".join(lines)
+    texts = [f"a b\n-----BEGIN {k}-----\n{head}{body}\n-----END {k}-----\nrest of it" for k in ("RSA PRIVATE KEY", "PRIVATE KEY", "PGP PRIVATE KEY BLOCK") for head in ("", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n")]
+    texts += [f"a b\n-----BEGIN RSA PRIVATE KEY-----\n{body}\nrest of it", 'k = "' + texts[0].replace("\n", "\\n") + '"', f"-----BEGIN PRIVATE KEY-----\nsome prose\n{texts[0]}", "-----BEGIN PRIVATE KEY-----\n" + (lines[0] + "\n") * 20_000 + "-----END PRIVATE KEY-----\nrest of it"]
+    out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert not any(x in out[i].redacted for x in [*lines, "PRIVATE KEY"]) and "rest of it" in out[i].redacted, i
+        assert all(t[f.start : f.start + len(f.value)] == f.value for f in out[i].findings)
+    assert out[0].redacted == "a b\n[REDACTED]\nrest of it" == out[6].redacted and "some prose" in out[8].redacted
+
+
+def test_assigned_secrets_of_all_separators(spark):
+    values = ["S3cr3t!Pass#2024x", "hunter2024", "abc123def456", "Zk9xQ2vLm8Rt4Wp7"]
+    forms = ['password = "{}"', "password='{}'", "pwd={} x", 'token  =  "{}"', 'token => "{}"', 'token\t=\t"{}"', '"api_key": "{}"', "secret: {}", "the password is {} today"]
+    texts = [f.format(v) for f in forms for v in values] + ["Authorization: Bearer Zk9xQ2vLm8Rt4Wp7"]
+    plain = ['password = "your-password-here"', "the secret is something", "password: changeme", "token = ${TOKEN}", "plain token words"]
+    out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")).collect()}
+    missed = [t for i, t in enumerate(texts) if not any(f.value in [*values] for f in out[i].findings)]
+    assert not missed
+    assert sum(any(f.is_secret for f in out[i].findings) for i in range(len(texts))) >= 0.9 * len(texts)
+    assert [out[len(texts) + i].redacted for i in range(len(plain))] == plain
+
+
 def test_secret_forest_without_path_column(spark):
     docs = spark.createDataFrame([(1, "x ghp_" + "aB3" * 12)], "doc_id long, text string")
     assert secrets.scan(docs).first().findings[0].is_secret
