@@ -14,7 +14,8 @@ still equals that of its source.
 
 Edge cases: null text or role counts as empty; a conversation's turns are ordered by (turn, role, rendered text),
 so ties and repeated rows have one order and are all kept; null ``conv_id`` is a conversation of its own; an empty table gives an empty
-result; further columns are ignored.
+result; further columns are ignored.  A conversation is one row: its rendered text has to fit into one task's memory, whatever
+the number of conversations; its turns' texts may be of any length up to that.
 """
 
 from __future__ import annotations
@@ -60,6 +61,7 @@ def parse_segment(segment: Column) -> Column:
         F.when(escaped, unescape(body)).otherwise(body).alias("text"),
         F.length(body).alias("body_chars"),
         F.length(head).alias("head_chars"),
+        escaped.alias("escaped"),
         (F.concat(head, F.lit("\n"), body, F.lit(END + "\n")) == segment).alias("whole"),
     )
 
@@ -71,11 +73,29 @@ def parse(formatted: Column) -> Column:
     return F.transform(turns, parse_segment)
 
 
+def masked(formatted: str, runs: str) -> Column:
+    """The texts under the loss mask: cut out of ``formatted`` by the runs' character offsets alone, and unescaped.
+
+    One pass carries the offset along, and cuts are made only where the mask is set.
+    """
+    step = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,chars:int,escaped:boolean>>").alias("cuts"))
+
+    def walk(state: Column, r: Column) -> Column:
+        start = state["at"] + r["before"]
+        cut = F.array(F.struct(start.alias("at"), r["chars"].alias("chars"), r["escaped"].alias("escaped")))
+        return F.struct((start + r["chars"] + r["after"]).alias("at"), F.when(r["in_loss"], F.concat(state["cuts"], cut)).otherwise(state["cuts"]).alias("cuts"))
+
+    cuts = F.aggregate(F.col(runs), step, walk)["cuts"]
+    text = lambda c: F.substr(F.col(formatted), c["at"], c["chars"])
+    return F.transform(cuts, lambda c: F.when(c["escaped"], unescape(text(c))).otherwise(text(c)))
+
+
 def format_conversations(rows: DataFrame, assistant: str = "assistant") -> DataFrame:
     """Rows by turn (conv_id, turn, role, text) -> one row per conversation.
 
     Columns: conv_id, formatted, turns (array of role and text, parsed back), loss_runs (the loss mask as runs of characters:
-    (chars, in_loss) alternating over ``formatted``), round_trip.  One shuffle, of the rendered turns by conversation.
+    in order over ``formatted``: ``before`` and ``after`` are control, ``chars`` the body, ``in_loss`` whether it counts),
+    round_trip.  One shuffle, of the rendered turns by conversation.
     """
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"))
@@ -93,7 +113,7 @@ def format_conversations(rows: DataFrame, assistant: str = "assistant") -> DataF
     runs = F.transform(
         "parsed",
         lambda t: F.struct(
-            (t["head_chars"] + len(START) + 1).alias("before"), t["body_chars"].alias("chars"), F.lit(len(END) + 1).alias("after"), (t["role"] == assistant).alias("in_loss")
+            (t["head_chars"] + len(START) + 1).alias("before"), t["body_chars"].alias("chars"), F.lit(len(END) + 1).alias("after"), (t["role"] == assistant).alias("in_loss"), t["escaped"].alias("escaped")
         ),
     )
     return out.select(
