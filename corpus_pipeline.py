@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes each result as Parquet into the shared
 folder and hands it to the next.  All but the last return the columns of ``documents``, ``n_chars`` brought up to date.
+
+Edge cases, for every stage: a null text counts as empty and stays null; null doc_ids, sources and other columns are allowed;
+texts of any length are read whole; rows that repeat are rows each, but for the near-duplicates' stage, which leaves one of
+them; an empty table gives an empty result; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,44 +14,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnway.llm import bpe, minhash, mixing, queries, secrets, toxicity
-from cairnway.llm.common import stored, table
+from cairnway.llm.common import small_batches, stored, table
 
 TOXIC = 0.7
+USED = ("doc_id", "text", "source")
+
+
+def shielded(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with the columns that no operator reads renamed out of the operators' way, and the way back."""
+    names = {c: c if c in USED else f"__kept_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below TOXIC stay."""
-    queries._small_batches(spark)
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    """Documents scored below TOXIC stay; without toxic labels all of them do."""
+    small_batches(spark)
+    plain, back = shielded(docs)
+    model = toxicity.train(plain, table(spark, sf_dir, "labels"))
+    return toxicity.score(plain, model).where(F.col("score") < TOXIC).select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 80 %) stays: the one with the smallest id."""
-    queries._small_batches(spark)
-    kept = minhash.components_of(docs, k=5).where("kept").select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near-duplicates (five-word shingles, 80 %) stays: the one with the smallest id.
+
+    Rows without a doc_id give way to rows with one; texts without words form no groups and stay.
+    """
+    small_batches(spark)
+    plain, back = shielded(docs)
+    return minhash.one_of_each_group(plain, k=5).select(*back)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are replaced."""
-    out = secrets.scan(docs).withColumn("text", F.col("redacted"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    """Every document stays; secrets in its text are replaced, and ``n_chars`` follows."""
+    plain, back = shielded(docs)
+    out = secrets.scan(plain).withColumn("text", F.col("redacted")).select(*back)
+    return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.repeated(mixing.mix(docs), docs.columns)
+    """Documents as often as the mix takes them; those without words are never taken."""
+    plain, back = shielded(docs)
+    return mixing.repeated(mixing.mix(plain), plain.columns).select(*back)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token ids, one row for each row of the mix."""
-    queries._small_batches(spark)
+    """doc_id, n_tokens, ids and the digest of the decoded ids, one row for each row of the mix."""
+    small_batches(spark)
     ranks, pattern = queries.tokenizer()
-    return bpe.encode(docs, ranks, pattern).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    decoded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
