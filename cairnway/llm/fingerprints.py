@@ -1,20 +1,26 @@
 """Operator 9 - document fingerprints by consistent weighted sampling (DataFrame functions only).
 
-A text's weighted terms are its pairs of neighbouring words (a lone word is a term itself) with their counts.  A term of
-count w stands for the w elements (term, 1) to (term, w), so that the shared and joint elements of two texts number the sums
-of the smaller and larger counts.  For each sample i every element is hashed with i's constant, and the sample is the least hash:
-drawn by the same law from every text, it falls on the same element with a probability equal to the generalised Jaccard
-likeness of the weighted terms.  Of a least hash the low SAMPLE_BITS bits are kept (unlike the high ones, they do not depend on how
-many elements there are), so different elements look equal with a probability of 2**-24 a sample.  Minima are plain aggregates
-that whole-stage code generation handles.  The standard error of a likeness J is sqrt(J (1 - J) / SAMPLES), 0.044 at most.
-
-Terms and counts are found inside a row; only (row, term hash, count) is exploded, into an aggregation whose groups are the
-documents at hand, so nothing is shuffled for a fingerprint.
-
-Edge cases: null counts as empty; a text without words has the fingerprint "-" in all its samples, equal to that of any
-other such text; texts of any length are sampled whole; a row repeated in full counts as one document; rows that share a
-doc_id follow each other in order of their text's digest; null doc_id comes first; an empty table gives an empty result; other
-columns are ignored.
+A text's weighted terms are its pairs of neighbouring words (a lone word is a term itself) with their counts w.  Sample i of a
+term is gamma-based: with r and c from Gamma(2, 1) and b uniform, drawn by hashing the term with i's constant,
+``t = floor(ln(w) / r + b)`` and ``a = c exp(-r (t - b + 1))``; the sample of a text is the (term, t) of the least a, and
+two texts agree in it with a probability equal to the generalised Jaccard likeness of their weighted terms.
+
+The gammas are drawn as sums of exponential numbers x, z, q: c = x + z, r = ln(1 + z / x) + q, b = q / r have just the laws
+asked for, and then ``a = x exp(-r t)``.  So a term of weight one, for which t is 0, needs x alone, and x is a rising function of its
+hash: its sample is the hash.  Logarithms are left to the few terms that a text repeats.
+
+A draw is a long: 39 bits of 1 - exp(-a), then SAMPLE_BITS bits that tell (term, t).  Minima are plain aggregates that whole-stage
+code generation handles.  Of the least draw the low bits are kept beside the sample's number, so that different terms look
+equal with a probability of 2**-24 a sample, and a likeness is the size of an intersection of two signatures.  The standard error
+of a likeness J is sqrt(J (1 - J) / SAMPLES), 0.044 at most.
+
+Terms and counts are found inside a row; terms that a text and its edited text share with the same weight are drawn once for
+both.  Only (row, term, count) is exploded, into an aggregation whose groups are the documents at hand, so nothing is
+shuffled for a fingerprint.
+
+Edge cases: null counts as empty; a text without words has the fingerprint "-", alike to itself and to no other; texts of any
+length are sampled whole; rows are ordered by doc_id (null first), then by a digest of the text; of rows that repeat in full
+each is a document, followed by the next of them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,23 +34,44 @@ from pyspark.sql.window import Window
 from .common import stored
 
 SAMPLES, SAMPLE_BITS = 128, 24
-#: Minima worked out by one aggregation at most; generated code for many more is slow.
-TOGETHER = 64
+#: Minima worked out by one aggregation; generated code for many more is slow.
+TOGETHER = 16
+#: The key of a row: its id, and two digests of its text (the first also tells a null id).
+ROW = ["rid", "r1", "r2"]
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def bind(value: Column, f) -> Column:
+    """f(value), with ``value`` evaluated once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def term_hashes(text: Column) -> Column:
+    """Sorted hashes of neighbouring word pairs, one for each occurrence; a lone word is a term itself."""
+    trimmed = F.btrim(F.lower(text), F.lit(BLANKS))
+    words = F.split(trimmed, r"[\x20\x09-\x0D]+")
+    pairs = lambda w: F.when(F.size(w) == 1, F.array(F.xxhash64(w[0]))).otherwise(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b)))
+    return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.sort_array(bind(words, pairs)))
 
 
 def weighted_terms(text: Column) -> Column:
-    """array<struct<term long, n int>>: hashes of neighbouring word pairs with their counts."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    bind = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  evaluate once, use often
+    """struct(once array<long>, often array<struct<term long, n int>>): terms of weight one, and the others with their counts."""
 
-    def pairs(w: Column) -> Column:
-        return F.when(F.size(w) == 1, F.array(F.xxhash64(w[0]))).when(F.size(w) > 1, F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))).otherwise(F.array().cast("array<bigint>"))
+    def parted(h: Column) -> Column:
+        alone = lambda x, i: (x != F.coalesce(F.get(h, i - 1), F.bitwise_not(x))) & (x != F.coalesce(F.get(h, i + 1), F.bitwise_not(x)))
+        return F.struct(F.filter(h, alone).alias("once"), bind(F.filter(h, lambda x, i: ~alone(x, i)), runs).alias("often"))
 
     def runs(h: Column) -> Column:
-        starts = F.filter(F.transform(h, lambda x, i: F.when((i == 0) | (x != F.get(h, i - 1)), i)), lambda i: i.isNotNull())
-        return bind(starts, lambda at: F.transform(at, lambda s, j: F.struct(F.get(h, s).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(h)) - s).alias("n"))))
+        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+        terms = bind(starts, lambda at: F.transform(at, lambda s, j: F.struct(F.get(h, s).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(h)) - s).cast("int").alias("n"))))
+        return F.when(F.size(h) > 0, terms).otherwise(F.array().cast("array<struct<term:bigint,n:int>>"))
+
+    return bind(term_hashes(F.coalesce(text, F.lit(""))), parted)
+
 
-    return bind(words, lambda w: bind(F.array_sort(F.filter(pairs(w), lambda h: h.isNotNull())), runs))
+def listed(once: Column, often: Column) -> Column:
+    """array<struct<term, n>> of both."""
+    return F.arrays_zip(F.concat(once, often["term"]).alias("term"), F.concat(F.array_repeat(F.lit(1), F.size(once)), often["n"]).alias("n"))
 
 
 def constant(i: int) -> int:
@@ -52,93 +79,125 @@ def constant(i: int) -> int:
     return int.from_bytes(hashlib.sha256(b"sample %d" % i).digest()[:8], "big", signed=True)
 
 
-def fingerprint(rows: DataFrame, key: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """``rows`` (key columns, text) -> key columns and ``draws``, the signature as an array of ``samples`` numbers.
+def draw(h: Column, n: Column) -> Column:
+    """The sample of a term with hash ``h`` and weight ``n`` as a long: how small it is, then which (term, t)."""
+    high, low = 63 - SAMPLE_BITS, F.lit((1 << SAMPLE_BITS) - 1)
+    first = F.shiftrightunsigned(h, 1)
+    unit = lambda v: (v + 0.5) * F.lit(2.0**-26)
+    other = F.xxhash64(h, F.lit(1))
+    x = -F.log(1.0 - (F.shiftrightunsigned(h, 1 + SAMPLE_BITS) + 0.5) * F.lit(2.0**-high))
+    z, q = -F.log(unit(F.shiftrightunsigned(other, 38))), -F.log(unit(F.shiftrightunsigned(other, 12).bitwiseAND(F.lit((1 << 26) - 1))))
+    r = F.log(1.0 + z / x) + q
+    t = F.floor((F.log(n.cast("double")) + q) / r)
+    size = F.floor(-F.expm1(-x * F.exp(-r * t)) * F.lit(2.0**high))
+    # Conditions one after the other, so that nothing but the hash is worked out for the many terms of weight one.
+    return F.when(n == 1, first).when(t == 0, first).otherwise(F.shiftleft(size, SAMPLE_BITS).bitwiseOR(F.xxhash64(h, t).bitwiseAND(low)))
+
+
+def least_draws(terms: DataFrame, key: list[str], samples: int = SAMPLES) -> DataFrame:
+    """(key columns, term, n) -> key columns and ``draws``: array of longs, the least draw of each sample; null without terms.
 
-    ``rows`` has to be dealt by its key already (or the key be unique and small); rows of a key are one weighted set.
+    ``terms`` has to be dealt by (part of) its key already; rows of a key are one weighted set.
     """
-    terms = rows.select(*key, F.explode_outer(weighted_terms(F.coalesce(F.col(text), F.lit("")))).alias("t")).select(*key, F.col("t.term").alias("term"), F.col("t.n").alias("n"))
-    elements = terms.select(*key, "term", F.explode_outer(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
-    # Hashes are never null here, which spares a test a draw; the count tells texts without words.
-    elements = elements.select(*key, F.col("term").isNotNull().cast("int").alias("some"), F.when(F.col("nth") > 1, F.xxhash64("term", "nth")).otherwise(F.coalesce("term", F.lit(0))).alias("e"))
     width, parts = min(samples, TOGETHER), -(-samples // TOGETHER)
-    elements = elements.select(*key, "some", "e", F.explode(F.array(*[F.lit(p) for p in range(parts)])).alias("part"))
-    elements = elements.select(*key, "part", "some", F.xxhash64("e", "part").alias("e"))
-    drawn = elements.groupBy(*key, "part").agg(F.max("some").alias("some"), *[F.min(F.xxhash64(F.col("e").bitwiseXOR(F.lit(constant(i))))).alias(f"d{i}") for i in range(width)])
-    low = [F.when(F.col("some") > 0, F.col(f"d{i}").bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))).cast("int") for i in range(width)]
-    whole = drawn.select(*key, "part", F.array(*low).alias("draws")).groupBy(*key).agg(*[F.max(F.when(F.col("part") == p, F.col("draws"))).alias(f"p{p}") for p in range(parts)])
+    # Hashes are never null here, which spares a test a draw; `some` tells sets without terms.
+    rows = terms.select(*key, F.col("term").isNotNull().cast("int").alias("some"), F.coalesce("term", F.lit(0)).alias("term"), F.coalesce("n", F.lit(1)).alias("n"), F.explode(F.array(*[F.lit(p) for p in range(parts)])).alias("part"))
+    rows = rows.select(*key, "part", "some", "n", F.xxhash64("term", "part").alias("e"))
+    drawn = rows.groupBy(*key, "part").agg(F.max("some").alias("some"), *[F.min(draw(F.xxhash64(F.col("e").bitwiseXOR(F.lit(constant(i)))), F.col("n"))).alias(f"d{i}") for i in range(width)])
+    one = F.when(F.col("some") > 0, F.array(*[f"d{i}" for i in range(width)]))
+    whole = drawn.select(*key, "part", one.alias("draws")).groupBy(*key).agg(*[F.max(F.when(F.col("part") == p, F.col("draws"))).alias(f"p{p}") for p in range(parts)])
     return whole.select(*key, F.slice(F.concat(*[f"p{p}" for p in range(parts)]), 1, samples).alias("draws"))
 
 
-def packed(draws: Column) -> Column:
-    """A signature as SAMPLE_BITS bits a sample; null for a text without words."""
-    digits = SAMPLE_BITS // 4
-    return F.when(F.get(draws, F.lit(0)).isNotNull(), F.unhex(F.array_join(F.transform(draws, lambda d: F.lpad(F.hex(d), digits, "0")), "")))
+def lesser(a: Column, b: Column) -> Column:
+    """Least draws of the union of two sets; null stands for an empty set."""
+    return F.coalesce(F.zip_with(a, b, lambda x, y: F.least(x, y)), a, b)
 
 
-def unpacked(signature: Column, samples: int) -> Column:
-    """The draws of a packed signature."""
-    digits = SAMPLE_BITS // 4
-    spread = F.transform(F.array(F.hex(signature)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.conv(F.substring(h, i * digits + 1, F.lit(digits)), 16, 10).cast("int")))
-    return F.when(signature.isNotNull(), spread[0]).otherwise(F.array_repeat(F.lit(None).cast("int"), samples))
+def signature(draws: Column) -> Column:
+    """array<int>: of each least draw the low bits, with the sample's number above them."""
+    return F.transform(draws, lambda d, i: d.bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)).cast("int").bitwiseOR(F.shiftleft(i, SAMPLE_BITS)))
+
+
+def fingerprint(rows: DataFrame, key: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
+    """``rows`` (key columns, text) -> key columns and ``signature``; a row is a text."""
+    terms = rows.select(*key, weighted_terms(F.col(text)).alias("w")).select(*key, F.explode_outer(listed(F.col("w.once"), F.col("w.often"))).alias("t"))
+    return least_draws(terms.select(*key, "t.term", "t.n"), key, samples).select(*key, signature(F.col("draws")).alias("signature"))
 
 
-def shown(draws: Column) -> Column:
-    """A signature as text: 16 hexadecimal digits a sample."""
-    return F.array_join(F.transform(draws, lambda d: F.when(d.isNull(), "-").otherwise(F.lpad(F.hex(F.xxhash64(d)), 16, "0"))), ".")
+def shown(signature: Column) -> Column:
+    """A signature as text; "-" for a text without words."""
+    return F.coalesce(F.array_join(signature.cast("array<string>"), "."), F.lit("-"))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """Share of equal samples: an unbiased estimate of the generalised Jaccard likeness."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(a).cast("double")
+    same = F.size(F.array_intersect(a, b)) / F.lit(float(samples))
+    return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNull()).cast("double")).otherwise(same)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(row, n_chars) in ascending row order -> row, n_chars, prev, prev_chars, next; the last is followed by the first.
+    """(ROW, n_chars) in ascending row order -> with prev, prev_chars; the last row is followed by the first.
 
     A range exchange orders the narrow rows; neighbours inside a part come from a window of that part, and the parts'
     ends, one row a part, from a second, tiny one.
     """
-    ranged = docs.repartitionByRange("row").withColumn("part", F.spark_partition_id())
-    ranged = stored(ranged, "ranged")
-    here = Window.partitionBy("part").orderBy("row")
-    inside = ranged.withColumn("prev", F.lag(F.struct("row", "n_chars")).over(here)).withColumn("next", F.lead("row").over(here))
-    ends = ranged.groupBy("part").agg(F.min(F.struct("row", "n_chars")).alias("first"), F.max(F.struct("row", "n_chars")).alias("last"))
-    chain, all_parts = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("part", F.coalesce(F.lag("last").over(chain), F.last("last").over(all_parts)).alias("before"), F.coalesce(F.lead("first").over(chain), F.first("first").over(all_parts)).alias("after"))
-    out = inside.join(ends, "part").withColumn("prev", F.coalesce("prev", "before"))
-    return out.select("row", "n_chars", F.col("prev.row").alias("prev"), F.col("prev.n_chars").alias("prev_chars"), F.coalesce("next", "after.row").alias("next"))
+    ranged = stored(docs.repartitionByRange(*ROW).withColumn("part", F.spark_partition_id()), "ranged")
+    me, here = F.struct(*ROW, "n_chars"), Window.partitionBy("part").orderBy(*ROW)
+    inside = ranged.withColumn("prev", F.lag(me).over(here))
+    ends = ranged.groupBy("part").agg(F.max(me).alias("last"))
+    all_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("part", F.coalesce(F.lag("last").over(Window.orderBy("part")), F.last("last").over(all_parts)).alias("before"))
+    return inside.join(ends, "part").withColumn("prev", F.coalesce("prev", "before")).drop("part", "before")
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> row, text, n_chars, edited, prev.
+    """(doc_id, text) -> ROW, known, copies, text, n_chars, edited, prev; one row for rows that repeat in full.
 
     ``edited``: the last floor(n_chars / 2) code points replaced by the first as many of the next document.  Only that
     prefix travels to the document before; whole texts are shuffled once, by row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    # Sorts by id first (null lowest), then by digest; unique for distinct (doc_id, text).
-    row = F.struct(F.col("doc_id").alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
-    base = docs.select(row.alias("row"), text.alias("text"))
-    order = neighbours(base.select("row", F.length("text").alias("n_chars")).distinct())
-    # Both uses of `base` need just these two columns, so that they share one exchange of the texts.
-    base = base.join(order.drop("n_chars"), "row").dropDuplicates(["row"])
-    lent = base.select(F.col("prev").alias("row"), F.left("text", F.floor(F.col("prev_chars") / 2).cast("int")).alias("lent"))
-    out = base.withColumn("n_chars", F.length("text")).join(lent, "row")
-    return out.select("row", "text", "n_chars", "prev", F.concat(F.left("text", F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")), "lent").alias("edited"))
+    known = F.col("doc_id").isNotNull()
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("rid"), F.xxhash64(known, text).alias("r1"), F.xxhash64(text, F.lit(1)).alias("r2")]
+    base = docs.select(*key, text.alias("text"), known.alias("known"))
+    order = neighbours(base.groupBy(*ROW).agg(F.max(F.length("text")).alias("n_chars"), F.count("*").alias("copies")))
+    # Both uses of `base` need just these columns, so that they share one exchange of the texts.
+    base = base.join(order.select(*ROW, "copies", "prev"), ROW).dropDuplicates(ROW)
+    lent = base.select("prev.rid", "prev.r1", "prev.r2", F.left("text", F.floor(F.col("prev.n_chars") / 2).cast("int")).alias("lent"))
+    out = base.withColumn("n_chars", F.length("text")).join(lent, ROW)
+    return out.select(*ROW, "known", "copies", "text", "n_chars", "prev", F.concat(F.left("text", F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")), "lent").alias("edited"))
 
 
 def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_chars, edited_sha256, draws, edited_draws, next_draws."""
+    """(doc_id, text) -> doc_id, n_chars, edited_sha256, signature, edited_signature, next_signature; one row for each row."""
     texts = edited_texts(docs)
-    both = texts.select("row", "n_chars", "prev", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("s"))
-    both = both.select("row", "n_chars", "prev", "s.side", "s.text", F.when(F.col("s.side") == 1, F.unhex(F.sha2(F.col("s.text").cast("binary"), 256))).alias("sha"))
-    drawn = fingerprint(both, ["row", "n_chars", "prev", "side", "sha"], samples=samples)
-    drawn = drawn.select("row", "n_chars", "prev", "side", "sha", packed(F.col("draws")).alias("draws"))
-    wide = drawn.groupBy("row", "n_chars", "prev").agg(F.max("sha").alias("sha"), F.max(F.when(F.col("side") == 0, F.col("draws"))).alias("draws"), F.max(F.when(F.col("side") == 1, F.col("draws"))).alias("edited"))
+    # A copy that another copy follows: its own first half takes the place of its last.
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    doubled = F.when(F.col("copies") > 1, F.concat(F.left("text", F.col("n_chars") - half), F.left("text", half)))
+    sha = lambda t: F.unhex(F.sha2(t.cast("binary"), 256))
+    texts = texts.select(*ROW, F.struct("known", "copies", "n_chars", "prev", sha(F.col("edited")).alias("sha"), sha(doubled).alias("doubled_sha")).alias("about"), "text", "edited", doubled.alias("doubled"))
+    texts = texts.select(*ROW, "about", weighted_terms(F.col("text")).alias("w"), weighted_terms(F.col("edited")).alias("e"), F.when(F.col("doubled").isNotNull(), weighted_terms(F.col("doubled"))).alias("d"))
+    # Side 0: terms of weight one in both texts; 1 and 2: the other terms of either; 3: of the doubled text.
+    both, none = F.array_intersect("w.once", "e.once"), F.array().cast("array<struct<term:bigint,n:int>>")
+    side = lambda k, terms: F.struct(F.lit(k).alias("side"), terms.alias("terms"))
+    rest = lambda v: listed(F.array_except(f"{v}.once", "both"), F.col(f"{v}.often"))
+    texts = texts.withColumn("both", both)
+    doubled_terms = F.when(F.col("d").isNotNull(), listed(F.col("d.once"), F.col("d.often")))
+    sides = texts.select(*ROW, F.explode(F.array(side(0, listed(F.col("both"), none)), side(1, rest("w")), side(2, rest("e")), side(3, F.coalesce(doubled_terms, none)))).alias("s"))
+    terms = sides.select(*ROW, F.col("s.side").alias("side"), F.explode_outer("s.terms").alias("t")).select(*ROW, "side", "t.term", "t.n")
+    drawn = least_draws(terms, [*ROW, "side"], samples)
+    at = lambda k: F.max(F.when(F.col("side") == k, F.col("draws")))
+    wide = drawn.groupBy(*ROW).agg(*[at(k).alias(f"s{k}") for k in range(4)])
+    wide = wide.select(*ROW, signature(lesser(F.col("s0"), F.col("s1"))).alias("own"), signature(lesser(F.col("s0"), F.col("s2"))).alias("edited"), signature(F.col("s3")).alias("doubled"))
+    about = texts.select(*ROW, "about.*")
+    wide = wide.join(about, ROW)
     # One exchange takes a signature to its own row and to the row before.
-    own = F.struct("n_chars", "sha", "draws", "edited")
-    sent = F.array(F.struct(F.col("row").alias("row"), own.alias("own"), F.lit(None).cast("binary").alias("next")), F.struct(F.col("prev").alias("row"), F.when(F.lit(False), own).alias("own"), F.col("draws").alias("next")))
-    met = wide.select(F.explode(sent).alias("s")).select("s.row", "s.own", "s.next").repartition("row").groupBy("row").agg(F.max("own").alias("own"), F.max("next").alias("next"))
-    signature = lambda c: unpacked(F.col(c), samples)
-    return met.select(F.col("row.id").alias("doc_id"), "own.n_chars", F.lower(F.hex("own.sha")).alias("edited_sha256"), signature("own.draws").alias("draws"), signature("own.edited").alias("edited_draws"), signature("next").alias("next_draws"))
+    mine = F.struct("known", "copies", "n_chars", "sha", "doubled_sha", "own", "edited", "doubled")
+    sent = F.array(F.struct(*ROW, mine.alias("mine"), F.lit(None).cast("array<int>").alias("next")), F.struct("prev.rid", "prev.r1", "prev.r2", F.when(F.lit(False), mine).alias("mine"), F.col("own").alias("next")))
+    met = wide.select(F.explode(sent).alias("s")).select("s.*").repartition(*ROW).groupBy(*ROW).agg(F.max("mine").alias("m"), F.max("next").alias("next"))
+    # The last of equal rows is followed by the next document, the ones before it by a copy.
+    met = met.select("rid", "m.*", "next", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m.copies"))).alias("nth"))
+    last = F.col("nth") == F.col("copies")
+    pick = lambda a, b: F.when(last, F.col(a)).otherwise(F.col(b))
+    return met.select(F.when(F.col("known"), F.col("rid")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.lower(F.hex(pick("sha", "doubled_sha"))).alias("edited_sha256"), F.col("own").alias("signature"), pick("edited", "doubled").alias("edited_signature"), pick("next", "own").alias("next_signature"))

@@ -79,12 +79,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id",
-        F.col("n_chars").cast("long").alias("n_chars"),
+        "n_chars",
         "edited_sha256",
-        fingerprints.shown(F.col("draws")).alias("fingerprint"),
-        fingerprints.shown(F.col("edited_draws")).alias("edited_fingerprint"),
-        fingerprints.likeness(F.col("draws"), F.col("edited_draws")).alias("near_edited"),
-        fingerprints.likeness(F.col("draws"), F.col("next_draws")).alias("near_next"),
+        fingerprints.shown(F.col("signature")).alias("fingerprint"),
+        fingerprints.shown(F.col("edited_signature")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        fingerprints.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
     )
 
 

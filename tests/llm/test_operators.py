@@ -248,14 +248,15 @@ def test_fingerprints_and_edited_texts(spark):
     texts = [prose(rnd, rnd.randint(1, 80)) for _ in range(60)] + ["", None, "x", "éa", "same text here", "same text here"]
     rows = [(i * 2, t, "s") for i, t in enumerate(texts)]
     out = {r.doc_id: r for r in fingerprints.fingerprinted(documents(spark, [*rows, rows[0]])).collect()}
-    assert len(out) == len(rows)
+    assert len(out) == len(rows) and fingerprints.fingerprinted(documents(spark, [*rows, rows[0]])).count() == len(rows) + 1
+    out = {r.doc_id: r for r in fingerprints.fingerprinted(documents(spark, rows)).collect()}
     for k, (i, t, _) in enumerate(rows):
         t, following = t or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(t) // 2
         assert out[i].n_chars == len(t)
         assert out[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()
-        assert out[i].next_draws == out[rows[(k + 1) % len(rows)][0]].draws
-    assert out[rows[-1][0]].draws == out[rows[-2][0]].draws
+        assert out[i].next_signature == out[rows[(k + 1) % len(rows)][0]].signature
+    assert out[rows[-1][0]].signature == out[rows[-2][0]].signature
     assert fingerprints.fingerprinted(documents(spark, [])).count() == 0
 
 
@@ -264,10 +265,29 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
     count = lambda t: {p: t.split()[:-1].__len__() and list(zip(t.split(), t.split()[1:], strict=False)).count(p) for p in set(zip(t.split(), t.split()[1:], strict=False))}
     ca, cb = count(a), count(b)
     exact = sum(min(ca.get(p, 0), cb.get(p, 0)) for p in {*ca, *cb}) / sum(max(ca.get(p, 0), cb.get(p, 0)) for p in {*ca, *cb})
-    draws = {r.doc_id: r.draws for r in fingerprints.fingerprint(documents(spark, [(1, a, "s"), (2, b, "s")]).select("doc_id", "text"), ["doc_id"], samples=400).collect()}
+    draws = {r.doc_id: r.signature for r in fingerprints.fingerprint(documents(spark, [(1, a, "s"), (2, b, "s")]).select("doc_id", "text"), ["doc_id"], samples=400).collect()}
     assert abs(np.mean([x == y for x, y in zip(draws[1], draws[2], strict=True)]) - exact) < 0.08
 
 
+def test_fingerprints_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c d", "s"), (1, "a b c d", "s"), (1, "a b c d", "t"), (1, "other text", "s"), (None, "x y z", "s"), (None, None, "s"), (-(2**63), "x y z", "s")]
+    out = fingerprints.fingerprinted(documents(spark, rows)).collect()
+    ids = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.n_chars) for r in out), key=ids) == sorted(((i, len(t or "")) for i, t, _ in rows), key=ids)
+    doubled = hashlib.sha256(b"a b a b").hexdigest()  # the last half, "c d", gives way to the copy's first
+    assert sum(r.edited_sha256 == doubled for r in out) == 2
+    assert len({tuple(r.signature) for r in out if r.n_chars == 7}) == 1
+
+
+def test_gamma_samples_of_weights_have_the_right_law(spark):
+    """Terms of weights 1 to 9: shares of least draws follow the weights, and equal draws the generalised Jaccard likeness."""
+    a, b = {1: 1, 2: 3, 3: 9, 4: 1}, {1: 2, 2: 3, 3: 4, 5: 2}
+    rows = [(s, t, n) for s, x in ((0, a), (1, b)) for t, n in x.items()]
+    got = {r.s: r.draws for r in fingerprints.least_draws(spark.createDataFrame(rows, "s int, term long, n int").repartition(1), ["s"], samples=2048).collect()}
+    exact = sum(min(a.get(t, 0), b.get(t, 0)) for t in range(6)) / sum(max(a.get(t, 0), b.get(t, 0)) for t in range(6))
+    assert abs(np.mean([x == y for x, y in zip(got[0], got[1], strict=True)]) - exact) < 0.045
+
+
 def test_fingerprint_likeness_at_production_size(spark):
     rnd = random.Random(6)
     texts = []
@@ -277,7 +297,7 @@ def test_fingerprint_likeness_at_production_size(spark):
     pairs = lambda t: Counter(zip(t.split(), t.split()[1:], strict=False))
     exact = lambda a, b: (pairs(a) & pairs(b)).total() / (pairs(a) | pairs(b)).total()
     docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    out = fingerprints.fingerprinted(docs).select("doc_id", fingerprints.likeness(F.col("draws"), F.col("edited_draws")).alias("edited"), fingerprints.likeness(F.col("draws"), F.col("next_draws")).alias("next")).collect()
+    out = fingerprints.fingerprinted(docs).select("doc_id", fingerprints.likeness(F.col("signature"), F.col("edited_signature")).alias("edited"), fingerprints.likeness(F.col("signature"), F.col("next_signature")).alias("next")).collect()
     errors = []
     for r in out:
         t, following = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
