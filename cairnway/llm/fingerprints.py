@@ -9,10 +9,9 @@ The gammas are drawn as sums of exponential numbers x, z, q: c = x + z, r = ln(1
 asked for, and then ``a = x exp(-r t)``.  So a term of weight one, for which t is 0, needs x alone, and x is a rising function of its
 hash: its sample is the hash.  Logarithms are left to the few terms that a text repeats.
 
-A draw is a long: 39 bits of 1 - exp(-a), then SAMPLE_BITS bits that tell (term, t).  Minima are plain aggregates that whole-stage
-code generation handles.  Of the least draw the low bits are kept beside the sample's number, so that different terms look
-equal with a probability of 2**-24 a sample, and a likeness is the size of an intersection of two signatures.  The standard error
-of a likeness J is sqrt(J (1 - J) / SAMPLES), 0.044 at most.
+A draw is a long: 47 bits of 1 - exp(-a), then SAMPLE_BITS bits that tell (term, t).  Minima are plain aggregates that whole-stage
+code generation handles.  Of the least draw the low bits are kept, so that different terms look equal with a
+probability of 2**-16 a sample; a likeness is the share of equal places of two signatures.  The standard error of a likeness J is sqrt(J (1 - J) / SAMPLES), 0.044 at most.
 
 Terms and counts are found inside a row; terms that a text and its edited text share with the same weight are drawn once for
 both.  Only (row, term, count) is exploded, into an aggregation whose groups are the documents at hand, so nothing is
@@ -33,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-SAMPLES, SAMPLE_BITS = 128, 24
+SAMPLES, SAMPLE_BITS = 128, 16
 #: Minima worked out by one aggregation; generated code for many more is slow.
 TOGETHER = 16
 #: The key of a row: its id, and two digests of its text (the first also tells a null id).
@@ -115,8 +114,8 @@ def lesser(a: Column, b: Column) -> Column:
 
 
 def signature(draws: Column) -> Column:
-    """array<int>: of each least draw the low bits, with the sample's number above them."""
-    return F.transform(draws, lambda d, i: d.bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)).cast("int").bitwiseOR(F.shiftleft(i, SAMPLE_BITS)))
+    """array<smallint>: of each least draw the low bits."""
+    return F.transform(draws, lambda d: (d.bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)) - (1 << SAMPLE_BITS - 1)).cast("smallint"))
 
 
 def fingerprint(rows: DataFrame, key: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -132,7 +131,8 @@ def shown(signature: Column) -> Column:
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """Share of equal samples: an unbiased estimate of the generalised Jaccard likeness."""
-    same = F.size(F.array_intersect(a, b)) / F.lit(float(samples))
+    placed = lambda s: F.transform(s, lambda d, i: i * (1 << SAMPLE_BITS) + d)
+    same = F.size(F.array_intersect(placed(a), placed(b))) / F.lit(float(samples))
     return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNull()).cast("double")).otherwise(same)
 
 
@@ -160,12 +160,13 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     known = F.col("doc_id").isNotNull()
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("rid"), F.xxhash64(known, text).alias("r1"), F.xxhash64(text, F.lit(1)).alias("r2")]
-    base = docs.select(*key, text.alias("text"), known.alias("known"))
+    base = docs.select(*key, text.alias("text"))
     order = neighbours(base.groupBy(*ROW).agg(F.max(F.length("text")).alias("n_chars"), F.count("*").alias("copies")))
-    # Both uses of `base` need just these columns, so that they share one exchange of the texts.
+    # Both uses of `base` need just its key and text, so that they share one exchange of the texts.
     base = base.join(order.select(*ROW, "copies", "prev"), ROW).dropDuplicates(ROW)
     lent = base.select("prev.rid", "prev.r1", "prev.r2", F.left("text", F.floor(F.col("prev.n_chars") / 2).cast("int")).alias("lent"))
-    out = base.withColumn("n_chars", F.length("text")).join(lent, ROW)
+    known = (F.col("rid") != -(2**63)) | (F.col("r1") == F.xxhash64(F.lit(True), F.col("text")))
+    out = base.withColumn("n_chars", F.length("text")).withColumn("known", known).join(lent, ROW)
     return out.select(*ROW, "known", "copies", "text", "n_chars", "prev", F.concat(F.left("text", F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")), "lent").alias("edited"))
 
 
@@ -178,23 +179,22 @@ def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     sha = lambda t: F.unhex(F.sha2(t.cast("binary"), 256))
     texts = texts.select(*ROW, F.struct("known", "copies", "n_chars", "prev", sha(F.col("edited")).alias("sha"), sha(doubled).alias("doubled_sha")).alias("about"), "text", "edited", doubled.alias("doubled"))
     texts = texts.select(*ROW, "about", weighted_terms(F.col("text")).alias("w"), weighted_terms(F.col("edited")).alias("e"), F.when(F.col("doubled").isNotNull(), weighted_terms(F.col("doubled"))).alias("d"))
-    # Side 0: terms of weight one in both texts; 1 and 2: the other terms of either; 3: of the doubled text.
+    # Side 0: terms of weight one in both texts; 1 and 2: the other terms of either; 3: of the doubled text.  Side 0 takes the
+    # rest of the row along.
     both, none = F.array_intersect("w.once", "e.once"), F.array().cast("array<struct<term:bigint,n:int>>")
-    side = lambda k, terms: F.struct(F.lit(k).alias("side"), terms.alias("terms"))
+    side = lambda k, terms: F.struct(F.lit(k).alias("side"), terms.alias("terms"), F.when(F.lit(k == 0), F.col("about")).alias("about"))
     rest = lambda v: listed(F.array_except(f"{v}.once", "both"), F.col(f"{v}.often"))
     texts = texts.withColumn("both", both)
     doubled_terms = F.when(F.col("d").isNotNull(), listed(F.col("d.once"), F.col("d.often")))
     sides = texts.select(*ROW, F.explode(F.array(side(0, listed(F.col("both"), none)), side(1, rest("w")), side(2, rest("e")), side(3, F.coalesce(doubled_terms, none)))).alias("s"))
-    terms = sides.select(*ROW, F.col("s.side").alias("side"), F.explode_outer("s.terms").alias("t")).select(*ROW, "side", "t.term", "t.n")
-    drawn = least_draws(terms, [*ROW, "side"], samples)
+    terms = sides.select(*ROW, F.col("s.side").alias("side"), F.col("s.about").alias("about"), F.explode_outer("s.terms").alias("t")).select(*ROW, "side", "about", "t.term", "t.n")
+    drawn = least_draws(terms, [*ROW, "side", "about"], samples)
     at = lambda k: F.max(F.when(F.col("side") == k, F.col("draws")))
-    wide = drawn.groupBy(*ROW).agg(*[at(k).alias(f"s{k}") for k in range(4)])
-    wide = wide.select(*ROW, signature(lesser(F.col("s0"), F.col("s1"))).alias("own"), signature(lesser(F.col("s0"), F.col("s2"))).alias("edited"), signature(F.col("s3")).alias("doubled"))
-    about = texts.select(*ROW, "about.*")
-    wide = wide.join(about, ROW)
+    wide = drawn.groupBy(*ROW).agg(F.max("about").alias("about"), *[at(k).alias(f"s{k}") for k in range(4)])
+    wide = wide.select(*ROW, "about.*", signature(lesser(F.col("s0"), F.col("s1"))).alias("own"), signature(lesser(F.col("s0"), F.col("s2"))).alias("edited"), signature(F.col("s3")).alias("doubled"))
     # One exchange takes a signature to its own row and to the row before.
     mine = F.struct("known", "copies", "n_chars", "sha", "doubled_sha", "own", "edited", "doubled")
-    sent = F.array(F.struct(*ROW, mine.alias("mine"), F.lit(None).cast("array<int>").alias("next")), F.struct("prev.rid", "prev.r1", "prev.r2", F.when(F.lit(False), mine).alias("mine"), F.col("own").alias("next")))
+    sent = F.array(F.struct(*ROW, mine.alias("mine"), F.lit(None).cast("array<smallint>").alias("next")), F.struct("prev.rid", "prev.r1", "prev.r2", F.when(F.lit(False), mine).alias("mine"), F.col("own").alias("next")))
     met = wide.select(F.explode(sent).alias("s")).select("s.*").repartition(*ROW).groupBy(*ROW).agg(F.max("mine").alias("m"), F.max("next").alias("next"))
     # The last of equal rows is followed by the next document, the ones before it by a copy.
     met = met.select("rid", "m.*", "next", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m.copies"))).alias("nth"))
