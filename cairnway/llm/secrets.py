@@ -50,10 +50,12 @@ SHAPES = (
     r"(?<=[:=] ?[\"'])[0-9A-Za-z+/_=.~-]{12,}(?=[\"'])",
     r"(?<=[0-9A-Za-z_](?: = |=|: ))[0-9A-Za-z+/_~-]{16,}={0,2}(?![0-9A-Za-z+/_~-])",
     r"\b(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}\b",
+    # The password of an address, between the user's name and the host.
+    r"(?<=://[^\s:/@]{0,64}:)[^\s:/@\"']{3,}(?=@)",
 )
 CANDIDATE = "|".join(SHAPES)
 #: What any text with a candidate holds: one of these strings, or a match of MAYBE.  Cheap to test, and never stricter.
-LITERALS = ("-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "k_live_", "k_test_", "AIza", "eyJ")
+LITERALS = ("://", "-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "k_live_", "k_test_", "AIza", "eyJ")
 MAYBE = rf"{ASSIGNED}|(?i:bearer)[ \t]|" + r"[\"'][0-9A-Za-z+/_=.~-]{12}|[=:] ?[0-9A-Za-z+/_~-]{16}|[0-9A-Fa-f]{32}"
 #: Names beside which a value is likely a credential, and those beside which it is likely not.
 NAMES = r"(?i)(?:token|secret|passwd|password|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key)[\"']?\s*(?:=|:|=>|is)?\s*[\"']?$"
@@ -61,7 +63,7 @@ BENIGN = r"(?i)(?:commit|sha\d*|md5|digest|checksum|hash|revision|uuid|guid|etag
 TEST_PATH = r"(?i)(?:test|spec|example|sample|fixture|mock|doc)"
 #: Words that make a value readable.
 DICTIONARY = ("the", "and", "ing", "ion", "test", "exam", "your", "here", "pass", "word", "change", "place", "holder", "value", "name", "data", "user", "file", "path", "dummy", "sample", "null", "none", "default", "config", "string", "insert")
-FEATURES = ("length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "coverage", "hex", "named", "benign", "test_path", "shaped", "slashes")
+FEATURES = ("length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "coverage", "hex", "named", "benign", "test_path", "shaped", "slashes", "address")
 
 
 def features(value: Column, before: Column, after: Column, path: Column) -> Column:
@@ -85,6 +87,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         flag(F.rlike(path, F.lit(TEST_PATH))),
         flag(F.rlike(value, F.lit("^(?:" + "|".join(SHAPES[:8]) + ")"))),
         rate("/"),
+        flag(F.rlike(before, F.lit("://[^\\s:/@]*:$")) & F.startswith(after, F.lit("@"))),
     )
 
 
@@ -112,6 +115,8 @@ def labelled_findings(spark: SparkSession, n: int = 1200, seed: int = 5) -> Data
         if i % 2:
             name = rnd.choice(["token", "secret", "api_key", "password", "access_key", "auth", "TOKEN", "client_secret"]) + rnd.choice([" = ", "=", ": ", " => ", "  =  ", "\t=\t", " is "]) + rnd.choice(['"', "'", ""])
             value, before = rnd.choice([(chosen(), name), (pick(low, rnd.randint(4, 8)) + pick(digit, rnd.randint(2, 6)), name), (pick(low + digit, rnd.randint(10, 16)), name), (pick(full, rnd.randint(10, 20)), name), (pick(hexa, rnd.choice([32, 40, 64])), name), (pick(hexa, 40).upper(), name), (pick(full + "+/", rnd.choice([24, 32, 40, 44])), name), ("AKIA" + pick(up + digit, 16), rnd.choice([name, ""])), ("ghp_" + pick(full, 36), rnd.choice([name, ""])), ("sk_live_" + pick(full, 24), rnd.choice([name, ""])), (private_key(), "")])
+            if rnd.random() < 0.1:  # the password of an address
+                value, before, after = rnd.choice([chosen(), pick(low + digit, rnd.randint(6, 16)), pick(full, rnd.randint(6, 12))]), rnd.choice(["postgres", "mysql", "https", "amqp"]) + "://" + word() + ":", "@" + word() + "." + word()
             rows.append((value, prose + before, after, path, 1))
         else:
             name = rnd.choice(["commit", "sha256", "md5", "checksum", "revision", "uuid", "etag", "order id", "version", word(), word()]) + rnd.choice([" = ", "=", ": ", " "]) + rnd.choice(['"', "'", ""])
@@ -185,11 +190,15 @@ def scan(docs: DataFrame, forest=None, path: str = "source", threshold: float =
     maybe = reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in LITERALS]) | F.rlike(text, F.lit(MAYBE))
     out = docs.withColumn("__found", F.when(maybe, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("__pieces", F.when(F.size("__found") > 0, F.split(text, CANDIDATE, -1)))
-    lengths = lambda a, k: F.aggregate(F.slice(F.col(a), 1, k), F.lit(0), lambda n, s: n + F.length(s))
+    # Where each finding starts, in one pass: pieces and findings take turns.
+    step = lambda s, i: F.struct((s["at"] + F.length(F.get(F.col("__pieces"), i)) + F.length(F.get(F.col("__found"), i))).alias("at"), F.concat(s["starts"], F.array(s["at"] + F.length(F.get(F.col("__pieces"), i)))).alias("starts"))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(F.sequence(F.lit(0), F.size("__found") - 1), first, step)["starts"]
+    out = out.withColumn("__starts", F.when(F.size("__found") > 0, starts))
     described = F.transform(
         "__found",
         lambda v, i: F.struct(
-            (lengths("__pieces", i + 1) + lengths("__found", i)).alias("start"),
+            F.get(F.col("__starts"), i).alias("start"),
             v.alias("value"),
             features(v, F.right(F.get(F.col("__pieces"), i), F.lit(NEAR)), F.left(F.get(F.col("__pieces"), i + 1), F.lit(NEAR)), where).alias("x"),
         ),
@@ -201,4 +210,4 @@ def scan(docs: DataFrame, forest=None, path: str = "source", threshold: float =
     out = out.withColumn("findings", F.coalesce(found, F.array().cast("array<struct<start:int,value:string,score:double,is_secret:boolean>>")))
     kept = F.transform("findings", lambda c, i: F.concat(F.get(F.col("__pieces"), i), F.when(c["is_secret"], F.lit(redaction)).otherwise(c["value"])))
     redacted = F.when(F.exists("findings", lambda c: c["is_secret"]), F.concat(F.array_join(kept, ""), F.element_at("__pieces", -1))).otherwise(F.col("text"))
-    return out.withColumn("redacted", redacted).drop("__found", "__pieces", "__described", "__scored")
+    return out.withColumn("redacted", redacted).drop("__found", "__pieces", "__starts", "__described", "__scored")
