@@ -1,17 +1,17 @@
 """Operator 8 - dictionary-compressed WARC archives.
 
 Pages become WARC/1.1 records: ``response`` with an HTTP block, or ``revisit`` (profile identical-payload-digest) for pages
-whose payload of at least 100 bytes another page with a smaller id already has.  Each task writes one archive: the first
-``SAMPLE_BYTES`` of its records train a Zstandard dictionary, which goes into a leading skippable frame (magic 0x184D2A5D,
+whose payload of at least 100 bytes another page with a smaller id already has.  Each task writes archives of about ``ARCHIVE_BYTES``:
+the first ``SAMPLE_BYTES`` of an archive's records train a Zstandard dictionary, which goes into a leading skippable frame (magic 0x184D2A5D,
 as WARC-Zstandard readers expect), and every record is a Zstandard frame of its own, so records stay addressable.
 Archives lie in the folder all executors share, are written under a temporary name and renamed when whole, and are named by
 task, so a repeated task replaces its own file.  The reader walks frame by frame.
 
 Equal payloads are found by digest in a narrow aggregation (id and digest, no text); pages then meet their reference by
-page id, which no group of copies can make hot.
+page id and digest, which no group of copies can make hot.
 
 Edge cases: null html counts as empty; null url is written as about:blank; equal rows are written each; rows that share the
-smallest id of a payload are all responses; a null page_id is written as null and never refers or is referred to; an empty
+smallest id of a payload are all responses; rows that share a page_id but not their html are pages each; a null page_id is written as null and never refers or is referred to; an empty
 table writes no archive; other columns are ignored.
 """
 
@@ -29,18 +29,18 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, stored
 
-MIN_REVISIT, SAMPLE_BYTES, DICT_BYTES, SKIPPABLE, FRAME = 100, 4 << 20, 64 << 10, 0x184D2A5D, 0xFD2FB528
+MIN_REVISIT, SAMPLE_BYTES, DICT_BYTES, ARCHIVE_BYTES, SKIPPABLE = 100, 4 << 20, 64 << 10, 1 << 30, 0x184D2A5D
 MANIFEST = "archive string, records long, bytes long"
 READ = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to): pages whose payload a page with a smaller id has.  Narrow: no payload is shuffled."""
+    """(page_id, digest, refers_to): pages whose payload a page with a smaller id has.  Narrow: no payload is shuffled."""
     raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     narrow = pages.where(F.col("page_id").isNotNull()).select("page_id", F.unhex(F.sha2(raw, 256)).alias("digest"), F.length(raw).alias("n")).where(F.col("n") >= MIN_REVISIT)
     narrow = stored(narrow.select("page_id", "digest"), "digests")
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    return narrow.join(first, "digest").where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to").distinct()
+    return narrow.join(first, "digest").where(F.col("page_id") != F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
 
 
 def record(page_id, url: str, payload: bytes, refers_to) -> bytes:
@@ -78,8 +78,11 @@ def trained(sample: list[bytes]):
         return zstandard.ZstdCompressionDict(b"".join(sample)[-DICT_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def write_archive(at: str, records: Iterator[bytes], level: int = 6) -> tuple[int, int]:
-    """Write records to one archive; returns (records, bytes).  Holds SAMPLE_BYTES of records and one record at most."""
+def write_archive(at: str, records: Iterator[bytes], level: int = 6, limit: int = ARCHIVE_BYTES) -> tuple[int, int]:
+    """Write records to one archive until it holds ``limit`` bytes; returns (records, bytes), (0, 0) where none is left.
+
+    Holds SAMPLE_BYTES of records and one record at most.
+    """
     import zstandard
 
     system, path = _opened(at)
@@ -103,6 +106,8 @@ def write_archive(at: str, records: Iterator[bytes], level: int = 6) -> tuple[in
                 frame = packer.compress(r)
                 out.write(frame)
                 count, size = count + 1, size + len(frame)
+                if source is records and size >= limit:
+                    break
     system.move(part, path)
     return count, size
 
@@ -153,12 +158,12 @@ def parse_record(raw: bytes) -> dict:
     return {"page_id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": kind, "refers_to": number(fields["WARC-Refers-To"]) if kind == "revisit" else None, "payload_digest": digest, "payload_bytes": length, "payload": payload if kind == "response" else None}
 
 
-def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
+def write(pages: DataFrame, folder: str | None = None, limit: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives in ``folder``; returns the manifest (archive, records, bytes)."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
 
     def run(batches):
-        at = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.zst"
+        name = f"{folder}/part-{TaskContext.get().partitionId():06d}"
         system, path = _opened(folder)
         system.create_dir(path, recursive=True)
 
@@ -167,14 +172,20 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 for page_id, url, html, refers_to in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), batch["refers_to"].to_pylist(), strict=True):
                     yield record(page_id, url or "about:blank", (html or "").encode(), refers_to)
 
-        count, size = write_archive(at, records())
-        if count:
-            import pyarrow as pa
+        import pyarrow as pa
 
+        left, nth = records(), 0
+        while True:
+            at = f"{name}-{nth:04d}.warc.zst"
+            count, size = write_archive(at, left, limit=limit)
+            if not count:
+                return
+            nth += 1
             yield pa.RecordBatch.from_pydict({"archive": [at], "records": [count], "bytes": [size]})
 
-    linked = pages.select("page_id", F.col("url").cast("string").alias("url"), "html").join(revisits(pages), "page_id", "left")
-    return stored(linked.mapInArrow(run, MANIFEST), "manifest")
+    digest = F.unhex(F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256))
+    linked = pages.select("page_id", F.col("url").cast("string").alias("url"), "html", digest.alias("digest")).join(revisits(pages), ["page_id", "digest"], "left")
+    return stored(linked.select("page_id", "url", "html", "refers_to").mapInArrow(run, MANIFEST), "manifest")
 
 
 def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
@@ -199,6 +210,6 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         out = pd.DataFrame(rows)
         return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
-    # One archive a task: an archive is read as a whole, whatever the size of the manifest's files.
-    archives = manifest.select("archive").repartition(F.col("archive"))
+    # About one archive a task: a stated number of parts, which adaptive execution leaves alone.
+    archives = manifest.select("archive").repartition(max(1, manifest.count()))
     return archives.mapInPandas(run, READ if payloads else READ.removesuffix(", payload binary"))
