@@ -1,17 +1,19 @@
 """Operator 5 - exact top-k inner-product search with a KD-tree per shard.
 
-Components become integers, floor(64 * x).  Rows are dealt into shards of bounded size by a hash of the id; each shard builds
-a KD-tree by median splits with tight bounding boxes.  A query walks the tree best first: the bound of a box is the largest
-inner product that any point inside could have, and the walk ends when the best bound left is below the query's k-th score.
-The k-th score is propagated: a first pass searches one shard per query, and its k-th score starts the second pass over
-the other shards, which so report only rows that can still matter.  Every shard and every leaf not excluded by its bound is
-scanned, so results are exact.
+Components become integers, floor(64 * x).  The top of the tree is split at the medians of a bounded sample (``SAMPLE_PER_LEAF``
+rows a leaf, ``TOP_LEAVES`` leaves at most), and every vector walks down to its leaf; a leaf is dealt into shards of bounded size
+by a hash of the id, so neither many rows nor many equal ones make a shard large.  Each shard builds a KD-tree of its own by median
+splits with tight bounding boxes.  A query walks a tree best first: the bound of a box is the largest inner product that
+any point inside could have, and the walk ends when the best bound left is below the query's k-th score.
 
-Queries are a stated set and meet the shards in blocks: (shard, block of queries) is one task's work, so neither a shard
-nor a block ever grows with the table.
+The k-th score is propagated: a first pass searches one shard of the query's own leaf, and its k-th score starts the second pass.
+There the tight boxes of the leaves, worked out over all rows, tell which leaves a query still has to visit, before any vector
+moves; only shards that some query needs are sent.  Every shard and box not excluded by its bound is scanned, so results are
+exact.  Queries are a stated set and meet a shard in blocks of bounded size: (shard, block) is one task's work.
 
 Edge cases: null vectors and vectors with a null, NaN or infinite component take no part; vectors of another length are
-never compared; an empty vector scores nothing; ties go to the smaller id; rows that repeat an id are candidates each, none
+never compared; an empty vector scores nothing; products beyond
+2**53 are worked out with whole numbers; ties go to the smaller id; rows that repeat an id are candidates each, none
 for the query of the same id, and a repeated query row is asked once; empty tables give empty results; other columns are ignored.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 2048, 256
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS, TOP_LEAVES, SAMPLE_PER_LEAF = 8192, 2048, 256, 1024, 32
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -83,16 +85,78 @@ def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
 
+def exhaustive(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int):
+    """The same with whole numbers of any size, for components whose products leave the range of exact doubles."""
+    out = []
+    for q, me, least in zip(queries, query_ids, floor, strict=True):
+        scores = [(-sum(int(x) * int(y) for x, y in zip(q, p, strict=True)), int(i)) for p, i in zip(points, ids, strict=True) if i != me]
+        best = heapq.nsmallest(k, [x for x in scores if -x[0] >= least])
+        out.append(pd.DataFrame({"query_id": me, "vec_id": [i for _, i in best], "score": [-x for x, _ in best]}, dtype="int64"))
+    return pd.concat(out)
+
+
 def _searcher(k: int):
     def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if points.empty or queries.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        matrix = lambda s: np.array(s.tolist(), dtype=np.float64)  # noqa: E731  exact for integers below 2**53
-        return search(matrix(points.v), points.id.to_numpy(np.int64), matrix(queries.v), queries.id.to_numpy(np.int64), queries.kth.fillna(-np.inf).to_numpy(np.float64), k)
+        whole, asked = np.array(points.v.tolist(), dtype=np.int64), np.array(queries.v.tolist(), dtype=np.int64)
+        exact = float(np.abs(whole).max(initial=0)) * float(np.abs(asked).max(initial=0)) * whole.shape[1] < 2**53
+        look, kind = (search, np.float64) if exact else (exhaustive, np.int64)
+        return look(whole.astype(kind), points.id.to_numpy(np.int64), asked.astype(kind), queries.id.to_numpy(np.int64), queries.kth.fillna(-np.inf).to_numpy(np.float64), k)
 
     return run
 
 
+class Top:
+    """The top of the KD-tree: median splits of a sample in heap layout, and the boxes of its leaves."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth, inner = depth, 2**depth - 1
+        self.axis, self.cut = np.zeros(inner, dtype=np.int64), np.full(inner, np.iinfo(np.int64).max)
+        parts = [sample]
+        for node in range(inner):
+            part = parts[node]
+            if len(part):
+                self.axis[node] = axis = int((part.max(axis=0) - part.min(axis=0)).argmax())
+                self.cut[node] = int(np.median(part[:, axis]))
+            right = part[:, self.axis[node]] > self.cut[node]
+            parts += [part[~right], part[right]]
+        self.lo = self.hi = None
+
+    def leaf(self, points: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(points), dtype=np.int64), np.arange(len(points))
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (points[rows, self.axis[node]] > self.cut[node])
+        return node - (2**self.depth - 1)
+
+    def within(self, q: np.ndarray, least: float) -> list[int]:
+        """Leaves in which some point may score ``least`` or more with ``q``."""
+        bound = np.maximum(q, 0) @ self.hi + np.minimum(q, 0) @ self.lo
+        return np.flatnonzero(bound * (1 + 1e-12 * np.sign(bound)) >= least).tolist()
+
+
+def _boxes(placed: DataFrame, top: Top, dim: int) -> None:
+    """Tight boxes over all rows of every leaf; a leaf's box is all that comes to the driver."""
+
+    def run(batches):
+        lo, hi = {}, {}
+        for batch in batches:
+            points = np.array(batch.v.tolist(), dtype=np.int64)
+            for leaf in batch.leaf.unique():
+                part = points[(batch.leaf == leaf).to_numpy()]
+                lo[leaf] = np.minimum(lo.get(leaf, part[0]), part.min(axis=0))
+                hi[leaf] = np.maximum(hi.get(leaf, part[0]), part.max(axis=0))
+        if lo:
+            yield pd.DataFrame({"leaf": list(lo), "lo": [x.tolist() for x in lo.values()], "hi": [x.tolist() for x in hi.values()]})
+
+    parts = placed.where(F.col("dim") == dim).select("leaf", "v").mapInPandas(run, "leaf int, lo array<long>, hi array<long>")
+    ends = parts.select("leaf", F.posexplode(F.arrays_zip("lo", "hi")).alias("at", "b")).groupBy("leaf", "at").agg(F.min("b.lo").alias("lo"), F.max("b.hi").alias("hi")).collect()
+    # An empty leaf's bounds are below any score.
+    top.lo, top.hi = np.full((dim, 2**top.depth), 0.0), np.full((dim, 2**top.depth), 0.0)
+    for r in ends:
+        top.lo[r["at"], r.leaf], top.hi[r["at"], r.leaf] = float(r.lo), float(r.hi)
+
+
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -105,22 +169,41 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, sha
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select(F.col("vec_id").alias("id"), floored.alias("v"), F.size("embedding").alias("dim"))
     rows = stored(rows.repartition("id"), "vectors")
     total = rows.count()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-total // (every * block_rows)))
-    points = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks))).withColumn("home", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(shards)))
-    asked = stored(asked, "queries")
-    # The queries are the smaller side (one row in `every`) and shards are bounded: (shard, block) is a task's work.
-    points = points.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    key = ["dim", "shard", "block"]
-
-    def met(queries: DataFrame) -> DataFrame:
-        return points.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(_searcher(k), HITS)
-
-    first = stored(_ranked(met(asked.select("id", "v", "dim", "block", F.col("home").alias("shard"), F.lit(None).cast("double").alias("kth"))), k), "hits")
-    if shards == 1:
-        return first.select("query_id", "rank", "vec_id", "score")
+    if not total:
+        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
+    dim = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()["dim"]
+    depth = min(TOP_LEAVES.bit_length() - 1, max(0, (-(-total // shard_rows) - 1).bit_length()))
+    sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_LEAF << depth).select("v").collect()
+    top = Top(np.array([r.v for r in sample], dtype=np.int64).reshape(-1, dim), depth)
+
+    @F.pandas_udf("int")
+    def leaf_of(v: pd.Series) -> pd.Series:
+        return pd.Series(top.leaf(np.array(v.tolist(), dtype=np.int64)) if len(v) else [], dtype="int32")
+
+    # Vectors of another length than the commonest are leaves of their own.
+    placed = stored(rows.where(F.col("dim") == dim).withColumn("leaf", leaf_of("v")).unionByName(rows.where(F.col("dim") != dim).withColumn("leaf", F.lit(0))), "placed")
+    _boxes(placed, top, dim)
+    salts = stored(placed.groupBy("dim", "leaf").count().select("dim", "leaf", F.ceil(F.col("count") / shard_rows).alias("salts")), "salts")
+    placed = placed.join(salts, ["dim", "leaf"])
+    points = placed.withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).select("dim", "leaf", "salt", "id", "v")
+    asked = placed.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
+    asked = stored(asked.select("dim", "leaf", F.pmod(F.xxhash64("id", F.lit(11)), "salts").alias("salt"), "id", "v"), "queries")
+    shard = ["dim", "leaf", "salt"]
+    first = points.groupBy(*shard).cogroup(asked.withColumn("kth", F.lit(None).cast("double")).groupBy(*shard)).applyInPandas(_searcher(k), HITS)
+    first = stored(_ranked(first, k), "hits")
     known = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth"))
-    others = asked.join(known, "id", "left").withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != F.col("home"))))
-    rest = met(others.select("id", "v", "dim", "block", "shard", "kth"))
+    asked = asked.select(F.col("leaf").alias("home"), F.col("salt").alias("done"), "dim", "id", "v").join(known, "id", "left")
+
+    @F.pandas_udf("array<int>")
+    def leaves(v: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([top.within(np.array(q, dtype=np.float64), x) for q, x in zip(v, least.fillna(-np.inf), strict=True)])
+
+    visits = asked.where(F.col("dim") == dim).withColumn("leaf", F.explode(leaves("v", "kth"))).unionByName(asked.where(F.col("dim") != dim).withColumn("leaf", F.lit(0)))
+    visits = visits.join(salts, ["dim", "leaf"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    visits = visits.where((F.col("leaf") != F.col("home")) | (F.col("salt") != F.col("done"))).select(*shard, "id", "v", "kth")
+    blocks = stored(visits.groupBy(*shard).count().select(*shard, F.ceil(F.col("count") / block_rows).alias("blocks")), "blocks")
+    visits = visits.join(blocks, shard).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), "blocks")).drop("blocks")
+    sent = points.join(blocks, shard).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    key = [*shard, "block"]
+    rest = sent.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(_searcher(k), HITS)
     return _ranked(first.select("query_id", "vec_id", "score").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
