@@ -7,9 +7,9 @@ no longer reaches the next source's ratio.
 
 Sampling: target over size gives whole repetitions and a fraction.  Every document is taken the whole number of times; the
 fraction takes documents in the order of a seeded hash, and at the sample's end the documents that still fit, so a source
-misses its target by less than a small document.  The order is cut into hash buckets whose sums fix where each source's
-sample ends; only that edge (``EDGE_DOCS`` documents and one bucket at most) is filled one by one.  No source ever meets in
-one task.
+misses its target by less than a small document.  The order is cut into hash buckets of about ``BUCKET_DOCS`` documents, as
+many as the documents ask for, whose sums fix where each source's sample ends; only that edge (``EDGE_DOCS`` documents and one
+bucket at most) is filled one by one.  No source ever meets in one task; of a source only its buckets' sums do.
 
 Edge cases: null or blank text has size 0; a null source is a source of its own, last in order; a source without words gets
 target 0 and is taken 0 times; rows that repeat a doc_id are documents each; null doc_ids are allowed; empty tables give
@@ -25,12 +25,12 @@ from pyspark.sql.window import Window
 
 from .common import WORD, stored, without
 
-WEIGHTS, MAX_EPOCHS, BUCKETS, EDGE_DOCS = (5, 2, 1), 3, 4096, 2000
+WEIGHTS, MAX_EPOCHS, BUCKET_DOCS, EDGE_DOCS = (5, 2, 1), 3, 1000, 2000
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A number below 2**32 from the id and the seed, the same wherever it is computed."""
-    return F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long")
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number below 2**52 from the id, the text and the seed, the same wherever it is computed."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))), 12)
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -74,24 +74,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
     """
     docs = without(docs, "size", "source_size", "target", "copies", "taken")
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    # A row's own number, the same for every reader: rows that agree in all three are interchangeable.
-    narrow = stored(docs.select("doc_id", "source", size.alias("size")), "sizes").withColumn("draw", draw(F.col("doc_id"), seed))
-    narrow = narrow.withColumn("bucket", F.floor(F.col("draw") / (2**32 // BUCKETS)).cast("int"))
+    # A row's own number, the same for every reader: rows that agree in id and text are interchangeable.
+    narrow = stored(docs.select("doc_id", "source", size.alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("draw")), "sizes")
+    shift = max(0, 52 - max(8, (narrow.count() // BUCKET_DOCS).bit_length()))
+    narrow = narrow.withColumn("bucket", F.shiftright("draw", shift))
     sums = stored(narrow.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "buckets")
     plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("whole", F.floor(ratio).cast("int")).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = stored(plan.withColumn("wanted", F.when(F.col("whole") >= max_epochs, F.lit(0.0)).otherwise(F.col("wanted"))), "plan")
-    # At most BUCKETS rows a source here, whatever the number of documents.
+    # A row a bucket here, a thousandth of the documents.
     run = Window.partitionBy("source").orderBy("bucket")
     upto = sums.withColumn("upto", F.sum("words").over(run)).withColumn("docs_upto", F.sum("docs").over(run))
     ends = upto.join(plan.select(F.col("source").alias("s"), "wanted"), F.col("source").eqNullSafe(F.col("s")))
     full = F.col("upto") <= F.col("wanted")
-    ends = ends.groupBy("s").agg(F.max(F.when(full, F.struct("bucket", "upto", "docs_upto"))).alias("full"), F.sort_array(F.collect_list(F.struct("bucket", "docs_upto"))).alias("all"))
-    last_full, done = F.coalesce(F.col("full.bucket"), F.lit(-1)), F.coalesce(F.col("full.docs_upto"), F.lit(0))
-    # The edge: buckets after the full ones until they hold EDGE_DOCS documents.
-    last_edge = F.array_min(F.filter(F.transform("all", lambda b: F.when((b["bucket"] > last_full) & (b["docs_upto"] - done >= EDGE_DOCS), b["bucket"])), lambda b: b.isNotNull()))
-    ends = ends.select("s", last_full.alias("last_full"), F.coalesce(F.col("full.upto"), F.lit(0)).alias("full_words"), F.coalesce(last_edge, F.lit(BUCKETS)).alias("last_edge"))
+    # Sums rise with the buckets, so the full ones come first; the edge reaches from there until it holds EDGE_DOCS documents.
+    ends = ends.withColumn("done", F.max(F.when(full, F.col("docs_upto"))).over(Window.partitionBy("s")))
+    after = ~full & (F.col("docs_upto") - F.coalesce("done", F.lit(0)) >= EDGE_DOCS)
+    ends = ends.groupBy("s").agg(F.max(F.when(full, F.col("bucket"))).alias("b"), F.max(F.when(full, F.col("upto"))).alias("u"), F.min(F.when(after, F.col("bucket"))).alias("e"))
+    ends = ends.select("s", F.coalesce("b", F.lit(-1)).alias("last_full"), F.coalesce("u", F.lit(0)).alias("full_words"), F.coalesce("e", F.lit(2**53)).alias("last_edge"))
     plan = plan.join(ends, plan["source"].eqNullSafe(ends["s"]), "left").select(F.col("source").alias("plan_source"), "source_size", "target", "whole", (F.col("wanted") - F.col("full_words")).alias("left"), "last_full", "last_edge")
     plan = stored(plan, "plan")
     placed = narrow.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
