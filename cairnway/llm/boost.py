@@ -65,7 +65,10 @@ class Boosted:
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray):
-    """Pool adjacent violators: (knots, values) of the non-decreasing fit, smoothed by one row of each class a pool."""
+    """Pool adjacent violators: (knots, values) of the non-decreasing fit.
+
+    Each pool counts one more row, of the mean label, so that no score is calibrated to 0 or 1; a running maximum keeps the order.
+    """
     order = np.argsort(raw, kind="stable")
     xs, ys = raw[order], y[order]
     edges, start = np.unique(xs, return_index=True)  # equal raw scores form one pool from the start
@@ -75,7 +78,8 @@ def isotonic(raw: np.ndarray, y: np.ndarray):
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             t, n, e = pools.pop()
             pools[-1] = [pools[-1][0] + t, pools[-1][1] + n, e]
-    return np.array([p[2] for p in pools]), np.array([p[0] / p[1] for p in pools])
+    mean = float(y.mean()) if len(y) else 0.5
+    return np.array([p[2] for p in pools]), np.maximum.accumulate(np.array([(p[0] + mean) / (p[1] + 1) for p in pools])) if pools else np.array([])
 
 
 def calibrated(raw: np.ndarray, knots: np.ndarray, values: np.ndarray) -> np.ndarray:

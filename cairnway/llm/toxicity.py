@@ -1,7 +1,8 @@
 """Operator 3 - toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Lexicon: words and word beginnings (4 and 5 letters, for inflected stems) whose share of toxic documents stands ``Z`` standard
-deviations above the base rate, counted over the labelled training documents.  Features: lexicon densities, closeness of
+Lexicon: words and word beginnings (4 and 5 letters, for inflected stems) whose share of toxic documents stands z standard
+deviations above the base rate, counted over the labelled training documents; z is what the largest of as many normal numbers as
+there are terms to test would reach, sqrt(2 ln terms), and ``Z`` at most, so that few labels make a lexicon too.  Features: lexicon densities, closeness of
 lexicon hits to second-person words, capitals, punctuation and obfuscation rates.  The training documents' own features use a
 lexicon counted on the other half of them, so a lexicon never sees the document it describes; isotonic calibration is fit on
 out-of-fold scores of the same halves.
@@ -106,7 +107,8 @@ def learn_lexicons(sample: DataFrame, max_terms: int = MAX_TERMS, z: float = Z)
     rate = sum(v for (_, y), v in totals.items() if y) / max(1, sum(totals.values()))
     if not 0 < rate < 1:
         return [{}, {}, {}]
-    counted = sample.select("text", "y", "fold").mapInPandas(count, "term string, n0 long, t0 long, n1 long, t1 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")])
+    counted = stored(sample.select("text", "y", "fold").mapInPandas(count, "term string, n0 long, t0 long, n1 long, t1 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")]).where("n0 + t0 + n1 + t1 > 2"), "terms")
+    z = min(z, float(np.sqrt(2 * np.log(max(2, counted.count())))))
     excess = lambda clean, toxic: (toxic - (clean + toxic) * rate) / F.sqrt((clean + toxic) * rate * (1 - rate) + 1e-9)
     versions = [(F.col("n0"), F.col("t0")), (F.col("n1"), F.col("t1")), (F.col("n0") + F.col("n1"), F.col("t0") + F.col("t1"))]
     scored = counted.select("term", *[F.when((toxic >= 0.5 * (clean + toxic)), excess(clean, toxic)).otherwise(0.0).alias(f"z{i}") for i, (clean, toxic) in enumerate(versions)])
