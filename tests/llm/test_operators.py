@@ -123,6 +123,46 @@ def test_classifiers_on_held_out_rows(spark):
         assert all(0 <= s <= 1 for s in scores.values())
 
 
+def test_isotonic_fit_matches_brute_force():
+    from cairnway.llm.boost import calibrated, isotonic
+
+    rnd = np.random.default_rng(3)
+    raw = rnd.integers(0, 12, 80).astype(float)
+    y = (rnd.random(80) < raw / 12).astype(float)
+    knots, values = isotonic(raw, y)
+    assert (np.diff(values) >= 0).all() and 0 < values.min() and values.max() < 1
+    # The non-decreasing fit at a point: the largest, over starts at or before it, of the least mean over ends at or after it.
+    for x in np.unique(raw):
+        mean = lambda a, b: y[(raw >= a) & (raw <= b)].mean()
+        points = np.unique(raw)
+        fit = max(min(mean(a, b) for b in points if b >= x) for a in points if a <= x)
+        k = int(np.searchsorted(knots, x))
+        n = ((raw <= knots[k]) & (raw > (knots[k - 1] if k else -1))).sum()
+        assert abs((values[k] * (n + 1) - y.mean()) / n - fit) < 1e-9 or values[k] == values[max(k - 1, 0)]
+    assert 0 < calibrated(np.array([-100.0, 100.0]), *isotonic(np.array([0.0, 1.0]), np.array([0.0, 1.0])))[0] < 0.5
+
+
+def test_boosted_trees_match_a_plain_walk():
+    from cairnway.llm.boost import Boosted
+
+    rnd = np.random.default_rng(6)
+    x = rnd.random((200, 4))
+    y = (x[:, 0] + x[:, 1] > 1).astype(float)
+    model = Boosted(trees=10).fit(x, y)
+
+    def plain(row):
+        bins = [sum(e < v for e in edges) for edges, v in zip(model.edges, row, strict=True)]
+        total = model.base
+        for feature, cut, leaf in model.model:
+            i = 0
+            while i < len(feature):
+                i = 2 * i + (2 if bins[feature[i]] > cut[i] else 1)
+            total += model.rate * leaf[i - len(feature)]
+        return total
+
+    assert np.allclose(model.raw(x), [plain(r) for r in x]) and ((model.raw(x) > 0) == (y > 0)).mean() > 0.95
+
+
 def test_held_out_labels_are_not_learned(spark):
     from pyspark.sql import functions as F
 
@@ -176,6 +216,21 @@ def test_top_k_matches_brute_force(spark):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
 
 
+def test_top_k_with_one_hot_vector_and_large_components(spark):
+    rnd = np.random.default_rng(4)
+    vectors = [(i, [1.0, 2.0, 3.0] if i % 3 else rnd.normal(size=3).tolist()) for i in range(600)]
+    large = [(i, [3e6 * x for x in v]) for i, v in vectors[:80]]
+    for rows, size in ((vectors, 16), (large, 32)):
+        out = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, shard_rows=size, block_rows=4).collect()
+        whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+        want = set()
+        for q in whole:
+            if q % 20 == 0:
+                best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)[:4]
+                want |= {(q, n + 1, i, -x) for n, (x, i) in enumerate(best)}
+        assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in out} == want
+
+
 def test_top_k_of_empty_and_tiny_tables(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk_search.top_k(spark.createDataFrame([], schema)).count() == 0
@@ -242,6 +297,20 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(df.limit(0))).count() == 0
 
 
+def test_warc_rolls_archives_over_and_keeps_differing_texts_of_an_id(spark):
+    rnd = random.Random(14)
+    text = lambda: "".join(rnd.choice("abcdefghijklmnop0123456789") for _ in range(200_000))
+    same = text()
+    pages = [(i, "u", text()) for i in range(60)] + [(7, "u", same), (3, "u", same), (70, "u", same)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write(df, limit=5 << 20)
+    assert manifest.count() > 1
+    back = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(manifest, payloads=False).collect())
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = sorted((i, digest(t), "revisit" if t == same and i > 3 else "response", 3 if t == same and i > 3 else None) for i, _, t in pages)
+    assert back == want
+
+
 # -- fingerprints --------------------------------------------------------------------------------------------------------------
 def test_fingerprints_and_edited_texts(spark):
     rnd = random.Random(5)
@@ -345,6 +414,32 @@ def test_assigned_secrets_of_all_separators(spark):
     assert [out[len(texts) + i].redacted for i in range(len(plain))] == plain
 
 
+def test_passwords_in_addresses(spark):
+    texts = ["see postgres://bob:hunter2pass99@db.example.org/x now", "https://example.org:8080/a@b", "the password is Tr0ub4dor&3 today", "amqp://guest@host/", "mail a:b@c"]
+    out = {r.doc_id: r.redacted for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0] == "see postgres://bob:[REDACTED]@db.example.org/x now" and "Tr0ub4dor" not in out[2]
+    assert [out[i] for i in (1, 3, 4)] == [texts[i] for i in (1, 3, 4)]
+
+
+def test_forest_on_held_out_findings(spark):
+    """Precision and recall on labelled findings of another seed, and the forest in SQL against a walk in Python."""
+    forest = secrets.train_forest(secrets.labelled_findings(spark))
+    held = secrets.labelled_findings(spark, 600, seed=77)
+    described = held.select(secrets.features(F.col("value"), F.col("before"), F.col("after"), F.coalesce("path", F.lit(""))).alias("x"), "label")
+    got = described.withColumn("score", secrets.forest_score(F.col("x"), forest)).collect()
+    hit = sum(r.label for r in got if r.score >= 0.5)
+    assert hit / sum(r.score >= 0.5 for r in got) > 0.93 and hit / sum(r.label for r in got) > 0.93
+
+    def walk(x, feature, threshold, leaf):
+        i = 0
+        while i < len(feature):
+            i = 2 * i + (2 if x[feature[i]] > threshold[i] else 1)
+        return leaf[i - len(feature)]
+
+    for r in got[:100]:
+        assert abs(r.score - sum(walk(r.x, *t) for t in forest) / len(forest)) < 1e-9
+
+
 def test_secret_forest_without_path_column(spark):
     docs = spark.createDataFrame([(1, "x ghp_" + "aB3" * 12)], "doc_id long, text string")
     assert secrets.scan(docs).first().findings[0].is_secret
@@ -366,7 +461,7 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
         at = out.cache()
         ids = {r.doc_id for r in at.collect()}
         if name == "toxicity":
-            assert sum(t for i, (_, t) in truth.items() if i in ids) < 12 and len(ids) > 150
+            assert sum(t for i, (_, t) in truth.items() if i in ids) < 5 and len(ids) > 150
         if name == "minhash_near_dedup":
             assert not {3, 1000} <= ids and 1002 in ids
         if name == "secret_scans":
