@@ -9,7 +9,12 @@ from pyspark.sql.window import Window
 from ..functions import geo, text
 
 C = F.col
+#: What each signal weighs.
 WEIGHTS = {"housenumber_exact": 6.0, "housenumber_mismatch": -5.0, "street_name_fuzz": 3.0, "token_coverage": 2.0, "street_type_match": 1.5, "locality_fuzz": 2.0, "source_authority": 2.0, "layer_rank": 1.0, "position": 1.0, "state_exact": 1.0, "poi_class_boost": 3.0, "highway_class_penalty": -4.0}
+#: Classes of places that are businesses, and of ways.
+BUSINESS, WAYS = ("amenity", "shop", "tourism", "leisure", "office", "craft"), ("highway", "route")
+#: Candidates that retrieval returns for a query.
+RETRIEVED = 50
 
 
 def first_rows(rows: DataFrame, by: list[str], order: list, n: int, name: str = "n") -> DataFrame:
@@ -67,28 +72,48 @@ def exact_addresses(queries: DataFrame, addresses: DataFrame, limit: int) -> Dat
 
 
 def candidates(queries: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Addresses of the query's house number, ranked as retrieved, from two sources."""
-    q = queries.select("qid", C("number").alias("qn"), C("street").alias("qs"), C("city").alias("qc"), C("state").alias("qst"))
-    met = q.join(addresses.select("aid", "number", "street", "city", "state", "lat", "lon"), C("qn") == C("number"))
-    met = met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("aid")) - 1)
-    return met.withColumn("source", F.when(C("aid") % 2 == 0, "addresses").otherwise("features"))
+    """Addresses of the query's house number and street beginning (its first word), RETRIEVED of them at most, as retrieved.
+
+    A query is of a street, so it meets the addresses of that street and number only, however many share the number.
+    """
+    first = lambda c: F.upper(F.split(F.trim(c), r"\s+")[0])
+    q = queries.select("qid", C("number").alias("qn"), C("street").alias("qs"), C("city").alias("qc"), C("state").alias("qst"), first(C("street")).alias("block"))
+    a = addresses.select("aid", "number", "street", "city", "state", "lat", "lon", first(C("street")).alias("block"))
+    met = q.join(a, (C("qn") == C("number")) & (q["block"] == a["block"])).drop("block")
+    return labelled(first_rows(met, ["qid"], ["aid"], RETRIEVED, "rank").withColumn("rank", C("rank") - 1))
+
+
+def labelled(met: DataFrame) -> DataFrame:
+    """Where candidates come from and what they are: even ids from the address table, odd ones features of a class."""
+    even = C("aid") % 2 == 0
+    out = met.withColumn("source", F.when(even, "addresses").otherwise("features")).withColumn("osm_key", F.when(~even, F.when(C("aid") % 7 == 1, "amenity").when(C("aid") % 7 == 3, "highway").otherwise("place")))
+    return out.withColumn("type", F.when(even, "street_address").when(C("osm_key") == "amenity", "poi").otherwise("street")).withColumn("intent", F.lit("ADDRESS"))
 
 
 def score(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Sum of weighted signals; ``signals`` holds those that are not 0."""
+    """Sum of weighted signals; ``signals`` holds those that are not 0.
+
+    What a source or a type is worth depends on the query's ``intent``; businesses gain and ways lose where the query
+    names no kind of road.
+    """
     w = WEIGHTS
     qs, cs = text.expand_street(C("qs")), text.expand_street(C("street"))
     types = F.array(*[F.lit(t) for t in sorted(set(text.STREET_TYPES.values()))])
     shown = F.concat(C("number"), F.lit(" "), C("street"), F.lit(", "), C("city"))
     asked = F.concat_ws(" ", "qn", "qs", "qc")
+    roads = F.array(*[F.lit(t) for t in text.ROAD_WORDS])
+    business = ~C("intent").isin("LOCALITY", "POSTCODE", "COORD") & ~F.arrays_overlap(F.split(F.lower(asked), r"[,\s]+"), roads)
+    of_kind = lambda intent, kind: (C("intent") == intent) & (C("type") == kind)
     signals = {
         "housenumber_exact": F.when(C("qn") == C("number"), w["housenumber_exact"]),
         "housenumber_mismatch": F.when(C("qn") != C("number"), w["housenumber_mismatch"]),
         "street_type_match": F.when(F.arrays_overlap(F.array_intersect(F.split(qs, " "), types), F.split(cs, " ")), w["street_type_match"]),
         "token_coverage": text.token_coverage(asked, shown) * w["token_coverage"],
         "state_exact": F.when(F.upper("qst") == C("state"), w["state_exact"]),
-        "source_authority": F.when(C("source") == "addresses", w["source_authority"]),
-        "layer_rank": F.lit(w["layer_rank"]),
+        "source_authority": F.when((C("source") == "addresses") & (C("intent") == "ADDRESS"), w["source_authority"]),
+        "layer_rank": F.when(of_kind("ADDRESS", "street_address") | of_kind("LOCALITY", "locality") | of_kind("POI", "poi"), w["layer_rank"]),
+        "poi_class_boost": F.when(business & C("osm_key").isin(*BUSINESS), w["poi_class_boost"]),
+        "highway_class_penalty": F.when(business & C("osm_key").isin(*WAYS), w["highway_class_penalty"]),
         "position": F.when(C("source") == "features", F.greatest(F.lit(0.0), 1.0 - C("rank") / 10.0) * w["position"]),
     }
     if fuzzy:
@@ -119,7 +144,7 @@ def drop_close(pairs: DataFrame, metres: float) -> DataFrame:
     """Greedy: a candidate goes if one kept before it, of the same source, is nearer than ``metres``.
 
     Order matters and closeness is not transitive, so a query's candidates are folded in order of rank; a query's list is
-    bounded by what retrieval returns for it.
+    bounded by what retrieval returns for it (RETRIEVED).
     """
     item = F.struct("rank", "aid", "source", "lat", "lon")
     lists = pairs.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("all"))
@@ -128,6 +153,25 @@ def drop_close(pairs: DataFrame, metres: float) -> DataFrame:
     return lists.select("qid", F.explode(kept).alias("k")).select("qid", "k.*")
 
 
+def geocode(asked: DataFrame, column: str, addresses: DataFrame, limit: int) -> DataFrame:
+    """``asked`` (qid, text) -> ranked candidates: addresses by number and street, localities by city, postcodes by zip code."""
+    parsed = classify(asked, column).select("qid", "intent", "number", "street", "city", "state", "zipcode", text.tokens(C(column)).alias("w"))
+    by_number = candidates(parsed.where(C("intent") == "ADDRESS"), addresses)
+    blank = [F.lit(None).cast("string").alias(c) for c in ("qn", "qs")]
+    a = addresses.select("aid", "number", "street", "city", "state", "zipcode", "lat", "lon")
+
+    def by(intent: str, key: Column, column_: str) -> DataFrame:
+        q = parsed.where(C("intent") == intent).select("qid", *blank, key.alias("qc"), C("state").alias("qst"), key.alias("key"))
+        met = first_rows(q.join(first_rows(a, [column_], ["aid"], RETRIEVED, "nth").drop("nth"), C("key") == C(column_)), ["qid"], ["aid"], RETRIEVED, "rank")
+        return labelled(met.withColumn("rank", C("rank") - 1).drop("key", "zipcode")).withColumn("intent", F.lit(intent))
+
+    local = by("LOCALITY", F.upper(F.array_join(F.slice("w", F.lit(1), F.size("w") - 1), " ")), "city")
+    postal = by("POSTCODE", C("zipcode"), "zipcode").withColumn("qc", F.lit(None).cast("string"))
+    pairs = by_number.unionByName(local).unionByName(postal)
+    kept = drop_close(pairs, 50.0).select("qid", "aid")
+    return rerank(score(pairs.join(kept, ["qid", "aid"], "left_semi")), limit)
+
+
 def match_aliases(asked: DataFrame, book: DataFrame, key: str) -> DataFrame:
     """``asked`` (key, q) against ``book`` (entry, forms): an equal form, then a form the query starts with, then the first
     form that starts with the query or stands inside it.  Words of the query are joined with forms, not every pair."""
@@ -137,7 +181,7 @@ def match_aliases(asked: DataFrame, book: DataFrame, key: str) -> DataFrame:
     inside = asked.where("q <> ''").select(key, "q", F.explode(F.array_distinct(spans)).alias("form")).join(forms, "form")
     rule = F.when(C("q") == C("form"), 1).when(F.startswith("q", F.concat("form", F.lit(" "))), 2).otherwise(3)
     first = inside.select(key, rule.alias("rule"), "entry", "form_no")
-    beginnings = forms.select("entry", "form_no", "form", F.explode(F.sequence(F.lit(1), F.length("form") - 1)).alias("n")).select("entry", "form_no", F.left("form", C("n")).alias("q"))
-    second = asked.join(beginnings, "q").select(key, F.lit(3).alias("rule"), "entry", "form_no")
+    beginnings = forms.where(F.length("form") > 1).select("entry", "form_no", "form", F.explode(F.sequence(F.lit(1), F.length("form") - 1)).alias("n")).select("entry", "form_no", F.left("form", C("n")).alias("q"))
+    second = asked.where("q <> ''").join(beginnings, "q").select(key, F.lit(3).alias("rule"), "entry", "form_no")
     best = first.unionByName(second).groupBy(key).agg(F.min(F.struct("rule", "entry", "form_no")).alias("b"))
     return best.select(key, "b.entry", F.when(C("b.rule") <= 2, "exact").otherwise("partial").alias("confidence"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,20 +84,80 @@ def shortest(graph: dict, starts: dict, goals: set):
     return (float("inf"), []) if goals else (best, parent)
 
 
-def route(trips: DataFrame, graph: DataFrame) -> DataFrame:
-    """``trips`` (trip, starts array<long>, goals array<long>) over edges (trip, a, b, w): cost and path of each trip.
-
-    The edges of a trip are those of its own area; trips run side by side.
+class Area:
+    """The edges of one area as arrays by source node (compressed rows), searched by A* for one trip after the other."""
+
+    def __init__(self, table: pd.DataFrame, side: int | None):
+        a, b = table.a.to_numpy(np.int64), table.b.to_numpy(np.int64)
+        self.nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        self.at = {int(n): i for i, n in enumerate(self.nodes)}
+        source, order = ends[: len(a)], np.argsort(ends[: len(a)], kind="stable")
+        self.first = np.searchsorted(source[order], np.arange(len(self.nodes) + 1))
+        self.to, self.w = ends[len(a) :][order], table.w.to_numpy(float)[order]
+        self.side, self.rate = side, 0.0
+        if side:
+            cell = self.nodes % (side * side)
+            self.r, self.c = cell // side, cell % side
+            length = self._octile(self.r[source[order]] - self.r[self.to], self.c[source[order]] - self.c[self.to])
+            # No step is cheaper than this a cell, so distance times rate never exceeds the cost that is left.
+            self.rate = float((self.w[length > 0] / length[length > 0]).min(initial=np.inf)) if (length > 0).any() else 0.0
+
+    @staticmethod
+    def _octile(dr, dc):
+        dr, dc = np.abs(dr), np.abs(dc)
+        return np.maximum(dr, dc) + (np.sqrt(2) - 1) * np.minimum(dr, dc)
+
+    def _left(self, goals: list[int]) -> np.ndarray:
+        """A lower bound of what is left from every node to the nearest goal."""
+        if not self.rate or not len(goals):
+            return np.zeros(len(self.nodes))
+        return (1 - 1e-12) * self.rate * np.min([self._octile(self.r - self.r[g], self.c - self.c[g]) for g in goals], axis=0)
+
+    def search(self, starts, goals) -> tuple[float, list[int]]:
+        goals = [self.at[g] for g in goals if g in self.at]
+        left, wanted = self._left(goals), set(goals)
+        best = np.full(len(self.nodes), np.inf)
+        parent, done, heap = np.full(len(self.nodes), -1), np.zeros(len(self.nodes), dtype=bool), []
+        for s in starts:
+            if s in self.at:
+                best[self.at[s]] = 0.0
+                heapq.heappush(heap, (left[self.at[s]], self.at[s]))
+        while heap and wanted:
+            _, n = heapq.heappop(heap)
+            if done[n]:
+                continue
+            done[n] = True
+            if n in wanted:
+                path = [n]
+                while parent[path[-1]] >= 0:
+                    path.append(int(parent[path[-1]]))
+                return float(best[n]), self.nodes[path[::-1]].tolist()
+            lo, hi = self.first[n], self.first[n + 1]
+            to, cost = self.to[lo:hi], best[n] + self.w[lo:hi]
+            for m, d in zip(to[cost < best[to]].tolist(), cost[cost < best[to]].tolist(), strict=True):
+                if d < best[m]:
+                    best[m], parent[m] = d, n
+                    heapq.heappush(heap, (d + left[m], m))
+        return float("inf"), []
+
+
+def route(trips: DataFrame, graph: DataFrame, side: int | None = None, together: int = 500) -> DataFrame:
+    """``trips`` (trip, area, starts array<long>, goals array<long>) over edges (area, a, b, w): cost and path of each trip.
+
+    An area's edges go to a task once for ``together`` of its trips, which are searched one after the other; areas, and blocks
+    of trips of a busy area, run side by side.  With ``side`` (cells a row of the area's grid; nodes are row-major, layers follow
+    each other) the search is A* with an admissible bound, else it is Dijkstra's.
     """
+    blocks = trips.groupBy("area").agg(F.ceil(F.count("*") / together).alias("blocks"))
+    dealt = trips.join(blocks, "area").withColumn("block", F.pmod(F.xxhash64("trip"), "blocks")).drop("blocks")
+    sent = graph.join(blocks, "area").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), C("blocks") - 1))).select("area", "block", "a", "b", "w")
 
-    def run(key: tuple, trip: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if trip.empty:
-            return pd.DataFrame({"trip": [], "cost_s": [], "path": []})
-        t = trip.iloc[0]
-        cost, path = shortest(adjacency(own), {n: 0.0 for n in t.starts}, set(t.goals))
-        return pd.DataFrame({"trip": [t.trip], "cost_s": [cost], "path": [path]})
+    def run(key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        area = Area(own, side)
+        found = [area.search(t.starts, t.goals) for t in asked.itertuples()]
+        return pd.DataFrame({"trip": asked.trip, "cost_s": [c for c, _ in found], "path": [p for _, p in found]})
 
-    return trips.groupBy("trip").cogroup(graph.groupBy("trip")).applyInPandas(run, "trip long, cost_s double, path array<long>")
+    return dealt.groupBy("area", "block").cogroup(sent.groupBy("area", "block")).applyInPandas(run, "trip long, cost_s double, path array<long>")
 
 
 def costs_from(sources: DataFrame, graph: DataFrame) -> DataFrame:

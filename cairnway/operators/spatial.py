@@ -6,31 +6,53 @@ all points in one cell makes that cell's partition hot: it is an ordinary equi-j
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..sources.writers import rewritten
 
 C = F.col
 
 
-def _around(lat: Column, lon: Column, step_lat: float, step_lon: float) -> Column:
-    cells = lambda v, s: F.sequence(geo.grid_key(v, s) - 1, geo.grid_key(v, s) + 1)
-    return F.flatten(F.transform(cells(lat, step_lat), lambda y: F.transform(cells(lon, step_lon), lambda x: F.struct(y.alias("y"), x.alias("x")))))
+EARTH = 6_371_000.0
+
+
+def _row(lat: Column, step: float) -> Column:
+    return F.floor(lat / step).cast("long")
+
 
+def _columns(row: Column, metres: float, step: float) -> Column:
+    """How many cells a row of latitude has: each as wide as the radius seen from any point up to one row further poleward."""
+    top = (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * step
+    reach = F.lit(math.sin(min(metres / EARTH, math.pi / 2))) / F.cos(F.radians(F.least(top, F.lit(90.0))))
+    return F.when((top >= 90.0) | (reach >= 1.0), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(360.0) / F.degrees(F.asin(F.least(reach, F.lit(1.0))))))).cast("long")
 
-def within_radius(points: DataFrame, others: DataFrame, metres: float, max_lat: float = 75.0) -> DataFrame:
+
+def _column(lon: Column, columns: Column) -> Column:
+    """The cell of a longitude; cells go round the globe, so 180 and -180 degrees meet."""
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * columns).cast("long"), columns)
+
+
+def within_radius(points: DataFrame, others: DataFrame, metres: float) -> DataFrame:
     """Pairs of ``points`` (lat, lon, ...) and ``others`` (qid, lat, lon) at most ``metres`` apart, with ``metres``.
 
-    Cells are as wide as the radius at ``max_lat``, beyond which no point may lie.
+    Rows of cells are as high as the radius, and each has as many cells as its latitude allows; a query meets its own and
+    the eight neighbouring cells, also across 180 degrees and over the poles.
     """
-    import math
+    step = metres / 110_500.0
+    own = _row(C("lat"), step)
+    dealt = points.withColumn("cell", F.struct(own.alias("y"), _column(C("lon"), _columns(own, metres, step)).alias("x")))
+    row = _row(C("qlat"), step)
+
+    def cells(y: Column) -> Column:
+        n = _columns(y, metres, step)
+        return F.transform(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.pmod(_column(C("qlon"), n) + d, n))), lambda x: F.struct(y.alias("y"), x.alias("x")))
 
-    step_lat = metres / 110_500.0
-    step_lon = step_lat / math.cos(math.radians(max_lat))
-    dealt = points.withColumn("cell", F.struct(geo.grid_key(C("lat"), step_lat).alias("y"), geo.grid_key(C("lon"), step_lon).alias("x")))
-    spread = others.select("qid", C("lat").alias("qlat"), C("lon").alias("qlon")).withColumn("cell", F.explode(_around(C("qlat"), C("qlon"), step_lat, step_lon)))
+    spread = others.select("qid", C("lat").alias("qlat"), C("lon").alias("qlon")).withColumn("cell", F.explode(F.flatten(F.transform(F.sequence(row - 1, row + 1), cells))))
     met = dealt.join(spread, "cell").withColumn("metres", geo.haversine(C("lat"), C("lon"), C("qlat"), C("qlon")))
     return met.where(C("metres") <= metres).drop("cell")
 
@@ -38,17 +60,23 @@ def within_radius(points: DataFrame, others: DataFrame, metres: float, max_lat:
 def nearest(queries: DataFrame, points: DataFrame, k: int, rings: tuple[float, ...], order: list[str]) -> DataFrame:
     """k nearest points of each query by growing rings (metres): queries with k hits inside a ring are done, the others go on.
 
-    The last ring is the reach: what lies beyond is not found, as with any capped search.
+    Rings after the last one given are four times as wide each, until one covers the globe: no query gets fewer points than
+    there are.  What a ring leaves is written, so that no ring is worked out again for the next, and rings end with the last query.
     """
     todo, done = queries, None
-    for i, reach in enumerate(rings):
+    while True:
+        reach, rings = rings[0], rings[1:] or (rings[0] * 4,)
+        globe = reach >= math.pi * EARTH
         met = within_radius(points, todo, reach)
-        ranked = met.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("metres", *order))).where(C("n") <= k)
-        full = ranked.groupBy("qid").agg(F.count("*").alias("c")).where(C("c") == k).select("qid") if i + 1 < len(rings) else None
-        part = ranked if full is None else ranked.join(full, "qid", "left_semi")
+        ranked = rewritten(met.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("metres", *order))).where(C("n") <= k), "ring")
+        full = ranked.where(C("n") == k).select("qid")
+        part = ranked if globe else ranked.join(full, "qid", "left_semi")
         done = part if done is None else done.unionByName(part)
-        todo = todo if full is None else todo.join(full, "qid", "left_anti")
-    return done
+        if globe:
+            return done
+        todo = rewritten(todo.join(full, "qid", "left_anti"), "left")
+        if todo.isEmpty():
+            return done
 
 
 def in_rectangles(points: DataFrame, boxes: DataFrame, step: float, boundary: bool = True) -> DataFrame:

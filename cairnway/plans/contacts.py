@@ -15,11 +15,10 @@ def contacts(spark, sf_dir):
     return view(spark, sf_dir, "fx_contacts")
 
 
-@query("filter_contacts", "SELECT user_id, id, label FROM fx_contacts WHERE deleted_at IS NULL AND category = 'BUILDING' AND (label ILIKE '%00001%' OR phone ILIKE '%P1%' OR category ILIKE '%xyz%')")
+@query("filter_contacts", "SELECT user_id, id, label FROM fx_contacts WHERE user_id IN (SELECT 'u' || (qid % 25)::VARCHAR FROM fx_probe) AND deleted_at IS NULL AND category = 'BUILDING' AND (label ILIKE '%00001%' OR phone ILIKE '%P1%' OR category ILIKE '%xyz%')")
 def filter_contacts(spark, sf_dir):
-    live = ops.live(contacts(spark, sf_dir)).where(C("category") == "BUILDING")
-    # Both searches of the text box: a table of users would join on user_id first.
-    return live.where(ops.matches("00001", ["label", "category"]) | ops.matches("P1", ["phone"])).select("user_id", "id", "label")
+    users = view(spark, sf_dir, "fx_probe").select(F.concat(F.lit("u"), (C("qid") % 25).cast("string")).alias("user_id"))
+    return ops.listed(contacts(spark, sf_dir), users, "BUILDING", [("00001", ["label", "category"]), ("P1", ["phone"])]).select("user_id", "id", "label")
 
 
 @query("filter_deleted", "SELECT id, user_id, deleted_at FROM fx_contacts WHERE deleted_at IS NOT NULL")
@@ -48,7 +47,7 @@ def contact_substring_fe(spark, sf_dir):
 NEW = "SELECT 1000000 + s_suppkey AS id, 'u' || (s_suppkey % 25)::VARCHAR AS user_id, CASE s_suppkey % 3 WHEN 0 THEN 'Home' WHEN 1 THEN 'Work' ELSE s_name END AS label FROM supplier"
 
 
-@query("insert_contact", f"SELECT n.id, n.user_id, n.label, CASE WHEN n.label IN ('Home', 'Work') AND EXISTS (SELECT 1 FROM fx_contacts c WHERE c.deleted_at IS NULL AND c.user_id = n.user_id AND c.label = n.label) THEN 'conflict' END AS error FROM ({NEW}) n")
+@query("insert_contact", f"SELECT n.id, n.user_id, n.label, CASE WHEN n.label IN ('Home', 'Work') AND (row_number() OVER (PARTITION BY n.user_id, n.label ORDER BY n.id) > 1 OR EXISTS (SELECT 1 FROM fx_contacts c WHERE c.deleted_at IS NULL AND c.user_id = n.user_id AND c.label = n.label)) THEN 'conflict' END AS error FROM ({NEW}) n")
 def insert_contact(spark, sf_dir):
     k = C("s_suppkey")
     new = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((1000000 + k).alias("id"), F.concat(F.lit("u"), (k % 25).cast("string")).alias("user_id"), F.when(k % 3 == 0, "Home").when(k % 3 == 1, "Work").otherwise(C("s_name")).alias("label"))

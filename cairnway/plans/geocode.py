@@ -14,6 +14,7 @@ from .text import expand_sql
 C = F.col
 STATE_CODES = ", ".join(f"'{s}'" for s in text.STATES)
 NAMES = ", ".join(f"'{n}'" for n in text.STATES.values() if n)
+ROADS = ", ".join(f"'{w}'" for w in text.ROAD_WORDS)
 FREE = "SELECT aid, CASE aid % 5 WHEN 0 THEN number || ' ' || street || ', ' || city || ' ID ' || zipcode WHEN 1 THEN city || ' Idaho' WHEN 2 THEN zipcode WHEN 3 THEN '43.5, -116.2' ELSE city || ' cafe' END AS q FROM fx_addresses"
 
 
@@ -66,9 +67,9 @@ def filter_zip(spark, sf_dir):
     return geocoding.first_rows(met, ["qid"], ["aid"], 20).select("qid", "aid")
 
 
-CANDIDATES = """SELECT q.qid, q.number AS qn, q.street AS qs, q.city AS qc, q.state AS qst, a.aid, a.number, a.street, a.city, a.state, row_number() OVER (PARTITION BY q.qid ORDER BY a.aid) - 1 AS rank, CASE WHEN a.aid % 2 = 0 THEN 'addresses' ELSE 'features' END AS source FROM fx_queries q JOIN fx_addresses a ON q.number = a.number"""
+CANDIDATES = """SELECT q.qid, q.number AS qn, q.street AS qs, q.city AS qc, q.state AS qst, a.aid, a.number, a.street, a.city, a.state, row_number() OVER (PARTITION BY q.qid ORDER BY a.aid) - 1 AS rank, CASE WHEN a.aid % 2 = 0 THEN 'addresses' ELSE 'features' END AS source FROM fx_queries q JOIN fx_addresses a ON q.number = a.number AND upper(string_split(trim(q.street), ' ')[1]) = upper(string_split(trim(a.street), ' ')[1]) QUALIFY rank < 50"""
 SCORE = f"""SELECT qid, aid, rank, 6.0e0 + CASE WHEN len(list_intersect(list_distinct(string_split({expand_sql("qs")}, ' ')), ['street','avenue','road'])) > 0 AND len(list_intersect(list_intersect(string_split({expand_sql("qs")}, ' '), ['street','avenue','road']), string_split({expand_sql("street")}, ' '))) > 0 THEN 1.5e0 ELSE 0 END
-  + CASE WHEN qst = state THEN 1.0e0 ELSE 0 END + CASE WHEN source = 'addresses' THEN 2.0e0 ELSE 0 END + 1.0e0 + CASE WHEN source = 'features' THEN greatest(0.0e0, 1.0e0 - rank/10.0e0) ELSE 0 END
+  + CASE WHEN qst = state THEN 1.0e0 ELSE 0 END + CASE WHEN source = 'addresses' THEN 3.0e0 WHEN len(list_intersect(string_split(lower(qn || ' ' || qs || coalesce(' ' || qc, '')), ' '), [{ROADS}])) > 0 THEN 0 WHEN aid % 7 = 1 THEN 3.0e0 WHEN aid % 7 = 3 THEN -4.0e0 ELSE 0 END + CASE WHEN source = 'features' THEN greatest(0.0e0, 1.0e0 - rank/10.0e0) ELSE 0 END
   + 2.0e0*len(list_filter(w, lambda t: contains(number || ' ' || street || ', ' || city, t)))/len(w)::DOUBLE AS score
   FROM (SELECT *, list_distinct(list_filter(string_split(upper(qn || ' ' || qs || coalesce(' ' || qc, '')), ' '), lambda t: t <> '')) AS w FROM ({CANDIDATES}))"""
 
@@ -100,6 +101,13 @@ def geo_rank(spark, sf_dir):
     return geocoding.rerank(geocoding.score(pairs, fuzzy=True), 10).select("qid", "aid", "score", "place", "confidence")
 
 
+@query("geocode_full")
+def geocode_full(spark, sf_dir):
+    """From free text to ranked places: parse, classify, retrieve, drop doubles within 50 m, score, rank, confidence."""
+    asked = free_queries(spark, sf_dir).withColumnRenamed("aid", "qid")
+    return geocoding.geocode(asked, "q", view(spark, sf_dir, "fx_addresses"), 5).select("qid", "intent", "aid", "score", "place", "confidence")
+
+
 @query("fn_match_code")
 def fn_match_code(spark, sf_dir):
     pairs = geocoding.candidates(view(spark, sf_dir, "fx_queries"), view(spark, sf_dir, "fx_addresses"))

@@ -61,15 +61,13 @@ def astar_multigoal(spark, sf_dir):
     return trips(spark, sf_dir).where(C("cost_s") < float("inf")).select("trip", F.round("cost_s", 4).alias("cost_s"))
 
 
-def trip_ids(spark, ids=GOALS):
-    """A handful of trips that share one area's edges."""
-    return spark.createDataFrame([(g,) for g in ids], "trip long")
+def one_area(trips):
+    return trips.withColumn("area", F.lit("a"))
 
 
 def trips(spark, sf_dir):
     asked = spark.createDataFrame([(g, [1], [g]) for g in GOALS], "trip long, starts array<long>, goals array<long>")
-    graph = numbered(grid_edges(spark, sf_dir)).crossJoin(F.broadcast(trip_ids(spark)))
-    return routing.route(asked, graph)
+    return routing.route(one_area(asked), one_area(numbered(grid_edges(spark, sf_dir))), SIDE)
 
 
 @query("path_reconstruct")
@@ -93,7 +91,7 @@ def multimode_edges(spark, sf_dir):
 def astar_multimode(spark, sf_dir):
     cells = SIDE * SIDE
     asked = spark.createDataFrame([(g, [1], [g, g + cells]) for g in GOALS], "trip long, starts array<long>, goals array<long>")
-    found = routing.route(asked, multimode_edges(spark, sf_dir).crossJoin(F.broadcast(trip_ids(spark))))
+    found = routing.route(one_area(asked), one_area(multimode_edges(spark, sf_dir)), SIDE)
     modes = F.array_sort(F.array_distinct(F.transform("path", lambda n: F.when(n < cells, "foot").otherwise("vehicle"))))
     return found.select("trip", F.round("cost_s", 4).alias("cost_s"), modes.alias("modes"))
 
@@ -143,17 +141,18 @@ def hpa_abstract(spark, sf_dir):
     inner = costs.select(door(xy[0].cast("int"), xy[1].cast("int"), C("from_entrance")).alias("a"), door(xy[0].cast("int"), xy[1].cast("int"), C("to_entrance")).alias("b"), C("cost_s").alias("w"))
     seams = join_seams(spark, sf_dir).select(door(C("cx1"), C("cy1"), C("e1")).alias("a"), door(C("cx2"), C("cy2"), C("e2")).alias("b"), F.lit(0.0).alias("w"))
     asked = spark.createDataFrame([(k, [0], [15 * 20 + k]) for k in (5, 7, 9, 12)], "trip long, starts array<long>, goals array<long>")
-    return routing.route(asked, inner.unionByName(seams).crossJoin(F.broadcast(trip_ids(spark, (5, 7, 9, 12))))).select("trip", F.round("cost_s", 4).alias("cost_s"), F.size("path").alias("hops"))
+    return routing.route(one_area(asked), one_area(inner.unionByName(seams))).select("trip", F.round("cost_s", 4).alias("cost_s"), F.size("path").alias("hops"))
 
 
 @query("hpa_refine")
 def hpa_refine(spark, sf_dir):
     """Cells of the way from entrance 0 to entrance 12 inside each chunk."""
     doors = routing.entrances(CHUNK)
-    graph = chunked(spark, sf_dir, ("foot",)).withColumn("trip", F.split("chunk", ",")[0].cast("long") * 4 + F.split("chunk", ",")[1].cast("long"))
+    graph = chunked(spark, sf_dir, ("foot",)).withColumnRenamed("chunk", "area")
     start, goal = (r * CHUNK + c for r, c in (doors[0], doors[12]))
-    asked = spark.range(16).select(C("id").alias("trip"), F.array(F.lit(start).cast("long")).alias("starts"), F.array(F.lit(goal).cast("long")).alias("goals"))
-    return routing.route(asked, graph.select("trip", "a", "b", "w")).select("trip", F.posexplode("path").alias("i", "cell"))
+    area = F.concat_ws(",", F.floor(C("id") / 4).cast("string"), (C("id") % 4).cast("string"))
+    asked = spark.range(16).select(C("id").alias("trip"), area.alias("area"), F.array(F.lit(start).cast("long")).alias("starts"), F.array(F.lit(goal).cast("long")).alias("goals"))
+    return routing.route(asked, graph.select("area", "a", "b", "w"), CHUNK).select("trip", F.posexplode("path").alias("i", "cell"))
 
 
 @query("hpa_gate", "SELECT qid, CASE WHEN qid % 7 = 0 THEN 'no_coverage' WHEN qid % 3 = 0 THEN 'boundary_mode' WHEN qid % 5 = 0 THEN 'affinity' WHEN qid % 11 = 0 THEN 'multi_region' END AS fallback_reason FROM fx_probe")

@@ -48,11 +48,15 @@ def src_wikidata(spark, sf_dir):
     return readers.entity_fields(table(spark, sf_dir, "nation").select("n_nationkey", doc.alias("doc")), "doc").select("n_nationkey", "entity", "label", "population")
 
 
-@query("scan_opds_catalog")
+@query(
+    "scan_opds_catalog",
+    """SELECT n_regionkey, n || '_all' AS name, CASE WHEN starts_with(n, 'nation_1') THEN 'one' WHEN starts_with(n, 'nation') THEN 'any' END AS source, n || '_2024' AS path
+    FROM (SELECT n_regionkey, n_name, lower(replace(n_name, ' ', '_')) AS n FROM nation) WHERE NOT regexp_matches(n_name, '[37]$') AND starts_with(n, 'nation')""",
+)
 def scan_opds_catalog(spark, sf_dir):
-    entries = F.concat_ws("", F.transform(F.collect_list("n_name"), lambda n: F.concat(F.lit("<entry><name>"), F.lower(F.replace(n, F.lit(" "), F.lit("_"))), F.lit("_all</name></entry>"))))
+    entries = F.concat_ws("", F.transform(F.collect_list("n_name"), lambda n: F.concat(F.lit("<entry><name>"), F.lower(F.replace(n, F.lit(" "), F.lit("_"))), F.lit("_all</name>"), F.when(~F.rlike(n, F.lit("[37]$")), F.concat(F.lit('<link type="image/png" href="/content/x"/><link type="text/html" href="/content/'), F.lower(F.replace(n, F.lit(" "), F.lit("_"))), F.lit('_2024"/>'))).otherwise(F.lit("")), F.lit("</entry>"))))
     docs = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<feed>"), entries, F.lit("</feed>")).alias("doc"))
-    return readers.catalog_entries(docs, "doc", [("nation_1", "one"), ("nation", "any"), ("a", "a"), ("e", "e"), ("i", "i")]).select("n_regionkey", "name", "source", "path")
+    return readers.catalog_entries(docs, "doc", [("nation_1", "one"), ("nation", "any")]).select("n_regionkey", "name", "source", "path")
 
 
 @query("scan_manifest", "SELECT * FROM (VALUES (0, 'west', CAST(-8659 AS BIGINT), CAST(-8620 AS BIGINT)), (1, 'all', NULL, NULL)) t(ord, name, min_x, max_x)")

@@ -172,7 +172,7 @@ def join_spatial_fuzzy(spark, sf_dir):
     places = view(spark, sf_dir, "fx_entry_points").select("id", "name", "lat", "lon")
     asked = view(spark, sf_dir, "fx_parking").select(C("id").alias("qid"), "lat", "lon")
     names = spark.read.parquet(f"{sf_dir}/part.parquet").select(C("p_partkey").alias("qid"), C("p_name").alias("wanted"))
-    met = spatial.within_radius(places, asked, 2000.0).join(names, "qid").withColumn("similarity", F.round(trigram_similarity(C("name"), C("wanted")), 6)).where("similarity > 0.4")
+    met = spatial.within_radius(places, asked, 100.0).join(names, "qid").withColumn("similarity", F.round(trigram_similarity(C("name"), C("wanted")), 6)).where("similarity > 0.4")
     return first_rows(met, ["qid"], [F.desc("similarity"), "metres", "id"], 1).select("qid", "id", "similarity")
 
 

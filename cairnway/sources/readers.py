@@ -42,13 +42,18 @@ def entity_fields(documents: DataFrame, column: str) -> DataFrame:
 
 
 def catalog_entries(documents: DataFrame, column: str, prefixes: list[tuple[str, str]]) -> DataFrame:
-    """Entries of an Atom catalog whose name starts with a known prefix: source and content path."""
-    names = F.xpath(C(column), F.lit("//*[local-name()='entry']/*[local-name()='name']/text()"))
-    out = documents.select("*", F.explode(names).alias("name"))
+    """Entries of an Atom catalog whose name starts with a known prefix: source and content path.
+
+    The path is what follows /content/ in an entry's first text/html link; entries without one are left out.
+    """
+    entry = "//*[local-name()='entry'][*[local-name()='name']][starts-with(*[local-name()='link'][@type='text/html'][1]/@href, '/content/')]"
+    names = F.xpath(C(column), F.lit(entry + "/*[local-name()='name'][1]/text()"))
+    links = F.xpath(C(column), F.lit(entry + "/*[local-name()='link'][@type='text/html'][1]/@href"))
+    out = documents.select("*", F.explode(F.arrays_zip(names.alias("name"), links.alias("href"))).alias("e")).select(*documents.columns, "e.name", "e.href")
     source = F.lit(None).cast("string")
     for prefix, label in reversed(prefixes):
         source = F.when(F.startswith("name", F.lit(prefix)), label).otherwise(source)
-    return out.withColumn("source", source).where("source is not null").withColumn("path", F.concat(F.lit("/content/"), C("name")))
+    return out.withColumn("source", source).where("source is not null").withColumn("path", F.substr("href", F.lit(len("/content/") + 1))).where("path <> ''").drop("href")
 
 
 def yaml_book(spark: SparkSession, text: str) -> DataFrame:

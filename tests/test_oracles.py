@@ -34,9 +34,4 @@ def test_query_matches_sql(spark, duck, name):
     columns = sorted(out.columns)
     want = duck.sql(f"SELECT {', '.join(f'\"{c}\"' for c in columns)} FROM ({ORACLES[name]})").fetchall()
     got = [tuple(r) for r in out.select(*[f"`{c}`" for c in columns]).collect()]
-    assert sorted(map(plain, got)) == sorted(map(plain, want))
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert sorted(map(plain, got), key=repr) == sorted(map(plain, want), key=repr)
