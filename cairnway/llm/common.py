@@ -31,15 +31,21 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and recorded in the session.
+    Only where it is unset and all of Spark runs on this machine (tests) a temporary folder is made and recorded in the session.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cairnway-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: What operators have written for themselves: folders, and (folder, table).
+WRITTEN: list[tuple[str, str | None]] = []
+
+
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -48,6 +54,7 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(at)
+    WRITTEN.append((at, None))
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -55,10 +62,25 @@ def bucketed(df: DataFrame, column: str, label: str) -> DataFrame:
     """Write ``df`` to the shared folder as a table bucketed by ``column``: joins and groups on it read it in place."""
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n, column).format("parquet").saveAsTable(name)
+    at = f"{shared_dir(spark)}/{name}"
+    df.write.option("path", at).option("compression", "zstd").bucketBy(n, column).format("parquet").saveAsTable(name)
+    WRITTEN.append((at, name))
     return spark.table(name)
 
 
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete what operators have written, from the ``since``-th of WRITTEN on, but for folders in ``keep``.
+
+    To be called once their results are written, as results are read from there until then.
+    """
+    for at, table_name in [w for w in WRITTEN[since:] if w[0] not in keep]:
+        if table_name:
+            spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        WRITTEN.remove((at, table_name))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows whose label may not be learned: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -205,7 +205,9 @@ def classified(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     # One text of each class becomes a set; texts travel once, dealt by id, which no group makes hot.
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("low"), text.alias("text"), c1.alias("t1"), c2.alias("t2"))
-    chosen = texts.repartition(parts, "low").join(classes, "low").where((F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")))
+    # Joined by id alone (the digests are compared apart from it), texts stay where the buckets of the sets want them.
+    same = F.col("t1").bitwiseXOR(F.col("c1")).bitwiseOR(F.col("t2").bitwiseXOR(F.col("c2"))) == 0
+    chosen = texts.repartition(parts, "low").join(classes, "low").where(same)
     sets = bucketed(_shingled(chosen, k, bands, rows), "node", "sets")
 
     banded = sets.select("node", "n", F.explode("keys").alias("bucket"))

@@ -2,11 +2,12 @@
 
 Trusted positives are training rows labelled good; the unlabelled side is web text drawn from all documents.  A small
 network minimises the non-negative unbiased risk ``p R+(positives) + max(0, R-(unlabelled) - p R-(positives))`` with logistic
-loss, where p is the class prior.  The prior is estimated from the training labels' share of good rows; where those hold
-one class only, from the mean score of trusted positives against unlabelled text (Elkan and Noto).
+loss, where p is the class prior.  The prior is estimated from trusted positives and unlabelled text alone: a network is fit to
+one half of both, the other half is scored, and p is the least ratio, over all thresholds, of the share of unlabelled rows
+to the share of trusted rows scored above (with a margin for few rows), since good text makes up no more than that.
 
 Bounds: ``MAX_ROWS`` positives and as many unlabelled rows, both in order of a hash of the id.  Labels of held-out rows are
-never read, and labels of bad rows serve the prior alone.  Scoring reads whole texts and needs no shuffle.
+never read, and labels of bad rows only for the share of good ones that the model reports beside the estimate.  Scoring reads whole texts and needs no shuffle.
 
 Edge cases: null and empty texts are scored like any other (features of a text without words); without positives the score
 is 0.5; a document labelled twice counts as good if either says so; rows may repeat; other columns are kept, one named
@@ -101,6 +102,20 @@ class Network:
         return 1 / (1 + np.exp(-self._run(self._scaled(x))[0]))
 
 
+def estimated_prior(good: np.ndarray, mixed: np.ndarray) -> float:
+    """The share of good rows in ``mixed``, from rows known to be good: best bin of held-out scores."""
+    ranker = Network().fit(good[::2], mixed[::2], 0.5, epochs=40)
+    p, u = ranker.score(good[1::2]), ranker.score(mixed[1::2])
+    if not len(p) or not len(u):
+        return 0.5
+    cuts = np.unique(np.quantile(np.concatenate([p, u]), np.linspace(0, 0.98, 200)))
+    above = lambda s: 1 - np.searchsorted(np.sort(s), cuts, side="left") / len(s)
+    share_p, share_u = np.maximum(above(p), 1e-9), above(u)
+    margin = np.sqrt(np.log(40) / (2 * len(u))) + np.sqrt(np.log(40) / (2 * len(p)))
+    best = int(((share_u + margin) / share_p).argmin())
+    return float(np.clip(share_u[best] / share_p[best], 0.05, 0.95))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     sample = labelled(docs, labels, "quality", 2 * max_rows)
     # The unlabelled side: ids are cheap to rank, and max_rows bounds what is broadcast.
@@ -116,12 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     good, bad, mixed = pick(1)[:max_rows], pick(0), pick(-1)
     if not len(good) or not len(mixed):
         return {"constant": 0.5}
-    if len(bad):
-        prior = (got.y == 1).sum() / ((got.y == 1).sum() + len(bad))
-    else:
-        first = Network().fit(good, mixed, 0.5)
-        prior = float(np.clip(first.score(mixed).mean() / max(first.score(good).mean(), 1e-6), 0.05, 0.95))
-    return {"network": Network().fit(good, mixed, float(prior)), "prior": float(prior)}
+    prior = estimated_prior(good, mixed)
+    share = float((got.y == 1).sum() / ((got.y == 1).sum() + len(bad)))
+    return {"network": Network().fit(good, mixed, prior), "prior": prior, "label_share": share}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -80,6 +80,31 @@ def test_near_duplicates_match_brute_force(spark, k):
     assert got == brute_components(rows, k)
 
 
+def test_near_duplicates_of_two_large_unlinked_families(spark):
+    """Two families share most of their words but no link; copies with many edits, copies of copies and cut texts stand at the threshold."""
+    rnd = random.Random(13)
+    common = prose(rnd, 50).split()
+    first, second = [*common, *prose(rnd, 25).split()], [*common, *prose(rnd, 25).split()]
+    few, rows, texts = prose(rnd, 6).split(), [], []
+    for i in range(110):
+        w = list(rnd.choice([first, second])) if i < 70 or not texts else list(rnd.choice(texts))
+        for _ in range(rnd.choice([0, 1, 2, 3, 4, 5])):
+            w[rnd.randrange(len(w))] = rnd.choice([*few, prose(rnd, 1)])
+        texts.append(w if rnd.random() < 0.8 else w[: rnd.randint(55, len(w))])
+        rows.append((i, " ".join(texts[-1]), "s"))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.components_of(documents(spark, rows), k=4).collect()}
+    want = brute_components(rows, 4)
+    assert got == want and len({c for _, c, _ in want.values()}) > 5
+
+
+def test_one_of_each_group_keeps_differing_texts_and_all_columns(spark):
+    text = "a b c d e f g h i j"
+    rows = [(1, text, "s"), (1, "wholly different words stand here now", "s"), (2, text, "t"), (None, text, "s"), (None, "alone without an id at all", "s"), (None, "alone without an id at all", "s"), (3, None, "s"), (4, " ", "s"), (5, text.upper(), "s"), (5, text.upper(), "s")]
+    out = minhash.one_of_each_group(documents(spark, rows).withColumn("c", F.lit(7)))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, text), (1, rows[1][1]), (None, rows[4][1]), (3, None), (4, " ")], key=repr)
+    assert "c" in out.columns and minhash.one_of_each_group(documents(spark, [])).count() == 0
+
+
 def test_near_duplicates_null_ids_repeats_and_empty(spark):
     rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (None, "a b c d e f", "s"), (2, "a b c d e f", "s")]
     got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in minhash.components_of(documents(spark, rows)).collect())
@@ -446,6 +471,20 @@ def test_secret_forest_without_path_column(spark):
 
 
 # -- pipeline --------------------------------------------------------------------------------------------------------------------
+def test_pipeline_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f", "web", "mine", 9, 0.5, 3), (None, None, None, None, None, None, None), (2, "x " * 30_000, "web", "other", 1, 0.1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, findings string, size int, score double, target int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        kept = {r.doc_id: (r.findings, r["size"], r.score, r.target) for r in out.collect()}
+        assert kept[1] == ("mine", 9, 0.5, 3)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
