@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 
 def shared_folder(spark) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
+    if not at:  # tests on one machine
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cairnway-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

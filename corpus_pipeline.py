@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnway.llm import bpe, minhash, mixing, queries, secrets, toxicity
-from cairnway.llm.common import small_batches, stored, table
+from cairnway.llm.common import WRITTEN, release, small_batches, stored, table
 
 TOXIC = 0.7
 USED = ("doc_id", "text", "source")
@@ -78,7 +78,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mine = table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, since=mine, keep=(WRITTEN[-1][0],))  # the stage's own tables and its input
     return STAGES[-1][1](spark, docs, sf_dir)
