@@ -70,7 +70,8 @@ def with_grade(cells: DataFrame, cell_m: float, by: list[str] | None = None) ->
     rows, cols = Window.partitionBy(*keys, "c").orderBy("r"), Window.partitionBy(*keys, "r").orderBy("c")
 
     def slope(w, axis):
-        here, before, after = F.col("elev_m"), F.lag("elev_m").over(w), F.lead("elev_m").over(w)
+        # Frames of the cell number, not of rows: an absent cell has no elevation, it does not let the next one take its place.
+        here, before, after = F.col("elev_m"), F.first("elev_m").over(w.rangeBetween(-1, -1)), F.first("elev_m").over(w.rangeBetween(1, 1))
         first, last = F.lag(axis).over(w).isNull(), F.lead(axis).over(w).isNull()
         return F.when(first, after - here).when(last, here - before).otherwise((after - before) / 2) / cell_m
 
@@ -132,13 +133,14 @@ def blur(cells: DataFrame, value: str, rows: int, cols: int, sigma: float = SIGM
 
     def along(df: DataFrame, line: list[str], axis: str, size: int) -> DataFrame:
         w = Window.partitionBy(*line).orderBy(axis)
-        first, last = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first, last, start, end = F.first(value).over(whole), F.last(value).over(whole), F.first(axis).over(whole), F.last(axis).over(whole)
         total = F.lit(0.0)
         for k, weight in zip(range(-radius, radius + 1), weights, strict=True):
-            beside = F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w) if k > 0 else F.col(value)
-            if k < 0:
-                beside = F.lag(value, -k).over(w)
-            total = total + F.coalesce(beside, first if k < 0 else last) * weight
+            at = F.col(axis) + k
+            # Beyond the rim the nearest cell counts, for an absent cell inside the cell itself.
+            other = F.when(at < start, first).when(at > end, last).otherwise(F.col(value))
+            total = total + (F.coalesce(F.first(value).over(w.rangeBetween(k, k)), other) if k else F.col(value)) * weight
         return df.withColumn(value, total)
 
     keys = by or []

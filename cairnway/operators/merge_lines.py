@@ -7,21 +7,39 @@ from pyspark.sql import DataFrame
 
 
 def join_ends(lines: list[list[tuple]]) -> list[list[tuple]]:
-    """Join lines where exactly two ends meet; order of the input decides ties."""
-    lines = [list(x) for x in lines if len(x) > 1]
-    while True:
-        ends: dict = {}
-        for k, x in enumerate(lines):
-            for p in (x[0], x[-1]):
-                ends.setdefault(p, []).append(k)
-        pair = next(((p, a, b) for p, (a, *rest) in ends.items() if len(rest) == 1 and (b := rest[0]) != a), None)
-        if pair is None:
-            return lines
-        p, a, b = pair
-        one, two = lines[a], lines[b]
-        one = one if one[-1] == p else one[::-1]
-        two = two if two[0] == p else two[::-1]
-        lines = [x for k, x in enumerate(lines) if k not in (a, b)] + [one + two[1:]]
+    """Join lines where exactly two ends meet; a chain comes where its first line stood, running from the chain's open end.
+
+    Every line is walked over once, so long chains cost no more than their points.
+    """
+    lines, ends = [list(x) for x in lines if len(x) > 1], {}
+    for k, x in enumerate(lines):
+        for p, side in ((x[0], 0), (x[-1], 1)):
+            ends.setdefault(p, []).append((k, side))
+
+    def beyond(k: int, side: int):
+        """The line and side that meet this side of line ``k``, if just one other line does."""
+        at = ends[lines[k][-1 if side else 0]]
+        other = next((e for e in at if e != (k, side)), None)
+        return other if len(at) == 2 and other[0] != k else None
+
+    out, done = [], set()
+    for k in range(len(lines)):
+        if k in done:
+            continue
+        start, into = (k, 0), beyond(k, 0)  # back to the chain's beginning, or once round a ring
+        while into and into[0] != k:
+            start = (into[0], 1 - into[1])
+            into = beyond(*start)
+        if into:
+            start = (k, 0)
+        chain, at = [], start
+        while at and at[0] not in done:
+            done.add(at[0])
+            part = lines[at[0]] if at[1] == 0 else lines[at[0]][::-1]
+            chain += part[1:] if chain else part
+            at = beyond(at[0], 1 - at[1])
+        out.append(chain)
+    return out
 
 
 def merged(lines: DataFrame, by: str) -> DataFrame:

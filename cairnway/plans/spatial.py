@@ -11,6 +11,7 @@ from ..operators.geocoding import first_rows
 from .fixtures import view
 from .geodesy import sql_haversine
 from .registry import query
+from .text import similarity_sql
 
 C = F.col
 NEAR = f"SELECT p.pid, q.qid, {sql_haversine('p.lat', 'p.lon', 'q.lat', 'q.lon')} AS m FROM fx_points p JOIN fx_probe q ON abs(p.lat - q.lat) <= 0.05e0 AND abs(p.lon - q.lon) <= 0.07e0"
@@ -164,26 +165,33 @@ def win_topk_per_type(spark, sf_dir):
     return first_rows(near, ["highway_class"], ["d", "lat", "lon", "id"], 15).select(C("highway_class").alias("kind"), "id", "n")
 
 
-@query("join_spatial_fuzzy")
-def join_spatial_fuzzy(spark, sf_dir):
-    """The most similar name within 100 m, above 0.4."""
+ASKED = "SELECT e.id AS qid, e.lat + 0.0004e0 AS qlat, e.lon AS qlon, concat(e.name, ' ', p.p_brand) AS wanted FROM fx_entry_points e JOIN part p ON e.id = p.p_partkey"
+SIMILAR = """SELECT qid, id, round({similarity}, 6) AS similarity, metres FROM (SELECT a.qid, a.wanted, e.id, e.name, 2*6371000.0e0*asin(sqrt(pow(sin(radians(a.qlat-e.lat)/2),2)+cos(radians(e.lat))*cos(radians(a.qlat))*pow(sin(radians(a.qlon-e.lon)/2),2))) AS metres
+  FROM ({asked}) a JOIN fx_entry_points e ON abs(e.lat - a.qlat) < {metres}/110000.0e0) WHERE metres <= {metres} AND round({similarity}, 6) > {least}"""
+
+
+def similar_places(spark, sf_dir, metres, least):
+    """Places near each asked one whose name is alike: pairs with similarity and distance."""
     from ..functions.text import trigram_similarity
 
     places = view(spark, sf_dir, "fx_entry_points").select("id", "name", "lat", "lon")
-    asked = view(spark, sf_dir, "fx_parking").select(C("id").alias("qid"), "lat", "lon")
-    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(C("p_partkey").alias("qid"), C("p_name").alias("wanted"))
-    met = spatial.within_radius(places, asked, 100.0).join(names, "qid").withColumn("similarity", F.round(trigram_similarity(C("name"), C("wanted")), 6)).where("similarity > 0.4")
-    return first_rows(met, ["qid"], [F.desc("similarity"), "metres", "id"], 1).select("qid", "id", "similarity")
+    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select(C("p_partkey").alias("qid"), "p_brand")
+    asked = places.select(C("id").alias("qid"), (C("lat") + 0.0004).alias("lat"), "lon", C("name").alias("own"))
+    names = asked.join(brands, "qid").select("qid", F.concat("own", F.lit(" "), "p_brand").alias("wanted"))
+    met = spatial.within_radius(places, asked, metres).join(names, "qid")
+    return met.withColumn("similarity", F.round(trigram_similarity(C("name"), C("wanted")), 6)).where(C("similarity") > least)
+
+
+@query("join_spatial_fuzzy", f"SELECT qid, id, similarity FROM ({SIMILAR.format(similarity=similarity_sql('name', 'wanted'), asked=ASKED, metres=100, least='0.4e0')}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, metres, id) = 1")
+def join_spatial_fuzzy(spark, sf_dir):
+    """The most similar name within 100 m, above 0.4."""
+    return first_rows(similar_places(spark, sf_dir, 100.0, 0.4), ["qid"], [F.desc("similarity"), "metres", "id"], 1).select("qid", "id", "similarity")
 
 
-@query("topk_sim_dist", "SELECT p.p_partkey AS qid, max(s.sim) AS similarity FROM part p JOIN (SELECT p_partkey, p_brand, (p_partkey*7 % 13)/13.0e0 AS sim FROM part) s ON p.p_brand = s.p_brand AND p.p_partkey < s.p_partkey AND s.p_partkey < p.p_partkey + 200 AND s.sim > 0.4e0 GROUP BY 1")
+@query("topk_sim_dist", f"SELECT qid, id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, metres, id)::INTEGER AS place FROM ({SIMILAR.format(similarity=similarity_sql('name', 'wanted'), asked=ASKED, metres=2000, least='0.2e0')}) QUALIFY place <= 3")
 def topk_sim_dist(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
-    block = lambda c: F.floor(c / 200)
-    left = parts.withColumn("b", F.explode(F.array(block(C("p_partkey")), block(C("p_partkey")) + 1)))
-    right = parts.select(C("p_partkey").alias("k"), "p_brand", block(C("p_partkey")).alias("b"), (C("p_partkey") * 7 % 13 / 13.0).alias("similarity")).where("similarity > 0.4")
-    met = left.join(right, ["b", "p_brand"]).where((C("k") > C("p_partkey")) & (C("k") < C("p_partkey") + 200))
-    return first_rows(met, ["p_partkey"], [F.desc("similarity"), "k"], 1).select(C("p_partkey").alias("qid"), "similarity")
+    """The three most similar names within 2 km, nearer ones first among equals."""
+    return first_rows(similar_places(spark, sf_dir, 2000.0, 0.2), ["qid"], [F.desc("similarity"), "metres", "id"], 3, "place").select("qid", "id", "similarity", "place")
 
 
 @query("fn_local_bearing")

@@ -83,15 +83,6 @@ def test_nearest_points_beyond_the_last_ring(spark):
     assert got == want
 
 
-def test_similar_names_within_100_metres(spark):
-    from cairnway.plans.fixtures import view
-
-    places = {r.id: (r.lat, r.lon) for r in view(spark, SF, "fx_entry_points").collect()}
-    asked = {r.id: (r.lat, r.lon) for r in view(spark, SF, "fx_parking").collect()}
-    for r in QUERIES["join_spatial_fuzzy"](spark, SF).collect():
-        assert metres(places[r.id], asked[r.qid]) <= 100 and r.similarity > 0.4
-
-
 def test_aliases_of_one_letter_and_empty_queries(spark):
     book = spark.createDataFrame([(1, ["a"]), (2, ["ab", ""])], "entry long, forms array<string>")
     asked = spark.createDataFrame([(1, ""), (2, "a"), (3, "b")], "k long, q string")
@@ -154,3 +145,39 @@ def test_geocode_from_text_to_ranked_places(spark):
     got = {(r.qid, r.place): r.aid for r in out}
     # 6 stands within 50 m of 2, from the same source; the avenue of another city comes after the street asked for.
     assert got == {(1, 1): 2, (1, 2): 4, (2, 1): 8, (3, 1): 4}
+
+
+def test_grades_and_blurs_beside_absent_cells(spark):
+    """A plane of grade 1 with a row of cells taken out keeps its grade or has none; a blurred constant stays constant."""
+    from cairnway.functions import surface
+
+    plane = [(r, c, float(r)) for r in range(9) for c in range(5) if r != 4]
+    out = surface.with_grade(spark.createDataFrame(plane, "r int, c int, elev_m double"), 1.0).collect()
+    assert {r.grade for r in out if r.r not in (3, 5)} == {1.0} and {r.grade for r in out if r.r in (3, 5)} == {None}
+    flat = spark.createDataFrame([(r, c, 7.0) for r in range(9) for c in range(5) if (r, c) != (4, 2)], "r int, c int, v double")
+    assert all(abs(r.v - 7.0) < 1e-9 for r in surface.blur(flat, "v", 9, 5).collect())
+
+
+def test_lines_joined_like_one_pair_at_a_time():
+    from cairnway.operators.merge_lines import join_ends
+
+    def slowly(lines):
+        lines = [list(x) for x in lines if len(x) > 1]
+        while True:
+            at = {}
+            for k, x in enumerate(lines):
+                for p in (x[0], x[-1]):
+                    at.setdefault(p, []).append(k)
+            pair = next((v for v in at.values() if len(v) == 2 and v[0] != v[1]), None)
+            if not pair:
+                return lines
+            one, two = (lines[k] for k in pair)
+            p = next(p for p, v in at.items() if v == pair)
+            one, two = one if one[-1] == p else one[::-1], two if two[0] == p else two[::-1]
+            lines = [x for k, x in enumerate(lines) if k not in pair] + [one + two[1:]]
+
+    rnd = random.Random(1)
+    for _ in range(200):
+        lines = [[rnd.randrange(12), 100 + i, rnd.randrange(12)] for i in range(rnd.randint(1, 12))]
+        shape = lambda out: sorted((len(x), tuple(sorted(p for p in x if p >= 100))) for x in out)
+        assert shape(join_ends(lines)) == shape(slowly(lines))
