@@ -85,10 +85,10 @@ def agg_extent(spark, sf_dir):
     return mvum(spark, sf_dir).agg(F.min(F.least("lon1", "lon2")).alias("xmin"), F.max(F.greatest("lon1", "lon2")).alias("xmax"), F.min(F.least("lat1", "lat2")).alias("ymin"), F.max(F.greatest("lat1", "lat2")).alias("ymax"))
 
 
-@query("union_roads_trails", "SELECT ogc_fid, 'road' AS kind FROM fx_mvum WHERE ogc_fid % 2 = 0 UNION ALL SELECT ogc_fid, 'trail' AS kind FROM fx_mvum WHERE ogc_fid % 3 = 0")
+@query("union_roads_trails", "SELECT ogc_fid, 'road' AS kind FROM fx_mvum WHERE atv IS NOT NULL UNION ALL SELECT ogc_fid, 'trail' AS kind FROM fx_mvum WHERE atv IS NULL")
 def union_roads_trails(spark, sf_dir):
     rows = mvum(spark, sf_dir)
-    return rows.where("ogc_fid % 2 = 0").select("ogc_fid", F.lit("road").alias("kind")).unionByName(rows.where("ogc_fid % 3 = 0").select("ogc_fid", F.lit("trail").alias("kind")))
+    return rows.where("atv is not null").select("ogc_fid", F.lit("road").alias("kind")).unionByName(rows.where("atv is null").select("ogc_fid", F.lit("trail").alias("kind")))
 
 
 @query("fn_exclude_selection", f"SELECT ogc_fid FROM (SELECT ogc_fid, {ROW} AS access, least(lat1, lat2) AS ymin, greatest(lat1, lat2) AS ymax, least(lon1, lon2) AS xmin, greatest(lon1, lon2) AS xmax FROM fx_mvum) WHERE access = false AND ymax >= 43.2e0 AND ymin <= 43.6e0 AND xmax >= -116.9e0 AND xmin <= -116.3e0 ORDER BY ogc_fid LIMIT 500")

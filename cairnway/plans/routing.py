@@ -155,18 +155,43 @@ def hpa_refine(spark, sf_dir):
     return routing.route(asked, graph.select("area", "a", "b", "w"), CHUNK).select("trip", F.posexplode("path").alias("i", "cell"))
 
 
-@query("hpa_gate", "SELECT qid, CASE WHEN qid % 7 = 0 THEN 'no_coverage' WHEN qid % 3 = 0 THEN 'boundary_mode' WHEN qid % 5 = 0 THEN 'affinity' WHEN qid % 11 = 0 THEN 'multi_region' END AS fallback_reason FROM fx_probe")
+COVERED = [(1, -8659, -8640), (2, -8630, -8600), (3, -8604, -8580)]
+
+
+@query(
+    "hpa_gate",
+    f"""SELECT q.qid, CASE WHEN count(m.db) = 0 THEN 'no_coverage' WHEN q.qid % 3 = 0 THEN 'boundary_mode' WHEN q.qid % 5 = 0 THEN 'affinity' WHEN count(m.db) > 1 THEN 'multi_region' END AS fallback_reason
+    FROM fx_probe q LEFT JOIN (VALUES {', '.join(map(str, COVERED))}) m(db, lo, hi) ON floor((q.lon + 0.05e0)/(1.5e0/111.0e0)) >= m.lo AND floor(q.lon/(1.5e0/111.0e0)) <= m.hi GROUP BY q.qid""",
+)
 def hpa_gate(spark, sf_dir):
-    dbs = F.when(C("qid") % 7 == 0, 0).when(C("qid") % 11 == 0, 2).otherwise(1)
+    """Why a trip cannot use precomputed costs: tables that cover its chunks are counted; boundary and affinity are its request's."""
+    from ..functions import geo
+
+    tables = spark.createDataFrame(COVERED, "db int, lo long, hi long")
+    lo, hi = geo.chunk(C("lon")), geo.chunk(C("lon") + 0.05)
+    dbs = view(spark, sf_dir, "fx_probe").join(F.broadcast(tables), (hi >= C("lo")) & (lo <= C("hi")), "left").groupBy("qid").agg(F.count("db").alias("dbs"))
     boundary, affinity = F.when(C("qid") % 3 == 0, "strict").otherwise("pragmatic"), F.when(C("qid") % 5 == 0, 0.8).otherwise(1.0)
-    reason = F.when(dbs == 0, "no_coverage").when(boundary != "pragmatic", "boundary_mode").when(affinity != 1.0, "affinity").when(dbs > 1, "multi_region")
-    return view(spark, sf_dir, "fx_probe").select("qid", reason.alias("fallback_reason"))
+    reason = F.when(C("dbs") == 0, "no_coverage").when(boundary != "pragmatic", "boundary_mode").when(affinity != 1.0, "affinity").when(C("dbs") > 1, "multi_region")
+    return dbs.select("qid", reason.alias("fallback_reason"))
+
+
+SNAP = """SELECT q.qid, min(2*6371000.0e0*asin(sqrt(pow(sin(radians(q.lat-e.lat)/2),2)+cos(radians(e.lat))*cos(radians(q.lat))*pow(sin(radians(q.lon-e.lon)/2),2)))) AS metres
+  FROM (SELECT qid, lat + {off} AS lat, lon + {off} AS lon FROM fx_probe) q CROSS JOIN fx_entry_points e GROUP BY q.qid"""
+
+
+def snap_metres(spark, sf_dir, off):
+    """How far the nearest entry point of the road network is from each probe, moved by ``off`` degrees."""
+    from ..operators.spatial import nearest
+
+    asked = view(spark, sf_dir, "fx_probe").select("qid", (C("lat") + off).alias("lat"), (C("lon") + off).alias("lon"))
+    return nearest(asked, view(spark, sf_dir, "fx_entry_points"), 1, (2_000.0, 8_000.0, 32_000.0), ["id"]).select("qid", "metres")
 
 
-@query("route_scenarios", "SELECT qid, CASE WHEN a <= 10 AND b <= 10 THEN 'D' WHEN a <= 10 THEN 'B' WHEN b <= 10 THEN 'A' ELSE 'C' END AS scenario FROM (SELECT qid, qid*13 % 29 AS a, qid*17 % 31 AS b FROM fx_probe)")
+@query("route_scenarios", f"SELECT qid, CASE WHEN a.metres <= 1000 AND b.metres <= 1000 THEN 'D' WHEN a.metres <= 1000 THEN 'B' WHEN b.metres <= 1000 THEN 'A' ELSE 'C' END AS scenario FROM ({SNAP.format(off='0.0e0')}) a JOIN ({SNAP.format(off='0.05e0')}) b USING (qid)")
 def route_scenarios(spark, sf_dir):
-    on_start, on_end = C("qid") * 13 % 29 <= 10, C("qid") * 17 % 31 <= 10
-    return view(spark, sf_dir, "fx_probe").select("qid", F.when(on_start & on_end, "D").when(on_start, "B").when(on_end, "A").otherwise("C").alias("scenario"))
+    """Which ends of a trip stand on the network: both (D), the start (B), the end (A) or none (C)."""
+    start, end = snap_metres(spark, sf_dir, 0.0).select("qid", (C("metres") <= 1000).alias("on_start")), snap_metres(spark, sf_dir, 0.05).select("qid", (C("metres") <= 1000).alias("on_end"))
+    return start.join(end, "qid").select("qid", F.when(C("on_start") & C("on_end"), "D").when(C("on_start"), "B").when(C("on_end"), "A").otherwise("C").alias("scenario"))
 
 
 NEEDED = "SELECT DISTINCT CAST(floor(lon/(1.5e0/111.0e0)) AS BIGINT) AS cx, CAST(floor(lat/(1.5e0/111.0e0)) AS BIGINT) AS cy FROM fx_points"

@@ -65,11 +65,13 @@ def scan_manifest(spark, sf_dir):
     return readers.manifest(spark, document).select("ord", "name", "min_x", "max_x")
 
 
-@query("src_nominatim_overpass", "SELECT p.pid, CASE WHEN p.pid % 3 = 0 THEN 'primary' WHEN p.pid % 3 = 1 THEN 'fallback' END AS source FROM fx_points p")
+@query("src_nominatim_overpass", "SELECT id, CASE WHEN category = 'BUILDING' THEN 'primary' WHEN category IN ('MACHINERY', 'FURNITURE') AND phone <> '' THEN 'fallback' END AS source FROM fx_contacts")
 def src_nominatim_overpass(spark, sf_dir):
-    points = view(spark, sf_dir, "fx_points").select("pid")
-    first, second = points.where("pid % 3 = 0").select("pid", F.lit("primary").alias("one")), points.where("pid % 3 = 1").select("pid", F.lit("fallback").alias("two"))
-    return points.join(first, "pid", "left").join(second, "pid", "left").select("pid", F.coalesce("one", "two").alias("source"))
+    """Details from the first source that has an answer for a place; both are input tables."""
+    places = view(spark, sf_dir, "fx_contacts").select("id", "category", "phone")
+    first = places.where("category = 'BUILDING'").select("id", F.lit("primary").alias("one"))
+    second = places.where("category in ('BUILDING', 'MACHINERY', 'FURNITURE') and phone <> ''").select("id", F.lit("fallback").alias("two"))
+    return places.select("id").join(first, "id", "left").join(second, "id", "left").select("id", F.coalesce("one", "two").alias("source"))
 
 
 @query("src_photon", "SELECT qid, count(*)::BIGINT AS features FROM fx_queries q JOIN fx_addresses a ON q.number = a.number GROUP BY qid")

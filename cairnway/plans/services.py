@@ -27,9 +27,10 @@ def landclass_is_private(spark, sf_dir):
     return points.select("pid").join(hit, "pid", "left").select("pid", C("hit").isNull().alias("is_private"))
 
 
-@query("fn_parse_coords_fe", "SELECT pid, true AS ok FROM fx_points")
+@query("fn_parse_coords_fe", "SELECT pid, round(lat, 6) AS lat, round(lon, 6) AS lon FROM fx_points")
 def fn_parse_coords_fe(spark, sf_dir):
     from ..functions.text import parse_coords
 
     shown = F.concat(F.lit("  "), C("lat").cast("string"), F.lit(", "), C("lon").cast("string"))
-    return view(spark, sf_dir, "fx_points").select("pid", parse_coords(shown).isNotNull().alias("ok"))
+    at = parse_coords(shown)
+    return view(spark, sf_dir, "fx_points").select("pid", F.round(at["lat"], 6).alias("lat"), F.round(at["lon"], 6).alias("lon"))
