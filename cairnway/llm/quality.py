@@ -111,7 +111,7 @@ def estimated_prior(good: np.ndarray, mixed: np.ndarray) -> float:
     cuts = np.unique(np.quantile(np.concatenate([p, u]), np.linspace(0, 0.98, 200)))
     above = lambda s: 1 - np.searchsorted(np.sort(s), cuts, side="left") / len(s)
     share_p, share_u = np.maximum(above(p), 1e-9), above(u)
-    margin = np.sqrt(np.log(40) / (2 * len(u))) + np.sqrt(np.log(40) / (2 * len(p)))
+    margin = 0.5 * (len(u) ** -0.5 + len(p) ** -0.5)
     best = int(((share_u + margin) / share_p).argmin())
     return float(np.clip(share_u[best] / share_p[best], 0.05, 0.95))
 

@@ -38,15 +38,17 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name, cut", [("op3_toxicity", 0.7), ("op7_quality", 0.5)])
-def test_classifier_queries(spark, duck, documents, name, cut):
-    out = QUERIES[name](spark, SF).collect()
-    assert {r.doc_id for r in out} == set(documents) and len(out) == len(documents)
+def test_classifier_queries(spark, duck, name, cut):
+    """On the next larger tables: a few dozen labels are too few to hold a classifier to its figure."""
+    larger = SF.replace("0.001", "0.01")
+    out, ids = QUERIES[name](spark, larger).collect(), duck.sql(f"SELECT doc_id FROM '{larger}/documents.parquet'").fetchall()
+    assert sorted(r.doc_id for r in out) == sorted(i for i, in ids)
     for r in out:
         assert r.held_out == (crc32(str(r.doc_id).encode()) % 3 == 1)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= cut)
-    truth = dict(duck.sql(f"SELECT doc_id, {'toxic' if name.startswith('op3') else 'quality'} FROM labels").fetchall())
+    truth = dict(duck.sql(f"SELECT doc_id, {'toxic' if name.startswith('op3') else 'quality'} FROM '{larger}/labels.parquet'").fetchall())
     known = [r for r in out if r.held_out and truth.get(r.doc_id) is not None]
-    assert sum(r.predicted == truth[r.doc_id] for r in known) >= 0.85 * len(known)
+    assert sum(r.predicted == truth[r.doc_id] for r in known) >= 0.95 * len(known)
 
 
 def test_bpe_query_equals_the_library(spark, documents):
