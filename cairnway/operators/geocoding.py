@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, text
+from ..sources.writers import rewritten
 
 C = F.col
 #: What each signal weighs.
@@ -155,7 +156,8 @@ def drop_close(pairs: DataFrame, metres: float) -> DataFrame:
 
 def geocode(asked: DataFrame, column: str, addresses: DataFrame, limit: int) -> DataFrame:
     """``asked`` (qid, text) -> ranked candidates: addresses by number and street, localities by city, postcodes by zip code."""
-    parsed = classify(asked, column).select("qid", "intent", "number", "street", "city", "state", "zipcode", text.tokens(C(column)).alias("w"))
+    # Written, so that three retrievals do not parse three times, nor scoring and ranking retrieve twice.
+    parsed = rewritten(classify(asked, column).select("qid", "intent", "number", "street", "city", "state", "zipcode", text.tokens(C(column)).alias("w")), "parsed")
     by_number = candidates(parsed.where(C("intent") == "ADDRESS"), addresses)
     blank = [F.lit(None).cast("string").alias(c) for c in ("qn", "qs")]
     a = addresses.select("aid", "number", "street", "city", "state", "zipcode", "lat", "lon")
@@ -167,7 +169,7 @@ def geocode(asked: DataFrame, column: str, addresses: DataFrame, limit: int) ->
 
     local = by("LOCALITY", F.upper(F.array_join(F.slice("w", F.lit(1), F.size("w") - 1), " ")), "city")
     postal = by("POSTCODE", C("zipcode"), "zipcode").withColumn("qc", F.lit(None).cast("string"))
-    pairs = by_number.unionByName(local).unionByName(postal)
+    pairs = rewritten(by_number.unionByName(local).unionByName(postal), "retrieved")
     kept = drop_close(pairs, 50.0).select("qid", "aid")
     return rerank(score(pairs.join(kept, ["qid", "aid"], "left_semi")), limit)
 
