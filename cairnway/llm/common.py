@@ -81,9 +81,9 @@ def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) ->
         WRITTEN.remove((at, table_name))
 
 
-def held_out(doc_id: Column) -> Column:
-    """True for rows whose label may not be learned: crc32 of the id as text, modulo 3, is 1."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+def held_out(doc_id: Column, folds: int = 3) -> Column:
+    """True for rows that may not be learned from: crc32 of the id as text, modulo ``folds``, is 1."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 1, F.lit(False))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -1,11 +1,11 @@
-"""The ten queries over the synthetic tables, and their SQL where SQL can express them."""
+"""The queries over the synthetic tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprints, minhash, mixing, quality, secrets, topk_search, toxicity, warc
+from . import bpe, chat_format, fingerprints, lm_scoring, minhash, mixing, quality, secrets, topk_search, toxicity, warc
 from .common import held_out, small_batches, table
 
 CONVERSATION = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
@@ -101,6 +101,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -120,4 +125,5 @@ def queries():
         "op8_warc": op8_warc,
         "op9_fingerprints": op9_fingerprints,
         "op10_secret_scans": op10_secret_scans,
+        "op12_lm_scoring": op12_lm_scoring,
     }
