@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprints, lm_scoring, minhash, mixing, quality, secrets, topk_search, toxicity, warc
+from . import bpe, chat_format, fingerprints, lm_scoring, minhash, mixing, quality, repair, secrets, topk_search, toxicity, warc
 from .common import held_out, small_batches, table
 
 CONVERSATION = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
@@ -106,6 +106,11 @@ def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+    return out.withColumn("repaired_sha256", repair.digest(F.col("repaired"))).drop("repaired")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,4 +131,5 @@ def queries():
         "op9_fingerprints": op9_fingerprints,
         "op10_secret_scans": op10_secret_scans,
         "op12_lm_scoring": op12_lm_scoring,
+        "op13_conversation_repair": op13_conversation_repair,
     }
