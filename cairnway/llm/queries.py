@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprints, lm_scoring, minhash, mixing, quality, repair, secrets, topk_search, toxicity, warc
+from . import bpe, chat_format, fingerprints, lm_scoring, minhash, mixing, quality, repair, secrets, topk_search, toxicity, warc, whitening
 from .common import held_out, small_batches, table
 
 CONVERSATION = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
@@ -101,6 +101,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -130,6 +134,7 @@ def queries():
         "op8_warc": op8_warc,
         "op9_fingerprints": op9_fingerprints,
         "op10_secret_scans": op10_secret_scans,
+        "op11_embedding_whitening": op11_embedding_whitening,
         "op12_lm_scoring": op12_lm_scoring,
         "op13_conversation_repair": op13_conversation_repair,
     }
