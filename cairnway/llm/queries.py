@@ -112,7 +112,7 @@ def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
-    return out.withColumn("repaired_sha256", repair.digest(F.col("repaired"))).drop("repaired")
+    return out.withColumn("repaired_sha256", repair.digest(F.col("repaired"))).drop("turns", "repaired")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
