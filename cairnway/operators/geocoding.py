@@ -4,25 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geo, text
 from ..sources.writers import rewritten
+from . import retrieval
+from .ranking import first_rows
+from .spatial import within_radius
 
 C = F.col
 #: What each signal weighs.
 WEIGHTS = {"housenumber_exact": 6.0, "housenumber_mismatch": -5.0, "street_name_fuzz": 3.0, "token_coverage": 2.0, "street_type_match": 1.5, "locality_fuzz": 2.0, "source_authority": 2.0, "layer_rank": 1.0, "position": 1.0, "state_exact": 1.0, "poi_class_boost": 3.0, "highway_class_penalty": -4.0}
 #: Classes of places that are businesses, and of ways.
 BUSINESS, WAYS = ("amenity", "shop", "tourism", "leisure", "office", "craft"), ("highway", "route")
-#: Candidates that retrieval returns for a query.
-RETRIEVED = 50
-
-
-def first_rows(rows: DataFrame, by: list[str], order: list, n: int, name: str = "n") -> DataFrame:
-    """The first ``n`` rows of each group, numbered; Spark keeps only n rows a group and task before it shuffles."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)
-
-
 def _words(q: Column) -> Column:
     return F.filter(F.split(q, r"[,\s]+"), lambda t: t != "")
 
@@ -63,32 +56,67 @@ def fix_directional(rows: DataFrame, column: str) -> DataFrame:
     return rows.select("*", F.get(w, F.lit(0)).alias("number"), F.when(turned, F.concat_ws(" ", F.get(w, F.lit(1)), F.get(w, F.lit(2)))).otherwise(rest(2)).alias("street"), F.when(turned, rest(4)).alias("city"))
 
 
-def exact_addresses(queries: DataFrame, addresses: DataFrame, limit: int) -> DataFrame:
-    """Number and street have to match; city, state and zip code where the query has them."""
-    q = queries.select("qid", F.upper(F.trim("number")).alias("number"), F.upper(F.trim("street")).alias("street"), F.upper("city").alias("qcity"), F.upper("state").alias("qstate"), C("zipcode").alias("qzip"))
+def exact_addresses(queries: DataFrame, addresses: DataFrame, limit: int, near: bool = False) -> DataFrame:
+    """Number and street have to match; city, state and zip code where the query has them.  The limit comes after all of them.
+
+    With ``near`` the addresses nearest to the query's own place (``lat``, ``lon``) come first, else those of least id.
+    """
+    q = queries.select("qid", F.upper(F.trim("number")).alias("number"), F.upper(F.trim("street")).alias("street"), F.upper("city").alias("qcity"), F.upper("state").alias("qstate"), C("zipcode").alias("qzip"), *[C(c).alias("q" + c) for c in ("lat", "lon") if near])
     met = q.join(addresses, ["number", "street"])
     optional = lambda a, b: a.isNull() | (a == b)
     met = met.where(optional(C("qcity"), C("city")) & optional(C("qstate"), C("state")) & optional(C("qzip"), C("zipcode")))
-    return first_rows(met, ["qid"], ["aid"], limit)
+    return first_rows(met, ["qid"], [*([squared_degrees().asc_nulls_last()] if near else []), "aid"], limit)
 
 
-def candidates(queries: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Addresses of the query's house number and street beginning (its first word), RETRIEVED of them at most, as retrieved.
+def squared_degrees() -> Column:
+    return (C("lat") - C("qlat")) * (C("lat") - C("qlat")) + (C("lon") - C("qlon")) * (C("lon") - C("qlon"))
+
+
+def by_zip(queries: DataFrame, addresses: DataFrame, limit: int, near: bool = False) -> DataFrame:
+    """Addresses of the query's zip code.  Without a place of the query they are the same for all that ask for the code, so the
+    first ``limit`` of each code are found before queries meet them."""
+    q = queries.where("zipcode is not null").select("qid", "zipcode", *[C(c).alias("q" + c) for c in ("lat", "lon") if near])
+    if near:
+        return first_rows(q.join(addresses, "zipcode"), ["qid"], [squared_degrees().asc_nulls_last(), "aid"], limit)
+    return first_rows(q.join(first_rows(addresses, ["zipcode"], ["aid"], limit, "nth").drop("nth"), "zipcode"), ["qid"], ["aid"], limit)
+
+
+#: Columns of a candidate beside qid and what the query asked for.
+FOUND = ("source", "id", "name", "type", "osm_key", "number", "street", "city", "state", "lat", "lon", "rank", "source_order", "position")
 
-    A query is of a street, so it meets the addresses of that street and number only, however many share the number.
-    """
-    first = lambda c: F.upper(F.split(F.trim(c), r"\s+")[0])
-    q = queries.select("qid", C("number").alias("qn"), C("street").alias("qs"), C("city").alias("qc"), C("state").alias("qst"), first(C("street")).alias("block"))
-    a = addresses.select("aid", "number", "street", "city", "state", "lat", "lon", first(C("street")).alias("block"))
-    met = q.join(a, (C("qn") == C("number")) & (q["block"] == a["block"])).drop("block")
-    return labelled(first_rows(met, ["qid"], ["aid"], RETRIEVED, "rank").withColumn("rank", C("rank") - 1))
 
+def of_addresses(rows: DataFrame) -> DataFrame:
+    none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
+    name = F.concat_ws(" ", "number", "street", "city", "state", "zipcode")
+    return rows.select("qid", F.lit("addresses").alias("source"), C("aid").alias("id"), name.alias("name"), F.lit("street_address").alias("type"), none("osm_key"), "number", "street", "city", "state", "lat", "lon", none("rank", "int"), F.lit(1).alias("source_order"), (C("n") - 1).alias("position"))
 
-def labelled(met: DataFrame) -> DataFrame:
-    """Where candidates come from and what they are: even ids from the address table, odd ones features of a class."""
-    even = C("aid") % 2 == 0
-    out = met.withColumn("source", F.when(even, "addresses").otherwise("features")).withColumn("osm_key", F.when(~even, F.when(C("aid") % 7 == 1, "amenity").when(C("aid") % 7 == 3, "highway").otherwise("place")))
-    return out.withColumn("type", F.when(even, "street_address").when(C("osm_key") == "amenity", "poi").otherwise("street")).withColumn("intent", F.lit("ADDRESS"))
+
+def of_features(hits: DataFrame, features: DataFrame, source_order: int) -> DataFrame:
+    """(qid, fid, position) with what the features say; a locality's name is its city."""
+    kind = text.feature_type(C("osm_key"), C("osm_value"), C("type"), C("housenumber"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    shown = text.display_name(C("housenumber"), C("street"), C("name"), C("city"), C("county"), C("state"), C("country"))
+    f = features.select(C("fid").alias("id"), shown.alias("name"), kind.alias("type"), "osm_key", C("housenumber").alias("number"), "street", F.when((blank(C("city")) == "") & (kind == "locality"), C("name")).otherwise(C("city")).alias("city"), "state", "lat", "lon")
+    return hits.select("qid", C("fid").alias("id"), C("position").alias("rank"), F.lit(source_order).alias("source_order"), "position").join(f, "id").select("qid", F.lit("features").alias("source"), *FOUND[1:])
+
+
+def candidates(parsed: DataFrame, addresses: DataFrame, features: DataFrame, limit: int, index: retrieval.Index | None = None) -> DataFrame:
+    """Candidates of parsed queries (qid, q, intent, number, street, city, state, zipcode, lat, lon, zoom) from each source.
+
+    Addresses by number and street or by zip code, features by free text and by street; every limit is on results in order of
+    what makes them fit, after all filters.  ``aid`` and ``fid`` are ids, ``rank`` is a feature's place in its list.
+    """
+    index = index or retrieval.Index.of(features)
+    at = lambda *intents: C("intent").isin(*intents)
+    exact = exact_addresses(parsed.where(at("ADDRESS")), addresses, limit, near=True)
+    postal = by_zip(parsed.where(at("POSTCODE")), addresses, limit, near=True)
+    columns = ["qid", "aid", "number", "street", "city", "state", "zipcode", "lat", "lon", "n"]
+    text_hits = retrieval.free_text(parsed.where(~at("COORD")), index, limit)
+    street_hits = retrieval.structured(parsed.where(at("ADDRESS")), features, 5)
+    found = of_addresses(exact.select(columns).unionByName(postal.select(columns)))
+    found = found.unionByName(of_features(text_hits, features, 2)).unionByName(of_features(street_hits, features, 3))
+    asked = parsed.select("qid", "intent", C("q").alias("asked"), C("number").alias("qn"), C("street").alias("qs"), C("city").alias("qc"), C("state").alias("qst"))
+    return found.join(asked, "qid")
 
 
 def score(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -100,26 +128,27 @@ def score(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
     w = WEIGHTS
     qs, cs = text.expand_street(C("qs")), text.expand_street(C("street"))
     types = F.array(*[F.lit(t) for t in sorted(set(text.STREET_TYPES.values()))])
-    shown = F.concat(C("number"), F.lit(" "), C("street"), F.lit(", "), C("city"))
-    asked = F.concat_ws(" ", "qn", "qs", "qc")
+    asked, upper = C("asked"), lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
+    qn, number, street = upper(C("qn")), upper(C("number")), C("street").isNotNull() & C("qs").isNotNull()
+    addressed = (C("intent") == "ADDRESS") & qn.isNotNull()
     roads = F.array(*[F.lit(t) for t in text.ROAD_WORDS])
     business = ~C("intent").isin("LOCALITY", "POSTCODE", "COORD") & ~F.arrays_overlap(F.split(F.lower(asked), r"[,\s]+"), roads)
     of_kind = lambda intent, kind: (C("intent") == intent) & (C("type") == kind)
     signals = {
-        "housenumber_exact": F.when(C("qn") == C("number"), w["housenumber_exact"]),
-        "housenumber_mismatch": F.when(C("qn") != C("number"), w["housenumber_mismatch"]),
-        "street_type_match": F.when(F.arrays_overlap(F.array_intersect(F.split(qs, " "), types), F.split(cs, " ")), w["street_type_match"]),
-        "token_coverage": text.token_coverage(asked, shown) * w["token_coverage"],
-        "state_exact": F.when(F.upper("qst") == C("state"), w["state_exact"]),
+        "housenumber_exact": F.when(addressed & (qn == number), w["housenumber_exact"]),
+        "housenumber_mismatch": F.when(addressed & (qn != number), w["housenumber_mismatch"]),
+        "street_type_match": F.when(street & F.arrays_overlap(F.array_intersect(F.split(qs, " "), types), F.split(cs, " ")), w["street_type_match"]),
+        "token_coverage": text.token_coverage(asked, C("name")) * w["token_coverage"],
+        "state_exact": F.when(upper(C("qst")) == upper(C("state")), w["state_exact"]),
         "source_authority": F.when((C("source") == "addresses") & (C("intent") == "ADDRESS"), w["source_authority"]),
         "layer_rank": F.when(of_kind("ADDRESS", "street_address") | of_kind("LOCALITY", "locality") | of_kind("POI", "poi"), w["layer_rank"]),
         "poi_class_boost": F.when(business & C("osm_key").isin(*BUSINESS), w["poi_class_boost"]),
         "highway_class_penalty": F.when(business & C("osm_key").isin(*WAYS), w["highway_class_penalty"]),
-        "position": F.when(C("source") == "features", F.greatest(F.lit(0.0), 1.0 - C("rank") / 10.0) * w["position"]),
+        "position": F.when(C("rank").isNotNull(), F.greatest(F.lit(0.0), 1.0 - C("rank") / 10.0) * w["position"]),
     }
     if fuzzy:
-        signals["street_name_fuzz"] = text.token_sort_ratio(qs, cs) / 100.0 * w["street_name_fuzz"]
-        signals["locality_fuzz"] = F.when(C("qc").isNotNull(), text.indel_ratio(F.upper("qc"), C("city")) / 100.0 * w["locality_fuzz"])
+        signals["street_name_fuzz"] = F.when(street, text.token_sort_ratio(qs, cs) / 100.0 * w["street_name_fuzz"])
+        signals["locality_fuzz"] = text.indel_ratio(upper(C("qc")), upper(C("city"))) / 100.0 * w["locality_fuzz"]
     total = F.lit(0.0)
     for s in signals.values():
         total = total + F.coalesce(s, F.lit(0.0))
@@ -130,48 +159,82 @@ def score(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
 def rerank(scored: DataFrame, limit: int) -> DataFrame:
     """Best scores first, ties as retrieved; with place and confidence."""
     rounded = scored.withColumn("score", F.round("score", 2))
-    return first_rows(rounded, ["qid"], [F.desc("score"), "rank"], limit, "place").withColumn("confidence", text.confidence(C("score")))
+    return first_rows(rounded, ["qid"], [F.desc("score"), "source_order", "position"], limit, "place").withColumn("confidence", text.confidence(C("score")))
 
 
 def match_code(pairs: DataFrame) -> DataFrame:
+    """matched, unmatched, or inferred where the candidate does not say; null where the query does not ask."""
+    upper = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
     close = lambda r: F.when(r > 80.0, "matched").otherwise("unmatched")
-    number = F.when(C("qn") == C("number"), "matched").when(C("number").isNotNull(), "unmatched").otherwise("inferred")
-    street = F.when(C("qs").isNotNull(), close(text.token_sort_ratio(text.expand_street(C("qs")), text.expand_street(C("street")))))
-    city = F.when(C("qc").isNotNull(), close(text.indel_ratio(F.upper("qc"), C("city"))))
-    return pairs.withColumn("match_number", number).withColumn("match_street", street).withColumn("match_city", city)
+
+    def code(asked: Column, found: Column, told: Column) -> Column:
+        return F.when((C("intent") == "ADDRESS") & asked.isNotNull(), F.when(found.isNull(), "inferred").otherwise(told))
+
+    qn, number, qs, street, qc, city = (upper(C(c)) for c in ("qn", "number", "qs", "street", "qc", "city"))
+    street_ratio = text.token_sort_ratio(text.expand_street(C("qs")), text.expand_street(C("street")))
+    out = pairs.withColumn("match_number", code(qn, number, F.when(qn == number, "matched").otherwise("unmatched")))
+    return out.withColumn("match_street", code(qs, street, close(street_ratio))).withColumn("match_city", code(qc, city, close(text.indel_ratio(qc, city))))
 
 
 def drop_close(pairs: DataFrame, metres: float) -> DataFrame:
     """Greedy: a candidate goes if one kept before it, of the same source, is nearer than ``metres``.
 
-    Order matters and closeness is not transitive, so a query's candidates are folded in order of rank; a query's list is
-    bounded by what retrieval returns for it (RETRIEVED).
+    Order matters and closeness is not transitive, so a query's candidates are folded in their order; a query's list is as
+    long as what the sources' limits let through.  All columns go through the fold: nothing is joined again.
     """
-    item = F.struct("rank", "aid", "source", "lat", "lon")
+    item = F.struct("source_order", "position", *[c for c in pairs.columns if c not in ("qid", "source_order", "position")])
     lists = pairs.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("all"))
     near = lambda a, b: (a["source"] == b["source"]) & (geo.haversine(a["lat"], a["lon"], b["lat"], b["lon"]) < metres)
     kept = F.aggregate("all", F.filter("all", lambda _: F.lit(False)), lambda s, c: F.when(F.exists(s, lambda k: near(k, c)), s).otherwise(F.concat(s, F.array(c))))
     return lists.select("qid", F.explode(kept).alias("k")).select("qid", "k.*")
 
 
-def geocode(asked: DataFrame, column: str, addresses: DataFrame, limit: int) -> DataFrame:
-    """``asked`` (qid, text) -> ranked candidates: addresses by number and street, localities by city, postcodes by zip code."""
-    # Written, so that three retrievals do not parse three times, nor scoring and ranking retrieve twice.
-    parsed = rewritten(classify(asked, column).select("qid", "intent", "number", "street", "city", "state", "zipcode", text.tokens(C(column)).alias("w")), "parsed")
-    by_number = candidates(parsed.where(C("intent") == "ADDRESS"), addresses)
-    blank = [F.lit(None).cast("string").alias(c) for c in ("qn", "qs")]
-    a = addresses.select("aid", "number", "street", "city", "state", "zipcode", "lat", "lon")
-
-    def by(intent: str, key: Column, column_: str) -> DataFrame:
-        q = parsed.where(C("intent") == intent).select("qid", *blank, key.alias("qc"), C("state").alias("qst"), key.alias("key"))
-        met = first_rows(q.join(first_rows(a, [column_], ["aid"], RETRIEVED, "nth").drop("nth"), C("key") == C(column_)), ["qid"], ["aid"], RETRIEVED, "rank")
-        return labelled(met.withColumn("rank", C("rank") - 1).drop("key", "zipcode")).withColumn("intent", F.lit(intent))
-
-    local = by("LOCALITY", F.upper(F.array_join(F.slice("w", F.lit(1), F.size("w") - 1), " ")), "city")
-    postal = by("POSTCODE", C("zipcode"), "zipcode").withColumn("qc", F.lit(None).cast("string"))
-    pairs = rewritten(by_number.unionByName(local).unionByName(postal), "retrieved")
-    kept = drop_close(pairs, 50.0).select("qid", "aid")
-    return rerank(score(pairs.join(kept, ["qid", "aid"], "left_semi")), limit)
+#: What geocoding returns for a query, in order of place.
+RESULT = ("qid", "intent", "source", "id", "name", "type", "lat", "lon", "score", "place", "confidence", "match_number", "match_street", "match_city", "labeled_as")
+
+
+def geocode(asked: DataFrame, addresses: DataFrame, features: DataFrame, limit: int, book: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
+    """``asked`` (qid, q, and if wanted lat, lon, zoom) -> RESULT: at most ``limit`` ranked places of each query.
+
+    Coordinates answer themselves; a single word that an address ``book`` (entry, name, forms, lat, lon) knows is that entry; other
+    texts are parsed, retrieved from each source, cleared of doubles within 50 m, scored and ranked, and places within 75 m of a
+    book's entry carry its name.  Equal questions are worked out once.
+    """
+    place = [C(c).cast(kind).alias(c) if c in asked.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("lat", "double"), ("lon", "double"), ("zoom", "int"))]
+    rows = rewritten(asked.select(C("qid").alias("of"), F.trim("q").alias("q"), *place), "asked")
+    same = ["q", "lat", "lon", "zoom"]
+    distinct = rewritten(rows.where("q <> ''").select(*same).distinct().select(F.monotonically_increasing_id().alias("qid"), *same), "distinct")
+    parsed = rewritten(classify(distinct, "q"), "parsed")
+    none = {"lat": "double", "lon": "double", "score": "double", **{f"match_{c}": "string" for c in ("number", "street", "city")}}
+    filled = lambda df: df.select(*[C(c) if c in df.columns else F.lit(None).cast(none.get(c, "string")).alias(c) for c in RESULT[:-1]])
+    spot = text.parse_coords(C("q"))
+    fixed = parsed.where(C("intent") == "COORD").select("qid", "intent", F.lit("coordinates").alias("source"), F.lit(None).cast("long").alias("id"), C("q").alias("name"), F.lit("coordinates").alias("type"), spot["lat"].alias("lat"), spot["lon"].alias("lon"), F.lit(1).alias("place"), F.lit("exact").alias("confidence"))
+    rest = parsed.where(C("intent") != "COORD")
+    if book is not None:
+        single = rest.select("qid", text.normalize(C("q")).alias("q")).where(~F.contains("q", F.lit(" ")))
+        known = match_aliases(single, book, "qid").where("confidence = 'exact'").join(book.where("lat is not null and lon is not null").select("entry", "name", "lat", "lon"), "entry")
+        known = rewritten(known, "nicknames")
+        fixed = fixed.unionByName(known.join(parsed.select("qid", "intent"), "qid").select("qid", "intent", F.lit("address_book").alias("source"), C("entry").cast("long").alias("id"), "name", F.lit("nickname").alias("type"), "lat", "lon", F.lit(1).alias("place"), F.lit("exact").alias("confidence")))
+        rest = rest.join(known.select("qid"), "qid", "left_anti")
+    pairs = rewritten(candidates(rest, addresses, features, limit), "retrieved")
+    ranked = match_code(rerank(score(drop_close(pairs, 50.0), fuzzy), limit))
+    out = filled(ranked).unionByName(filled(fixed))
+    if book is not None:
+        out = rewritten(out, "ranked")
+        out = out.join(labels(out, book), ["qid", "place"], "left")
+    else:
+        out = out.withColumn("labeled_as", F.lit(None).cast("string"))
+    equal = [rows[c].eqNullSafe(distinct[c]) for c in same]
+    back = rows.join(distinct, equal).select("of", "qid")
+    return back.join(out, "qid").select(C("of").alias("qid"), *RESULT[1:])
+
+
+def labels(found: DataFrame, book: DataFrame, metres: float = 75.0) -> DataFrame:
+    """(qid, place) -> the name of the first entry of the book within ``metres``."""
+    spots = found.where("lat is not null and lon is not null").select(F.struct("qid", "place").alias("pid"), "lat", "lon")
+    entries = book.where("lat is not null and lon is not null").select(C("entry").alias("qid"), "lat", "lon")
+    first = within_radius(spots, entries, metres).groupBy("pid").agg(F.min("qid").alias("entry"))
+    return first.join(book.select("entry", C("name").alias("labeled_as")), "entry").select("pid.qid", "pid.place", "labeled_as")
 
 
 def match_aliases(asked: DataFrame, book: DataFrame, key: str) -> DataFrame:

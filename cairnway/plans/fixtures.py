@@ -25,6 +25,12 @@ VIEWS = {
         "CASE s_suppkey % 3 WHEN 0 THEN 'Boise' WHEN 1 THEN 'Nampa' END AS city, CASE WHEN s_suppkey % 2 = 0 THEN 'ID' END AS state, CASE WHEN s_suppkey % 7 = 0 THEN CAST(83600 + s_suppkey % 100 AS {s}) END AS zipcode, 43.0e0 + (s_suppkey*6151 % 10000)/1.0e4 AS lat, -117.0e0 + (s_suppkey*3571 % 10000)/1.0e4 AS lon",
     ),
     "fx_entry_points": ("part", "p_partkey AS id, 43.0e0 + (p_partkey*2711 % 10000)/1.0e4 AS lat, -117.0e0 + (p_partkey*9973 % 10000)/1.0e4 AS lon, CASE p_size % 5 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' WHEN 2 THEN 'track' WHEN 3 THEN 'path' ELSE 'service' END AS highway_class, p_name AS name"),
+    "fx_features": (
+        "part",
+        "p_partkey AS fid, CASE p_size % 5 WHEN 0 THEN concat(p_name, ' coffee') WHEN 1 THEN concat(p_name, ' market') WHEN 2 THEN concat(CASE p_partkey % 4 WHEN 0 THEN 'Main' WHEN 1 THEN 'North' WHEN 2 THEN 'Oak' ELSE '21st' END, CASE p_partkey % 3 WHEN 0 THEN ' Street' WHEN 1 THEN ' Avenue' ELSE ' Road' END) WHEN 4 THEN concat(p_name, ' village') END AS name, CASE p_size % 5 WHEN 0 THEN 'amenity' WHEN 1 THEN 'shop' WHEN 2 THEN 'highway' ELSE 'place' END AS osm_key, "
+        "CASE p_size % 5 WHEN 0 THEN 'cafe' WHEN 1 THEN 'supermarket' WHEN 2 THEN 'residential' WHEN 3 THEN 'house' ELSE 'hamlet' END AS osm_value, CASE p_size % 5 WHEN 2 THEN 'street' WHEN 4 THEN 'hamlet' ELSE 'house' END AS type, CASE WHEN p_size % 5 = 3 THEN CAST(100 + p_partkey*37 % 900 AS {s}) END AS housenumber, "
+        "CASE WHEN p_size % 5 IN (2, 3) THEN concat(CASE p_partkey % 4 WHEN 0 THEN 'Main' WHEN 1 THEN 'North' WHEN 2 THEN 'Oak' ELSE '21st' END, CASE p_partkey % 3 WHEN 0 THEN ' Street' WHEN 1 THEN ' Avenue' ELSE ' Road' END) END AS street, CASE WHEN p_size % 5 <> 4 THEN CASE p_partkey % 7 WHEN 0 THEN 'Boise' WHEN 1 THEN 'Nampa' WHEN 2 THEN 'Eagle' WHEN 3 THEN 'Kuna' ELSE 'Twin Falls' END END AS city, CAST(NULL AS {s}) AS county, 'ID' AS state, 'United States' AS country, 43.0e0 + (p_partkey*2711 % 10000)/1.0e4 AS lat, -117.0e0 + (p_partkey*9973 % 10000)/1.0e4 AS lon",
+    ),
     "fx_parking": ("part", "p_partkey AS id, CASE p_size % 7 WHEN 0 THEN 'private' WHEN 1 THEN 'no' WHEN 2 THEN 'permit' WHEN 3 THEN 'yes' WHEN 4 THEN 'customers' END AS access, 43.0e0 + (p_partkey*4421 % 10000)/1.0e4 AS lat, -117.0e0 + (p_partkey*8017 % 10000)/1.0e4 AS lon"),
     "fx_units": (
         "nation",

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import geocoding
+from ..operators import geocoding, retrieval
 from .fixtures import view
+from .geodesy import sql_haversine
 from .registry import query
 from .text import expand_sql
 
@@ -25,7 +25,12 @@ def free_queries(spark, sf_dir):
     return a.select("aid", q.alias("q"))
 
 
-@query("fn_intent", "SELECT aid, CASE aid % 5 WHEN 0 THEN 'ADDRESS' WHEN 1 THEN 'LOCALITY' WHEN 2 THEN 'POSTCODE' WHEN 3 THEN 'COORD' ELSE 'UNKNOWN' END AS intent FROM fx_addresses")
+@query(
+    "fn_intent",
+    f"""WITH t AS (SELECT aid, q, list_filter(regexp_split_to_array(replace(q, ',', ' '), '\\s+'), lambda x: x <> '') AS w FROM ({FREE}))
+    SELECT aid, CASE WHEN regexp_full_match(q, '\\s*-?\\d+\\.?\\d*\\s*[,\\s]\\s*-?\\d+\\.?\\d*\\s*') AND abs(w[1]::DOUBLE) <= 90 AND abs(w[2]::DOUBLE) <= 180 THEN 'COORD' WHEN regexp_matches(w[1], '^\\d') AND len(w) > 1 THEN 'ADDRESS'
+    WHEN len(w) = 1 AND regexp_full_match(q, '\\d{{5}}') THEN 'POSTCODE' WHEN len(w) >= 2 AND (upper(w[-1]) IN ({STATE_CODES}) OR lower(w[-1]) IN ({NAMES}) OR len(w) >= 3 AND lower(w[-2] || ' ' || w[-1]) IN ({NAMES})) THEN 'LOCALITY' ELSE 'UNKNOWN' END AS intent FROM t""",
+)
 def fn_intent(spark, sf_dir):
     return geocoding.classify(free_queries(spark, sf_dir), "q").select("aid", "intent")
 
@@ -62,56 +67,111 @@ def filter_address_exact(spark, sf_dir):
 
 @query("filter_zip", "SELECT q.qid, a.aid FROM fx_queries q JOIN fx_addresses a ON q.zipcode = a.zipcode QUALIFY row_number() OVER (PARTITION BY q.qid ORDER BY a.aid) <= 20")
 def filter_zip(spark, sf_dir):
-    q = view(spark, sf_dir, "fx_queries").where("zipcode is not null").select("qid", "zipcode")
-    met = q.join(view(spark, sf_dir, "fx_addresses").select("aid", "zipcode"), "zipcode")
-    return geocoding.first_rows(met, ["qid"], ["aid"], 20).select("qid", "aid")
-
-
-CANDIDATES = """SELECT q.qid, q.number AS qn, q.street AS qs, q.city AS qc, q.state AS qst, a.aid, a.number, a.street, a.city, a.state, row_number() OVER (PARTITION BY q.qid ORDER BY a.aid) - 1 AS rank, CASE WHEN a.aid % 2 = 0 THEN 'addresses' ELSE 'features' END AS source FROM fx_queries q JOIN fx_addresses a ON q.number = a.number AND upper(string_split(trim(q.street), ' ')[1]) = upper(string_split(trim(a.street), ' ')[1]) QUALIFY rank < 50"""
-SCORE = f"""SELECT qid, aid, rank, 6.0e0 + CASE WHEN len(list_intersect(list_distinct(string_split({expand_sql("qs")}, ' ')), ['street','avenue','road'])) > 0 AND len(list_intersect(list_intersect(string_split({expand_sql("qs")}, ' '), ['street','avenue','road']), string_split({expand_sql("street")}, ' '))) > 0 THEN 1.5e0 ELSE 0 END
-  + CASE WHEN qst = state THEN 1.0e0 ELSE 0 END + CASE WHEN source = 'addresses' THEN 3.0e0 WHEN len(list_intersect(string_split(lower(qn || ' ' || qs || coalesce(' ' || qc, '')), ' '), [{ROADS}])) > 0 THEN 0 WHEN aid % 7 = 1 THEN 3.0e0 WHEN aid % 7 = 3 THEN -4.0e0 ELSE 0 END + CASE WHEN source = 'features' THEN greatest(0.0e0, 1.0e0 - rank/10.0e0) ELSE 0 END
-  + 2.0e0*len(list_filter(w, lambda t: contains(number || ' ' || street || ', ' || city, t)))/len(w)::DOUBLE AS score
-  FROM (SELECT *, list_distinct(list_filter(string_split(upper(qn || ' ' || qs || coalesce(' ' || qc, '')), ' '), lambda t: t <> '')) AS w FROM ({CANDIDATES}))"""
+    return geocoding.by_zip(view(spark, sf_dir, "fx_queries"), view(spark, sf_dir, "fx_addresses"), 20).select("qid", "aid")
+
+
+#: Queries of fx_queries as texts and components, both ways.
+PARSED = "SELECT qid, 'ADDRESS' AS intent, number || ' ' || street || coalesce(', ' || city, '') || coalesce(' ' || state, '') || coalesce(' ' || zipcode, '') AS q, number AS qn, street AS qs, city AS qc, state AS qst, zipcode AS qz, lat AS qlat, lon AS qlon FROM fx_queries"
+SKIPPED = ", ".join(f"'{w}'" for w in retrieval.SKIPPED)
+
+
+def words_sql(x: str) -> str:
+    return f"list_distinct(list_filter(string_split({expand_sql(x)}, ' '), lambda t: t <> '' AND t NOT IN ({SKIPPED})))"
+
+
+def one_out_sql(x: str) -> str:
+    return f"list_prepend({x}, list_transform(range(1, length({x}) + 1), lambda i: left({x}, i - 1) || substr({x}, i + 1)))"
+
+
+#: Every word of a query against every word of the index, and every feature: what retrieval finds without its index.
+FREE_TEXT = f"""asked AS ({PARSED}),
+    f AS (SELECT fid, {words_sql("concat_ws(' ', name, housenumber, street, city, state, osm_value)")} AS words, lat, lon FROM fx_features),
+    post AS (SELECT fid, unnest(words) AS word FROM f),
+    vocab AS (SELECT word AS found, ln(1.0e0 + (SELECT count(*) FROM f)::DOUBLE / count(*)) AS idf FROM post GROUP BY word),
+    qw AS (SELECT qid, unnest({words_sql("q")}) AS word FROM asked),
+    hits AS (SELECT word, found, idf * CASE WHEN word = found THEN 1.0e0 WHEN length(word) >= 3 AND starts_with(found, word) AND NOT regexp_full_match(found, '[0-9]+') THEN 0.8e0 ELSE 0.6e0 END AS worth FROM (SELECT DISTINCT word FROM qw), vocab
+      WHERE word = found OR (length(word) >= 3 AND starts_with(found, word) AND NOT regexp_full_match(found, '[0-9]+'))
+      OR (length(word) >= 4 AND length(found) >= 4 AND NOT regexp_matches(word || found, '[0-9]') AND list_has_any({one_out_sql("word")}, {one_out_sql("found")}))),
+    per AS (SELECT qid, fid, qw.word, max(worth) AS worth FROM qw JOIN hits ON qw.word = hits.word JOIN post ON post.word = found GROUP BY ALL),
+    sizes AS (SELECT qid, count(*) AS n FROM qw GROUP BY qid),
+    matched AS (SELECT per.qid, fid, sum(worth) AS worth FROM per JOIN sizes USING (qid) GROUP BY per.qid, fid, n HAVING count(*) >= n - n // 4),
+    free_text AS (SELECT qid, fid, relevance, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, fid) - 1 AS position FROM (
+      SELECT m.qid, m.fid, round(worth * (1 + 0.5e0 * coalesce(exp(-{sql_haversine("f.lat", "f.lon", "qlat", "qlon")} / 1000 / 64), 0)), 6) AS relevance FROM matched m JOIN f USING (fid) JOIN asked USING (qid)) QUALIFY position < 10)"""
+FOUND = f"""{FREE_TEXT},
+    street AS (SELECT qid, fid, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN housenumber = qn THEN 0 ELSE 1 END, abs(housenumber::INTEGER - qn::INTEGER) NULLS LAST, fid) - 1 AS position FROM asked JOIN fx_features
+      ON {expand_sql("qs")} = {expand_sql("street")} AND (qc IS NULL OR upper(trim(qc)) = upper(city)) AND (qst IS NULL OR upper(trim(qst)) = state) QUALIFY position < 5),
+    exact AS (SELECT qid, aid, row_number() OVER (PARTITION BY qid ORDER BY (lat - qlat) * (lat - qlat) + (lon - qlon) * (lon - qlon), aid) - 1 AS position FROM asked JOIN fx_addresses ON upper(trim(qn)) = number AND upper(trim(qs)) = street
+      AND (qc IS NULL OR upper(qc) = city) AND (qst IS NULL OR qst = state) AND (qz IS NULL OR qz = zipcode) QUALIFY position < 10),
+    found AS (
+      SELECT qid, 'addresses' AS source, aid AS id, concat_ws(' ', number, street, city, state, zipcode) AS name, 'street_address' AS type, NULL AS osm_key, number, street, city, state, lat, lon, NULL AS rank, 1 AS source_order, position FROM exact JOIN fx_addresses USING (aid)
+      UNION ALL SELECT qid, 'features', fid, array_to_string(list_filter([CASE WHEN housenumber IS NOT NULL THEN housenumber || ' ' || street ELSE coalesce(name, street) END, city, state, country], lambda x: x IS NOT NULL), ', '),
+        CASE WHEN osm_key IN ('amenity', 'shop') THEN 'poi' WHEN housenumber IS NOT NULL OR osm_value = 'residential' THEN 'street_address' WHEN type = 'hamlet' THEN 'locality' ELSE 'poi' END,
+        osm_key, housenumber, street, CASE WHEN city IS NULL AND type = 'hamlet' THEN name ELSE city END, state, lat, lon, position, source_order, position
+      FROM (SELECT qid, fid, position, 2 AS source_order FROM free_text UNION ALL SELECT qid, fid, position, 3 FROM street) JOIN fx_features USING (fid)),
+    pairs AS (SELECT * FROM found JOIN asked USING (qid))"""
+TYPES_LIST = ", ".join(f"'{t}'" for t in sorted(set(text.STREET_TYPES.values())))
+SCORE = f"""{FOUND},
+    scored AS (SELECT *, CASE WHEN upper(number) = upper(trim(qn)) THEN 6.0e0 WHEN number IS NOT NULL THEN -5.0e0 ELSE 0 END
+      + CASE WHEN list_has_any(list_intersect(string_split({expand_sql("qs")}, ' '), [{TYPES_LIST}]), string_split({expand_sql("street")}, ' ')) THEN 1.5e0 ELSE 0 END
+      + 2.0e0 * len(list_filter(w, lambda t: contains(upper(name), t))) / len(w)::DOUBLE + CASE WHEN upper(qst) = state THEN 1.0e0 ELSE 0 END + CASE WHEN source = 'addresses' THEN 2.0e0 ELSE 0 END + CASE WHEN type = 'street_address' THEN 1.0e0 ELSE 0 END
+      + CASE WHEN rank IS NULL THEN 0 ELSE greatest(0.0e0, 1.0e0 - rank / 10.0e0) END
+      + CASE WHEN list_has_any(list_transform(w, lambda t: lower(t)), [{ROADS}]) THEN 0 WHEN osm_key IN ('amenity', 'shop') THEN 3.0e0 WHEN osm_key = 'highway' THEN -4.0e0 ELSE 0 END AS score
+    FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(replace(upper(q), ',', ' '), '\\s+'), lambda t: t <> '')) AS w FROM pairs))"""
+
+
+def parsed_queries(spark, sf_dir):
+    q = view(spark, sf_dir, "fx_queries")
+    shown = F.concat(C("number"), F.lit(" "), C("street"), *[F.coalesce(F.concat(F.lit(mark), C(c)), F.lit("")) for mark, c in ((", ", "city"), (" ", "state"), (" ", "zipcode"))])
+    return q.select("*", shown.alias("q"), F.lit("ADDRESS").alias("intent"), F.lit(None).cast("int").alias("zoom"))
+
+
+def retrieved(spark, sf_dir):
+    return geocoding.candidates(parsed_queries(spark, sf_dir), view(spark, sf_dir, "fx_addresses"), view(spark, sf_dir, "fx_features"), 10)
 
 
 def scored(spark, sf_dir):
     """Query and candidate pairs with every signal that needs no fuzzy match, and their sum."""
-    return geocoding.score(geocoding.candidates(view(spark, sf_dir, "fx_queries"), view(spark, sf_dir, "fx_addresses")), fuzzy=False)
+    return geocoding.score(retrieved(spark, sf_dir), fuzzy=False)
 
 
-@query("fn_score", f"SELECT qid, aid, round(score, 2) AS score FROM ({SCORE})")
+@query("retrieve_free_text", f"WITH {FREE_TEXT} SELECT qid, fid, relevance, position::INTEGER AS position FROM free_text")
+def retrieve_free_text(spark, sf_dir):
+    """What the index finds equals what every word against every feature finds."""
+    index = retrieval.Index.of(view(spark, sf_dir, "fx_features"))
+    return retrieval.free_text(parsed_queries(spark, sf_dir), index, 10).select("qid", "fid", "relevance", "position")
+
+
+@query("fn_score", f"WITH {SCORE} SELECT qid, source, id, source_order, round(score, 2) AS score FROM scored")
 def fn_score(spark, sf_dir):
-    return scored(spark, sf_dir).select("qid", "aid", F.round("score", 2).alias("score"))
+    return scored(spark, sf_dir).select("qid", "source", "id", "source_order", F.round("score", 2).alias("score"))
 
 
-@query("win_rank_position", f"SELECT qid, aid, greatest(0.0e0, 1.0e0 - rank/10.0e0) AS position_score FROM ({CANDIDATES})")
+@query("win_rank_position", f"WITH {FOUND} SELECT qid, id, source_order, greatest(0.0e0, 1.0e0 - rank/10.0e0) AS position_score FROM found WHERE rank IS NOT NULL")
 def win_rank_position(spark, sf_dir):
-    return geocoding.candidates(view(spark, sf_dir, "fx_queries"), view(spark, sf_dir, "fx_addresses")).select("qid", "aid", F.greatest(F.lit(0.0), 1.0 - C("rank") / 10.0).alias("position_score"))
+    return retrieved(spark, sf_dir).where("rank is not null").select("qid", "id", "source_order", F.greatest(F.lit(0.0), 1.0 - C("rank") / 10.0).alias("position_score"))
 
 
-@query("topk_rerank", f"SELECT qid, aid, round(score, 2) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 2) DESC, rank)::INTEGER AS place, CASE WHEN round(score, 2) >= 10 THEN 'exact' WHEN round(score, 2) >= 5 THEN 'high' ELSE 'medium' END AS confidence FROM ({SCORE}) QUALIFY place <= 10")
+@query("topk_rerank", f"WITH {SCORE} SELECT qid, source, id, round(score, 2) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 2) DESC, source_order, position)::INTEGER AS place, CASE WHEN round(score, 2) >= 10 THEN 'exact' WHEN round(score, 2) >= 5 THEN 'high' WHEN round(score, 2) >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM scored QUALIFY place <= 10")
 def topk_rerank(spark, sf_dir):
-    return geocoding.rerank(scored(spark, sf_dir), 10).select("qid", "aid", "score", "place", "confidence")
+    return geocoding.rerank(scored(spark, sf_dir), 10).select("qid", "source", "id", "score", "place", "confidence")
 
 
 @query("geo_rank")
 def geo_rank(spark, sf_dir):
     """The whole ranking, fuzzy street and city matches included."""
-    pairs = geocoding.candidates(view(spark, sf_dir, "fx_queries"), view(spark, sf_dir, "fx_addresses"))
-    return geocoding.rerank(geocoding.score(pairs, fuzzy=True), 10).select("qid", "aid", "score", "place", "confidence")
+    return geocoding.rerank(geocoding.score(retrieved(spark, sf_dir), fuzzy=True), 10).select("qid", "source", "id", "score", "place", "confidence")
 
 
 @query("geocode_full")
 def geocode_full(spark, sf_dir):
-    """From free text to ranked places: parse, classify, retrieve, drop doubles within 50 m, score, rank, confidence."""
+    """From free text to ranked places: coordinates, parse, classify, retrieve, drop doubles within 50 m, score, rank, match codes."""
     asked = free_queries(spark, sf_dir).withColumnRenamed("aid", "qid")
-    return geocoding.geocode(asked, "q", view(spark, sf_dir, "fx_addresses"), 5).select("qid", "intent", "aid", "score", "place", "confidence")
+    return geocoding.geocode(asked, view(spark, sf_dir, "fx_addresses"), view(spark, sf_dir, "fx_features"), 5)
 
 
 @query("fn_match_code")
 def fn_match_code(spark, sf_dir):
-    pairs = geocoding.candidates(view(spark, sf_dir, "fx_queries"), view(spark, sf_dir, "fx_addresses"))
-    return geocoding.match_code(pairs).select("qid", "aid", "match_number", "match_street", "match_city")
+    return geocoding.match_code(retrieved(spark, sf_dir)).select("qid", "source", "id", "source_order", "match_number", "match_street", "match_city")
 
 
 @query("set_overlap", f"SELECT aid, len(list_intersect(string_split({expand_sql('street')}, ' '), ['street', 'avenue', 'road'])) > 0 AS typed, len(list_intersect(string_split({expand_sql('street')}, ' '), ['avenue', 'lane'])) > 0 AS overlaps FROM fx_addresses")
@@ -137,10 +197,15 @@ def union_sources(spark, sf_dir):
     return first.select(F.lit(1).alias("source_order"), "qid", "aid").unionByName(second.select(F.lit(2).alias("source_order"), "qid", "aid"))
 
 
-@query("self_join_dedup50")
+@query(
+    "self_join_dedup50",
+    f"""WITH {FOUND},
+    lists AS (SELECT qid, list([{{'source': source, 'id': id, 'lat': lat, 'lon': lon}}] ORDER BY source_order, position) AS parts FROM found GROUP BY qid),
+    kept AS (SELECT qid, list_reduce(parts, lambda s, c: CASE WHEN len(list_filter(s, lambda k: k.source = c[1].source AND {sql_haversine("k.lat", "k.lon", "c[1].lat", "c[1].lon")} < 50)) > 0 THEN s ELSE list_concat(s, c) END) AS k FROM lists)
+    SELECT qid, k.source AS source, k.id AS id FROM (SELECT qid, unnest(k) AS k FROM kept)""",
+)
 def self_join_dedup50(spark, sf_dir):
-    pairs = geocoding.candidates(view(spark, sf_dir, "fx_queries"), view(spark, sf_dir, "fx_addresses"))
-    return geocoding.drop_close(pairs, 50.0).select("qid", "aid")
+    return geocoding.drop_close(retrieved(spark, sf_dir), 50.0).select("qid", "source", "id")
 
 
 ALIASES = "SELECT n_nationkey AS entry, CAST(0 AS INTEGER) AS form_no, lower(n_name) AS form FROM nation UNION ALL SELECT n_nationkey, 1, lower(substr(n_name, 1, 3)) FROM nation"

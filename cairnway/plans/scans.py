@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import readers
 from .fixtures import view
+from .geocode import FOUND, retrieved
 from .registry import query
 
 C = F.col
@@ -74,11 +75,10 @@ def src_nominatim_overpass(spark, sf_dir):
     return places.select("id").join(first, "id", "left").join(second, "id", "left").select("id", F.coalesce("one", "two").alias("source"))
 
 
-@query("src_photon", "SELECT qid, count(*)::BIGINT AS features FROM fx_queries q JOIN fx_addresses a ON q.number = a.number GROUP BY qid")
+@query("src_photon", f"WITH {FOUND} SELECT qid, id, source_order, name, type, rank::INTEGER AS rank FROM found WHERE source = 'features'")
 def src_photon(spark, sf_dir):
-    """Retrieved features are an input table of (query, rank): nothing is fetched from executors."""
-    q = view(spark, sf_dir, "fx_queries").select("qid", "number")
-    return q.join(view(spark, sf_dir, "fx_addresses").select("number"), "number").groupBy("qid").agg(F.count("*").alias("features"))
+    """Free-text retrieval with location bias, and structured retrieval, as features with their display names and types."""
+    return retrieved(spark, sf_dir).where("source = 'features'").select("qid", "id", "source_order", "name", "type", "rank")
 
 
 @query("fn_spatialite_wkb", "SELECT pid, '01' || lpad(hex(pid % 65536), 8, '0') AS wkb FROM fx_points")

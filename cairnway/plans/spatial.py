@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..operators import spatial
-from ..operators.geocoding import first_rows
+from ..operators.ranking import first_rows
 from .fixtures import view
 from .geodesy import sql_haversine
 from .registry import query

@@ -116,7 +116,7 @@ def test_intents(spark):
 
 def test_close_candidates_of_one_source_go(spark):
     rows = [(1, 0, 10, "a", 43.0, -116.0), (1, 1, 11, "a", 43.0, -116.0), (1, 2, 12, "b", 43.0, -116.0), (1, 3, 13, "a", 43.1, -116.0)]
-    kept = geocoding.drop_close(spark.createDataFrame(rows, "qid long, rank int, aid long, source string, lat double, lon double"), 50.0)
+    kept = geocoding.drop_close(spark.createDataFrame(rows, "qid long, position int, aid long, source string, lat double, lon double").selectExpr("*", "1 AS source_order"), 50.0)
     assert sorted(r.aid for r in kept.collect()) == [10, 12, 13]
 
 

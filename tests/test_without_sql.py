@@ -137,16 +137,6 @@ def test_routes_cost_what_dijkstra_finds(spark):
                 assert sum(weight[e] for e in zip(r.path, r.path[1:], strict=False)) == pytest.approx(r.cost_s)
 
 
-def test_geocode_from_text_to_ranked_places(spark):
-    schema = "aid long, number string, street string, city string, state string, zipcode string, lat double, lon double"
-    rows = [(2, "100", "MAIN ST", "BOISE", "ID", "83601", 43.5, -116.5), (4, "100", "MAIN AVE", "NAMPA", "ID", "83602", 43.6, -116.6), (6, "100", "MAIN ST", "BOISE", "ID", "83601", 43.50001, -116.5), (8, "7", "OAK RD", "EAGLE", "ID", "83603", 43.7, -116.7)]
-    asked = [(1, "100 Main St, Boise ID 83601"), (2, "83603"), (3, "Nampa Idaho"), (4, "43.5, -116.2")]
-    out = geocoding.geocode(spark.createDataFrame(asked, "qid long, q string"), "q", spark.createDataFrame(rows, schema), 5).collect()
-    got = {(r.qid, r.place): r.aid for r in out}
-    # 6 stands within 50 m of 2, from the same source; the avenue of another city comes after the street asked for.
-    assert got == {(1, 1): 2, (1, 2): 4, (2, 1): 8, (3, 1): 4}
-
-
 def test_grades_and_blurs_beside_absent_cells(spark):
     """A plane of grade 1 with a row of cells taken out keeps its grade or has none; a blurred constant stays constant."""
     from cairnway.functions import surface
