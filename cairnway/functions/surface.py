@@ -79,13 +79,18 @@ def with_grade(cells: DataFrame, cell_m: float, by: list[str] | None = None) ->
     return out.withColumn("grade", F.sqrt(F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx"))).drop("gy", "gx")
 
 
+def over_terrain(m: Mode) -> Column:
+    """Factor of a cell's land cover, infinite where a mode cannot go."""
+    known = [F.when(F.col("wc_class").isin(*[k for k, v in m.terrain.items() if v == f]), F.lit(f)) for f in sorted(set(m.terrain.values()))]
+    return F.coalesce(*known, F.lit(1.0))
+
+
 def cost_multiplier(mode: str, friction: Column | None = None) -> Column:
     """Context multiplier of a cell (needs ``grade`` for vehicles).  The order of the rules is part of the result."""
     m = MODES[mode]
     out = F.lit(1.0) if friction is None else friction
     out = F.when(F.col("elev_m").isNull(), F.lit(INF)).otherwise(out)
-    for cover, factor in m.terrain.items():
-        out = F.when(F.col("wc_class") == cover, F.lit(INF) if factor == INF else out * factor).otherwise(out)
+    out = out * over_terrain(m)
     if m.flat_degrees:
         flat = (F.degrees(F.atan("grade")) <= m.flat_degrees) & F.col("wc_class").isin(30, 40)
         out = F.when(F.coalesce(flat, F.lit(False)), F.lit(m.flat_friction)).otherwise(out)
@@ -100,8 +105,7 @@ def cost_seconds(mode: str, cell_m: float, boundary: str = "strict") -> Column:
     base = F.lit(cell_m * 3.6) / speed(F.col("grade"), mode, kernel=False)
     steep = F.degrees(F.atan("grade")) > m.max_slope
     out = F.when(F.col("elev_m").isNull() | F.col("grade").isNull() | steep, F.lit(INF)).otherwise(base)
-    for cover, factor in m.terrain.items():
-        out = F.when(F.col("wc_class") == cover, F.lit(INF) if factor == INF else out * factor).otherwise(out)
+    out = out * over_terrain(m)
     if m.flat_degrees:
         flat = (F.degrees(F.atan("grade")) <= m.flat_degrees) & F.col("wc_class").isin(30, 40)
         out = F.when(F.coalesce(flat, F.lit(False)), base * m.flat_friction).otherwise(out)
@@ -122,39 +126,68 @@ def gaussian_weights(sigma: float = SIGMA, truncate: float = 4.0) -> list[float]
     return [t / sum(taps) for t in taps]
 
 
-def blur(cells: DataFrame, value: str, rows: int, cols: int, sigma: float = SIGMA, by: list[str] | None = None) -> DataFrame:
-    """Separable Gaussian; beyond the rim the nearest cell counts.
+def blur(cells: DataFrame, value: str, sigma: float = SIGMA, by: list[str] | None = None) -> DataFrame:
+    """Separable Gaussian; beyond the rim of a line the nearest cell counts, for an absent cell inside it the cell itself.
 
-    Each pass is a windowed sum: a line of cells is one window's rows, clamped taps are added by weight at the rim, so a pass
-    needs one shuffle and no join.
+    A pass is one window: the cells within reach are one frame, collected as numbers and multiplied with the taps.  It needs one
+    shuffle and no join, and keeps no more than a frame of a line at a time.
     """
     weights = gaussian_weights(sigma)
     radius = len(weights) // 2
+    taps = F.array(*[F.lit(w) for w in weights])
 
-    def along(df: DataFrame, line: list[str], axis: str, size: int) -> DataFrame:
+    def along(df: DataFrame, line: list[str], axis: str) -> DataFrame:
         w = Window.partitionBy(*line).orderBy(axis)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        first, last, start, end = F.first(value).over(whole), F.last(value).over(whole), F.first(axis).over(whole), F.last(axis).over(whole)
-        total = F.lit(0.0)
-        for k, weight in zip(range(-radius, radius + 1), weights, strict=True):
-            at = F.col(axis) + k
-            # Beyond the rim the nearest cell counts, for an absent cell inside the cell itself.
-            other = F.when(at < start, first).when(at > end, last).otherwise(F.col(value))
-            total = total + (F.coalesce(F.first(value).over(w.rangeBetween(k, k)), other) if k else F.col(value)) * weight
-        return df.withColumn(value, total)
+        near = F.collect_list(F.struct(F.col(axis).alias("at"), F.col(value).alias("v"))).over(w.rangeBetween(-radius, radius))
+        ends = Window.partitionBy(*line)
+        rows = df.withColumn("__near", near).withColumn("__first", F.min(axis).over(ends)).withColumn("__last", F.max(axis).over(ends))
+
+        def tap(weight: Column, k: Column) -> Column:
+            at = F.greatest("__first", F.least("__last", F.col(axis) + k - radius))
+            # Frames are sorted and mostly full, so a cell stands where it would without gaps, or is looked for.
+            guess = F.get(F.col("__near"), (at - F.col("__near")[0]["at"]).cast("int"))
+            found = F.when(guess["at"] == at, guess["v"]).otherwise(F.get(F.filter("__near", lambda x: x["at"] == at), F.lit(0))["v"])
+            return F.coalesce(found, F.col(value)) * weight
+
+        total = F.aggregate(F.transform(taps, tap), F.lit(0.0), lambda s, x: s + x)
+        return rows.withColumn(value, total).drop("__near", "__first", "__last")
 
     keys = by or []
-    return along(along(cells, [*keys, "c"], "r", rows), [*keys, "r"], "c", cols)
+    return along(along(cells, [*keys, "c"], "r"), [*keys, "r"], "c")
 
 
-def inflate(cells: DataFrame, value: str, rows: int, cols: int) -> DataFrame:
+def percentile(rows: DataFrame, value: str, share: float, by: list[str] | None = None, bins: int = 4096) -> DataFrame:
+    """Exact percentile (linear between ranks) of each group: a histogram tells which bin holds it, only that bin is sorted.
+
+    ``by`` and ``p``.  Counts of at most ``bins`` bins a group meet in one place, and one bin of values.
+    """
+    keys = by or []
+    values = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("m"))
+    span = values.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("m").alias("n"))
+    at = lambda df: df.join(F.broadcast(span), keys) if keys else df.crossJoin(F.broadcast(span))
+    bin_ = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)).cast("int")
+    dealt = at(values).select(*keys, value, "m", F.coalesce(bin_, F.lit(0)).alias("bin"))
+    counted = dealt.groupBy(*keys, "bin").agg(F.sum("m").alias("m"))
+    before = F.sum("m").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    place = at(counted.withColumn("before", F.coalesce(before, F.lit(0)))).withColumn("rank", (F.col("n") - 1) * share)
+    wanted = place.where((F.col("before") <= F.ceil("rank")) & (F.col("before") + F.col("m") > F.floor("rank"))).select(*keys, "bin", "before", "rank")
+    inside = dealt.join(F.broadcast(wanted), [*keys, "bin"])
+    upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("bin", value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.min("before").over(Window.partitionBy(*keys))
+    ranked = inside.withColumn("upto", upto + first)
+    low, high = F.floor("rank"), F.ceil("rank")
+    ends = ranked.groupBy(*keys).agg(F.min(F.when(F.col("upto") > low, F.col(value))).alias("a"), F.min(F.when(F.col("upto") > high, F.col(value))).alias("b"), F.first("rank").alias("rank"))
+    return ends.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("p"))
+
+
+def inflate(cells: DataFrame, value: str) -> DataFrame:
     """Bleed hard cells into their neighbours; impassable cells stay impassable.  Adds ``p95`` of the finite values."""
     finite = F.col(value) < F.lit(INF)
-    p95 = cells.where(finite).agg(F.percentile(value, F.lit(0.95)).alias("p95"))
+    p95 = percentile(cells.where(finite), value, 0.95).select(F.col("p").alias("p95"))
     out = cells.crossJoin(F.broadcast(p95))  # one row
     hard = F.least(F.col("p95") * HARD_FACTOR, F.lit(HARD_CAP))
     out = out.withColumn("blocked", ~finite).withColumn(value, F.when(finite, F.col(value)).otherwise(hard))
-    out = blur(out, value, rows, cols)
+    out = blur(out, value)
     return out.withColumn(value, F.when(F.col("blocked"), F.lit(INF)).otherwise(F.col(value))).drop("blocked")
 
 

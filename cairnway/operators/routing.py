@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import surface
+from ..sources.writers import bucketed, rewritten
 
 C = F.col
 OFFSETS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -191,3 +192,109 @@ def build_chunks(graph: DataFrame, size: int) -> DataFrame:
         return pd.DataFrame(out, columns=["chunk", "mode", "from_entrance", "to_entrance", "cost_s"])
 
     return graph.groupBy("chunk", "mode").applyInPandas(run, "chunk string, mode string, from_entrance int, to_entrance int, cost_s double")
+
+
+def _settle(known: dict, seeds: dict, around: dict) -> dict:
+    """Costs that ``seeds`` improve inside a tile, nodes with their new costs."""
+    better: dict = {}
+    heap = [(d, n) for n, d in seeds.items()]
+    heapq.heapify(heap)
+    while heap:
+        d, n = heapq.heappop(heap)
+        if d >= better.get(n, known.get(n, float("inf"))):
+            continue
+        better[n] = d
+        for m, w in around.get(n, ()):
+            if d + w < better.get(m, known.get(m, float("inf"))):
+                heapq.heappush(heap, (d + w, m))
+    return better
+
+
+def costs_over_tiles(sources: DataFrame, graph: DataFrame) -> DataFrame:
+    """``sources`` (tile, node) over edges (tile, a, b, tile2, w): tile, node and cost_s of all that they reach, however large the map.
+
+    Tiles that have news settle what it changes, each in its own task, and tell the tiles next to them; what is known, and the news,
+    are written each round.  Rounds grow with the number of tiles that a path crosses, not with its cells.  A tile is of
+    bounded size, and edges are read in place by tile.
+    """
+    edges_ = bucketed(graph.select("tile", "a", "b", "tile2", "w"), "tile", "tile_edges")
+    news = rewritten(sources.select("tile", "node", F.lit(0.0).alias("cost_s")).distinct(), "news")
+    known = rewritten(news.limit(0), "known")
+
+    def run(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        told, old = rows[rows.fresh], rows[~rows.fresh]
+        costs = dict(zip(old.node, old.cost_s, strict=True))
+        inside = own[own.tile2 == key[0]]
+        better = _settle(costs, dict(zip(told.node, told.cost_s, strict=True)), adjacency(inside))
+        costs |= better
+        across = own[(own.tile2 != key[0]) & own.a.isin(better)]
+        sent = pd.DataFrame({"tile": across.tile2, "node": across.b, "cost_s": across.a.map(better).astype(float) + across.w, "fresh": True})
+        kept = pd.DataFrame({"tile": key[0], "node": list(costs), "cost_s": list(costs.values()), "fresh": False})
+        return pd.concat([kept, sent]) if len(sent) else kept
+
+    while not news.isEmpty():
+        active = news.select("tile").distinct()
+        rows = known.join(active, "tile", "left_semi").withColumn("fresh", F.lit(False)).unionByName(news.withColumn("fresh", F.lit(True)))
+        step = rows.groupBy("tile").cogroup(edges_.join(active, "tile", "left_semi").groupBy("tile")).applyInPandas(run, "tile string, node long, cost_s double, fresh boolean")
+        step = rewritten(step, "step")
+        known = rewritten(known.join(active, "tile", "left_anti").unionByName(step.where("not fresh").drop("fresh")), "known")
+        told = step.where("fresh").groupBy("tile", "node").agg(F.min("cost_s").alias("cost_s"))
+        had = known.select("tile", "node", C("cost_s").alias("had"))
+        news = rewritten(told.join(had, ["tile", "node"], "left").where(C("had").isNull() | (C("cost_s") < C("had"))).drop("had"), "news")
+    return known
+
+
+def pseudo_edges(trips: DataFrame, inner: DataFrame, doors: DataFrame) -> DataFrame:
+    """``trips`` (trip, chunk, start, chunk2, goal) over in-chunk edges (chunk, a, b, w): edges of each trip from its start to the
+    doors (chunk, door) of its chunk, and from the doors of the goal's chunk to the goal; straight to it in the same chunk."""
+    ends = trips.select("trip", "chunk", C("start").alias("cell"), F.lit(True).alias("out"), F.when(C("chunk") == C("chunk2"), C("goal")).alias("other"))
+    ends = ends.unionByName(trips.select("trip", C("chunk2").alias("chunk"), C("goal").alias("cell"), F.lit(False).alias("out"), F.lit(None).cast("long").alias("other")))
+    wanted = ends.unionByName(doors.select(F.lit(None).cast("long").alias("trip"), "chunk", C("door").alias("cell"), F.lit(None).cast("boolean").alias("out"), F.lit(None).cast("long").alias("other")))
+
+    def run(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        asked = rows[rows.trip.notna()]
+        exits, forward, back, out = rows[rows.trip.isna()].cell.tolist(), adjacency(own), None, []
+        for t in asked.itertuples():
+            if t.out:
+                best, _ = shortest(forward, {t.cell: 0.0}, set())
+                out += [(int(t.trip), t.cell, d, best[d]) for d in {*exits, *([int(t.other)] if t.other == t.other and t.other is not None else [])} if d in best]
+            else:
+                back = back or adjacency(own.rename(columns={"a": "b", "b": "a"}))
+                best, _ = shortest(back, {t.cell: 0.0}, set())
+                out += [(int(t.trip), d, t.cell, best[d]) for d in exits if d in best]
+        return pd.DataFrame(out, columns=["trip", "a", "b", "w"])
+
+    chunks = ends.select("chunk").distinct()
+    return wanted.join(chunks, "chunk", "left_semi").groupBy("chunk").cogroup(inner.join(chunks, "chunk", "left_semi").groupBy("chunk")).applyInPandas(run, "trip long, a long, b long, w double")
+
+
+def abstract_routes(trips: DataFrame, pseudo: DataFrame, graph: DataFrame) -> DataFrame:
+    """``trips`` (trip, area, start, goal) over the abstract edges of their area (area, a, b, w) and their own pseudo edges: cost, and
+    the cells at which the way changes chunks."""
+    own = trips.select("trip", "area", "start", "goal").join(pseudo, "trip", "left")
+
+    def run(key: tuple, rows: pd.DataFrame, edges_: pd.DataFrame) -> pd.DataFrame:
+        around, out = adjacency(edges_), []
+        for trip, mine in rows.groupby("trip"):
+            start, goal = int(mine.start.iloc[0]), int(mine.goal.iloc[0])
+            extra = adjacency(mine[mine.w.notna()].astype({"a": "int64", "b": "int64"}))
+            graph_ = around | {n: around.get(n, []) + e for n, e in extra.items()}
+            out.append((trip, *shortest(graph_, {start: 0.0}, {goal})))
+        return pd.DataFrame(out, columns=["trip", "cost_s", "hops"])
+
+    return own.groupBy("area").cogroup(graph.groupBy("area")).applyInPandas(run, "trip long, cost_s double, hops array<long>")
+
+
+def stitched(routes: DataFrame, inner: DataFrame, chunk_of) -> DataFrame:
+    """``routes`` (trip, hops) to whole paths (trip, path): a hop inside a chunk becomes the way through it, found once for all trips
+    that take it; a hop between chunks is a step.  ``chunk_of`` makes a chunk of a cell."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("hops") - 1), lambda i: F.struct(i.alias("i"), F.get("hops", i - 1).alias("a"), F.get("hops", i).alias("b")))
+    hops = routes.where(F.size("hops") > 1).select("trip", F.explode(pairs).alias("h")).select("trip", "h.i", "h.a", "h.b")
+    hops = rewritten(hops.withColumn("area", F.when(chunk_of(C("a")) == chunk_of(C("b")), chunk_of(C("a")))), "hops")
+    once = hops.where("area is not null").select("area", "a", "b").distinct()
+    asked = once.select(F.xxhash64("a", "b").alias("trip"), "area", F.array("a").alias("starts"), F.array("b").alias("goals"))
+    ways = route(asked, inner.select(C("chunk").alias("area"), "a", "b", "w")).select(F.element_at("path", 1).alias("a"), F.element_at("path", -1).alias("b"), "path")
+    steps = hops.join(ways, ["a", "b"], "left").select("trip", "i", F.coalesce(F.slice("path", F.lit(2), F.size("path")), F.array("b")).alias("rest"))
+    joined = steps.groupBy("trip").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "rest"))), lambda s: s["rest"])).alias("rest"))
+    out = routes.where(F.size("hops") > 0).join(joined, "trip", "left")
+    return out.select("trip", "cost_s", F.concat(F.slice("hops", 1, 1), F.coalesce("rest", F.array().cast("array<long>"))).alias("path"))

@@ -45,26 +45,40 @@ VIEWS = {
     "fx_trace_edges": ("lineitem", "l_orderkey AS route_id, CAST(l_linenumber AS BIGINT)*10000000000 + l_partkey*10000 + l_suppkey % 10000 AS edge_no, CASE l_partkey % 5 WHEN 0 THEN 'paved' WHEN 1 THEN 'gravel' WHEN 2 THEN 'dirt' WHEN 3 THEN 'weird' ELSE 'asphalt' END AS surface, CASE l_suppkey % 4 WHEN 0 THEN 'track' WHEN 1 THEN 'path' ELSE 'road' END AS use_tag, l_quantity*10.0e0 AS length_m"),
     "fx_path": ("lineitem", "l_orderkey AS route_id, CAST(l_linenumber AS BIGINT)*10000000000 + l_partkey*10000 + l_suppkey % 10000 AS i, 43.0e0 + (l_orderkey % 1000)*1.0e-3 + l_linenumber*(1 + l_partkey % 3)*1.0e-3 AS lat, -117.0e0 + (l_orderkey % 777)*1.0e-3 + l_linenumber*(l_suppkey % 3)*1.0e-3 AS lon, 1000.0e0 + l_partkey % 97 AS elev_m, CASE l_suppkey % 3 WHEN 0 THEN 'foot' WHEN 1 THEN '2w' ELSE 'vehicle' END AS mode, l_partkey % 4 = 0 AS on_trail, l_partkey % 11 = 0 AS barrier"),
 }
+def place_sql(key: str, first: int, spark: bool) -> str:
+    """Every second bit of a key as a number: cells follow a curve that keeps the map about square as it grows."""
+    if spark:
+        return f"CAST(conv(regexp_replace(lpad(bin({key}), 32, '0'), '(.)(.)', '${2 - first}'), 2, 10) AS INT)"
+    return "CAST(" + " + ".join(f"((({key} >> {2 * k + first}) & 1) << {k})" for k in range(16)) + " AS INT)"
+
+
+#: A map of one cell an order: its place from the order's key, what is there from the order and the place.
 CELLS = (
-    "SELECT r, c, CASE WHEN (r*31+c*17) % 97 = 0 THEN NULL ELSE 1000.0e0 + (r*r*3 + c*c*5 + r*c*7) % 211 * 0.5e0 END AS elev_m, CASE (r*7+c*11) % 9 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 30 WHEN 3 THEN 40 WHEN 4 THEN 60 WHEN 5 THEN 80 WHEN 6 THEN 90 WHEN 7 THEN 95 ELSE 50 END AS wc_class, "
-    "CASE WHEN r = 20 THEN 5 WHEN c = 13 THEN 15 WHEN r = c THEN 25 ELSE 0 END AS trail, CASE WHEN r BETWEEN 5 AND 8 AND c BETWEEN 25 AND 30 THEN 255 ELSE 0 END AS barrier, CASE WHEN r BETWEEN 30 AND 34 AND c BETWEEN 3 AND 9 THEN 255 ELSE 0 END AS wilderness FROM ({g}) g"
+    "SELECT r, c, CASE WHEN o_custkey % 97 = 5 THEN NULL ELSE 1000.0e0 + (r*r*3 + c*c*5 + r*c*7) % 211 * 0.5e0 END AS elev_m, CASE CAST(floor(o_totalprice) AS BIGINT) % 9 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 30 WHEN 3 THEN 40 WHEN 4 THEN 60 WHEN 5 THEN 80 WHEN 6 THEN 90 WHEN 7 THEN 95 ELSE 50 END AS wc_class, "
+    "CASE WHEN r % 24 = 20 THEN 5 WHEN c % 29 = 13 THEN 15 WHEN r = c THEN 25 ELSE 0 END AS trail, CASE WHEN r % 40 BETWEEN 5 AND 8 AND c % 40 BETWEEN 25 AND 30 THEN 255 ELSE 0 END AS barrier, CASE WHEN r % 40 BETWEEN 30 AND 34 AND c % 40 BETWEEN 3 AND 9 THEN 255 ELSE 0 END AS wilderness "
+    "FROM (SELECT ROW_PLACE AS r, COLUMN_PLACE AS c, o_custkey, o_totalprice FROM {orders}) o"
 )
-GRID_SPARK = "SELECT CAST(r AS INT) r, CAST(c AS INT) c FROM (SELECT explode(sequence(0,39)) r) a CROSS JOIN (SELECT explode(sequence(0,39)) c) b"
-GRID_DUCK = "SELECT CAST(a.i AS INT) r, CAST(b.i AS INT) c FROM range(40) a(i) CROSS JOIN range(40) b(i)"
-SIDE = 40
+
+
+def cells_sql(spark: bool) -> str:
+    return CELLS.replace("ROW_PLACE", place_sql("o_orderkey", 1, spark)).replace("COLUMN_PLACE", place_sql("o_orderkey", 0, spark))
+
+
+#: Cells are numbered r * STRIDE + c; maps are cut into areas of AREA by AREA cells.
+STRIDE, AREA = 1 << 20, 64
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture view as a DataFrame; only the columns it reads reach the scan."""
     if name == "fx_cells":
-        return spark.sql(CELLS.format(g=GRID_SPARK))
+        return spark.sql(cells_sql(True), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
     source, columns = VIEWS[name]
     return spark.sql(f"SELECT {columns.format(s='STRING')} FROM {{src}}", src=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
 
 
 def oracle_view(name: str) -> str:
     if name == "fx_cells":
-        return CELLS.format(g=GRID_DUCK)
+        return cells_sql(False).format(orders="orders")
     source, columns = VIEWS[name]
     return f"SELECT {columns.format(s='VARCHAR')} FROM {source}"
 

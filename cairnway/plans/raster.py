@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, surface
-from .fixtures import SIDE, view
+from .fixtures import view
 from .registry import query
 
 C = F.col
 INF = "CAST('Infinity' AS DOUBLE)"
 CELL = 30.0
 GRADE = """SELECT *, sqrt(gy*gy + gx*gx) AS grade FROM (SELECT *,
-  (CASE WHEN r = 0 THEN lead(elev_m) OVER v - elev_m WHEN r = 39 THEN elev_m - lag(elev_m) OVER v ELSE (lead(elev_m) OVER v - lag(elev_m) OVER v)/2 END)/30.0e0 AS gy,
-  (CASE WHEN c = 0 THEN lead(elev_m) OVER h - elev_m WHEN c = 39 THEN elev_m - lag(elev_m) OVER h ELSE (lead(elev_m) OVER h - lag(elev_m) OVER h)/2 END)/30.0e0 AS gx
+  (CASE WHEN lag(r) OVER v IS NULL THEN lead(elev_m) OVER v - elev_m WHEN lead(r) OVER v IS NULL THEN elev_m - lag(elev_m) OVER v ELSE (lead(elev_m) OVER v - lag(elev_m) OVER v)/2 END)/30.0e0 AS gy,
+  (CASE WHEN lag(c) OVER h IS NULL THEN lead(elev_m) OVER h - elev_m WHEN lead(c) OVER h IS NULL THEN elev_m - lag(elev_m) OVER h ELSE (lead(elev_m) OVER h - lag(elev_m) OVER h)/2 END)/30.0e0 AS gx
   FROM fx_cells WINDOW v AS (PARTITION BY c ORDER BY r), h AS (PARTITION BY r ORDER BY c))"""
 MULT = {
     "foot": f"CASE WHEN elev_m IS NULL THEN {INF} ELSE 1.0e0 END",
@@ -90,19 +90,20 @@ def fn_cost_grid(spark, sf_dir):
 
 @query("agg_percentile95", f"WITH g AS ({GRADE}), m AS ({MODE_ROWS}) SELECT mode, round(quantile_cont(mult, 0.95), 9) AS p95 FROM m WHERE mult < {INF} GROUP BY mode")
 def agg_percentile95(spark, sf_dir):
-    return multipliers(spark, sf_dir).where(C("mult") < float("inf")).groupBy("mode").agg(F.round(F.percentile("mult", F.lit(0.95)), 9).alias("p95"))
+    return surface.percentile(multipliers(spark, sf_dir).where(C("mult") < float("inf")), "mult", 0.95, ["mode"]).select("mode", F.round("p", 9).alias("p95"))
 
 
 TAPS = "SELECT k, exp(-0.5e0*pow(k/1.8e0, 2))/(SELECT sum(exp(-0.5e0*pow(j/1.8e0, 2))) FROM range(-7, 8) t(j)) AS w FROM range(-7, 8) u(k)"
 BLUR = f"""taps AS ({TAPS}),
-  b1 AS (SELECT a.r, a.c, sum(b.v*t.w) AS v FROM base a CROSS JOIN taps t JOIN base b ON b.c = a.c AND b.r = greatest(0, least(39, a.r + t.k)) GROUP BY a.r, a.c),
-  b2 AS (SELECT a.r, a.c, sum(b.v*t.w) AS v FROM b1 a CROSS JOIN taps t JOIN b1 b ON b.r = a.r AND b.c = greatest(0, least(39, a.c + t.k)) GROUP BY a.r, a.c)"""
+  rim AS (SELECT r, c, max(r) OVER (PARTITION BY c) AS last_r, max(c) OVER (PARTITION BY r) AS last_c FROM base),
+  b1 AS (SELECT a.r, a.c, sum(b.v*t.w) AS v FROM rim a CROSS JOIN taps t JOIN base b ON b.c = a.c AND b.r = greatest(0, least(last_r, a.r + t.k)) GROUP BY a.r, a.c),
+  b2 AS (SELECT a.r, a.c, sum(b.v*t.w) AS v FROM rim a CROSS JOIN taps t JOIN b1 b ON b.r = a.r AND b.c = greatest(0, least(last_c, a.c + t.k)) GROUP BY a.r, a.c)"""
 
 
 @query("win_gaussian", f"WITH base AS (SELECT r, c, coalesce(elev_m, 1000.0e0) AS v FROM fx_cells), {BLUR} SELECT r, c, round(v, 6) AS v FROM b2")
 def win_gaussian(spark, sf_dir):
     base = cells(spark, sf_dir).select("r", "c", F.coalesce("elev_m", F.lit(1000.0)).alias("v"))
-    return surface.blur(base, "v", SIDE, SIDE).select("r", "c", F.round("v", 6).alias("v"))
+    return surface.blur(base, "v").select("r", "c", F.round("v", 6).alias("v"))
 
 
 UNIFIED = f"""WITH g AS ({GRADE}), m AS (SELECT r, c, {MULT["2w"]} AS mult FROM g), p AS (SELECT quantile_cont(mult, 0.95) AS p95 FROM m WHERE mult < {INF}),
@@ -112,7 +113,7 @@ UNIFIED = f"""WITH g AS ({GRADE}), m AS (SELECT r, c, {MULT["2w"]} AS mult FROM
 @query("win_inflate", f"{UNIFIED} SELECT r, c, CASE WHEN mult < {INF} THEN round(v, 6) ELSE {INF} END AS mult FROM b2 JOIN m USING (r, c)")
 def win_inflate(spark, sf_dir):
     graded = surface.with_grade(cells(spark, sf_dir), CELL).select("r", "c", surface.cost_multiplier("2w").alias("mult"))
-    return surface.inflate(graded, "mult", SIDE, SIDE).select("r", "c", F.round("mult", 6).alias("mult"))
+    return surface.inflate(graded, "mult").select("r", "c", F.round("mult", 6).alias("mult"))
 
 
 OUT_SQL = "(abs(x*uy - y*ux) > 0.3e0 OR x*ux + y*uy < -0.2e0 OR x*ux + y*uy > l + 0.2e0)"
@@ -132,7 +133,7 @@ def corridor_mask(spark, sf_dir):
 @query("fn_unified_layers", f"{UNIFIED}, o AS (SELECT r, c, {OUT_SQL} AS outside FROM ({CORRIDOR})) SELECT r, c, CASE WHEN mult < {INF} AND NOT outside THEN round(v*0.8e0, 6) ELSE {INF} END AS mult FROM b2 JOIN m USING (r, c) JOIN o USING (r, c)")
 def fn_unified_layers(spark, sf_dir):
     graded = surface.with_grade(cells(spark, sf_dir), CELL).select("r", "c", surface.cost_multiplier("2w").alias("mult"))
-    layered = surface.inflate(graded, "mult", SIDE, SIDE)
+    layered = surface.inflate(graded, "mult")
     return layered.select("r", "c", F.when(outside(), F.lit(float("inf"))).otherwise(F.round(C("mult") * 0.8, 6)).alias("mult"))
 
 
@@ -191,7 +192,7 @@ def fn_mosaic(spark, sf_dir):
     from ..sources.tiles import mosaic, tiled
 
     tiles = tiled(cells(spark, sf_dir).select("r", "c", "elev_m"), 16)
-    back = mosaic(tiles, 16, SIDE, SIDE)
+    back = mosaic(tiles, 16)
     return back.groupBy((C("r") / 16).cast("int").alias("tile_y"), (C("c") / 16).cast("int").alias("tile_x")).agg(F.count("*").alias("cells"), F.count("elev_m").alias("known"), F.round(F.min("elev_m"), 3).alias("low"), F.round(F.max("elev_m"), 3).alias("high"))
 
 
@@ -201,10 +202,11 @@ def agg_min_mean_flat(spark, sf_dir):
     return samples.groupBy("r").agg(((F.count("*") == F.count("elev_m")) & (F.max("elev_m") - F.min("elev_m") < 5)).alias("flat"))
 
 
-@query("fn_entrances", "SELECT n, side, k, CAST(round_even((n-1)*(k+1)/6.0e0, 0) AS BIGINT) AS cell FROM range(10, 60, 10) a(n) CROSS JOIN (VALUES ('N'),('S'),('E'),('W')) s(side) CROSS JOIN range(5) b(k)")
+@query("fn_entrances", "SELECT r, n, side, k, CAST(round_even((n-1)*(k+1)/6.0e0, 0) AS BIGINT) AS cell FROM (SELECT r, count(*) AS n FROM fx_cells GROUP BY r) CROSS JOIN (VALUES ('N'),('S'),('E'),('W')) s(side) CROSS JOIN range(5) b(k)")
 def fn_entrances(spark, sf_dir):
-    sizes = spark.range(10, 60, 10).withColumnRenamed("id", "n")
-    out = sizes.select("n", F.explode(F.array(*[F.lit(s) for s in "NSEW"])).alias("side")).select("n", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("k"))
+    """Five a side of chunks as long as the map's rows."""
+    sizes = cells(spark, sf_dir).groupBy("r").agg(F.count("*").alias("n"))
+    out = sizes.select("r", "n", F.explode(F.array(*[F.lit(s) for s in "NSEW"])).alias("side")).select("r", "n", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("k"))
     return out.withColumn("cell", F.bround((C("n") - 1) * (C("k") + 1) / 6.0).cast("long"))
 
 

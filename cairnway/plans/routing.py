@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import surface
 from ..operators import routing
-from .fixtures import SIDE, view
+from .fixtures import AREA, STRIDE, view
 from .raster import CELL, GRADE, MULT
 from .registry import query
 
@@ -31,9 +31,23 @@ def grid_edges(spark, sf_dir, mode="foot", boundary="strict"):
     return routing.edges(multiplied(spark, sf_dir, mode), mode, CELL, boundary)
 
 
+def number(r, c):
+    return (C(r).cast("long") * STRIDE + C(c)).alias("n")
+
+
+def tile(n, size=AREA):
+    """The tile of a cell's number, as text."""
+    return F.concat_ws(",", F.floor(n / STRIDE / size).cast("string"), F.floor(n % STRIDE / size).cast("string"))
+
+
 def numbered(edges):
-    """Cells as one number, row-major."""
-    return edges.select((C("r") * SIDE + C("c")).cast("long").alias("a"), (C("r2") * SIDE + C("c2")).cast("long").alias("b"), C("seconds").alias("w"))
+    """Cells as one number each."""
+    return edges.select(number("r", "c").alias("a"), number("r2", "c2").alias("b"), C("seconds").alias("w"))
+
+
+def inside(edges, name="area", size=AREA):
+    """Edges that stay in a tile, with it."""
+    return edges.where(tile(C("a"), size) == tile(C("b"), size)).withColumn(name, tile(C("a"), size))
 
 
 @query("edge_cost", f"WITH {EDGES} SELECT r, c, r2, c2, round(seconds, 2) AS seconds FROM edge WHERE seconds < {INF}")
@@ -41,72 +55,92 @@ def edge_cost(spark, sf_dir):
     return grid_edges(spark, sf_dir).select("r", "c", "r2", "c2", F.round("seconds", 2).alias("seconds"))
 
 
-SSSP = f"""WITH RECURSIVE {EDGES}, dist(node, cost) USING KEY (node) AS (
-  SELECT 1 AS node, 0.0e0 AS cost UNION
-  SELECT x.node, min(x.cost) AS cost FROM (SELECT r2*40 + c2 AS node, d.cost + e.seconds AS cost FROM dist d JOIN edge e ON d.node = e.r*40 + e.c) x LEFT JOIN recurring.dist o ON o.node = x.node WHERE o.cost IS NULL OR x.cost < o.cost - 1.0e-12 GROUP BY x.node)"""
+def sssp(start: str, edges: str) -> str:
+    return f"""WITH RECURSIVE {EDGES}, numbered AS (SELECT CAST(r AS BIGINT)*{STRIDE} + c AS a, CAST(r2 AS BIGINT)*{STRIDE} + c2 AS b, seconds FROM edge WHERE {edges}), dist(node, cost) USING KEY (node) AS (
+  SELECT node, 0.0e0 AS cost FROM ({start}) UNION
+  SELECT x.node, min(x.cost) AS cost FROM (SELECT b AS node, d.cost + e.seconds AS cost FROM dist d JOIN numbered e ON d.node = e.a) x LEFT JOIN recurring.dist o ON o.node = x.node WHERE o.cost IS NULL OR x.cost < o.cost - 1.0e-12 GROUP BY x.node)"""
 
 
-@query("sssp_costs", f"{SSSP} SELECT CAST(node AS BIGINT) AS node, round(cost, 4) AS cost_s FROM dist")
+@query("sssp_costs", f"{sssp('SELECT CAST(1 AS BIGINT) AS node', 'true')} SELECT node, round(cost, 4) AS cost_s FROM dist")
 def sssp_costs(spark, sf_dir):
-    graph = numbered(grid_edges(spark, sf_dir)).withColumn("area", F.lit("a"))
-    sources = spark.createDataFrame([("a", 1)], "area string, source long")
-    return routing.costs_from(sources, graph).select("node", F.round("cost_s", 4).alias("cost_s"))
+    """Costs from one cell over the whole map, tile by tile."""
+    edges = numbered(grid_edges(spark, sf_dir)).withColumn("tile", tile(C("a"))).withColumn("tile2", tile(C("b")))
+    sources = cells(spark, sf_dir).where("r = 0 and c = 1").select(number("r", "c").alias("node")).withColumn("tile", tile(C("node")))
+    return routing.costs_over_tiles(sources, edges).select("node", F.round("cost_s", 4).alias("cost_s"))
 
 
-GOALS = [1599, 39, 1560, 820, 415, 1234]
+def cells(spark, sf_dir):
+    return view(spark, sf_dir, "fx_cells")
 
 
-@query("astar_multigoal", f"{SSSP} SELECT CAST(g AS BIGINT) AS trip, round(cost, 4) AS cost_s FROM (VALUES {', '.join(f'({g})' for g in GOALS)}) t(g) JOIN dist ON node = g")
-def astar_multigoal(spark, sf_dir):
-    return trips(spark, sf_dir).where(C("cost_s") < float("inf")).select("trip", F.round("cost_s", 4).alias("cost_s"))
+#: Where the trips of an area go from its cell (0, 1), by row and column inside it.
+GOALS = [(63, 63), (0, 63), (63, 0), (20, 20), (10, 15), (30, 34)]
+AREA_OF = f"r // {AREA} = r2 // {AREA} AND c // {AREA} = c2 // {AREA}"
+STARTS = f"SELECT CAST(r AS BIGINT)*{STRIDE} + c AS node FROM fx_cells WHERE r % {AREA} = 0 AND c % {AREA} = 1"
+
 
+def trip_ends(spark, sf_dir):
+    """A trip from each area's cell (0, 1) to each of GOALS; its number is its goal's."""
+    areas = cells(spark, sf_dir).where((C("r") % AREA == 0) & (C("c") % AREA == 1)).select(C("r").cast("long").alias("r"), (C("c") - 1).cast("long").alias("c"))
+    goals = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in GOALS])).alias("g")
+    rows = areas.select((C("r") * STRIDE + C("c") + 1).alias("start"), "r", "c", goals)
+    return rows.select("start", ((C("r") + C("g.r")) * STRIDE + C("c") + C("g.c")).alias("goal")).select(C("goal").alias("trip"), tile(C("start")).alias("area"), "start", "goal")
 
-def one_area(trips):
-    return trips.withColumn("area", F.lit("a"))
+
+@query("astar_multigoal", f"{sssp(STARTS, AREA_OF)} SELECT node AS trip, round(cost, 4) AS cost_s FROM dist WHERE ({' OR '.join(f'(node // {STRIDE} % {AREA} = {r} AND node % {STRIDE} % {AREA} = {c})' for r, c in GOALS)})")
+def astar_multigoal(spark, sf_dir):
+    return trips(spark, sf_dir).where(C("cost_s") < float("inf")).select("trip", F.round("cost_s", 4).alias("cost_s"))
 
 
 def trips(spark, sf_dir):
-    asked = spark.createDataFrame([(g, [1], [g]) for g in GOALS], "trip long, starts array<long>, goals array<long>")
-    return routing.route(one_area(asked), one_area(numbered(grid_edges(spark, sf_dir))), SIDE)
+    asked = trip_ends(spark, sf_dir).select("trip", "area", F.array("start").alias("starts"), F.array("goal").alias("goals"))
+    return routing.route(asked, inside(numbered(grid_edges(spark, sf_dir))), STRIDE)
 
 
 @query("path_reconstruct")
 def path_reconstruct(spark, sf_dir):
     out = trips(spark, sf_dir)
-    return out.select("trip", F.posexplode("path").alias("i", "node")).select("trip", "i", (C("node") / SIDE).cast("int").alias("r"), (C("node") % SIDE).cast("int").alias("c"))
+    return out.select("trip", F.posexplode("path").alias("i", "node")).select("trip", "i", F.floor(C("node") / STRIDE).cast("int").alias("r"), (C("node") % STRIDE).cast("int").alias("c"))
+
+
+LAYER = STRIDE * STRIDE
 
 
 def multimode_edges(spark, sf_dir):
-    """Edges of foot and vehicle layers, node = layer * cells + cell, with a minute to change between them at road termini."""
+    """Edges of four layers, a mode each, node = layer * LAYER + cell, with a minute to change to and from foot at road termini."""
     from .raster import termini
 
-    cells = SIDE * SIDE
-    layers = [numbered(grid_edges(spark, sf_dir, m)).select((C("a") + k * cells).alias("a"), (C("b") + k * cells).alias("b"), "w") for k, m in enumerate(("foot", "vehicle"))]
-    at = termini(view(spark, sf_dir, "fx_cells")).select((C("r") * SIDE + C("c")).cast("long").alias("n"))
-    change = at.select(F.explode(F.array(F.struct(C("n").alias("a"), (C("n") + cells).alias("b")), F.struct((C("n") + cells).alias("a"), C("n").alias("b")))).alias("e")).select("e.a", "e.b", F.lit(60.0).alias("w"))
-    return layers[0].unionByName(layers[1]).unionByName(change)
+    layers = [inside(numbered(grid_edges(spark, sf_dir, m))).select("area", (C("a") + k * LAYER).alias("a"), (C("b") + k * LAYER).alias("b"), "w") for k, m in enumerate(surface.MODES)]
+    at = termini(cells(spark, sf_dir)).select(number("r", "c"))
+    both = [F.struct((C("n") + a).alias("a"), (C("n") + b).alias("b")) for k in range(1, len(layers)) for a, b in ((0, k * LAYER), (k * LAYER, 0))]
+    out = at.select(tile(C("n")).alias("area"), F.explode(F.array(*both)).alias("e")).select("area", "e.a", "e.b", F.lit(60.0).alias("w"))
+    for layer in layers:
+        out = out.unionByName(layer)
+    return out
 
 
 @query("astar_multimode")
 def astar_multimode(spark, sf_dir):
-    cells = SIDE * SIDE
-    asked = spark.createDataFrame([(g, [1], [g, g + cells]) for g in GOALS], "trip long, starts array<long>, goals array<long>")
-    found = routing.route(one_area(asked), one_area(multimode_edges(spark, sf_dir)), SIDE)
-    modes = F.array_sort(F.array_distinct(F.transform("path", lambda n: F.when(n < cells, "foot").otherwise("vehicle"))))
+    """Trips that begin on foot and may end in any mode."""
+    ends = [C("goal") + k * LAYER for k in range(len(surface.MODES))]
+    asked = trip_ends(spark, sf_dir).select("trip", "area", F.array("start").alias("starts"), F.array(*ends).alias("goals"))
+    found = routing.route(asked, multimode_edges(spark, sf_dir), STRIDE)
+    names = F.array(*[F.lit(m) for m in surface.MODES])
+    modes = F.array_sort(F.array_distinct(F.transform("path", lambda n: F.get(names, F.floor(n / LAYER).cast("int")))))
     return found.select("trip", F.round("cost_s", 4).alias("cost_s"), modes.alias("modes"))
 
 
-CHUNK = 10
+CHUNK = 16
+#: Entrances of a side, by place on it.
+DOORS = [x for _, x in routing.entrances(CHUNK)[:5]]
 
 
 def chunked(spark, sf_dir, modes=("foot", "2w")):
-    """In-chunk edges of every chunk of ten by ten cells and every mode."""
+    """In-chunk edges of every chunk and every mode, cells by their place in it."""
     out = None
+    local = lambda n: (F.floor(n / STRIDE) % CHUNK * CHUNK + n % STRIDE % CHUNK).cast("long")
     for m in modes:
-        e = grid_edges(spark, sf_dir, m)
-        same = (F.floor(C("r") / CHUNK) == F.floor(C("r2") / CHUNK)) & (F.floor(C("c") / CHUNK) == F.floor(C("c2") / CHUNK))
-        local = lambda r, c: ((C(r) % CHUNK) * CHUNK + C(c) % CHUNK).cast("long")
-        part = e.where(same).select(F.concat_ws(",", F.floor(C("c") / CHUNK).cast("string"), F.floor(C("r") / CHUNK).cast("string")).alias("chunk"), F.lit(m).alias("mode"), local("r", "c").alias("a"), local("r2", "c2").alias("b"), C("seconds").alias("w"))
+        part = inside(numbered(grid_edges(spark, sf_dir, m)), "chunk", CHUNK).select("chunk", F.lit(m).alias("mode"), local(C("a")).alias("a"), local(C("b")).alias("b"), "w")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -117,42 +151,49 @@ def hpa_build(spark, sf_dir):
     return costs.select("chunk", "mode", "from_entrance", "to_entrance", F.round("cost_s", 6).alias("cost_s"))
 
 
-SEAMS = "SELECT cx AS cx1, cy AS cy1, 5 + k AS e1, cx + 1 AS cx2, cy AS cy2, 15 + k AS e2 FROM n WHERE cx < 3 UNION ALL SELECT cx, cy, 10 + k, cx, cy + 1, k FROM n WHERE cy < 3"
+def seams(edges):
+    """Steps between facing entrances of neighbouring chunks, from edges (a, b, w)."""
+    row, column = lambda n: F.floor(n / STRIDE), lambda n: n % STRIDE
+    across = lambda one, other: (one(C("a")) == one(C("b"))) & (F.floor(other(C("a")) / CHUNK) != F.floor(other(C("b")) / CHUNK)) & (one(C("a")) % CHUNK).isin(*DOORS)
+    return edges.where(across(row, column) | across(column, row))
 
 
-@query("join_seams", f"WITH n AS (SELECT a.i AS cx, b.i AS cy, k.i AS k FROM range(4) a(i) CROSS JOIN range(4) b(i) CROSS JOIN range(5) k(i)), s AS ({SEAMS}) SELECT * FROM s UNION ALL SELECT cx2, cy2, e2, cx1, cy1, e1 FROM s")
+SEAMS = " OR ".join(f"({x} = {x}2 AND {y} // {CHUNK} <> {y}2 // {CHUNK} AND {x} % {CHUNK} IN ({', '.join(map(str, DOORS))}))" for x, y in ("rc", "cr"))
+
+
+@query("join_seams", f"WITH {EDGES} SELECT CAST(r AS BIGINT)*{STRIDE} + c AS a, CAST(r2 AS BIGINT)*{STRIDE} + c2 AS b, round(seconds, 4) AS seconds FROM edge WHERE seconds < {INF} AND ({SEAMS})")
 def join_seams(spark, sf_dir):
-    chunks = spark.range(16).select((C("id") % 4).alias("cx"), F.floor(C("id") / 4).alias("cy"))
-    one = [C(x) for x in ("cx1", "cy1", "e1", "cx2", "cy2", "e2")]
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("k")
-    other = chunks.select(C("cx").alias("x"), C("cy").alias("y"))
-    across = chunks.join(other, (C("x") == C("cx") + 1) & (C("y") == C("cy"))).select("cx", "cy", "x", "y", k).select(C("cx").alias("cx1"), C("cy").alias("cy1"), (5 + C("k")).alias("e1"), C("x").alias("cx2"), C("y").alias("cy2"), (15 + C("k")).alias("e2"))
-    down = chunks.join(other, (C("x") == C("cx")) & (C("y") == C("cy") + 1)).select("cx", "cy", "x", "y", k).select(C("cx").alias("cx1"), C("cy").alias("cy1"), (10 + C("k")).alias("e1"), C("x").alias("cx2"), C("y").alias("cy2"), C("k").alias("e2"))
-    s = across.unionByName(down)
-    return s.select(*one).unionByName(s.select(C("cx2").alias("cx1"), C("cy2").alias("cy1"), C("e2").alias("e1"), C("cx1").alias("cx2"), C("cy1").alias("cy2"), C("e1").alias("e2")))
+    return seams(numbered(grid_edges(spark, sf_dir))).select("a", "b", F.round("w", 4).alias("seconds"))
+
+
+def abstract(spark, sf_dir):
+    """(routes, in-chunk edges): trips of each area over costs between entrances, steps between chunks and the trips' own ends."""
+    from ..sources.writers import rewritten
+
+    edges = rewritten(numbered(grid_edges(spark, sf_dir)), "edges")
+    inner = inside(edges, "chunk", CHUNK)
+    costs = routing.build_chunks(chunked(spark, sf_dir, ("foot",)), CHUNK)
+    corner = F.split("chunk", ",")
+    places = F.array(*[F.lit(r * STRIDE + c) for r, c in routing.entrances(CHUNK)])
+    door = lambda k: corner[0].cast("long") * CHUNK * STRIDE + corner[1].cast("long") * CHUNK + F.get(places, k)
+    between = rewritten(costs.select(door(C("from_entrance")).alias("a"), door(C("to_entrance")).alias("b"), C("cost_s").alias("w")), "between")
+    graph = inside(between.unionByName(seams(edges)))
+    ends = trip_ends(spark, sf_dir).select("trip", "area", "start", "goal", tile(C("start"), CHUNK).alias("chunk"), tile(C("goal"), CHUNK).alias("chunk2"))
+    doors = between.select(tile(C("a"), CHUNK).alias("chunk"), C("a").alias("door")).unionByName(between.select(tile(C("b"), CHUNK).alias("chunk"), C("b").alias("door"))).distinct()
+    return rewritten(routing.abstract_routes(ends, routing.pseudo_edges(ends, inner, doors), graph), "abstract"), inner
 
 
 @query("hpa_abstract")
 def hpa_abstract(spark, sf_dir):
-    """Costs over the abstract graph, from an entrance of the first chunk to entrances of the last."""
-    door = lambda cx, cy, e: ((cy * 4 + cx) * 20 + e).cast("long")
-    costs = routing.build_chunks(chunked(spark, sf_dir, ("foot",)), CHUNK)
-    xy = F.split("chunk", ",")
-    inner = costs.select(door(xy[0].cast("int"), xy[1].cast("int"), C("from_entrance")).alias("a"), door(xy[0].cast("int"), xy[1].cast("int"), C("to_entrance")).alias("b"), C("cost_s").alias("w"))
-    seams = join_seams(spark, sf_dir).select(door(C("cx1"), C("cy1"), C("e1")).alias("a"), door(C("cx2"), C("cy2"), C("e2")).alias("b"), F.lit(0.0).alias("w"))
-    asked = spark.createDataFrame([(k, [0], [15 * 20 + k]) for k in (5, 7, 9, 12)], "trip long, starts array<long>, goals array<long>")
-    return routing.route(one_area(asked), one_area(inner.unionByName(seams))).select("trip", F.round("cost_s", 4).alias("cost_s"), F.size("path").alias("hops"))
+    routes, _ = abstract(spark, sf_dir)
+    return routes.where(C("cost_s") < float("inf")).select("trip", F.round("cost_s", 4).alias("cost_s"), F.size("hops").alias("hops"))
 
 
 @query("hpa_refine")
 def hpa_refine(spark, sf_dir):
-    """Cells of the way from entrance 0 to entrance 12 inside each chunk."""
-    doors = routing.entrances(CHUNK)
-    graph = chunked(spark, sf_dir, ("foot",)).withColumnRenamed("chunk", "area")
-    start, goal = (r * CHUNK + c for r, c in (doors[0], doors[12]))
-    area = F.concat_ws(",", F.floor(C("id") / 4).cast("string"), (C("id") % 4).cast("string"))
-    asked = spark.range(16).select(C("id").alias("trip"), area.alias("area"), F.array(F.lit(start).cast("long")).alias("starts"), F.array(F.lit(goal).cast("long")).alias("goals"))
-    return routing.route(asked, graph.select("area", "a", "b", "w"), CHUNK).select("trip", F.posexplode("path").alias("i", "cell"))
+    """Every cell of the abstract ways, in order."""
+    routes, inner = abstract(spark, sf_dir)
+    return routing.stitched(routes, inner, lambda n: tile(n, CHUNK)).select("trip", F.posexplode("path").alias("i", "cell"))
 
 
 COVERED = [(1, -8659, -8640), (2, -8630, -8600), (3, -8604, -8580)]
@@ -298,9 +339,8 @@ def fn_highway_priority(spark, sf_dir):
     return view(spark, sf_dir, "fx_entry_points").select("id", F.coalesce(F.try_element_at(literal_map(order), C("highway_class")), F.lit(99)).alias("priority"))
 
 
-@query("union_transitions", "SELECT r, c, from_mode, to_mode, min(src)::INTEGER AS source FROM (SELECT r, c, 'vehicle' AS from_mode, 'foot' AS to_mode, 1 AS src FROM fx_cells WHERE trail = 5 UNION ALL SELECT r, c, 'vehicle', 'foot', 2 FROM fx_cells WHERE c = 13 UNION ALL SELECT r + 35, c, 'foot', '2w', 3 FROM fx_cells WHERE trail = 25) WHERE r < 40 AND c < 40 GROUP BY ALL")
+@query("union_transitions", "SELECT r, c, from_mode, to_mode, min(src)::INTEGER AS source FROM (SELECT r, c, 'vehicle' AS from_mode, 'foot' AS to_mode, 1 AS src FROM fx_cells WHERE trail = 5 UNION ALL SELECT r, c, 'vehicle', 'foot', 2 FROM fx_cells WHERE c % 29 = 13 UNION ALL SELECT r, c, 'foot', '2w', 3 FROM fx_cells WHERE trail = 25) GROUP BY ALL")
 def union_transitions(spark, sf_dir):
-    cells = view(spark, sf_dir, "fx_cells")
-    part = lambda df, r, a, b, k: df.select(r.alias("r"), "c", F.lit(a).alias("from_mode"), F.lit(b).alias("to_mode"), F.lit(k).alias("source"))
-    all_ = part(cells.where("trail = 5"), C("r"), "vehicle", "foot", 1).unionByName(part(cells.where("c = 13"), C("r"), "vehicle", "foot", 2)).unionByName(part(cells.where("trail = 25"), C("r") + 35, "foot", "2w", 3))
-    return all_.where((C("r") < SIDE) & (C("c") < SIDE)).groupBy("r", "c", "from_mode", "to_mode").agg(F.min("source").alias("source"))
+    part = lambda where, a, b, k: cells(spark, sf_dir).where(where).select("r", "c", F.lit(a).alias("from_mode"), F.lit(b).alias("to_mode"), F.lit(k).alias("source"))
+    found = part("trail = 5", "vehicle", "foot", 1).unionByName(part("c % 29 = 13", "vehicle", "foot", 2)).unionByName(part("trail = 25", "foot", "2w", 3))
+    return found.groupBy("r", "c", "from_mode", "to_mode").agg(F.min("source").alias("source"))

@@ -13,8 +13,7 @@ def tiled(cells: DataFrame, size: int, value: str = "elev_m") -> DataFrame:
     return grouped.select("tile_y", "tile_x", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.try_element_at("m", i)).alias("values"))
 
 
-def mosaic(tiles: DataFrame, size: int, rows: int, cols: int, value: str = "elev_m") -> DataFrame:
-    """Tiles back to cells, cropped to rows x cols; no data is null."""
-    out = tiles.select("tile_y", "tile_x", F.posexplode("values").alias("k", "v"))
-    out = out.select((F.col("tile_y") * size + (F.col("k") / size).cast("int")).alias("r"), (F.col("tile_x") * size + F.col("k") % size).alias("c"), F.when(F.isnan("v"), None).otherwise(F.col("v")).alias(value))
-    return out.where((F.col("r") < rows) & (F.col("c") < cols))
+def mosaic(tiles: DataFrame, size: int, value: str = "elev_m") -> DataFrame:
+    """Tiles back to the cells they were made of; no data is null."""
+    out = tiles.select("tile_y", "tile_x", F.posexplode("values").alias("k", "v")).where("v is not null")
+    return out.select((F.col("tile_y") * size + (F.col("k") / size).cast("int")).alias("r"), (F.col("tile_x") * size + F.col("k") % size).alias("c"), F.when(F.isnan("v"), None).otherwise(F.col("v")).alias(value))

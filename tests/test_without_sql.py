@@ -145,7 +145,7 @@ def test_grades_and_blurs_beside_absent_cells(spark):
     out = surface.with_grade(spark.createDataFrame(plane, "r int, c int, elev_m double"), 1.0).collect()
     assert {r.grade for r in out if r.r not in (3, 5)} == {1.0} and {r.grade for r in out if r.r in (3, 5)} == {None}
     flat = spark.createDataFrame([(r, c, 7.0) for r in range(9) for c in range(5) if (r, c) != (4, 2)], "r int, c int, v double")
-    assert all(abs(r.v - 7.0) < 1e-9 for r in surface.blur(flat, "v", 9, 5).collect())
+    assert all(abs(r.v - 7.0) < 1e-9 for r in surface.blur(flat, "v").collect())
 
 
 def test_lines_joined_like_one_pair_at_a_time():
