@@ -192,12 +192,14 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches):
         ranks = read_ranks(ranks_path)
-        table = [b""] * (max(ranks.values()) + 1)
+        table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             table[rank] = token
         for batch in batches:
             ids = batch["ids"]
             flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            if len(flat) and (flat.min() < 0 or flat.max() >= len(table)):
+                raise ValueError("an id is not in the vocabulary")  # one in a gap of it fails in the join below
             out = [b"".join(map(table.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=pa.binary())], names=[*batch.schema.names, "decoded"])
 

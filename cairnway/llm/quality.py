@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, without
-from .toxicity import labelled
+from .toxicity import labelled, one_text
 
 MAX_ROWS = 8_000
 SYMBOL, MARK = re.compile(r"[^\w\s.,;:!?'\"()\-]"), re.compile(r"[^\w\s]")
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     sample = labelled(docs, labels, "quality", 2 * max_rows)
     # The unlabelled side: ids are cheap to rank, and max_rows bounds what is broadcast.
     some = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(max_rows).distinct()
-    web = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("text", F.lit(-1).alias("y"), F.xxhash64("doc_id").alias("h"))
+    web = one_text(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).select("text", F.lit(-1).alias("y"), F.xxhash64("doc_id").alias("h"))
 
     def run(batches):
         for batch in batches:

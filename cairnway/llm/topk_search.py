@@ -13,7 +13,7 @@ exact.  Queries are a stated set and meet a shard in blocks of bounded size: (sh
 
 Edge cases: null vectors and vectors with a null, NaN or infinite component take no part; vectors of another length are
 never compared; an empty vector scores nothing; products beyond
-2**53 are worked out with whole numbers; ties go to the smaller id; rows that repeat an id are candidates each, none
+2**53 are worked out with whole numbers, components and scores beyond the range of a long count as its ends; ties go to the smaller id; rows that repeat an id are candidates each, none
 for the query of the same id, and a repeated query row is asked once; empty tables give empty results; other columns are ignored.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 from .common import stored
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS, TOP_LEAVES, SAMPLE_PER_LEAF = 8192, 2048, 256, 1024, 32
+LONG = 2**63 - 1
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -89,7 +90,7 @@ def exhaustive(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_i
     """The same with whole numbers of any size, for components whose products leave the range of exact doubles."""
     out = []
     for q, me, least in zip(queries, query_ids, floor, strict=True):
-        scores = [(-sum(int(x) * int(y) for x, y in zip(q, p, strict=True)), int(i)) for p, i in zip(points, ids, strict=True) if i != me]
+        scores = [(-max(-LONG - 1, min(LONG, sum(x * y for x, y in zip(q.tolist(), p.tolist(), strict=True)))), int(i)) for p, i in zip(points, ids, strict=True) if i != me]
         best = heapq.nsmallest(k, [x for x in scores if -x[0] >= least])
         out.append(pd.DataFrame({"query_id": me, "vec_id": [i for _, i in best], "score": [-x for x, _ in best]}, dtype="int64"))
     return pd.concat(out)
@@ -100,7 +101,7 @@ def _searcher(k: int):
         if points.empty or queries.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         whole, asked = np.array(points.v.tolist(), dtype=np.int64), np.array(queries.v.tolist(), dtype=np.int64)
-        exact = float(np.abs(whole).max(initial=0)) * float(np.abs(asked).max(initial=0)) * whole.shape[1] < 2**53
+        exact = np.abs(whole.astype(float)).max(initial=0) * np.abs(asked.astype(float)).max(initial=0) * whole.shape[1] < 2**53
         look, kind = (search, np.float64) if exact else (exhaustive, np.int64)
         return look(whole.astype(kind), points.id.to_numpy(np.int64), asked.astype(kind), queries.id.to_numpy(np.int64), queries.kth.fillna(-np.inf).to_numpy(np.float64), k)
 
@@ -117,8 +118,8 @@ class Top:
         for node in range(inner):
             part = parts[node]
             if len(part):
-                self.axis[node] = axis = int((part.max(axis=0) - part.min(axis=0)).argmax())
-                self.cut[node] = int(np.median(part[:, axis]))
+                self.axis[node] = axis = int((part.max(axis=0).astype(float) - part.min(axis=0).astype(float)).argmax())
+                self.cut[node] = np.sort(part[:, axis])[(len(part) - 1) // 2]
             right = part[:, self.axis[node]] > self.cut[node]
             parts += [part[~right], part[right]]
         self.lo = self.hi = None
@@ -132,7 +133,9 @@ class Top:
     def within(self, q: np.ndarray, least: float) -> list[int]:
         """Leaves in which some point may score ``least`` or more with ``q``."""
         bound = np.maximum(q, 0) @ self.hi + np.minimum(q, 0) @ self.lo
-        return np.flatnonzero(bound * (1 + 1e-12 * np.sign(bound)) >= least).tolist()
+        # Rounding errors go with the sizes of the summands, not with that of the sum.
+        slack = 1e-12 * (np.abs(q) @ np.maximum(np.abs(self.hi), np.abs(self.lo)))
+        return np.flatnonzero(np.minimum(bound, float(LONG)) + slack >= least).tolist()
 
 
 def _boxes(placed: DataFrame, top: Top, dim: int) -> None:
@@ -157,6 +160,12 @@ def _boxes(placed: DataFrame, top: Top, dim: int) -> None:
         top.lo[r["at"], r.leaf], top.hi[r["at"], r.leaf] = float(r.lo), float(r.hi)
 
 
+def floor_of(score):
+    """A score as a double that is not above it; the least long stands for anything below, so it excludes nothing."""
+    near = score.cast("double")
+    return F.when(F.abs(near) < 2.0**53, near).when(near > -(2.0**63), near - F.abs(near) * 2.0**-51)
+
+
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -191,7 +200,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, sha
     shard = ["dim", "leaf", "salt"]
     first = points.groupBy(*shard).cogroup(asked.withColumn("kth", F.lit(None).cast("double")).groupBy(*shard)).applyInPandas(_searcher(k), HITS)
     first = stored(_ranked(first, k), "hits")
-    known = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth"))
+    known = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), floor_of(F.col("score")).alias("kth"))
     asked = asked.select(F.col("leaf").alias("home"), F.col("salt").alias("done"), "dim", "id", "v").join(known, "id", "left")
 
     @F.pandas_udf("array<int>")

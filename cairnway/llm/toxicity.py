@@ -83,12 +83,17 @@ def describe(text: str | None, lexicon: dict[str, float]) -> list[float]:
     return [word_hits / n, np.log1p(word_hits), stem_hits / n, np.log1p(stem_hits), weight / n, near / max(1, word_hits + stem_hits), second / n, capitals / letters, float(capitals > 0.7 * letters), len(MARK.findall(text)) / size, len(CALL.findall(text)) / n, len(odd) / n, odd_hits / n, np.log1p(n)]
 
 
+def one_text(rows: DataFrame, *others: str) -> DataFrame:
+    """One text of each doc_id, whatever the order of rows: of several, that with the least digest."""
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"), *[F.first(c).alias(c) for c in others])
+
+
 def labelled(docs: DataFrame, labels: DataFrame, target: str, max_rows: int) -> DataFrame:
     """Up to ``max_rows`` training rows (text, y, fold), in order of a hash of the id; held-out labels are never read."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     # max_rows bounds what is broadcast: an id and a label each.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = one_text(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "y")
     return stored(rows.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int").alias("fold"), F.xxhash64("doc_id").alias("h")), "labelled")
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import WRITTEN, shared_dir, stored
 
 MIN_REVISIT, SAMPLE_BYTES, DICT_BYTES, ARCHIVE_BYTES, SKIPPABLE = 100, 4 << 20, 64 << 10, 1 << 30, 0x184D2A5D
 MANIFEST = "archive string, records long, bytes long"
@@ -160,7 +160,9 @@ def parse_record(raw: bytes) -> dict:
 
 def write(pages: DataFrame, folder: str | None = None, limit: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives in ``folder``; returns the manifest (archive, records, bytes)."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    if not folder:
+        folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+        WRITTEN.append((folder, None))
 
     def run(batches):
         name = f"{folder}/part-{TaskContext.get().partitionId():06d}"

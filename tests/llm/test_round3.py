@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnway.llm import lm_scoring, queries, repair, whitening
+from cairnway.llm import bpe, common, lm_scoring, quality, queries, repair, topk_search, toxicity, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -227,3 +227,41 @@ def test_repair_of_nothing_long_and_repeated(spark):
     many = [(3, i, "user" if i % 3 else "assistant", f"{i}." if i % 5 else "cut", 1) for i in range(3000)]
     got = repaired(spark.createDataFrame([*many, (4, 0, "user", "y" * 300_000 + ".", 1)], schema))
     assert got[3] == brute_repair([r[1:4] for r in many]) and got[4] == brute_repair([(0, "user", "y" * 300_000 + ".")])
+
+
+# -- mended ------------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("size", [1e9, 1e15, 1e20, 1e300])
+def test_top_k_of_huge_components(spark, size):
+    """Whole numbers of any size rank as they are; components and scores beyond a long count as its ends."""
+    rnd = random.Random(7)
+    rows = [(i, [rnd.uniform(-1, 1) * size for _ in range(3)] if i % 3 else [rnd.uniform(-1, 1), rnd.uniform(-1, 1) * size, -rnd.random()]) for i in range(60)]
+    top = 2**63 - 1
+    whole = {i: [max(-top - 1, min(top, math.floor(64 * x))) for x in v] for i, v in rows}
+    want = {}
+    for q in range(0, 60, 20):
+        scores = sorted((-max(-top - 1, min(top, sum(a * b for a, b in zip(whole[q], whole[i], strict=True)))), i) for i in whole if i != q)[:5]
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(scores, 1)}
+    out = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, shard_rows=16, block_rows=2).collect()
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in out} == want
+
+
+def test_one_text_of_an_id_whatever_the_order(spark):
+    rows = [(1, "first text"), (1, "second text"), (2, None), (2, "x"), (3, "only")]
+    got = [sorted((r.doc_id, r.text or "") for r in toxicity.one_text(spark.createDataFrame(x, "doc_id long, text string")).collect()) for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 3
+    assert quality.one_text is toxicity.one_text
+
+
+def test_unknown_ids_are_errors(spark):
+    ranks, _ = queries.tokenizer()
+    for bad in (-1, 10**6):
+        with pytest.raises(Exception, match="not in the vocabulary"):
+            bpe.decode(spark.createDataFrame([([0, bad],)], "ids array<int>"), ranks).collect()
+
+
+def test_archives_are_deleted(spark):
+    mine = len(common.WRITTEN)
+    archives = [r.archive for r in warc.write(spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string")).collect()]
+    common.release(spark, since=mine)
+    path = spark._jvm.org.apache.hadoop.fs.Path(archives[0])
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
