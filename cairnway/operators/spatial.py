@@ -57,37 +57,69 @@ def within_radius(points: DataFrame, others: DataFrame, metres: float) -> DataFr
     return met.where(C("metres") <= metres).drop("cell")
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, rings: tuple[float, ...], order: list[str]) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, rings: tuple[float, ...], order: list[str], within: float | None = None) -> DataFrame:
     """k nearest points of each query by growing rings (metres): queries with k hits inside a ring are done, the others go on.
 
     Rings after the last one given are four times as wide each, until one covers the globe: no query gets fewer points than
-    there are.  What a ring leaves is written, so that no ring is worked out again for the next, and rings end with the last query.
+    there are; with ``within`` they end there, and points further away are none.  What a ring leaves is written, so that no ring is worked out again for the next, and rings end with the last query.
     """
     todo, done = queries, None
     while True:
         reach, rings = rings[0], rings[1:] or (rings[0] * 4,)
-        globe = reach >= math.pi * EARTH
+        reach = reach if within is None else min(reach, within)
+        last = reach >= math.pi * EARTH or reach == within
         met = within_radius(points, todo, reach)
         ranked = rewritten(met.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("metres", *order))).where(C("n") <= k), "ring")
         full = ranked.where(C("n") == k).select("qid")
-        part = ranked if globe else ranked.join(full, "qid", "left_semi")
+        part = ranked if last else ranked.join(full, "qid", "left_semi")
         done = part if done is None else done.unionByName(part)
-        if globe:
+        if last:
             return done
         todo = rewritten(todo.join(full, "qid", "left_anti"), "left")
         if todo.isEmpty():
             return done
 
 
+#: A box is dealt to cells of the level at which it is at most so many of them wide.
+ACROSS = 8
+
+
+def boxes_meet(points: DataFrame, boxes: DataFrame, step: float, box: tuple[Column, Column, Column, Column]) -> DataFrame:
+    """Points (lat, lon) and rows with a box (xmin, xmax, ymin, ymax) that share a cell.
+
+    Cells of level n are 2**n steps wide and a box has the level that suits its size, so that it is a bounded number of cells,
+    whatever it covers.  Points are dealt once for each level that boxes have, a dozen or so at most from steps to the globe.
+    """
+    xmin, xmax, ymin, ymax = box
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(xmax - xmin, ymax - ymin, F.lit(step)) / (step * ACROSS)))).cast("int")
+    at = lambda v, n: F.floor(v / (F.pow(F.lit(2.0), n) * step)).cast("long")
+    sized = boxes.withColumn("level", level)
+    n = C("level")
+    cells = F.flatten(F.transform(F.sequence(at(ymin, n), at(ymax, n)), lambda y: F.transform(F.sequence(at(xmin, n), at(xmax, n)), lambda x: F.struct(n.alias("n"), y.alias("y"), x.alias("x")))))
+    spread = sized.withColumn("cell", F.explode(cells)).drop("level")
+    levels = sized.select("level").distinct()  # a dozen rows at most
+    dealt = points.join(F.broadcast(levels), F.lit(True)).withColumn("cell", F.struct(n.alias("n"), at(C("lat"), n).alias("y"), at(C("lon"), n).alias("x"))).drop("level")
+    return dealt.join(spread, "cell").drop("cell")
+
+
 def in_rectangles(points: DataFrame, boxes: DataFrame, step: float, boundary: bool = True) -> DataFrame:
     """Pairs of points and boxes (xmin, xmax, ymin, ymax) that hold them; with or without the boundary."""
-    cells = F.flatten(F.transform(F.sequence(geo.grid_key(C("ymin"), step), geo.grid_key(C("ymax"), step)), lambda y: F.transform(F.sequence(geo.grid_key(C("xmin"), step), geo.grid_key(C("xmax"), step)), lambda x: F.struct(y.alias("y"), x.alias("x")))))
-    spread = boxes.withColumn("cell", F.explode(cells))
-    dealt = points.withColumn("cell", F.struct(geo.grid_key(C("lat"), step).alias("y"), geo.grid_key(C("lon"), step).alias("x")))
     inside = (C("lon") >= C("xmin")) & (C("lon") <= C("xmax")) & (C("lat") >= C("ymin")) & (C("lat") <= C("ymax"))
     if not boundary:
         inside = (C("lon") > C("xmin")) & (C("lon") < C("xmax")) & (C("lat") > C("ymin")) & (C("lat") < C("ymax"))
-    return dealt.join(spread, "cell").where(inside).drop("cell")
+    return boxes_meet(points, boxes, step, (C("xmin"), C("xmax"), C("ymin"), C("ymax"))).where(inside)
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, step: float, boundary: bool = True) -> DataFrame:
+    """Pairs of points and polygons (rings array<array<struct<lon, lat>>>, any shape, holes included) that hold them.
+
+    A polygon's box finds the points that may lie in it, its rings decide.
+    """
+    corners = F.flatten("rings")
+    end = lambda f, c: f(F.transform(corners, lambda p: p[c]))
+    boxed = polygons.where(F.size(corners) > 0)
+    met = boxes_meet(points, boxed, step, (end(F.array_min, "lon"), end(F.array_max, "lon"), end(F.array_min, "lat"), end(F.array_max, "lat")))
+    return met.where(in_rings(C("lon"), C("lat"), C("rings"), boundary))
 
 
 def in_rings(lon: Column, lat: Column, rings: Column, boundary: bool = True) -> Column:
@@ -113,10 +145,6 @@ def in_rings(lon: Column, lat: Column, rings: Column, boundary: bool = True) ->
 
 def near_segments(points: DataFrame, segments: DataFrame, degrees: float, step: float) -> DataFrame:
     """Pairs of points and segments (lat1, lon1, lat2, lon2) at most ``degrees`` apart, with ``degrees``."""
-    lo = lambda a, b, s: geo.grid_key(F.least(a, b) - degrees, s)
-    hi = lambda a, b, s: geo.grid_key(F.greatest(a, b) + degrees, s)
-    cells = F.flatten(F.transform(F.sequence(lo("lat1", "lat2", step), hi("lat1", "lat2", step)), lambda y: F.transform(F.sequence(lo("lon1", "lon2", step), hi("lon1", "lon2", step)), lambda x: F.struct(y.alias("y"), x.alias("x")))))
-    spread = segments.withColumn("cell", F.explode(cells))
-    dealt = points.withColumn("cell", F.struct(geo.grid_key(C("lat"), step).alias("y"), geo.grid_key(C("lon"), step).alias("x")))
-    met = dealt.join(spread, "cell").withColumn("degrees", geo.point_segment_degrees(C("lat"), C("lon"), C("lat1"), C("lon1"), C("lat2"), C("lon2")))
-    return met.where(C("degrees") <= degrees).drop("cell")
+    box = (F.least("lon1", "lon2") - degrees, F.greatest("lon1", "lon2") + degrees, F.least("lat1", "lat2") - degrees, F.greatest("lat1", "lat2") + degrees)
+    met = boxes_meet(points, segments, step, box).withColumn("degrees", geo.point_segment_degrees(C("lat"), C("lon"), C("lat1"), C("lon1"), C("lat2"), C("lon2")))
+    return met.where(C("degrees") <= degrees)

@@ -34,7 +34,7 @@ VIEWS = {
     "fx_parking": ("part", "p_partkey AS id, CASE p_size % 7 WHEN 0 THEN 'private' WHEN 1 THEN 'no' WHEN 2 THEN 'permit' WHEN 3 THEN 'yes' WHEN 4 THEN 'customers' END AS access, 43.0e0 + (p_partkey*4421 % 10000)/1.0e4 AS lat, -117.0e0 + (p_partkey*8017 % 10000)/1.0e4 AS lon"),
     "fx_units": (
         "nation",
-        "CAST(n_nationkey AS BIGINT) AS unit_id, concat('Unit ', n_name) AS unit_nm, CASE n_nationkey % 3 WHEN 0 THEN 'NPS' WHEN 1 THEN 'BLM' ELSE 'ZZZ' END AS mang_name, CASE n_nationkey % 4 WHEN 0 THEN 'OA' WHEN 1 THEN 'RA' WHEN 2 THEN 'XA' END AS pub_access, CASE WHEN n_nationkey % 6 <> 5 THEN CAST(1000 + n_nationkey*37 AS DOUBLE) END AS gis_acres, "
+        "CAST(n_nationkey AS BIGINT) AS unit_id, concat('Unit ', n_name) AS unit_nm, CASE n_nationkey % 3 WHEN 0 THEN 'NPS' WHEN 1 THEN 'BLM' ELSE 'ZZZ' END AS mang_name, CASE n_nationkey % 4 WHEN 0 THEN 'OA' WHEN 1 THEN 'RA' WHEN 2 THEN 'XA' END AS pub_access, CASE n_nationkey % 5 WHEN 0 THEN ' WSA' WHEN 1 THEN 'NLS' WHEN 2 THEN 'FOTH' WHEN 3 THEN '??' END AS des_tp, CAST(1 + n_nationkey % 5 AS {s}) AS gap_sts, CASE n_nationkey % 3 WHEN 0 THEN 'Marine' WHEN 1 THEN 'Fee' ELSE 'Proclamation' END AS category, CASE n_nationkey % 4 WHEN 0 THEN 'NM' WHEN 1 THEN 'DC' WHEN 2 THEN 'QQ' END AS state_nm, CASE WHEN n_nationkey % 6 <> 5 THEN CAST(1000 + n_nationkey*37 AS DOUBLE) END AS gis_acres, "
         "-117.0e0 + (n_nationkey % 5)*0.2e0 AS xmin, -117.0e0 + (n_nationkey % 5)*0.2e0 + 0.3e0 AS xmax, 43.0e0 + (n_nationkey % 4)*0.2e0 AS ymin, 43.0e0 + (n_nationkey % 4)*0.2e0 + 0.35e0 AS ymax",
     ),
     "fx_mvum": (

@@ -60,10 +60,24 @@ def scan_opds_catalog(spark, sf_dir):
     return readers.catalog_entries(docs, "doc", [("nation_1", "one"), ("nation", "any")]).select("n_regionkey", "name", "source", "path")
 
 
-@query("scan_manifest", "SELECT * FROM (VALUES (0, 'west', CAST(-8659 AS BIGINT), CAST(-8620 AS BIGINT)), (1, 'all', NULL, NULL)) t(ord, name, min_x, max_x)")
+@query(
+    "scan_manifest",
+    """SELECT r_regionkey, problem, ord::INTEGER AS ord, name, path, min_x, max_x FROM (
+      SELECT n_regionkey AS r_regionkey, NULL AS problem, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS ord, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN '/maps/' ELSE 'at/' || n_regionkey || '/' END || n_nationkey || '.parquet' AS path,
+        CASE WHEN n_nationkey % 4 > 0 THEN -8659 + n_nationkey END::BIGINT AS min_x, CASE WHEN n_nationkey % 4 > 0 THEN -8620 + n_nationkey END::BIGINT AS max_x FROM nation WHERE n_regionkey NOT IN (2, 3, 4)
+      UNION ALL SELECT 2, NULL, 0, 'legacy', 'at/2/old.parquet', NULL, NULL FROM region WHERE r_regionkey = 2 UNION ALL SELECT 3, 'unknown version', NULL, NULL, NULL, NULL, NULL FROM region WHERE r_regionkey = 3
+      UNION ALL SELECT 4, 'no manifest', NULL, NULL, NULL, NULL, NULL FROM region WHERE r_regionkey = 4)""",
+)
 def scan_manifest(spark, sf_dir):
-    document = {"version": 1, "tile_dbs": [{"name": "west", "path": "west.parquet", "chunk_bounds": {"min_x": -8659, "max_x": -8620, "min_y": 3182, "max_y": 3255}}, {"name": "all", "path": "all.parquet"}]}
-    return readers.manifest(spark, document).select("ord", "name", "min_x", "max_x")
+    """A manifest of each region: its nations' tables, one of the legacy kind, one of a later version and one broken."""
+    n = C("n_nationkey")
+    bounds = F.when(n % 4 > 0, F.struct((n - 8659).alias("min_x"), (n - 8620).alias("max_x")))
+    path = F.concat(F.when(n % 3 == 0, "/maps/").otherwise(""), n.cast("string"), F.lit(".parquet"))
+    listed = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", C("n_name").alias("name"), path.alias("path"), bounds.alias("chunk_bounds")))).alias("tile_dbs"))
+    key = C("n_regionkey")
+    text = F.when(key == 2, '{"path": "old.parquet"}').when(key == 3, '{"version": 2, "tile_dbs": []}').when(key == 4, "{broken").otherwise(F.to_json(F.struct(F.lit(1).alias("version"), "tile_dbs")))
+    documents = listed.select(key.alias("r_regionkey"), F.concat(F.lit("at/"), key.cast("string")).alias("folder"), text.alias("text"))
+    return readers.manifest(documents, "text").select("r_regionkey", "problem", "ord", "name", "path", "min_x", "max_x")
 
 
 @query("src_nominatim_overpass", "SELECT id, CASE WHEN category = 'BUILDING' THEN 'primary' WHEN category IN ('MACHINERY', 'FURNITURE') AND phone <> '' THEN 'fallback' END AS source FROM fx_contacts")

@@ -34,8 +34,7 @@ RINGS = (2_000.0, 8_000.0, 32_000.0, 250_000.0)
 @query("join_knn", f"SELECT qid, id, n::INTEGER AS n FROM (SELECT q.qid, e.id, {sql_haversine('e.lat', 'e.lon', 'q.lat', 'q.lon')} AS m, row_number() OVER (PARTITION BY q.qid ORDER BY {sql_haversine('e.lat', 'e.lon', 'q.lat', 'q.lon')}, e.id) AS n FROM fx_entry_points e CROSS JOIN fx_probe q WHERE e.highway_class IN ('track','path')) WHERE n <= 5 AND m <= 5000")
 def join_knn(spark, sf_dir):
     points = view(spark, sf_dir, "fx_entry_points").where(C("highway_class").isin("track", "path"))
-    found = spatial.nearest(view(spark, sf_dir, "fx_probe"), points, 5, RINGS, ["id"])
-    return found.where("metres <= 5000").select("qid", "id", "n")
+    return spatial.nearest(view(spark, sf_dir, "fx_probe"), points, 5, RINGS, ["id"], within=5000.0).select("qid", "id", "n")
 
 
 @query("topk_entry", f"SELECT qid, id, n::INTEGER AS n FROM (SELECT q.qid, e.id, row_number() OVER (PARTITION BY q.qid ORDER BY {sql_haversine('e.lat', 'e.lon', 'q.lat', 'q.lon')}, e.id) AS n FROM fx_entry_points e CROSS JOIN fx_probe q) WHERE n <= 5")
@@ -200,3 +199,30 @@ def fn_local_bearing(spark, sf_dir):
     near = spatial.near_segments(view(spark, sf_dir, "fx_probe"), segments(spark, sf_dir), 0.02, 0.02)
     best = first_rows(near, ["qid"], ["degrees", "ogc_fid"], 1)
     return best.select("qid", "ogc_fid", F.round(geo.bearing(C("lat1"), C("lon1"), C("lat2"), C("lon2")), 6).alias("bearing"))
+
+
+#: Every unit's box as a polygon that is not convex, with a hole: a notch in its right half, a square cut out of its left half.
+SHELL, HOLE = ((0, 0), (1, 0), (0.6, 0.5), (1, 1), (0, 1)), ((0.1, 0.3), (0.3, 0.3), (0.3, 0.7), (0.1, 0.7))
+
+
+def ring_sql(ring) -> tuple[str, str]:
+    """Crossings of a ring by a ray to the right, counted edge by edge, and whether a point is on an edge."""
+    odd, on = [], []
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        x1, y1, x2, y2 = (f"(xmin + (xmax - xmin) * {ax}e0)", f"(ymin + (ymax - ymin) * {ay}e0)", f"(xmin + (xmax - xmin) * {bx}e0)", f"(ymin + (ymax - ymin) * {by}e0)")
+        on.append(f"({x2} - {x1}) * (lat - {y1}) - ({y2} - {y1}) * (lon - {x1}) = 0 AND lon BETWEEN least({x1}, {x2}) AND greatest({x1}, {x2}) AND lat BETWEEN least({y1}, {y2}) AND greatest({y1}, {y2})")
+        if ay != by:
+            odd.append(f"CASE WHEN ({y1} > lat) <> ({y2} > lat) AND lon < ({x2} - {x1}) * (lat - {y1}) / ({y2} - {y1}) + {x1} THEN 1 ELSE 0 END")
+    return " + ".join(odd), " OR ".join(on)
+
+
+IN_SHELL, IN_HOLE = ring_sql(SHELL), ring_sql(HOLE)
+
+
+@query("point_in_shape", f"SELECT pid, unit_id FROM fx_points CROSS JOIN fx_units WHERE ({IN_SHELL[0]} + {IN_HOLE[0]}) % 2 = 1 OR {IN_SHELL[1]} OR {IN_HOLE[1]}")
+def point_in_shape(spark, sf_dir):
+    """Points in units that are not boxes."""
+    corner = lambda x, y: F.struct((C("xmin") + (C("xmax") - C("xmin")) * float(x)).alias("lon"), (C("ymin") + (C("ymax") - C("ymin")) * float(y)).alias("lat"))
+    rings = F.array(*[F.array(*[corner(x, y) for x, y in ring]) for ring in (SHELL, HOLE)])
+    shapes = view(spark, sf_dir, "fx_units").select("unit_id", rings.alias("rings"))
+    return spatial.in_polygons(view(spark, sf_dir, "fx_points"), shapes, 0.1).select("pid", "unit_id")

@@ -135,11 +135,25 @@ def fn_leading_int(spark, sf_dir):
     return view(spark, sf_dir, "fx_points").select("pid", text.leading_int(t).alias("capacity"))
 
 
-@query("fn_decode_code", "SELECT unit_id, coalesce(MAP {'NPS': 'National Park Service', 'BLM': 'Bureau of Land Management'}[mang_name], mang_name, '') AS agency, coalesce(MAP {'OA': 'Open Access', 'RA': 'Restricted Access', 'XA': 'Closed', 'UK': 'Unknown'}[pub_access], pub_access, '') AS access FROM fx_units")
+@query(
+    "fn_decode_code",
+    """SELECT unit_id, coalesce(MAP {'NPS': 'National Park Service', 'BLM': 'Bureau of Land Management'}[mang_name], mang_name, '') AS agency, coalesce(MAP {'OA': 'Open Access', 'RA': 'Restricted Access', 'XA': 'Closed', 'UK': 'Unknown'}[pub_access], pub_access, '') AS access,
+    CASE trim(des_tp) WHEN 'WSA' THEN 'Wilderness Study Area' WHEN 'NLS' THEN 'National Lakeshore or Seashore' WHEN 'FOTH' THEN 'Federal Other or Unknown' ELSE coalesce(des_tp, '') END AS designation,
+    CASE gap_sts WHEN '1' THEN 'Managed for biodiversity (disturbance events proceed)' WHEN '2' THEN 'Managed for biodiversity (disturbance suppressed)' WHEN '3' THEN 'Multiple uses (extractive/OHV)' WHEN '4' THEN 'No known mandate for biodiversity protection' ELSE gap_sts END AS gap,
+    CASE category WHEN 'Marine' THEN 'Marine Area' WHEN 'Proclamation' THEN 'Approved, Proclamation or Extent Boundary' ELSE category END AS category, CASE state_nm WHEN 'NM' THEN 'New Mexico' WHEN 'DC' THEN 'District of Columbia' ELSE coalesce(state_nm, '') END AS state FROM fx_units""",
+)
 def fn_decode_code(spark, sf_dir):
-    from ..functions.codes import ACCESS, AGENCIES
+    from ..functions import codes
+
+    tables = {"agency": ("mang_name", codes.AGENCIES), "access": ("pub_access", codes.ACCESS), "designation": ("des_tp", codes.DESIGNATIONS), "gap": ("gap_sts", codes.GAP_STATUS), "category": ("category", codes.UNIT_CATEGORIES), "state": ("state_nm", codes.state_names())}
+    return view(spark, sf_dir, "fx_units").select("unit_id", *[text.decode_code(C(c), names).alias(k) for k, (c, names) in tables.items()])
+
+
+@query("fn_humanize_features", "SELECT fid, CASE osm_value WHEN 'cafe' THEN 'Coffee shop' WHEN 'supermarket' THEN 'Supermarket' WHEN 'residential' THEN 'Highway: Residential' WHEN 'house' THEN 'Place: House' ELSE 'Hamlet' END AS label FROM fx_features")
+def fn_humanize_features(spark, sf_dir):
+    from ..functions.codes import CATEGORIES, CLASS_LABELS
 
-    return view(spark, sf_dir, "fx_units").select("unit_id", text.decode_code(C("mang_name"), AGENCIES).alias("agency"), text.decode_code(C("pub_access"), ACCESS).alias("access"))
+    return view(spark, sf_dir, "fx_features").select("fid", text.humanize(C("osm_key"), C("osm_value"), CATEGORIES, CLASS_LABELS).alias("label"))
 
 
 CATEGORY = "SELECT pid, CASE pid % 6 WHEN 0 THEN 'amenity' WHEN 1 THEN 'shop' WHEN 2 THEN 'Amenity' WHEN 3 THEN 'man_made' WHEN 4 THEN 'amenity' END AS cls, CASE pid % 6 WHEN 0 THEN 'cafe' WHEN 1 THEN 'bicycle_repair' WHEN 2 THEN 'Pub' WHEN 3 THEN 'water_tower' WHEN 4 THEN 'fuel' ELSE 'x' END AS kind FROM fx_points"

@@ -64,10 +64,19 @@ def yaml_book(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "id string, name string, aliases array<string>, address string, lat double, lon double, tags array<string>")
 
 
-def manifest(spark: SparkSession, document: dict) -> DataFrame:
-    """A tile manifest, version 1: name, path and chunk bounds in the order declared; unbounded entries have nulls."""
-    if document.get("version") != 1:
-        raise ValueError("unknown manifest version")
-    b = lambda d, k: (d.get("chunk_bounds") or {}).get(k)
-    rows = [(i, d["name"], d["path"], *(b(d, k) for k in ("min_x", "max_x", "min_y", "max_y"))) for i, d in enumerate(document.get("tile_dbs", []))]
-    return spark.createDataFrame(rows, "ord int, name string, path string, min_x long, max_x long, min_y long, max_y long")
+MANIFEST = "version int, path string, tile_dbs array<struct<name:string,path:string,chunk_bounds:struct<min_x:bigint,max_x:bigint,min_y:bigint,max_y:bigint>>>"
+
+
+def manifest(documents: DataFrame, column: str, folder: str = "folder") -> DataFrame:
+    """Tile manifests (a text each, and the folder it lies in): one row a declared table, in order, with its path and chunk bounds.
+
+    Version 1 lists tables, relative paths are the folder's; a document without a version that names one path is of the legacy kind: one
+    table of that path without bounds.  ``problem`` tells what else there was: text that is no manifest, or another version.
+    """
+    m = F.from_json(C(column), MANIFEST)
+    legacy = F.array(F.struct(F.lit("legacy").alias("name"), C("m.path").alias("path"), F.lit(None).cast("struct<min_x:bigint,max_x:bigint,min_y:bigint,max_y:bigint>").alias("chunk_bounds")))
+    known = F.when(C("m.version") == 1, C("m.tile_dbs")).when(C("m.version").isNull() & C("m.path").isNotNull(), legacy)
+    problem = F.when(C("m.version").isNull() & C("m.path").isNull(), "no manifest").when(C("m.version").isNotNull() & (C("m.version") != 1), "unknown version")
+    rows = documents.withColumn("m", m).select(*documents.columns, problem.alias("problem"), F.posexplode_outer(known).alias("ord", "d"))
+    path = F.when(F.startswith("d.path", F.lit("/")) | F.contains("d.path", F.lit("://")), C("d.path")).otherwise(F.concat_ws("/", folder, "d.path"))
+    return rows.select(*[c for c in documents.columns if c != column], "problem", "ord", C("d.name").alias("name"), F.when(C("d.path").isNotNull(), path).alias("path"), *[C(f"d.chunk_bounds.{k}").alias(k) for k in ("min_x", "max_x", "min_y", "max_y")])
