@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..sources.writers import rewritten
 from .ranking import first_rows
+from .spatial import within_radius
 
 C = F.col
 #: Words that carry no place.
@@ -105,3 +106,22 @@ def structured(asked: DataFrame, features: DataFrame, limit: int) -> DataFrame:
     off = F.abs(text.leading_int(C("housenumber")) - text.leading_int(C("qn")))
     order = [F.when(C("housenumber") == C("qn"), 0).otherwise(1).asc(), off.asc_nulls_last(), F.col("fid")]
     return first_rows(met, ["qid"], order, limit, "position").select("qid", "fid", (C("position") - 1).alias("position"))
+
+
+#: How far a feature of each type may be from what it names, in metres.
+REACH = {"poi": 300.0, "street_address": 1000.0, "locality": 15_000.0}
+
+
+def reverse(places: DataFrame, features: DataFrame, limit: int = 1, reach: dict[str, float] | None = None) -> DataFrame:
+    """``places`` (qid, lat, lon) -> qid, fid, type, metres, position: the nearest features, each within the reach of its type.
+
+    Coordinates out of range, and those without a feature in reach, have no rows.
+    """
+    fine = places.where(C("lat").between(-90, 90) & C("lon").between(-180, 180))
+    kind = text.feature_type(C("osm_key"), C("osm_value"), C("type"), C("housenumber"))
+    typed = features.where("lat is not null and lon is not null").select("fid", kind.alias("layer"), "lat", "lon")
+    met = None
+    for layer, metres in (reach or REACH).items():
+        near = within_radius(typed.where(C("layer") == layer), fine, metres).select("qid", "fid", C("layer").alias("type"), "metres")
+        met = near if met is None else met.unionByName(near)
+    return first_rows(met, ["qid"], ["metres", "fid"], limit, "position").withColumn("position", C("position") - 1)

@@ -243,3 +243,19 @@ def prefix_contacts(spark, sf_dir):
     # Prefixes of one length make the match an equi-join.
     met = asked.join(contacts, C("q") == F.substr("low", F.lit(1), F.lit(15)))
     return geocoding.first_rows(met, ["q"], ["label", "id"], 3).select("q", "id", "label")
+
+
+@query(
+    "reverse_geocode",
+    f"""SELECT qid, fid, layer AS type, name FROM (SELECT qid, fid, layer, name, row_number() OVER (PARTITION BY qid ORDER BY metres, fid) AS n FROM (
+      SELECT q.qid, f.fid, f.layer, f.shown AS name, {sql_haversine("f.lat", "f.lon", "q.lat", "q.lon")} AS metres FROM fx_probe q CROSS JOIN (
+        SELECT *, CASE WHEN osm_key IN ('amenity', 'shop') THEN 'poi' WHEN housenumber IS NOT NULL OR osm_value = 'residential' THEN 'street_address' WHEN type = 'hamlet' THEN 'locality' ELSE 'poi' END AS layer,
+          array_to_string(list_filter([CASE WHEN housenumber IS NOT NULL THEN housenumber || ' ' || street ELSE coalesce(name, street) END, city, state, country], lambda x: x IS NOT NULL), ', ') AS shown FROM fx_features) f)
+      WHERE metres <= CASE layer WHEN 'poi' THEN 300 WHEN 'street_address' THEN 1000 ELSE 15000 END) WHERE n = 1""",
+)
+def reverse_geocode(spark, sf_dir):
+    """What is nearest to each probe, with its display name."""
+    features = view(spark, sf_dir, "fx_features")
+    found = retrieval.reverse(view(spark, sf_dir, "fx_probe"), features)
+    shown = text.display_name(C("housenumber"), C("street"), C("name"), C("city"), C("county"), C("state"), C("country"))
+    return found.select("qid", "fid", "type").join(features.select("fid", shown.alias("name")), "fid").select("qid", "fid", "type", "name")

@@ -44,10 +44,19 @@ def upsert_counter(spark, sf_dir):
     return days.select("call_date", F.least("n", F.lit(40).cast("long")).alias("call_count"), (C("n") >= 40).alias("capped"))
 
 
-@query("write_wkb_backfill", "SELECT m.ogc_fid, coalesce(m.atv, d.access) AS shape FROM fx_mvum m LEFT JOIN fx_parking d ON d.id = m.ogc_fid")
+@query("write_wkb_backfill", "SELECT m.ogc_fid, CASE WHEN m.ogc_fid % 13 <> 1 AND m.ogc_fid % 11 <> 1 THEN 'LineString' WHEN d.id IS NOT NULL THEN 'Point' END AS kind, CASE WHEN m.ogc_fid % 13 <> 1 AND m.ogc_fid % 11 <> 1 THEN lat1 ELSE d.lat END AS lat, CASE WHEN m.ogc_fid % 13 <> 1 AND m.ogc_fid % 11 <> 1 THEN lon1 ELSE d.lon END AS lon FROM fx_mvum m LEFT JOIN (SELECT * FROM fx_parking WHERE access IS NOT NULL) d ON d.id = m.ogc_fid")
 def write_wkb_backfill(spark, sf_dir):
-    donor = view(spark, sf_dir, "fx_parking").select(C("id").alias("ogc_fid"), "access")
-    return view(spark, sf_dir, "fx_mvum").select("ogc_fid", "atv").join(donor, "ogc_fid", "left").select("ogc_fid", F.coalesce("atv", "access").alias("shape"))
+    """Geometries that are missing or unreadable are taken from a donor of the same id, as blobs; the table is written and read again."""
+    from ..sources import wkb
+    from ..sources.writers import rewritten
+    from .scans import blobs
+
+    point = wkb.blob("Point", F.array(F.array(F.struct("lon", "lat"))))
+    donor = view(spark, sf_dir, "fx_parking").where("access is not null").select(C("id").alias("ogc_fid"), point.alias("donated"))
+    own = wkb.with_geometry(blobs(spark, sf_dir), "shape").select("ogc_fid", F.when(C("problem").isNull(), C("shape")).alias("shape"))
+    filled = rewritten(own.join(donor, "ogc_fid", "left").select("ogc_fid", F.coalesce("shape", "donated").alias("shape")), "shapes")
+    first = F.get(F.flatten("parts"), F.lit(0))
+    return wkb.with_geometry(filled, "shape").select("ogc_fid", "kind", first["lat"].alias("lat"), first["lon"].alias("lon"))
 
 
 @query("create_parking", "SELECT id, access, round(lat, 4) AS lat, round(lon, 4) AS lon FROM fx_parking WHERE access IS NULL OR access <> 'no'")
