@@ -298,3 +298,25 @@ def stitched(routes: DataFrame, inner: DataFrame, chunk_of) -> DataFrame:
     joined = steps.groupBy("trip").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "rest"))), lambda s: s["rest"])).alias("rest"))
     out = routes.where(F.size("hops") > 0).join(joined, "trip", "left")
     return out.select("trip", "cost_s", F.concat(F.slice("hops", 1, 1), F.coalesce("rest", F.array().cast("array<long>"))).alias("path"))
+
+
+def gate(trips: DataFrame, needed: DataFrame, tables: DataFrame, present: DataFrame, profile: str) -> DataFrame:
+    """Why a trip cannot use precomputed chunk costs: ``fallback_reason``, null where it can, and ``db``, the table to use.
+
+    ``trips`` (trip, boundary, affinity array<double>), ``needed`` (trip, cx, cy: the chunks on its way), ``tables`` (db, lo, hi, profile:
+    declared files and the chunk columns they cover, unbounded where null) and ``present`` (db, cx, cy: chunks that were built).
+    Configuration comes first, then coverage by exactly one table, then its freshness, then whether all chunks are there.
+    """
+    span = needed.groupBy("trip").agg(F.min("cx").alias("first"), F.max("cx").alias("last"))
+    covers = (C("lo").isNull() | (C("last") >= C("lo"))) & (C("hi").isNull() | (C("first") <= C("hi")))
+    # Declared files are few: a manifest lists them.
+    found = span.join(F.broadcast(tables), covers, "left").groupBy("trip").agg(F.count("db").alias("dbs"), F.min("db").alias("db"), F.min("profile").alias("profile"))
+    one = found.where("dbs = 1").select("trip", "db")
+    absent = needed.join(one, "trip").join(present, ["db", "cx", "cy"], "left_anti").select("trip").distinct().withColumn("absent", F.lit(True))
+    out = trips.join(found, "trip", "left").join(absent, "trip", "left")
+    odd = F.exists(F.coalesce("affinity", F.array().cast("array<double>")), lambda v: v != 1.0)
+    reason = (
+        F.when(C("boundary") != "pragmatic", "boundary_mode").when(odd, "affinity").when(F.coalesce("dbs", F.lit(0)) == 0, "no_coverage").when(C("dbs") > 1, "multi_region")
+        .when(C("profile").isNull() | (C("profile") != profile), "stale_profile").when(C("absent"), "missing_chunk")
+    )
+    return out.select("trip", reason.alias("fallback_reason"), F.when(reason.isNull(), C("db")).alias("db"))

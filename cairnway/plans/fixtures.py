@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS = {
     "fx_points": ("customer", "c_custkey AS pid, 43.0e0 + (c_custkey*7919 % 10000)/1.0e4 AS lat, -117.0e0 + (c_custkey*104729 % 10000)/1.0e4 AS lon"),
     "fx_probe": ("supplier", "s_suppkey AS qid, 43.0e0 + (s_suppkey*6151 % 10000)/1.0e4 AS lat, -117.0e0 + (s_suppkey*3571 % 10000)/1.0e4 AS lon"),
+    "fx_trips": ("supplier", "s_suppkey AS trip, 43.0e0 + (s_suppkey*6151 % 10000)/1.0e4 AS lat, -117.0e0 + (s_suppkey*3571 % 10000)/1.0e4 AS lon, CASE WHEN s_nationkey % 4 = 0 THEN 'strict' ELSE 'pragmatic' END AS boundary, CASE WHEN s_acctbal < 0 THEN 0.8e0 ELSE 1.0e0 END AS affinity"),
+    "fx_tables": ("nation", "n_nationkey AS db, CAST(-8672 + n_nationkey*4 AS BIGINT) AS lo, CAST(-8669 + n_nationkey*4 + n_nationkey % 3 AS BIGINT) AS hi, CASE WHEN n_nationkey % 5 = 4 THEN 'old' ELSE 'now' END AS profile"),
+    "fx_requests": ("events", "event_id AS rid, CAST(ts AS DATE) AS day, CASE WHEN user_id % 9 <> 0 THEN user_id END AS user_id, CAST(floor(value * 100) AS BIGINT) % 200 AS fid"),
+    "fx_details": ("part", "p_partkey AS fid, CASE p_size % 5 WHEN 0 THEN 'amenity' WHEN 1 THEN 'shop' WHEN 2 THEN 'highway' WHEN 3 THEN 'office' END AS class, CASE WHEN p_size % 11 <> 0 THEN p_name END AS name, CASE WHEN p_size % 4 = 0 THEN p_brand ELSE '' END AS phone, CASE WHEN p_size % 4 < 2 THEN p_type END AS website, CASE WHEN p_size % 7 < 2 THEN concat('g', p_brand) END AS place_id, CASE WHEN p_size % 7 = 0 THEN p_type END AS data"),
     "fx_contacts": (
         "customer",
         "c_custkey AS id, concat('u', CAST(c_nationkey AS {s})) AS user_id, CASE WHEN c_custkey % 50 = 0 THEN 'Home' WHEN c_custkey % 50 = 1 THEN 'Work' ELSE c_name END AS label, c_mktsegment AS category, "

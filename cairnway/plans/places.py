@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hours, upsert
+from ..operators import enrichment, hours, upsert
 from .fixtures import view
 from .registry import query
 
@@ -33,12 +33,17 @@ def merge_gap_fill(spark, sf_dir):
     return upsert.gap_fill(base, donor, ["id"], ["phone", "website"], "donor")
 
 
-@query("enrich_paid_gate", "SELECT pid, CASE WHEN pid % 10 = 0 THEN 'cache_hit' WHEN pid % 10 = 1 THEN 'known_miss' WHEN pid % 3 = 0 THEN 'guest' WHEN pid % 7 = 0 THEN 'capped' ELSE 'lookup' END AS decision FROM fx_points")
+@query(
+    "enrich_paid_gate",
+    """WITH r AS (SELECT rid, day, user_id, d.* FROM fx_requests JOIN fx_details d USING (fid)),
+    b AS (SELECT *, CASE WHEN class IS NULL OR class NOT IN ('amenity', 'shop', 'tourism', 'leisure', 'office', 'craft') THEN 'not_business' WHEN phone <> '' AND website IS NOT NULL THEN 'complete' WHEN place_id IS NOT NULL AND data IS NOT NULL THEN 'cache_hit'
+      WHEN place_id IS NOT NULL THEN 'known_miss' WHEN user_id IS NULL THEN 'guest' WHEN name IS NULL THEN 'unnamed' END AS before FROM r)
+    SELECT rid, coalesce(before, CASE WHEN row_number() OVER (PARTITION BY day, before ORDER BY rid) <= 25 THEN 'lookup' ELSE 'capped' END) AS decision, array_to_string(list_filter([CASE WHEN phone = '' THEN 'phone' END, CASE WHEN website IS NULL THEN 'website' END], lambda x: x IS NOT NULL), ',') AS gaps FROM b""",
+)
 def enrich_paid_gate(spark, sf_dir):
-    points = view(spark, sf_dir, "fx_points").select("pid")
-    cache = points.where("pid % 10 < 2").select("pid", F.when(C("pid") % 10 == 1, "__miss__").otherwise("data").alias("cached"))
-    decision = F.when(C("cached") == "__miss__", "known_miss").when(C("cached").isNotNull(), "cache_hit").when(C("pid") % 3 == 0, "guest").when(C("pid") % 7 == 0, "capped").otherwise("lookup")
-    return points.join(cache, "pid", "left").select("pid", decision.alias("decision"))
+    """Every request of a place's details: from the cache, looked up, or why not."""
+    requests = view(spark, sf_dir, "fx_requests").join(view(spark, sf_dir, "fx_details"), "fid")
+    return enrichment.paid_gate(requests, ("phone", "website"), 25).select("rid", "decision", F.array_join("gaps", ",").alias("gaps"))
 
 
 @query("fn_opening_hours")

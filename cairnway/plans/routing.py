@@ -196,24 +196,29 @@ def hpa_refine(spark, sf_dir):
     return routing.stitched(routes, inner, lambda n: tile(n, CHUNK)).select("trip", F.posexplode("path").alias("i", "cell"))
 
 
-COVERED = [(1, -8659, -8640), (2, -8630, -8600), (3, -8604, -8580)]
+CX, CY = "CAST(floor({x}/(1.5e0/111.0e0)) AS BIGINT)", "CAST(floor(lat/(1.5e0/111.0e0)) AS BIGINT)"
 
 
 @query(
     "hpa_gate",
-    f"""SELECT q.qid, CASE WHEN count(m.db) = 0 THEN 'no_coverage' WHEN q.qid % 3 = 0 THEN 'boundary_mode' WHEN q.qid % 5 = 0 THEN 'affinity' WHEN count(m.db) > 1 THEN 'multi_region' END AS fallback_reason
-    FROM fx_probe q LEFT JOIN (VALUES {', '.join(map(str, COVERED))}) m(db, lo, hi) ON floor((q.lon + 0.05e0)/(1.5e0/111.0e0)) >= m.lo AND floor(q.lon/(1.5e0/111.0e0)) <= m.hi GROUP BY q.qid""",
+    f"""WITH needed AS (SELECT trip, unnest(range({CX.format(x="lon")}, {CX.format(x="(lon + 0.03e0)")} + 1)) AS cx, {CY} AS cy FROM fx_trips),
+    present AS (SELECT DISTINCT {CX.format(x="lon")} AS cx, {CY} AS cy FROM fx_entry_points WHERE highway_class <> 'service'),
+    span AS (SELECT trip, min(cx) AS f, max(cx) AS l FROM needed GROUP BY trip),
+    found AS (SELECT span.trip, count(db) AS dbs, min(db) AS db, min(profile) AS profile FROM span LEFT JOIN fx_tables ON l >= lo AND f <= hi GROUP BY span.trip),
+    absent AS (SELECT DISTINCT trip FROM needed n WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.cx = n.cx AND p.cy = n.cy)),
+    told AS (SELECT t.trip, db, CASE WHEN boundary <> 'pragmatic' THEN 'boundary_mode' WHEN affinity <> 1.0e0 THEN 'affinity' WHEN dbs = 0 THEN 'no_coverage' WHEN dbs > 1 THEN 'multi_region' WHEN profile <> 'now' THEN 'stale_profile' WHEN a.trip IS NOT NULL THEN 'missing_chunk' END AS fallback_reason
+      FROM fx_trips t JOIN found USING (trip) LEFT JOIN absent a ON a.trip = t.trip)
+    SELECT trip, fallback_reason, CASE WHEN fallback_reason IS NULL THEN db END AS db FROM told""",
 )
 def hpa_gate(spark, sf_dir):
-    """Why a trip cannot use precomputed costs: tables that cover its chunks are counted; boundary and affinity are its request's."""
+    """Why each trip cannot use precomputed costs, from its request, the declared tables and the chunks that were built."""
     from ..functions import geo
 
-    tables = spark.createDataFrame(COVERED, "db int, lo long, hi long")
-    lo, hi = geo.chunk(C("lon")), geo.chunk(C("lon") + 0.05)
-    dbs = view(spark, sf_dir, "fx_probe").join(F.broadcast(tables), (hi >= C("lo")) & (lo <= C("hi")), "left").groupBy("qid").agg(F.count("db").alias("dbs"))
-    boundary, affinity = F.when(C("qid") % 3 == 0, "strict").otherwise("pragmatic"), F.when(C("qid") % 5 == 0, 0.8).otherwise(1.0)
-    reason = F.when(C("dbs") == 0, "no_coverage").when(boundary != "pragmatic", "boundary_mode").when(affinity != 1.0, "affinity").when(C("dbs") > 1, "multi_region")
-    return dbs.select("qid", reason.alias("fallback_reason"))
+    trips_ = view(spark, sf_dir, "fx_trips")
+    needed_ = trips_.select("trip", F.explode(F.sequence(geo.chunk(C("lon")), geo.chunk(C("lon") + 0.03))).alias("cx"), geo.chunk(C("lat")).alias("cy"))
+    tables = view(spark, sf_dir, "fx_tables")
+    built = present(spark, sf_dir).join(F.broadcast(tables.select("db")))  # each declared table, of which there are a few dozen
+    return routing.gate(trips_.select("trip", "boundary", F.array("affinity").alias("affinity")), needed_, tables, built, "now")
 
 
 SNAP = """SELECT q.qid, min(2*6371000.0e0*asin(sqrt(pow(sin(radians(q.lat-e.lat)/2),2)+cos(radians(e.lat))*cos(radians(q.lat))*pow(sin(radians(q.lon-e.lon)/2),2)))) AS metres

@@ -85,9 +85,16 @@ def write_chunk_costs(spark, sf_dir):
     return rewritten(build_chunks(chunked(spark, sf_dir), CHUNK), "chunk_costs", partition_by=["mode"]).groupBy("mode").agg(F.count("*").alias("rows"))
 
 
-@query("write_tile_meta", "SELECT * FROM (VALUES ('chunk_size', '10'), ('entrances', '20'), ('region', 'fixture')) t(key, value)")
+@query("write_tile_meta", "WITH c AS (SELECT count(*) AS cells, count(DISTINCT (r // 16, c // 16)) AS chunks FROM fx_cells) SELECT key, value FROM (SELECT unnest(['chunk_size', 'entrances', 'chunks', 'cells', 'region']) AS key, unnest(['16', '20', chunks::VARCHAR, cells::VARCHAR, 'orders']) AS value FROM c)")
 def write_tile_meta(spark, sf_dir):
-    return spark.createDataFrame([("chunk_size", "10"), ("entrances", "20"), ("region", "fixture")], "key string, value string")
+    """What a set of chunk costs was made of, written beside it and read again."""
+    from ..operators.routing import entrances
+    from ..sources.writers import rewritten
+    from .routing import CHUNK
+
+    counts = view(spark, sf_dir, "fx_cells").agg(F.count("*").alias("cells"), F.countDistinct(F.floor(C("r") / CHUNK), F.floor(C("c") / CHUNK)).alias("chunks"))
+    facts = {"chunk_size": F.lit(CHUNK), "entrances": F.lit(len(entrances(CHUNK))), "chunks": C("chunks"), "cells": C("cells"), "region": F.lit("orders")}
+    return rewritten(counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in facts.items()])).alias("m")).select("m.key", "m.value"), "tile_meta")
 
 
 @query("ttl_filter", f"SELECT id FROM ({CACHE}) WHERE cached_at IS NOT NULL AND cached_at <> 0 AND 1200 - cached_at <= 600")
