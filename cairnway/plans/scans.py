@@ -162,7 +162,20 @@ def src_google(spark, sf_dir):
     return days.select("day", "calls", F.when(C("limited") > 0, F.greatest("calls", F.lit(50).cast("long"))).otherwise(C("calls")).alias("counted"))
 
 
-@query("scan_yaml_book")
+@query(
+    "scan_yaml_book",
+    """SELECT c_nationkey AS book, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INTEGER AS entry, CASE WHEN c_custkey % 10 <> 3 THEN c_name END AS name, CASE WHEN c_custkey % 10 = 3 THEN NULL WHEN c_custkey % 4 = 0 THEN lower(c_mktsegment) ELSE '' END AS aliases,
+    CASE WHEN c_custkey % 10 <> 3 AND c_custkey % 3 > 0 THEN c_custkey / 100.0e0 END AS lat, CASE WHEN c_custkey % 10 = 3 THEN 'no name' END AS problem FROM customer WHERE c_nationkey <> 7
+    UNION ALL SELECT DISTINCT c_nationkey, 0, NULL, NULL, NULL::DOUBLE, 'no book' FROM customer WHERE c_nationkey = 7""",
+)
 def scan_yaml_book(spark, sf_dir):
-    text = "entries:\n- {id: home, name: Home, aliases: [Casa, HQ], address: '100 Main St, Boise, ID', lat: 43.6, lon: -116.2, tags: [own]}\n- {id: shop, name: Shop}\n"
-    return readers.yaml_book(spark, text)
+    """A book of each nation's customers as a YAML text; one text is broken, some entries have no name."""
+    k = C("c_custkey")
+    line = F.concat(
+        F.lit("- {id: "), k.cast("string"), F.when(k % 10 != 3, F.concat(F.lit(', name: "'), C("c_name"), F.lit('"'))).otherwise(""), F.when(k % 4 == 0, F.concat(F.lit(", aliases: ["), C("c_mktsegment"), F.lit("]"))).otherwise(""),
+        F.when(k % 3 > 0, F.concat(F.lit(", lat: "), F.format_string("%.2f", k / F.lit(100.0)))).otherwise(""), F.lit("}"),
+    )
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))), lambda e: e["line"])
+    books = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(lines.alias("lines")).select(C("c_nationkey").alias("book"), F.when(C("c_nationkey") == 7, "entries: [{").otherwise(F.concat(F.lit("entries:\n"), F.array_join("lines", "\n"))).alias("text"))
+    return readers.yaml_books(books, "text").select("book", "entry", "name", F.array_join("aliases", ",").alias("aliases"), "lat", "problem")
+

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +57,37 @@ def catalog_entries(documents: DataFrame, column: str, prefixes: list[tuple[str,
     return out.withColumn("source", source).where("source is not null").withColumn("path", F.substr("href", F.lit(len("/content/") + 1))).where("path <> ''").drop("href")
 
 
-def yaml_book(spark: SparkSession, text: str) -> DataFrame:
-    """An address book in YAML; a driver-side document of a person's own entries."""
-    import yaml
-
-    rows = [(e.get("id"), e["name"], [a.lower() for a in e.get("aliases", [])], e.get("address"), e.get("lat"), e.get("lon"), e.get("tags", [])) for e in (yaml.safe_load(text) or {}).get("entries", [])]
-    return spark.createDataFrame(rows, "id string, name string, aliases array<string>, address string, lat double, lon double, tags array<string>")
+BOOK = "id string, name string, aliases array<string>, address string, lat double, lon double, tags array<string>"
+
+
+def yaml_books(documents: DataFrame, column: str) -> DataFrame:
+    """Address books, a YAML text each: one row an entry with its number in the book, aliases in lower case; ``problem`` where a text is
+    no book or an entry has no name, which costs that text or entry only."""
+    def run(texts: pd.Series) -> pd.Series:
+        import yaml
+
+        out = []
+        for text in texts:
+            try:
+                entries = (yaml.safe_load(text or "") or {}).get("entries") or []
+            except (yaml.YAMLError, AttributeError):
+                out.append([{"problem": "no book"}])
+                continue
+            rows = []
+            for e in entries:
+                if not isinstance(e, dict) or not e.get("name"):
+                    rows.append({"problem": "no name"})
+                    continue
+                number = lambda v: float(v) if isinstance(v, (int, float)) else None
+                words = lambda v: [str(x) for x in v] if isinstance(v, list) else []
+                rows.append({"id": None if e.get("id") is None else str(e["id"]), "name": str(e["name"]), "aliases": [a.lower() for a in words(e.get("aliases"))], "address": e.get("address"), "lat": number(e.get("lat")), "lon": number(e.get("lon")), "tags": words(e.get("tags"))})
+            out.append(rows)
+        return pd.Series(out)
+
+    kind = f"array<struct<{BOOK.replace(' string', ':string').replace(' array', ':array').replace(' double', ':double')}, problem:string>>"
+    entries = F.pandas_udf(run, kind)(C(column))
+    rows = documents.withColumn("entries", entries).select(*[c for c in documents.columns if c != column], F.posexplode("entries").alias("entry", "e"))
+    return rows.select(*rows.columns[:-1], "e.*")
 
 
 MANIFEST = "version int, path string, tile_dbs array<struct<name:string,path:string,chunk_bounds:struct<min_x:bigint,max_x:bigint,min_y:bigint,max_y:bigint>>>"
