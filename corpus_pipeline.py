@@ -18,6 +18,8 @@ from cairnway.llm.common import WRITTEN, release, small_batches, stored, table
 
 TOXIC = 0.7
 USED = ("doc_id", "text", "source")
+#: Text of a block of the last stage: the executors still hold what the stages before it have left in memory.
+BLOCK_CHARS = 16_000_000
 
 
 def shielded(docs: DataFrame) -> tuple[DataFrame, list]:
@@ -61,7 +63,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of the decoded ids, one row for each row of the mix."""
     small_batches(spark)
     ranks, pattern = queries.tokenizer()
-    decoded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
+    decoded = bpe.decode(bpe.encode(docs, ranks, pattern, BLOCK_CHARS), ranks)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
