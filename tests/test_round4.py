@@ -37,3 +37,15 @@ def test_nearest_segment_of_places_that_repeat(spark):
         if best[0] <= 0.02:
             want[qid] = best[1]
     assert {r["qid"]: r["fid"] for r in found.collect()} == want
+
+
+def test_similar_names_of_rows_that_repeat(spark, tmp_path):
+    from cairnway.plans import registry
+
+    rows = [(i + 10000 * j, f"old mill {i % 3}", f"b{i % 2}", i % 5) for i in range(6) for j in range(5)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = registry.queries()["topk_sim_dist"](spark, str(tmp_path)).collect()
+    # Copies lie at one place: each has the three first ids of the copies of its best name.
+    assert {r["qid"] for r in found} == {r[0] for r in rows}
+    for r in found:
+        assert r["id"] == r["qid"] % 10000 + 10000 * (r["place"] - 1)
