@@ -183,10 +183,11 @@ def set_overlap(spark, sf_dir):
 
 @query("topk_viewport", "SELECT qid, aid, place FROM (SELECT q.qid, a.aid, row_number() OVER (PARTITION BY q.qid ORDER BY (a.lat-q.lat)*(a.lat-q.lat) + (a.lon-q.lon)*(a.lon-q.lon), a.aid)::INTEGER AS place FROM fx_queries q JOIN fx_addresses a ON upper(q.street) = a.street) WHERE place <= 10")
 def topk_viewport(spark, sf_dir):
-    q = view(spark, sf_dir, "fx_queries").select("qid", F.upper("street").alias("street"), C("lat").alias("qlat"), C("lon").alias("qlon"))
-    met = q.join(view(spark, sf_dir, "fx_addresses").select("aid", "street", "lat", "lon"), "street")
-    off = (C("lat") - C("qlat")) * (C("lat") - C("qlat")) + (C("lon") - C("qlon")) * (C("lon") - C("qlon"))
-    return geocoding.first_rows(met.withColumn("off", off), ["qid"], ["off", "aid"], 10, "place").select("qid", "aid", "place")
+    from ..operators.spatial import nearest_planar
+
+    q = view(spark, sf_dir, "fx_queries").select("qid", F.upper("street").alias("street"), "lat", "lon")
+    found = nearest_planar(q, view(spark, sf_dir, "fx_addresses").select("aid", "street", "lat", "lon"), 10, ["aid"], ["street"])
+    return found.select("qid", "aid", C("n").alias("place"))
 
 
 @query("union_sources", "SELECT 1 AS source_order, qid, aid FROM (SELECT q.qid, a.aid FROM fx_queries q JOIN fx_addresses a ON q.number = a.number AND upper(q.street) = a.street) UNION ALL SELECT 2, q.qid, a.aid FROM fx_queries q JOIN fx_addresses a ON q.zipcode = a.zipcode AND q.number = a.number")
