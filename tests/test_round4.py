@@ -49,3 +49,9 @@ def test_similar_names_of_rows_that_repeat(spark, tmp_path):
     assert {r["qid"] for r in found} == {r[0] for r in rows}
     for r in found:
         assert r["id"] == r["qid"] % 10000 + 10000 * (r["place"] - 1)
+
+
+def test_nearest_of_places_that_repeat(spark):
+    asked, points = spots(50, 4), spots(120, 5)
+    found = spatial.nearest(spark.createDataFrame(asked, "qid long, lat double, lon double"), spark.createDataFrame(points, "id long, lat double, lon double"), 3, (2000.0, 8000.0), ["id"])
+    assert found.count() == 150 and found.where("n = 1 and metres > 5000").isEmpty()
