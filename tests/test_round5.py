@@ -30,3 +30,10 @@ def test_maps_with_absent_cells_equal_their_sql(spark, tmp_path, name):
     orders(spark, tmp_path, [k for k in range(700) if k % 7 != 3 and not 100 <= k < 160])
     got, want = both(spark, tmp_path, name)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["fn_friction_mult", "fn_trail_friction"])
+def test_keys_beyond_32_bits_equal_their_sql(spark, tmp_path, name):
+    orders(spark, tmp_path, [k + (i % 3) * 2**33 for i, k in enumerate(range(300))])
+    got, want = both(spark, tmp_path, name)
+    assert got == want
