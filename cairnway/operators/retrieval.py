@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from ..functions import geo, text
 from ..sources.writers import rewritten
 from .ranking import first_rows
-from .spatial import first_reach, within_radius
+from .spatial import first_reach, nearest
 
 C = F.col
 #: Words that carry no place.
@@ -174,13 +174,14 @@ REACH = {"poi": 300.0, "street_address": 1000.0, "locality": 15_000.0}
 def reverse(places: DataFrame, features: DataFrame, limit: int = 1, reach: dict[str, float] | None = None) -> DataFrame:
     """``places`` (qid, lat, lon) -> qid, fid, type, metres, position: the nearest features, each within the reach of its type.
 
-    Coordinates out of range, and those without a feature in reach, have no rows.
+    Coordinates out of range, and those without a feature in reach, have no rows.  Each type's first ``limit`` are found by growing
+    rings: the first of all are among them.
     """
     fine = places.where(C("lat").between(-90, 90) & C("lon").between(-180, 180))
     kind = text.feature_type(C("osm_key"), C("osm_value"), C("type"), C("housenumber"))
     typed = features.where("lat is not null and lon is not null").select("fid", kind.alias("layer"), "lat", "lon")
     met = None
     for layer, metres in (reach or REACH).items():
-        near = within_radius(typed.where(C("layer") == layer), fine, metres).select("qid", "fid", C("layer").alias("type"), "metres")
+        near = nearest(fine, typed.where(C("layer") == layer), limit, (metres / 16, metres / 4, metres), ["fid"], within=metres).select("qid", "fid", C("layer").alias("type"), "metres")
         met = near if met is None else met.unionByName(near)
     return first_rows(met, ["qid"], ["metres", "fid"], limit, "position").withColumn("position", C("position") - 1)

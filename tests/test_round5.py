@@ -37,3 +37,27 @@ def test_keys_beyond_32_bits_equal_their_sql(spark, tmp_path, name):
     orders(spark, tmp_path, [k + (i % 3) * 2**33 for i, k in enumerate(range(300))])
     got, want = both(spark, tmp_path, name)
     assert got == want
+
+
+def test_reverse_geocoding_compares_places_not_rows(spark, monkeypatch):
+    """Copies at one place are met once, and the nearest within the reach of its type is found."""
+    from cairnway.operators import retrieval, spatial
+
+    met = []
+
+    def counted(points, others, metres, real=spatial.within_radius):
+        met.append(points.count() * others.count())
+        return real(points, others, metres)
+
+    for module in (spatial, retrieval):
+        monkeypatch.setattr(module, "within_radius", counted, raising=False)
+    kinds = [("amenity", "cafe", "house", None, 0.002), ("highway", "residential", "street", None, 0.004), ("place", "hamlet", "hamlet", None, 0.05), ("place", "hamlet", "hamlet", None, 0.2)]
+    rows = [(100 * i + j, *kind[:4], 43.0 + kind[4], -117.0) for i, kind in enumerate(kinds) for j in range(20)]
+    features = spark.createDataFrame(rows, "fid long, osm_key string, osm_value string, type string, housenumber string, lat double, lon double")
+    spots = [(43.0, -117.0), (43.012, -117.0), (43.1, -117.0), (44.0, -117.0), (95.0, 0.0)]
+    places = spark.createDataFrame([(100 * i + j, lat, lon) for i, (lat, lon) in enumerate(spots) for j in range(20)], "qid long, lat double, lon double")
+    found = {r.qid: (r.fid, r.type) for r in retrieval.reverse(places, features).collect()}
+    # From the first spot the cafe is nearest, at 222 m; from the second the street, at 890 m; from the third only a hamlet is in reach.
+    best = {0: (0, "poi"), 1: (100, "street_address"), 2: (200, "locality")}
+    assert found == {100 * i + j: b for i, b in best.items() for j in range(20)}
+    assert max(met) <= 20
