@@ -52,7 +52,8 @@ def edges(cells: DataFrame, mode: str, cell_m: float, boundary: str = "strict",
     here = cells.select(*keys, "r", "c", "elev_m", "mult", "trail", "barrier")
     there = here.select(*keys, *[C(x).alias(f"{x}2") for x in ("r", "c", "elev_m", "mult", "trail", "barrier")])
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in OFFSETS]))
-    met = here.withColumn("s", step).select("*", "s.dr", "s.dc").withColumn("r2", C("r") + C("dr")).withColumn("c2", C("c") + C("dc")).join(there, [*keys, "r2", "c2"])
+    # Each cell is looked up once for each neighbour: hashing the cells spares sorting eight times as many steps.
+    met = here.withColumn("s", step).select("*", "s.dr", "s.dc").withColumn("r2", C("r") + C("dr")).withColumn("c2", C("c") + C("dc")).join(there.hint("shuffle_hash"), [*keys, "r2", "c2"])
     return met.withColumn("seconds", edge_seconds(mode, cell_m, boundary)).where(C("seconds") < float("inf")).select(*keys, "r", "c", "r2", "c2", "seconds")
 
 

@@ -61,11 +61,15 @@ def sssp(start: str, edges: str) -> str:
   SELECT x.node, min(x.cost) AS cost FROM (SELECT b AS node, d.cost + e.seconds AS cost FROM dist d JOIN numbered e ON d.node = e.a) x LEFT JOIN recurring.dist o ON o.node = x.node WHERE o.cost IS NULL OR x.cost < o.cost - 1.0e-12 GROUP BY x.node)"""
 
 
+#: Tiles of costs over the whole map: wider than areas, as each round reads the map's edges and rounds grow with the tiles that a path crosses.
+WIDE = 256
+
+
 @query("sssp_costs", f"{sssp('SELECT CAST(1 AS BIGINT) AS node', 'true')} SELECT node, round(cost, 4) AS cost_s FROM dist")
 def sssp_costs(spark, sf_dir):
     """Costs from one cell over the whole map, tile by tile."""
-    edges = numbered(grid_edges(spark, sf_dir)).withColumn("tile", tile(C("a"))).withColumn("tile2", tile(C("b")))
-    sources = cells(spark, sf_dir).where("r = 0 and c = 1").select(number("r", "c").alias("node")).withColumn("tile", tile(C("node")))
+    edges = numbered(grid_edges(spark, sf_dir)).withColumn("tile", tile(C("a"), WIDE)).withColumn("tile2", tile(C("b"), WIDE))
+    sources = cells(spark, sf_dir).where("r = 0 and c = 1").select(number("r", "c").alias("node")).withColumn("tile", tile(C("node"), WIDE))
     return routing.costs_over_tiles(sources, edges).select("node", F.round("cost_s", 4).alias("cost_s"))
 
 

@@ -67,6 +67,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_steps_of_a_map_meet_cells_by_hash_in_a_shuffle(spark):
+    from cairnway.operators import routing
+
+    cells = spark.createDataFrame([(0, 0, 1.0, 1.0, 0, 0)], "r int, c int, elev_m double, mult double, trail int, barrier int")
+    assert "ShuffledHashJoin" in plan(routing.edges(cells, "foot", 30.0))
+
+
 def test_pairs_of_boxes_are_told_once_without_a_shuffle_of_pairs(spark):
     told = plan(registry.queries()["join_line_buffer"](spark, "/root/testdata/sf0.001"))
     assert "SortMergeJoin" in told and "BroadcastHashJoin" not in told and "HashAggregate" not in told
