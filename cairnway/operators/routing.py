@@ -22,26 +22,24 @@ C = F.col
 OFFSETS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
 
-def edge_seconds(mode: str, cell_m: float, boundary: str = "strict") -> Column:
-    """Seconds from a cell to its neighbour (columns with a trailing 2), infinity where it cannot be gone.
+def edge_seconds(mode: str, boundary: str = "strict", up: bool = True) -> Column:
+    """Seconds from a cell to its neighbour (columns with a trailing 2), or back, infinity where it cannot be gone.
 
-    Needs elev_m, mult, trail, barrier of both ends and dr, dc.
+    Needs elev_m, mult, trail, barrier of both ends, their distance ``dist`` and the ``grade`` of the way there.
     """
     inf = F.lit(float("inf"))
-    dist = F.sqrt(C("dr") * C("dr") + C("dc") * C("dc")) * cell_m
-    grade = (C("elev_m2") - C("elev_m")) / dist
-    over = F.abs(grade) - surface.max_grade(mode)
+    over = F.abs("grade") - surface.max_grade(mode)
     penalty = F.when(over > 0, F.exp(over * surface.SLOPE_SCALE)).otherwise(1.0)
-    kmh = surface.speed(grade, mode)
-    base = dist * 3.6 / kmh * penalty
+    kmh = surface.speed(C("grade") if up else -C("grade"), mode)
     friction = lambda t: F.when(t == 0, inf).otherwise(surface.trail_friction(t, mode))
     trail = F.least(friction(C("trail")), friction(C("trail2")))
-    edge = F.when((C("trail") > 0) | (C("trail2") > 0), F.when(trail < inf, base * trail).otherwise(inf)).when((C("mult") < inf) & (C("mult2") < inf), base * 0.5 * (C("mult") + C("mult2"))).otherwise(inf)
+    factor = F.when((C("trail") > 0) | (C("trail2") > 0), trail).otherwise(0.5 * (C("mult") + C("mult2")))
     walled = (C("barrier") == 255) | (C("barrier2") == 255)
     if boundary == "strict":
-        edge = F.when(walled, inf).otherwise(edge)
-    elif boundary == "pragmatic":
-        edge = F.when(walled, edge * surface.PRIVATE_LAND).otherwise(edge)
+        factor = F.when(walled, inf).otherwise(factor)
+    edge = C("dist") * 3.6 / kmh * penalty * factor
+    if boundary == "pragmatic":
+        edge = edge * F.when(walled, F.lit(float(surface.PRIVATE_LAND))).otherwise(1.0)
     bad = C("elev_m").isNull() | C("elev_m2").isNull() | (penalty > surface.SLOPE_CAP) | (kmh <= 1e-9)
     return F.when(bad, inf).otherwise(edge)
 
@@ -51,10 +49,15 @@ def edges(cells: DataFrame, mode: str, cell_m: float, boundary: str = "strict",
     keys = by or []
     here = cells.select(*keys, "r", "c", "elev_m", "mult", "trail", "barrier")
     there = here.select(*keys, *[C(x).alias(f"{x}2") for x in ("r", "c", "elev_m", "mult", "trail", "barrier")])
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in OFFSETS]))
-    # Each cell is looked up once for each neighbour: hashing the cells spares sorting eight times as many steps.
+    # Each pair of cells is met once, by the one that comes first, and tells the steps both ways.
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in OFFSETS if (a, b) > (0, 0)]))
+    # Each cell is looked up once for each neighbour: hashing the cells spares sorting four times as many steps.
     met = here.withColumn("s", step).select("*", "s.dr", "s.dc").withColumn("r2", C("r") + C("dr")).withColumn("c2", C("c") + C("dc")).join(there.hint("shuffle_hash"), [*keys, "r2", "c2"])
-    return met.withColumn("seconds", edge_seconds(mode, cell_m, boundary)).where(C("seconds") < float("inf")).select(*keys, "r", "c", "r2", "c2", "seconds")
+    met = met.withColumn("dist", F.sqrt(C("dr") * C("dr") + C("dc") * C("dc")) * cell_m).withColumn("grade", (C("elev_m2") - C("elev_m")) / C("dist"))
+    # Costs are told by a generator: a filter on them is not worked out with them in the join again.
+    way = lambda a, b, up: F.struct(C("r" + a).alias("r"), C("c" + a).alias("c"), C("r" + b).alias("r2"), C("c" + b).alias("c2"), edge_seconds(mode, boundary, up).alias("seconds"))
+    told = met.select(*keys, F.explode(F.array(way("", "2", True), way("2", "", False))).alias("e")).select(*keys, "e.*")
+    return told.where(C("seconds") < float("inf"))
 
 
 def adjacency(table: pd.DataFrame) -> dict:
