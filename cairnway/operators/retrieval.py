@@ -44,6 +44,11 @@ def one_letter_out(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), cut))
 
 
+def dealt_out(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` in as many tasks as shuffles have: adaptive execution gathers few rows in one task, however many they become in it."""
+    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 @dataclass
 class Index:
     """features (fid, words, lat, lon), vocabulary (word, idf, df) and postings (word, fid), as written tables."""
@@ -55,7 +60,8 @@ class Index:
     @classmethod
     def of(cls, features: DataFrame) -> Index:
         """``features``: fid, name, housenumber, street, city, state, osm_value, lat, lon; other columns are not read."""
-        rows = rewritten(features.select("fid", feature_words().alias("words"), "lat", "lon"), "feature_words")
+        named = dealt_out(features.select("fid", "name", "housenumber", "street", "city", "state", "osm_value", "lat", "lon"), "fid")
+        rows = rewritten(named.select("fid", feature_words().alias("words"), "lat", "lon"), "feature_words")
         postings = rewritten(rows.select(F.explode("words").alias("word"), "fid").repartition("word"), "postings")
         total = rows.count()
         vocabulary = postings.groupBy("word").agg(F.count("*").alias("df")).withColumn("idf", F.log(1.0 + F.lit(float(total)) / C("df")))
@@ -136,7 +142,7 @@ def free_text(asked: DataFrame, index: Index, limit: int) -> DataFrame:
     celled = celled.join(cells.select("cell", "pattern", "y", "x"), [celled[c].eqNullSafe(cells[c]) for c in ("pattern", "y", "x")]).select("cell", "fid", "lat", "lon")
     away = geo.haversine(C("mlat"), C("mlon"), C("qlat"), C("qlon"))
     worth_at = lambda d: C("worth") * (1.0 + BIAS * F.coalesce(F.exp(-d / 1000.0 / (NEAR_KM * F.pow(F.lit(2.0), 18 - C("zoom")))), F.lit(0.0)))
-    bounds = fit.join(cells, "pattern").drop("pattern").join(places, "tid").withColumn("away", away)
+    bounds = dealt_out(fit.join(cells, "pattern").drop("pattern"), "tid", "cell").join(places, "tid").withColumn("away", away)
     bounds = bounds.select("pid", "cell", "worth", "n", worth_at(C("away") + C("radius")).alias("low"), worth_at(F.greatest(F.lit(0.0), C("away") - C("radius"))).alias("high"))
     filled = F.sum("n").over(Window.partitionBy("pid").orderBy(F.desc("low"), "cell"))
     held = F.max(F.when(C("filled") >= limit, C("low"))).over(Window.partitionBy("pid"))
@@ -160,7 +166,7 @@ def structured(asked: DataFrame, features: DataFrame, limit: int) -> DataFrame:
     q = asked.where("street is not null").select("qid", F.struct(C("number").alias("qn"), text.expand_street(C("street")).alias("road"), named(C("city")).alias("qc"), named(C("state")).alias("qst")).alias("question"))
     f = features.where("street is not null").select("fid", "housenumber", text.expand_street(C("street")).alias("road"), named(C("city")).alias("fc"), named(C("state")).alias("fst"))
     f = first_rows(f, ["road", "fc", "fst", "housenumber"], ["fid"], limit).drop("n")
-    met = q.select("question").distinct().select("question", "question.*").join(f, "road").where((C("qc").isNull() | (C("qc") == C("fc"))) & (C("qst").isNull() | (C("qst") == C("fst"))))
+    met = dealt_out(q.select("question").distinct(), "question").select("question", "question.*").join(f, "road").where((C("qc").isNull() | (C("qc") == C("fc"))) & (C("qst").isNull() | (C("qst") == C("fst"))))
     off = F.abs(text.leading_int(C("housenumber")) - text.leading_int(C("qn")))
     order = [F.when(C("housenumber") == C("qn"), 0).otherwise(1).asc(), off.asc_nulls_last(), F.col("fid")]
     best = first_rows(met, ["question"], order, limit, "position").select(C("question").alias("of"), "fid", (C("position") - 1).alias("position"))

@@ -24,3 +24,16 @@ def test_a_pair_of_cells_is_met_once_and_costs_are_not_in_the_join(spark):
 
 def test_percentiles_read_their_rows_once(spark):
     assert plan(registry.queries()["fn_unified_layers"](spark, "/root/testdata/sf0.001")).count("orders.parquet") <= 1
+
+
+def test_few_rows_that_become_many_are_dealt_to_many_tasks(spark, tmp_path):
+    """Features' words, cells of patterns and streets' questions: no task gets all that a small table becomes."""
+    from cairnway.operators import retrieval
+
+    few = spark.range(8, numPartitions=1).withColumnRenamed("id", "tid")
+    out = retrieval.dealt_out(few, "tid").selectExpr("tid", "explode(sequence(1, 100)) as n").groupBy("tid").count()
+    assert out.count() == 8 and retrieval.dealt_out(few, "tid").rdd.getNumPartitions() > 1
+    kinds = [(i, f"shop {i}", None, None, "Boise", "ID", "cafe", 43.0, -117.0) for i in range(40)]
+    features = spark.createDataFrame(kinds, "fid long, name string, housenumber string, street string, city string, state string, osm_value string, lat double, lon double").coalesce(1)
+    index = retrieval.Index.of(features)
+    assert len(index.features.inputFiles()) > 1 and index.features.count() == 40
