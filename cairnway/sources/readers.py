@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 C = F.col
 POINT = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
@@ -63,31 +63,87 @@ BOOK = "id string, name string, aliases array<string>, address string, lat doubl
 def yaml_books(documents: DataFrame, column: str) -> DataFrame:
     """Address books, a YAML text each: one row an entry with its number in the book, aliases in lower case; ``problem`` where a text is
     no book or an entry has no name, which costs that text or entry only."""
-    def run(texts: pd.Series) -> pd.Series:
+
+    def entries(text: str, row) -> list[tuple]:
+        """``row`` of each entry, one after the other: no more than one is a tree of nodes at a time; aliases reach back to earlier ones."""
+        import yaml
+        from yaml.composer import Composer
+        from yaml.constructor import SafeConstructor
+        from yaml.resolver import Resolver
+
+        try:
+            from yaml.cyaml import CParser
+        except ImportError:
+            Events = yaml.SafeLoader  # noqa: N806
+        else:
+
+            class Events(Composer, CParser, SafeConstructor, Resolver):
+                def __init__(self, stream):
+                    CParser.__init__(self, stream)
+                    for part in (Composer, SafeConstructor, Resolver):
+                        part.__init__(self)
+
+        it, rows = Events(text), []
+        plain = lambda kind: it.check_event(kind) and it.peek_event().anchor is None and it.peek_event().tag is None
+        whole = lambda: [row(e) for e in (yaml.safe_load(text) or {}).get("entries") or []]
+        it.get_event()
+        if it.check_event(yaml.StreamEndEvent):
+            return rows
+        it.get_event()
+        if not plain(yaml.MappingStartEvent):
+            return whole()
+        it.get_event()
+        while not it.check_event(yaml.MappingEndEvent):
+            if not plain(yaml.ScalarEvent) or it.peek_event().value == "<<":
+                return whole()
+            key = it.construct_document(it.compose_node(None, None))
+            if key == "entries" and plain(yaml.SequenceStartEvent):
+                it.get_event()
+                rows = []
+                while not it.check_event(yaml.SequenceEndEvent):
+                    rows.append(row(it.construct_document(it.compose_node(None, None))))
+                it.get_event()
+            else:
+                value = it.construct_document(it.compose_node(None, None))
+                rows = [row(e) for e in value or []] if key == "entries" else rows
+        for _ in ("mapping", "document"):
+            it.get_event()
+        if not it.check_event(yaml.StreamEndEvent):
+            raise yaml.YAMLError("more than one document")
+        return rows
+
+    def run(batches):
+        import pyarrow as pa
         import yaml
 
-        out = []
-        for text in texts:
-            try:
-                entries = (yaml.safe_load(text or "") or {}).get("entries") or []
-            except (yaml.YAMLError, AttributeError):
-                out.append([{"problem": "no book"}])
-                continue
-            rows = []
-            for e in entries:
-                if not isinstance(e, dict) or not e.get("name"):
-                    rows.append({"problem": "no name"})
-                    continue
-                number = lambda v: float(v) if isinstance(v, (int, float)) else None
-                words = lambda v: [str(x) for x in v] if isinstance(v, list) else []
-                rows.append({"id": None if e.get("id") is None else str(e["id"]), "name": str(e["name"]), "aliases": [a.lower() for a in words(e.get("aliases"))], "address": e.get("address"), "lat": number(e.get("lat")), "lon": number(e.get("lon")), "tags": words(e.get("tags"))})
-            out.append(rows)
-        return pd.Series(out)
-
-    kind = f"array<struct<{BOOK.replace(' string', ':string').replace(' array', ':array').replace(' double', ':double')}, problem:string>>"
-    entries = F.pandas_udf(run, kind)(C(column))
-    rows = documents.withColumn("entries", entries).select(*[c for c in documents.columns if c != column], F.posexplode("entries").alias("entry", "e"))
-    return rows.select(*rows.columns[:-1], "e.*")
+        kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.string()]
+        number = lambda v: float(v) if isinstance(v, (int, float)) else None
+        words = lambda v: [str(x) for x in v] if isinstance(v, list) else []
+        shown = lambda v: None if v is None else str(v)
+
+        def row(e) -> tuple:
+            if not isinstance(e, dict) or not e.get("name"):
+                return (None,) * 7 + ("no name",)
+            return shown(e.get("id")), str(e["name"]), [a.lower() for a in words(e.get("aliases"))], shown(e.get("address")), number(e.get("lat")), number(e.get("lon")), words(e.get("tags")), None
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                try:
+                    rows = entries(batch.column(column)[i].as_py() or "", row)
+                except (yaml.YAMLError, AttributeError):
+                    rows = [(None,) * 7 + ("no book",)]
+                for at in range(0, len(rows), 10_000):
+                    some = rows[at : at + 10_000]
+                    told = [batch.column(c).take(pa.array([i] * len(some))) for c in kept]
+                    told.append(pa.array(range(at, at + len(some)), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*told, *[pa.array([r[k] for r in some], kind) for k, kind in enumerate(kinds)]], names=[*kept, *names])
+
+    kept = [c for c in documents.columns if c != column]
+    told = StructType([documents.schema[c] for c in kept] + StructType.fromDDL(f"entry int, {BOOK}, problem string").fields)
+    names = told.names[len(kept) :]
+    # A text is one row, however long: adaptive execution would gather many in a task.
+    many = documents.repartition(max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return many.mapInArrow(run, told)
 
 
 MANIFEST = "version int, path string, tile_dbs array<struct<name:string,path:string,chunk_bounds:struct<min_x:bigint,max_x:bigint,min_y:bigint,max_y:bigint>>>"

@@ -37,3 +37,16 @@ def test_few_rows_that_become_many_are_dealt_to_many_tasks(spark, tmp_path):
     features = spark.createDataFrame(kinds, "fid long, name string, housenumber string, street string, city string, state string, osm_value string, lat double, lon double").coalesce(1)
     index = retrieval.Index.of(features)
     assert len(index.features.inputFiles()) > 1 and index.features.count() == 40
+
+
+def test_books_are_read_entry_by_entry(spark, monkeypatch):
+    """Entries, broken and odd texts as a whole load has them; no text is loaded whole unless it names itself."""
+    from cairnway.sources import readers
+
+    texts = ["entries:\n- &a {name: x, id: 1, aliases: [A]}\n- *a\n- {id: 2}", "entries: [{", "- a", "", "entries: [{name: x}]\nentries: [{name: y}]", "a: 1\n---\nb: 2", "b: &b [{name: z, lat: 1.5}]\nentries: *b", "entries: [{name: q}]\nx: *gone", "<<: {entries: [{name: m}]}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "book int, text string")
+    found = readers.yaml_books(rows, "text")
+    assert "MapInArrow" in plan(found)
+    told = sorted((r.book, r.entry, r.name, r.id, r.lat, r.problem) for r in found.collect())
+    assert told == [(0, 0, "x", "1", None, None), (0, 1, "x", "1", None, None), (0, 2, None, None, None, "no name"), (1, 0, None, None, None, "no book"), (2, 0, None, None, None, "no book"),
+                    (4, 0, "y", None, None, None), (5, 0, None, None, None, "no book"), (6, 0, "z", None, 1.5, None), (7, 0, None, None, None, "no book"), (8, 0, "m", None, None, None)]
