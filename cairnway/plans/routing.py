@@ -229,19 +229,22 @@ SNAP = """SELECT q.qid, min(2*6371000.0e0*asin(sqrt(pow(sin(radians(q.lat-e.lat)
   FROM (SELECT qid, lat + {off} AS lat, lon + {off} AS lon FROM fx_probe) q CROSS JOIN fx_entry_points e GROUP BY q.qid"""
 
 
-def snap_metres(spark, sf_dir, off):
-    """How far the nearest entry point of the road network is from each probe, moved by ``off`` degrees."""
+def snap_metres(spark, sf_dir, offs):
+    """How far the nearest entry point of the road network is from each probe, moved by each of ``offs`` degrees, in one search."""
     from ..operators.spatial import nearest
 
-    asked = view(spark, sf_dir, "fx_probe").select("qid", (C("lat") + off).alias("lat"), (C("lon") + off).alias("lon"))
-    return nearest(asked, view(spark, sf_dir, "fx_entry_points"), 1, (2_000.0, 8_000.0, 32_000.0), ["id"]).select("qid", "metres")
+    moved = F.explode(F.array(*[F.struct(F.lit(k).alias("end"), (C("lat") + off).alias("lat"), (C("lon") + off).alias("lon")) for k, off in enumerate(offs)]))
+    asked = view(spark, sf_dir, "fx_probe").select("qid", moved.alias("to")).select(F.struct("qid", "to.end").alias("qid"), "to.lat", "to.lon")
+    return nearest(asked, view(spark, sf_dir, "fx_entry_points"), 1, (2_000.0, 8_000.0, 32_000.0), ["id"]).select("qid.qid", "qid.end", "metres")
 
 
 @query("route_scenarios", f"SELECT qid, CASE WHEN a.metres <= 1000 AND b.metres <= 1000 THEN 'D' WHEN a.metres <= 1000 THEN 'B' WHEN b.metres <= 1000 THEN 'A' ELSE 'C' END AS scenario FROM ({SNAP.format(off='0.0e0')}) a JOIN ({SNAP.format(off='0.05e0')}) b USING (qid)")
 def route_scenarios(spark, sf_dir):
     """Which ends of a trip stand on the network: both (D), the start (B), the end (A) or none (C)."""
-    start, end = snap_metres(spark, sf_dir, 0.0).select("qid", (C("metres") <= 1000).alias("on_start")), snap_metres(spark, sf_dir, 0.05).select("qid", (C("metres") <= 1000).alias("on_end"))
-    return start.join(end, "qid").select("qid", F.when(C("on_start") & C("on_end"), "D").when(C("on_start"), "B").when(C("on_end"), "A").otherwise("C").alias("scenario"))
+    metres = snap_metres(spark, sf_dir, (0.0, 0.05))
+    on = lambda k: F.min(F.when(C("end") == k, C("metres"))) <= 1000
+    ends = metres.groupBy("qid").agg(on(0).alias("on_start"), on(1).alias("on_end")).where("on_start is not null and on_end is not null")
+    return ends.select("qid", F.when(C("on_start") & C("on_end"), "D").when(C("on_start"), "B").when(C("on_end"), "A").otherwise("C").alias("scenario"))
 
 
 NEEDED = "SELECT DISTINCT CAST(floor(lon/(1.5e0/111.0e0)) AS BIGINT) AS cx, CAST(floor(lat/(1.5e0/111.0e0)) AS BIGINT) AS cy FROM fx_points"
