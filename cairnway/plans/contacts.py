@@ -79,7 +79,7 @@ def agg_count_by_user(spark, sf_dir):
 
 @query("find_nearby", "SELECT qid, id, round(m, 1) AS metres FROM (SELECT q.qid, c.id, 2*6371000.0e0*asin(sqrt(pow(sin(radians(q.lat-c.lat)/2),2)+cos(radians(c.lat))*cos(radians(q.lat))*pow(sin(radians(q.lon-c.lon)/2),2))) AS m FROM fx_contacts c JOIN fx_probe q ON abs(c.lat-q.lat) < 0.02e0 AND abs(c.lon-q.lon) < 0.03e0 WHERE c.deleted_at IS NULL AND c.show_proximity) WHERE m <= 1500")
 def find_nearby(spark, sf_dir):
-    from ..operators.spatial import within_radius
+    from ..operators.spatial import pairs_within
 
     shown = ops.live(contacts(spark, sf_dir)).where("show_proximity").select("id", "lat", "lon")
-    return within_radius(shown, view(spark, sf_dir, "fx_probe"), 1500.0).select("qid", "id", F.round("metres", 1).alias("metres"))
+    return pairs_within(shown, view(spark, sf_dir, "fx_probe"), 1500.0, 1).select("qid", "id", "metres")

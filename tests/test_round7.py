@@ -16,3 +16,35 @@ def test_both_ends_of_trips_are_one_search(spark, monkeypatch):
     monkeypatch.setattr(spatial, "nearest", counted)
     assert registry.queries()["route_scenarios"](spark, SF).count() == 10
     assert len(calls) == 1
+
+
+def test_pairs_within_are_those_of_all_rows_by_places(spark, monkeypatch):
+    """Places are met once, hot ones are dealt to parts, and tasks are as many as pairs need."""
+    met = []
+
+    def counted(points, others, metres, real=spatial.within_radius):
+        met.append((points.count(), others.count()))
+        return real(points, others, metres)
+
+    points = spark.createDataFrame([(i, *((43.0, -117.0) if i % 3 else (43.0 + i % 4 * 0.004, -117.0))) for i in range(120)] + [(900, None, 1.0)], "pid long, lat double, lon double")
+    asked = spark.createDataFrame([(i, 43.0 + i % 2 * 0.01, -117.0) for i in range(30)] + [(900, 1.0, None)], "qid long, lat double, lon double")
+    want = sorted(map(tuple, spatial.within_radius(points, asked, 800.0).selectExpr("pid", "qid", "lat", "qlat", "round(metres, 1)").collect()))
+    monkeypatch.setattr(spatial, "within_radius", counted)
+    monkeypatch.setattr(spatial, "PAIRS", 100)
+    found = spatial.pairs_within(points, asked, 800.0, 1)
+    assert sorted(map(tuple, found.select("pid", "qid", "lat", "qlat", "metres").collect())) == want and len(want) > 1000
+    assert max(a * b for a, b in met) <= 15
+    assert f", {-(-len(want) // 100)}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_radius_queries_compare_places(spark, monkeypatch):
+    calls = []
+
+    def counted(*args, real=spatial.pairs_within):
+        calls.append(args)
+        return real(*args)
+
+    monkeypatch.setattr(spatial, "pairs_within", counted)
+    for name in ("join_radius", "find_nearby"):
+        registry.queries()[name](spark, SF)
+    assert len(calls) == 2
