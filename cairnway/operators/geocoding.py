@@ -9,7 +9,7 @@ from ..functions import geo, text
 from ..sources.writers import rewritten
 from . import retrieval
 from .ranking import first_rows
-from .spatial import within_radius
+from .spatial import first_within
 
 C = F.col
 #: What each signal weighs.
@@ -233,7 +233,7 @@ def labels(found: DataFrame, book: DataFrame, metres: float = 75.0) -> DataFrame
     """(qid, place) -> the name of the first entry of the book within ``metres``."""
     spots = found.where("lat is not null and lon is not null").select(F.struct("qid", "place").alias("pid"), "lat", "lon")
     entries = book.where("lat is not null and lon is not null").select(C("entry").alias("qid"), "lat", "lon")
-    first = within_radius(spots, entries, metres).groupBy("pid").agg(F.min("qid").alias("entry"))
+    first = first_within(spots, entries, metres).select("pid", "entry")
     return first.join(book.select("entry", C("name").alias("labeled_as")), "entry").select("pid.qid", "pid.place", "labeled_as")
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,40 +31,78 @@ def surface_class(surface, use, road_class=None):
 
 def merge_short(runs: list[tuple], shortest: float) -> list[tuple]:
     """Runs (category, metres, last row): the first one too short joins its neighbour before (the first its neighbour after),
-    equal neighbours join, and so on until none is too short."""
-    runs = list(runs)
-    while len(runs) > 1:
-        at = next((i for i, r in enumerate(runs) if r[1] < shortest), None)
-        if at is None:
-            break
-        kind, metres, last = runs.pop(at)
-        if at:
-            before = runs[at - 1]
-            runs[at - 1] = (before[0], before[1] + metres, last)
+    equal neighbours join, and so on until none is too short.
+
+    Runs before the first short one are long enough and told apart, so they are a stack that each run is looked at once against.
+    """
+    done: list[list] = []
+    for kind, metres, last in runs:
+        if not done:
+            done.append([kind, metres, last])
+        elif done[0][1] < shortest:  # only the first run can be short here: it joins what comes after
+            done[0] = [kind, done[0][1] + metres, last]
+        elif kind == done[-1][0]:
+            done[-1] = [kind, done[-1][1] + metres, last]
+        elif metres < shortest:
+            done[-1] = [done[-1][0], done[-1][1] + metres, last]
         else:
-            runs[0] = (runs[0][0], runs[0][1] + metres, runs[0][2])
-        joined = [runs[0]]
-        for r in runs[1:]:
-            joined[-1:] = [(r[0], joined[-1][1] + r[1], r[2])] if r[0] == joined[-1][0] else [joined[-1], r]
-        runs = joined
-    return runs
+            done.append([kind, metres, last])
+    return [tuple(r) for r in done]
 
 
-def collapsed(edges: DataFrame, shortest: float = 100.0) -> DataFrame:
-    """(route_id, edge_no, category, length_m) -> the route's runs after short ones are gone: run, category, metres, last_edge."""
+#: A task sorts so many edges.
+EDGES = 1_000_000
 
-    from .lines import islands
 
-    runs = islands(edges, "category", "route_id", "edge_no").groupBy("route_id", "run").agg(F.first("category").alias("category"), F.sum("length_m").alias("metres"), F.max("edge_no").alias("last_edge"))
-    # One row a route, many routes a batch: a Python call for each route would cost more than its work.
-    lists = runs.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("run", "category", "metres", "last_edge"))).alias("runs"))
+def collapsed(edges: DataFrame, shortest: float = 100.0) -> DataFrame:
+    """(route_id, edge_no, category, length_m) -> the route's runs after short ones are gone: run, category, metres, last_edge.
+
+    Tasks grow in number with the edges; each sorts its own and reads them once, with no more than a batch and one route's runs at hand.
+    """
+    spark = edges.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // EDGES))
+    kind = pa.schema([("route_id", pa.int64()), ("run", pa.int32()), ("category", pa.string()), ("metres", pa.float64()), ("last_edge", pa.int64())])
+
+    def merged(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """Neighbours of one route and category as one, and where routes begin."""
+        route, codes = rows["route_id"].to_numpy(), pc.fill_null(rows["category"].combine_chunks().dictionary_encode().indices, -1).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (route[1:] != route[:-1]) | (codes[1:] != codes[:-1])]))
+        ends = np.append(starts[1:], len(route)) - 1
+        metres = np.add.reduceat(pc.fill_null(rows["length_m"], 0.0).to_numpy(), starts)
+        out = rows.take(pa.array(ends)).set_column(3, "length_m", pa.array(metres))
+        return out, np.flatnonzero(np.concatenate([[True], np.diff(route[starts]) != 0]))
+
+    def told(rows: pa.Table, begins: np.ndarray):
+        width = np.diff(begins, append=rows.num_rows)
+        metres, last = rows["length_m"].to_numpy(), rows["edge_no"].to_numpy()
+        folded = np.logical_or.reduceat(metres < shortest, begins) & (width > 1)
+        at = np.flatnonzero(np.repeat(~folded, width))
+        run = (np.arange(rows.num_rows) - np.repeat(begins, width) + 1)[at]
+        as_is = rows.take(pa.array(at))
+        yield [as_is["route_id"], pa.array(run, pa.int32()), as_is["category"], as_is["length_m"], as_is["edge_no"]]
+        names, metres, last, out = rows["category"].to_pylist(), metres.tolist(), last.tolist(), []
+        for route, a, n in zip(rows["route_id"].to_numpy()[begins[folded]].tolist(), begins[folded].tolist(), width[folded].tolist(), strict=True):
+            out += [(route, i + 1, *r) for i, r in enumerate(merge_short(list(zip(names[a : a + n], metres[a : a + n], last[a : a + n], strict=True)), shortest))]
+        if out:
+            yield list(zip(*out, strict=True))
 
     def fold(batches):
+        left = None  # runs so far of a route that may go on
         for batch in batches:
-            rows = [(route, i + 1, *r) for route, own in zip(batch.route_id, batch.runs, strict=True) for i, r in enumerate(merge_short([(x["category"], x["metres"], x["last_edge"]) for x in own], shortest))]
-            yield pd.DataFrame(rows, columns=["route_id", "run", "category", "metres", "last_edge"])
-
-    return lists.mapInPandas(fold, "route_id long, run int, category string, metres double, last_edge long")
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows, begins = merged(rows if left is None else pa.concat_tables([left, rows]))
+            left = rows.slice(begins[-1])
+            if len(begins) > 1:
+                for columns in told(rows.slice(0, begins[-1]), begins[:-1]):
+                    yield from pa.table(columns, schema=kind).to_batches()
+        if left is not None:
+            for columns in told(left, np.zeros(1, dtype=np.int64)):
+                yield from pa.table(columns, schema=kind).to_batches()
+
+    dealt = edges.select(C("route_id").cast("long"), C("edge_no").cast("long"), "category", C("length_m").cast("double")).repartition(tasks, "route_id").sortWithinPartitions("route_id", "edge_no")
+    return dealt.mapInArrow(fold, "route_id long, run int, category string, metres double, last_edge long")
 
 
 def _category(degrees: float) -> str:

@@ -230,10 +230,10 @@ def fn_alias_match(spark, sf_dir):
 
 @query("join_annotate_75m", "WITH near AS (SELECT p.pid, min(q.qid) AS entry FROM fx_points p JOIN fx_probe q ON abs(p.lat - q.lat) < 0.001e0 AND 2*6371000.0e0*asin(sqrt(pow(sin(radians(q.lat-p.lat)/2),2)+cos(radians(p.lat))*cos(radians(q.lat))*pow(sin(radians(q.lon-p.lon)/2),2))) <= 75 GROUP BY p.pid) SELECT p.pid, entry FROM fx_points p LEFT JOIN near USING (pid)")
 def join_annotate_75m(spark, sf_dir):
-    from ..operators.spatial import within_radius
+    from ..operators.spatial import first_within
 
     points, book = view(spark, sf_dir, "fx_points"), view(spark, sf_dir, "fx_probe")
-    near = within_radius(points, book, 75.0).groupBy("pid").agg(F.min("qid").alias("entry"))
+    near = first_within(points, book, 75.0).select("pid", "entry")
     return points.select("pid").join(near, "pid", "left")
 
 

@@ -48,3 +48,44 @@ def test_radius_queries_compare_places(spark, monkeypatch):
     for name in ("join_radius", "find_nearby"):
         registry.queries()[name](spark, SF)
     assert len(calls) == 2
+
+
+def all_at_once(runs, shortest):
+    """Short runs go one after the other, equal neighbours join after each."""
+    runs = list(runs)
+    while len(runs) > 1 and (at := next((i for i, r in enumerate(runs) if r[1] < shortest), None)) is not None:
+        _, metres, last = runs.pop(at)
+        k = max(at - 1, 0)
+        runs[k] = (runs[k][0], runs[k][1] + metres, last if at else runs[k][2])
+        joined = [runs[0]]
+        for r in runs[1:]:
+            joined[-1:] = [(r[0], joined[-1][1] + r[1], r[2])] if r[0] == joined[-1][0] else [joined[-1], r]
+        runs = joined
+    return runs
+
+
+def test_short_runs_are_folded_in_one_reading(spark, monkeypatch):
+    """Routes that end anywhere in a batch, with null categories and many runs, as the rule says; no list of a route is collected."""
+    import itertools
+    import random
+
+    from cairnway.operators import runs
+
+    rnd = random.Random(9)
+    edges = [(route, i, rnd.choice(["PAVED", "TRAIL", None]), float(rnd.choice([5, 20, 60, 99, 100, 400]))) for route in range(80) for i in range(rnd.choice([1, 2, 3, 9, 60]))]
+    want = []
+    for route, own in itertools.groupby(edges, key=lambda e: e[0]):
+        first = [(k, sum(e[3] for e in same), same[-1][1]) for k, same in ((k, list(g)) for k, g in itertools.groupby(own, key=lambda e: e[2]))]
+        assert runs.merge_short(first, 100.0) == all_at_once(first, 100.0)
+        want += [(route, i + 1, *r) for i, r in enumerate(all_at_once(first, 100.0))]
+    rnd.shuffle(edges)
+    table = spark.createDataFrame(edges, "route_id long, edge_no long, category string, length_m double")
+    monkeypatch.setattr(runs, "EDGES", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = runs.collapsed(table)
+        assert sorted(map(tuple, found.collect()), key=lambda r: r[:2]) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    told = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in told and f", {-(-len(edges) // 100)}), REPARTITION_BY_NUM" in told
