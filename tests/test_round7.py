@@ -89,3 +89,14 @@ def test_short_runs_are_folded_in_one_reading(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     told = found._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in told and f", {-(-len(edges) // 100)}), REPARTITION_BY_NUM" in told
+
+
+def test_lines_are_dealt_to_tasks_by_their_cells(spark, monkeypatch):
+    from cairnway.operators import rasterize
+
+    monkeypatch.setattr(rasterize, "CELLS", 50)
+    found = registry.queries()["fn_rasterize_line"](spark, SF)
+    assert all(r.cells >= 1 for r in found.collect())
+    told = found._jdf.queryExecution().executedPlan().toString()
+    tasks = -(-sum(r.cells for r in found.collect()) // 50)
+    assert tasks > 4 and f", {tasks}), REPARTITION_BY_NUM" in told and "ENSURE_REQUIREMENTS" not in told
