@@ -61,11 +61,21 @@ def exact_addresses(queries: DataFrame, addresses: DataFrame, limit: int, near:
 
     With ``near`` the addresses nearest to the query's own place (``lat``, ``lon``) come first, else those of least id.
     """
+    if near:
+        placed = C("lat").isNotNull() & C("lon").isNotNull()
+        here, anywhere = queries.where(placed), queries.where(~placed)
+        return _exact(here, addresses, limit, True).unionByName(_exact(anywhere, addresses, limit, False))
+    return _exact(queries, addresses, limit, False)
+
+
+def _exact(queries: DataFrame, addresses: DataFrame, limit: int, near: bool) -> DataFrame:
     q = queries.select("qid", F.upper(F.trim("number")).alias("number"), F.upper(F.trim("street")).alias("street"), F.upper("city").alias("qcity"), F.upper("state").alias("qstate"), C("zipcode").alias("qzip"), *[C(c).alias("q" + c) for c in ("lat", "lon") if near])
+    if not near:  # of addresses that say the same only the first can be among the first
+        addresses = first_rows(addresses, ["number", "street", "city", "state", "zipcode"], ["aid"], limit).drop("n")
     met = q.join(addresses, ["number", "street"])
     optional = lambda a, b: a.isNull() | (a == b)
-    met = met.where(optional(C("qcity"), C("city")) & optional(C("qstate"), C("state")) & optional(C("qzip"), C("zipcode")))
-    return first_rows(met, ["qid"], [*([squared_degrees().asc_nulls_last()] if near else []), "aid"], limit)
+    met = met.where(optional(C("qcity"), C("city")) & optional(C("qstate"), C("state")) & optional(C("qzip"), C("zipcode"))).drop("qcity", "qstate", "qzip")
+    return first_rows(met, ["qid"], [*([squared_degrees().asc_nulls_last()] if near else []), "aid"], limit).drop("qlat", "qlon")
 
 
 def squared_degrees() -> Column:
@@ -75,9 +85,12 @@ def squared_degrees() -> Column:
 def by_zip(queries: DataFrame, addresses: DataFrame, limit: int, near: bool = False) -> DataFrame:
     """Addresses of the query's zip code.  Without a place of the query they are the same for all that ask for the code, so the
     first ``limit`` of each code are found before queries meet them."""
-    q = queries.where("zipcode is not null").select("qid", "zipcode", *[C(c).alias("q" + c) for c in ("lat", "lon") if near])
     if near:
-        return first_rows(q.join(addresses, "zipcode"), ["qid"], [squared_degrees().asc_nulls_last(), "aid"], limit)
+        placed = C("lat").isNotNull() & C("lon").isNotNull()
+        q = queries.where(C("zipcode").isNotNull() & placed).select("qid", "zipcode", C("lat").alias("qlat"), C("lon").alias("qlon"))
+        here = first_rows(q.join(addresses, "zipcode"), ["qid"], [squared_degrees().asc_nulls_last(), "aid"], limit).drop("qlat", "qlon")
+        return here.unionByName(by_zip(queries.where(~placed), addresses, limit))
+    q = queries.where("zipcode is not null").select("qid", "zipcode")
     return first_rows(q.join(first_rows(addresses, ["zipcode"], ["aid"], limit, "nth").drop("nth"), "zipcode"), ["qid"], ["aid"], limit)
 
 

@@ -129,7 +129,14 @@ def free_text(asked: DataFrame, index: Index, limit: int) -> DataFrame:
     fit = base.where(F.size("got") >= C("least")).select("tid", "pattern", "n", sum_of(F.transform("got", lambda g: g["worth"])).alias("worth"))
     upto = F.sum("n").over(Window.partitionBy("tid").orderBy(F.desc("worth"), "pattern"))
     sure = F.max(F.when(C("upto") >= limit, C("worth"))).over(Window.partitionBy("tid"))
-    fit = fit.withColumn("upto", upto).withColumn("sure", sure).where(C("sure").isNull() | (C("worth") * (1.0 + BIAS) >= C("sure") - 1e-5)).select("tid", "pattern", "worth")
+    fit = fit.withColumn("upto", upto).withColumn("sure", sure).where(C("sure").isNull() | (C("worth") * (1.0 + BIAS) >= C("sure") - 1e-5)).select("tid", "pattern", "worth", "sure")
+    # Without a place to be near, a pattern's features are equally worth: its first ids are met, not all of its cells.
+    plain = rewritten(first_rows(features.where(F.size("pattern") > 0), ["pattern"], ["fid"], limit).drop("n"), "pattern_firsts")
+    sure_of = fit.where(C("sure").isNull() | (C("worth") >= C("sure") - 1e-5)).drop("sure")
+    nowhere = C("qlat").isNull() | C("qlon").isNull()
+    pairs = dealt_out(places.where(nowhere).join(sure_of, "tid"), "pid").join(plain, "pattern")
+    third = first_rows(pairs.select("pid", "fid", relevance), ["pid"], order, limit).drop("n")
+    fit = fit.drop("sure")
     some = rewritten(first_rows(features.where(F.size("pattern") > 0), ["pattern", "lat", "lon"], ["fid"], limit).drop("n"), "pattern_places")
     # A pattern's features by cells: a query reads the cells that may hold one of its first, told by how near and how far they can be.
     reach, whole = first_reach(some, limit, ["pattern"])
@@ -142,7 +149,7 @@ def free_text(asked: DataFrame, index: Index, limit: int) -> DataFrame:
     celled = celled.join(cells.select("cell", "pattern", "y", "x"), [celled[c].eqNullSafe(cells[c]) for c in ("pattern", "y", "x")]).select("cell", "fid", "lat", "lon")
     away = geo.haversine(C("mlat"), C("mlon"), C("qlat"), C("qlon"))
     worth_at = lambda d: C("worth") * (1.0 + BIAS * F.coalesce(F.exp(-d / 1000.0 / (NEAR_KM * F.pow(F.lit(2.0), 18 - C("zoom")))), F.lit(0.0)))
-    bounds = dealt_out(fit.join(cells, "pattern").drop("pattern"), "tid", "cell").join(places, "tid").withColumn("away", away)
+    bounds = dealt_out(fit.join(places.where(~nowhere).select("tid").distinct(), "tid", "left_semi").join(cells, "pattern").drop("pattern"), "tid", "cell").join(places.where(~nowhere), "tid").withColumn("away", away)
     bounds = bounds.select("pid", "cell", "worth", "n", worth_at(C("away") + C("radius")).alias("low"), worth_at(F.greatest(F.lit(0.0), C("away") - C("radius"))).alias("high"))
     filled = F.sum("n").over(Window.partitionBy("pid").orderBy(F.desc("low"), "cell"))
     held = F.max(F.when(C("filled") >= limit, C("low"))).over(Window.partitionBy("pid"))
@@ -150,7 +157,7 @@ def free_text(asked: DataFrame, index: Index, limit: int) -> DataFrame:
     pairs = open_.hint("merge").join(celled, "cell").join(places, "pid")
     second = first_rows(pairs.select("pid", "fid", relevance), ["pid"], order, limit).drop("n")
 
-    both = first.unionByName(second).groupBy("pid", "fid").agg(F.max("relevance").alias("relevance"))
+    both = first.unionByName(second).unionByName(third).groupBy("pid", "fid").agg(F.max("relevance").alias("relevance"))
     ranked = first_rows(both, ["pid"], order, limit, "position").withColumn("position", C("position") - 1)
     at = own.alias("o").join(places.alias("p"), [F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}")) for c in same]).select("o.qid", "p.pid")
     return at.join(ranked, "pid").select("qid", "fid", "relevance", "position")

@@ -100,3 +100,28 @@ def test_lines_are_dealt_to_tasks_by_their_cells(spark, monkeypatch):
     told = found._jdf.queryExecution().executedPlan().toString()
     tasks = -(-sum(r.cells for r in found.collect()) // 50)
     assert tasks > 4 and f", {tasks}), REPARTITION_BY_NUM" in told and "ENSURE_REQUIREMENTS" not in told
+
+
+def test_questions_without_a_place_meet_the_first_ids_of_a_pattern(spark, monkeypatch):
+    from cairnway.operators import geocoding, retrieval
+
+    met = []
+
+    def counted(rows, by, *more, real=retrieval.first_rows):
+        if by == ["pid"]:
+            met.append(rows.count())
+        return real(rows, by, *more)
+
+    features = spark.createDataFrame([(i, "corner shop", None, None, "Boise", "ID", "cafe", 43.0 + i * 0.001, -117.0) for i in range(200)], "fid long, name string, housenumber string, street string, city string, state string, osm_value string, lat double, lon double")
+    asked = spark.createDataFrame([(1, "corner boise", None, None, None), (2, "corner shop", None, 5.0, None), (3, "corner shop", 43.1004, -117.0, None)], "qid long, q string, lat double, lon double, zoom int")
+    monkeypatch.setattr(retrieval, "first_rows", counted)
+    found = sorted((r.qid, r.position, r.fid) for r in retrieval.free_text(asked, retrieval.Index.of(features), 3).collect())
+    assert found == [(q, p, p) for q in (1, 2) for p in range(3)] + [(3, 0, 100), (3, 1, 101), (3, 2, 99)]
+    assert met[1] <= 6  # after rare words: pairs of questions without a place, before of all questions with all features
+    said = "aid long, number string, street string, city string, state string, zipcode string, lat double, lon double"
+    addresses = spark.createDataFrame([(i, "1", "MAIN ST", "BOISE", "ID", "83600" if i % 2 else "83601", 43.0 + i, -117.0) for i in range(9, -1, -1)], said)
+    questions = spark.createDataFrame([(1, "1", "Main St", None, None, None, None, None), (2, "1", "Main St", "Boise", "ID", "83600", None, 1.0), (3, "1", "main st", None, None, "83600", 50.2, -117.0)], "qid long, number string, street string, city string, state string, zipcode string, lat double, lon double")
+    near = {q: [r.aid for r in sorted(geocoding.exact_addresses(questions, addresses, 2, near=True).collect(), key=lambda r: r.n) if r.qid == q] for q in (1, 2, 3)}
+    assert near == {1: [0, 1], 2: [1, 3], 3: [7, 9]}
+    postal = {q: [r.aid for r in sorted(geocoding.by_zip(questions, addresses, 2, near=True).collect(), key=lambda r: r.n) if r.qid == q] for q in (1, 2, 3)}
+    assert postal == {1: [], 2: [1, 3], 3: [7, 9]}
