@@ -198,54 +198,134 @@ def build_chunks(graph: DataFrame, size: int) -> DataFrame:
     return graph.groupBy("chunk", "mode").applyInPandas(run, "chunk string, mode string, from_entrance int, to_entrance int, cost_s double")
 
 
-def _settle(known: dict, seeds: dict, around: dict) -> dict:
-    """Costs that ``seeds`` improve inside a tile, nodes with their new costs."""
-    better: dict = {}
-    heap = [(d, n) for n, d in seeds.items()]
-    heapq.heapify(heap)
-    while heap:
-        d, n = heapq.heappop(heap)
-        if d >= better.get(n, known.get(n, float("inf"))):
-            continue
-        better[n] = d
-        for m, w in around.get(n, ()):
-            if d + w < better.get(m, known.get(m, float("inf"))):
-                heapq.heappush(heap, (d + w, m))
-    return better
+def _compressed(a: np.ndarray, b: np.ndarray, w: np.ndarray, more: np.ndarray) -> tuple:
+    """Edges inside a tile, and the nodes ``more``, as arrays: nodes, where each one's edges begin, their ends as places among the nodes, their costs."""
+    order = np.argsort(a, kind="stable")
+    a, b, w = a[order], b[order], w[order]
+    nodes = a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+    for others in (b, more):  # nodes from which no edge leads on inside the tile
+        at = np.minimum(np.searchsorted(nodes, others), max(len(nodes) - 1, 0))
+        lone = others[nodes[at] != others] if len(nodes) else others
+        nodes = np.union1d(nodes, lone) if len(lone) else nodes
+    return nodes, np.searchsorted(a, np.append(nodes, np.iinfo(np.int64).max)), np.searchsorted(nodes, b).astype(np.int32), w
+
+
+def _settle(first: np.ndarray, to: np.ndarray, w: np.ndarray, cost: np.ndarray, news: np.ndarray) -> np.ndarray:
+    """Settle in ``cost`` what the new costs of the nodes ``news`` change, and tell which nodes have changed.
+
+    All nodes within a step of the cheapest that wait go at once, over all their edges, until none of them changes any more: costs are
+    the same sums as those of one node after the other.
+    """
+    changed, waits = np.zeros(len(cost), dtype=bool), np.zeros(len(cost), dtype=bool)
+    changed[news] = waits[news] = True
+    step, far = 2.0 * float(np.median(w)) if len(w) else 0.0, news
+    while len(far):
+        limit = cost[far].min() + step
+        now = far[cost[far] <= limit]
+        later = [far[cost[far] > limit]]
+        while len(now):
+            waits[now] = False
+            begin, n = first[now], first[now + 1] - first[now]
+            edge = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            end, reached = to[edge], np.repeat(cost[now], n) + w[edge]
+            better = reached < cost[end]
+            end, reached = end[better], reached[better]
+            np.minimum.at(cost, end, reached)
+            changed[end] = True
+            end = np.unique(end[~waits[end]])
+            waits[end] = True
+            now = end[cost[end] <= limit]
+            later.append(end[cost[end] > limit])
+        far = np.concatenate(later)
+        far = far[waits[far]]
+    return np.flatnonzero(changed)
 
 
 def costs_over_tiles(sources: DataFrame, graph: DataFrame) -> DataFrame:
     """``sources`` (tile, node) over edges (tile, a, b, tile2, w): tile, node and cost_s of all that they reach, however large the map.
 
-    Tiles that have news settle what it changes, each in its own task, and tell the tiles next to them; what is known, and the news,
+    Tiles that have news settle what it changes, each in its own task, and tell the tiles next to them; what they know, and the news,
     are written each round.  Rounds grow with the number of tiles that a path crosses, not with its cells.  A tile is of
-    bounded size, and edges are read in place by tile.
+    bounded size: its edges are packed into arrays once and read in place by tile, and what it knows is a row of two arrays.  The driver
+    keeps the round in which each tile was settled last, a number a tile.
     """
-    edges_ = bucketed(graph.select("tile", "a", "b", "tile2", "w"), "tile", "tile_edges")
-    news = rewritten(sources.select("tile", "node", F.lit(0.0).alias("cost_s")).distinct(), "news")
-    known = rewritten(news.limit(0), "known")
+    spark, kind = graph.sparkSession, graph.schema["tile"].dataType.simpleString()
+    packed_ = f"tile {kind}, nodes binary, first binary, ends binary, w binary, at binary, b binary, over binary, tiles array<{kind}>"
+    state, names = f"tile {kind}, fresh boolean, nodes binary, costs binary", ["tile", "fresh", "nodes", "costs"]
+
+    def pack(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        inner, across = own[own.tile2.isna()], own[own.tile2.notna()]
+        leave = across.a.to_numpy(np.int64)
+        nodes, first, ends, w = _compressed(inner.a.to_numpy(np.int64), inner.b.to_numpy(np.int64), inner.w.to_numpy(np.float64), leave)
+        at = np.searchsorted(nodes, leave)
+        which, tiles = pd.factorize(across.tile2)
+        parts = (nodes, first, ends, w, at, across.b.to_numpy(np.int64), np.stack([across.w.to_numpy(np.float64), which.astype(np.float64)]))
+        return pd.DataFrame([(key[0], *(x.tobytes() for x in parts), list(tiles))], columns=[c.split()[0] for c in packed_.split(", ")])
+
+    outside = F.when(C("tile") != C("tile2"), C("tile2")).alias("tile2")
+    edges_ = bucketed(graph.select("tile", "a", "b", outside, "w").groupBy("tile").applyInPandas(pack, packed_), "tile", "tile_edges")
 
     def run(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        told, old = rows[rows.fresh], rows[~rows.fresh]
-        costs = dict(zip(old.node, old.cost_s, strict=True))
-        inside = own[own.tile2 == key[0]]
-        better = _settle(costs, dict(zip(told.node, told.cost_s, strict=True)), adjacency(inside))
-        costs |= better
-        across = own[(own.tile2 != key[0]) & own.a.isin(better)]
-        sent = pd.DataFrame({"tile": across.tile2, "node": across.b, "cost_s": across.a.map(better).astype(float) + across.w, "fresh": True})
-        kept = pd.DataFrame({"tile": key[0], "node": list(costs), "cost_s": list(costs.values()), "fresh": False})
-        return pd.concat([kept, sent]) if len(sent) else kept
-
-    while not news.isEmpty():
-        active = news.select("tile").distinct()
-        rows = known.join(active, "tile", "left_semi").withColumn("fresh", F.lit(False)).unionByName(news.withColumn("fresh", F.lit(True)))
-        step = rows.groupBy("tile").cogroup(edges_.join(active, "tile", "left_semi").groupBy("tile")).applyInPandas(run, "tile string, node long, cost_s double, fresh boolean")
-        step = rewritten(step, "step")
-        known = rewritten(known.join(active, "tile", "left_anti").unionByName(step.where("not fresh").drop("fresh")), "known")
-        told = step.where("fresh").groupBy("tile", "node").agg(F.min("cost_s").alias("cost_s"))
-        had = known.select("tile", "node", C("cost_s").alias("had"))
-        news = rewritten(told.join(had, ["tile", "node"], "left").where(C("had").isNull() | (C("cost_s") < C("had"))).drop("had"), "news")
-    return known
+        if not len(rows):
+            return pd.DataFrame([], columns=names)
+        old, news = rows[~rows.fresh.astype(bool)], rows[rows.fresh.astype(bool)]
+        seen, paid = (np.concatenate([np.frombuffer(x, dtype=kind) for x in column]) for column, kind in ((news.nodes, np.int64), (news.costs, np.float64)))
+        row = next(own.itertuples()) if len(own) else None
+        part = lambda name, kind: np.frombuffer(getattr(row, name), dtype=kind) if row is not None else np.zeros(0, dtype=kind)
+        first, ends, w = part("first", np.int64), part("ends", np.int32), part("w", np.float64)
+        nodes = np.frombuffer(old.nodes.iloc[0], dtype=np.int64) if len(old) else part("nodes", np.int64)
+        cost = np.frombuffer(old.costs.iloc[0], dtype=np.float64) if len(old) else np.full(len(nodes), np.inf)
+        lone = np.setdiff1d(seen, nodes[np.isin(nodes, seen)])  # that have no edges here
+        nodes, cost = np.concatenate([nodes, lone]), np.concatenate([cost, np.full(len(lone), np.inf)])
+        first = np.concatenate([first, np.full(len(nodes) + 1 - len(first), len(w))])
+        order = np.argsort(nodes, kind="stable")
+        place = order[np.searchsorted(nodes, seen, sorter=order)]
+        better = paid < cost[place]
+        if not better.any():
+            return pd.DataFrame([], columns=names)
+        np.minimum.at(cost, place[better], paid[better])
+        changed = np.zeros(len(nodes), dtype=bool)
+        changed[_settle(first, ends, w, cost, np.unique(place[better]))] = True
+        out = [(key[0], False, nodes.tobytes(), cost.tobytes())]
+        at, over = part("at", np.int64), part("over", np.float64).reshape(2, -1)
+        sent = np.flatnonzero(changed[at])
+        to, told, where = part("b", np.int64)[sent], cost[at[sent]] + over[0][sent], over[1][sent].astype(np.int64)
+        for k in np.unique(where):
+            mine = np.flatnonzero(where == k)
+            once, which = np.unique(to[mine], return_inverse=True)
+            least = np.full(len(once), np.inf)
+            np.minimum.at(least, which, told[mine])
+            out.append((row.tiles[k], True, once.tobytes(), least.tobytes()))
+        return pd.DataFrame(out, columns=names)
+
+    def first_news(batches):
+        for batch in batches:
+            yield pd.DataFrame([(t, True, np.int64(n).tobytes(), np.float64(0.0).tobytes()) for t, n in zip(batch.tile, batch.node, strict=True)], columns=names)
+
+    rounds = [rewritten(sources.select("tile", "node").distinct().mapInPandas(first_news, state), "tile_costs")]
+    settled: dict = {}  # the round of each tile
+    while True:
+        last = len(rounds) - 1
+        told = rounds[last].select("tile", "fresh").distinct().collect()  # tiles that have been settled, and those next to them
+        settled |= {r.tile: last for r in told if not r.fresh}
+        active = [r.tile for r in told if r.fresh]
+        if not active:
+            break
+        rows = rounds[last].where("fresh")
+        for k in sorted({settled[t] for t in active if t in settled}):
+            rows = rows.unionByName(rounds[k].where(~C("fresh") & C("tile").isin([t for t in active if settled.get(t) == k])))
+        rounds.append(rewritten(rows.groupBy("tile").cogroup(edges_.where(C("tile").isin(active)).groupBy("tile")).applyInPandas(run, state), "tile_costs"))
+
+    def unpacked(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                nodes, cost = np.frombuffer(row.nodes, dtype=np.int64), np.frombuffer(row.costs, dtype=np.float64)
+                yield pd.DataFrame({"tile": row.tile, "node": nodes[cost < np.inf], "cost_s": cost[cost < np.inf]})
+
+    known = rounds[0].limit(0)
+    for k in sorted(set(settled.values())):
+        known = known.unionByName(rounds[k].where(~C("fresh") & C("tile").isin([t for t, at in settled.items() if at == k])))
+    return known.mapInPandas(unpacked, f"tile {kind}, node long, cost_s double")
 
 
 def pseudo_edges(trips: DataFrame, inner: DataFrame, doors: DataFrame) -> DataFrame:

@@ -62,14 +62,15 @@ def sssp(start: str, edges: str) -> str:
 
 
 #: Tiles of costs over the whole map: wider than areas, as each round reads the map's edges and rounds grow with the tiles that a path crosses.
-WIDE = 256
+WIDE = 1024
 
 
 @query("sssp_costs", f"{sssp('SELECT CAST(1 AS BIGINT) AS node', 'true')} SELECT node, round(cost, 4) AS cost_s FROM dist")
 def sssp_costs(spark, sf_dir):
     """Costs from one cell over the whole map, tile by tile."""
-    edges = numbered(grid_edges(spark, sf_dir)).withColumn("tile", tile(C("a"), WIDE)).withColumn("tile2", tile(C("b"), WIDE))
-    sources = cells(spark, sf_dir).where("r = 0 and c = 1").select(number("r", "c").alias("node")).withColumn("tile", tile(C("node"), WIDE))
+    wide = lambda r, c: F.floor(C(r) / WIDE) * STRIDE + F.floor(C(c) / WIDE)
+    edges = grid_edges(spark, sf_dir).select(wide("r", "c").alias("tile"), number("r", "c").alias("a"), number("r2", "c2").alias("b"), wide("r2", "c2").alias("tile2"), C("seconds").alias("w"))
+    sources = cells(spark, sf_dir).where("r = 0 and c = 1").select(wide("r", "c").alias("tile"), number("r", "c").alias("node"))
     return routing.costs_over_tiles(sources, edges).select("node", F.round("cost_s", 4).alias("cost_s"))
 
 
