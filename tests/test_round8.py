@@ -53,3 +53,34 @@ def test_texts_are_compared_once_and_only_the_first_places_of_a_name_meet_questi
         want = con.sql(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, got)) == sorted(want) and len(got) > 100
         assert written["alike"].count() <= 4 * 12
+
+
+def test_lines_are_bresenham_s(spark):
+    """Cell by cell as the loop with an error term has them, in all directions; of cells that roads share, closed wins."""
+    from cairnway.operators.rasterize import access_grid, line_cells
+
+    def loop(r, c, r2, c2):
+        dr, dc, out = abs(r2 - r), abs(c2 - c), {(r, c)}
+        err, sr, sc = dr - dc, 1 if r < r2 else -1, 1 if c < c2 else -1
+        while (r, c) != (r2, c2):
+            e2 = 2 * err
+            if e2 > -dc:
+                err, r = err - dc, r + sr
+            if e2 < dr:
+                err, c = err + dr, c + sc
+            out.add((r, c))
+        return out
+
+    lines = [(i, i % 3 > 0, 20, 20, 20 + a, 20 + b) for i, (a, b) in enumerate((a, b) for a in range(-9, 10) for b in range(-9, 10))]
+    lines += [(900, None, 0, 0, 3, 8), (901, True, 5, 2**20, 5 + 7, 2**20 - 50_000)]
+    table = spark.createDataFrame(lines, "fid long, access boolean, r1 int, c1 int, r2 int, c2 int")
+    got = {}
+    for x in line_cells(table).collect():
+        got.setdefault(x.fid, []).append((x.r, x.c))
+    want = {i: loop(*ends) for i, _, *ends in lines}
+    assert all(len(v) == len(set(v)) for v in got.values()) and {k: set(v) for k, v in got.items()} == want
+    grid = {}
+    for i, access, *_ in lines:
+        for at in want[i] if access is not None else ():
+            grid[at] = max(grid.get(at, 0), 1 if access else 255)
+    assert {(x.r, x.c): x.value for x in access_grid(table).collect()} == grid
