@@ -184,16 +184,34 @@ def entrances(size: int) -> list[tuple[int, int]]:
     return [*[(0, x) for x in at], *[(x, size - 1) for x in at], *[(size - 1, x) for x in at], *[(x, 0) for x in at]]
 
 
+def all_costs(starts: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, nodes: int) -> np.ndarray:
+    """Costs of all nodes from all ``starts`` at once (a row a node), over edges of a small graph: every node takes the best that its
+    neighbours tell, for all starts, until nothing changes.  They are the sums that a search from each start has."""
+    cost = np.full((nodes, len(starts)), np.inf)
+    cost[starts, np.arange(len(starts))] = 0.0
+    order = np.argsort(b, kind="stable")
+    a, b, w = a[order], b[order], w[order, None]
+    first = np.flatnonzero(np.diff(b, prepend=-1))
+    to, ways = b[first], np.empty((len(a), len(starts)))
+    while len(to):
+        np.take(cost, a, axis=0, out=ways, mode="clip")
+        ways += w
+        had = cost[to]
+        told = np.minimum(np.minimum.reduceat(ways, first, axis=0), had)
+        if np.array_equal(told, had):
+            break
+        cost[to] = told
+    return cost
+
+
 def build_chunks(graph: DataFrame, size: int) -> DataFrame:
     """Costs between all entrances of a chunk (chunk, mode, a, b, w) with a = row * size + col inside it; finite ones only."""
-    doors = [r * size + c for r, c in entrances(size)]
+    doors = np.array([r * size + c for r, c in entrances(size)])
 
     def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        around, out = adjacency(own), []
-        for i, a in enumerate(doors):
-            best, _ = shortest(around, {a: 0.0}, set())
-            out += [(key[0], key[1], i, j, float(best[b])) for j, b in enumerate(doors) if i != j and b in best]
-        return pd.DataFrame(out, columns=["chunk", "mode", "from_entrance", "to_entrance", "cost_s"])
+        costs = all_costs(doors, own.a.to_numpy(np.int64), own.b.to_numpy(np.int64), own.w.to_numpy(np.float64), size * size)[doors].T
+        i, j = np.nonzero((costs < np.inf) & ~np.eye(len(doors), dtype=bool))
+        return pd.DataFrame({"chunk": key[0], "mode": key[1], "from_entrance": i, "to_entrance": j, "cost_s": costs[i, j]})
 
     return graph.groupBy("chunk", "mode").applyInPandas(run, "chunk string, mode string, from_entrance int, to_entrance int, cost_s double")
 

@@ -140,7 +140,7 @@ CHUNK = 16
 DOORS = [x for _, x in routing.entrances(CHUNK)[:5]]
 
 
-def chunked(spark, sf_dir, modes=("foot", "2w")):
+def chunked(spark, sf_dir, modes=tuple(surface.MODES)):
     """In-chunk edges of every chunk and every mode, cells by their place in it."""
     out = None
     local = lambda n: (F.floor(n / STRIDE) % CHUNK * CHUNK + n % STRIDE % CHUNK).cast("long")

@@ -84,3 +84,25 @@ def test_lines_are_bresenham_s(spark):
         for at in want[i] if access is not None else ():
             grid[at] = max(grid.get(at, 0), 1 if access else 255)
     assert {(x.r, x.c): x.value for x in access_grid(table).collect()} == grid
+
+
+def test_chunk_costs_are_told_of_all_modes(spark):
+    """Each mode's costs against a search from each entrance; what is written has them all."""
+    from cairnway.functions import surface
+    from cairnway.plans import registry
+    from cairnway.plans import routing as plans
+
+    sf, doors, want = "/root/testdata/sf0.001", routing.entrances(plans.CHUNK), {}
+    places = [r * plans.CHUNK + c for r, c in doors]
+    groups = {}
+    for e in plans.chunked(spark, sf).collect():
+        groups.setdefault((e.chunk, e["mode"]), {}).setdefault(e.a, []).append((e.b, e.w))
+    for (chunk, mode), around in groups.items():
+        for i, a in enumerate(places):
+            best = plain(around, a)
+            want |= {(chunk, mode, i, j): round(best[b], 6) for j, b in enumerate(places) if i != j and b in best}
+    got = {(r.chunk, r["mode"], r.from_entrance, r.to_entrance): r.cost_s for r in registry.queries()["hpa_build"](spark, sf).collect()}
+    assert {m for _, m in groups} == set(surface.MODES) and got.keys() == want.keys() and {"foot", "2w", "4w"} <= {m for _, m, *_ in got}
+    assert all(abs(got[k] - v) < 2e-6 for k, v in want.items())
+    told = {r["mode"]: r["rows"] for r in registry.queries()["write_chunk_costs"](spark, sf).collect()}
+    assert told == {m: n for m in surface.MODES if (n := sum(k[1] == m for k in want))}  # without a road no vehicle goes from entrance to entrance on a map this small
