@@ -106,3 +106,42 @@ def test_chunk_costs_are_told_of_all_modes(spark):
     assert all(abs(got[k] - v) < 2e-6 for k, v in want.items())
     told = {r["mode"]: r["rows"] for r in registry.queries()["write_chunk_costs"](spark, sf).collect()}
     assert told == {m: n for m in surface.MODES if (n := sum(k[1] == m for k in want))}  # without a road no vehicle goes from entrance to entrance on a map this small
+
+
+def test_unified_layers_have_all_steps(spark):
+    """All modes; friction, closures that bleed, affinity on the network only, a crisp corridor: against plain loops."""
+    import math
+
+    from cairnway.functions import surface
+    from cairnway.plans import registry
+
+    size, inf = 24, math.inf
+    rows = [(r, c, 1000.0, (50, 30, 60)[(r + c) % 3], 5 if r == 10 else 0, 255 if r == 10 and c > 15 else 0, 0) for r in range(size) for c in range(size)]
+    cells = spark.createDataFrame(rows, "r int, c int, elev_m double, wc_class int, trail int, barrier int, wilderness int")
+    from pyspark.sql import functions as F
+
+    graded = surface.with_grade(cells, 30.0)
+    found = surface.unified_layers(graded, surface.friction_multiplier(F.col("wc_class")), F.col("barrier") == 255, 0.5, F.col("c") < 2)
+    got = {(x.mode, x.r, x.c): x.mult for x in found.collect()}
+    assert len(got) == 4 * size * size
+    taps = surface.gaussian_weights()
+    reach = len(taps) // 2
+    for mode, factor in (("foot", {}), ("2w", {30: 2.0, 60: 3.0}), ("4w", {30: 1.5, 60: 2.0}), ("vehicle", {30: inf, 60: inf})):
+        base = [[rows[r * size + c][3] / 10 * factor.get(rows[r * size + c][3], 1.0) for c in range(size)] for r in range(size)]
+        for r, c, _, wc, _, barrier, _ in rows:
+            if mode == "vehicle" and wc == 30:
+                base[r][c] = 5.0  # a flat field
+            if mode != "foot" and barrier == 255:
+                base[r][c] = inf
+        finite = sorted(x for line in base for x in line if x < inf)
+        at = (len(finite) - 1) * 0.95
+        p95 = finite[int(at)] + (finite[math.ceil(at)] - finite[int(at)]) * (at - int(at))
+        filled = [[x if x < inf else min(50 * p95, 1e12) for x in line] for line in base]
+        pick = lambda k: max(0, min(size - 1, k))
+        once = [[sum(w * filled[pick(r + k - reach)][c] for k, w in enumerate(taps)) for c in range(size)] for r in range(size)]
+        twice = [[sum(w * once[r][pick(c + k - reach)] for k, w in enumerate(taps)) for c in range(size)] for r in range(size)]
+        for r in range(size):
+            for c in range(size):
+                want = inf if c < 2 or base[r][c] == inf else twice[r][c] * (0.5 if r == 10 else 1.0)
+                assert got[mode, r, c] == want or abs(got[mode, r, c] - want) < 1e-6 * want, (mode, r, c)
+    assert {x["mode"] for x in registry.queries()["fn_unified_layers"](spark, "/root/testdata/sf0.001").select("mode").distinct().collect()} == set(surface.MODES)
